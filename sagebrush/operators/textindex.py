@@ -114,11 +114,18 @@ def text_features(queries: DataFrame, docs: DataFrame, key: str, fields,
                   F.col("len").cast("double"), F.col("avglen")).alias("b"),
         native_term(tf, F.col("first_pos").cast("double")).alias("m"))
     return (scored.groupBy("query_id", key, "field")
-            .agg(F.sum("b").alias("bm25"),
-                 (F.sum("m") / F.first("nq").cast("double")).alias("native"),
+            .agg(ordered_sum("b").alias("bm25"),
+                 (ordered_sum("m") / F.first("nq").cast("double")).alias("native"),
                  F.lit(1).alias("matched")))
 
 
+def ordered_sum(col: str) -> Column:
+    """Sum of a group's values in ascending order, so documents whose terms are
+    equal get bit-identical scores and ties break on the key, not on float noise.
+    Groups here are (query, doc, field): at most one value per query term."""
+    return F.aggregate(F.array_sort(F.collect_list(col)), F.lit(0.0), lambda acc, x: acc + x)
+
+
 def wide_text_features(feats: DataFrame, key: str, field_names: list[str]) -> DataFrame:
     """Fields side by side: bm25_<f>, native_<f>, matches_<f> (0 when absent)."""
     aggs = []
@@ -158,7 +165,7 @@ def chunk_scores(queries: DataFrame, docs: DataFrame, key: str, array_field: str
          .join(F.broadcast(avg), "field").join(F.broadcast(n_docs), "field"))
     s = bm25_term(F.col("tf").cast("double"), F.col("df").cast("double"), F.col("n_docs").cast("double"),
                   F.col("len").cast("double"), F.col("avglen"))
-    return j.groupBy("query_id", key, "p").agg(F.sum(s).alias("chunk_bm25"))
+    return j.withColumn("s", s).groupBy("query_id", key, "p").agg(ordered_sum("s").alias("chunk_bm25"))
 
 
 def match_any(queries: DataFrame, docs: DataFrame, key: str, fields,

@@ -3,7 +3,7 @@
 
 def load_catalog():
     """Import every catalog module so its queries register themselves."""
-    from sagebrush.plans import catalog_search  # noqa: F401
+    from sagebrush.plans import catalog_profiles, catalog_relations, catalog_reports, catalog_search  # noqa: F401
     from sagebrush.plans.registry import ORACLE, QUERIES
 
     return QUERIES, ORACLE

@@ -8,6 +8,7 @@ from sagebrush.operators import textindex as TI
 from sagebrush.operators import vectors as V
 from sagebrush.plans import search as S
 from sagebrush.plans.registry import register, sql_closeness, sql_tokens, tidy
+from sagebrush.plans.sqlgen import _osum_fix
 from sagebrush.sources.tables import view
 
 TEST_K = 20          # vector candidates per query (targetHits)
@@ -36,9 +37,9 @@ post AS (SELECT doc_id, field, token, dl, count(*) AS tf, min(pos) AS first_pos
          WHERE token IN (SELECT token FROM qt) GROUP BY doc_id, field, token, dl),
 dfreq AS (SELECT field, token, count(*) AS n FROM post GROUP BY field, token),
 sc AS (SELECT qt.query_id, post.doc_id, post.field,
-              sum(ln(1e0 + (s.N - d.n + 0.5e0) / (d.n + 0.5e0)) * post.tf * 2.2e0
+              osum(ln(1e0 + (s.N - d.n + 0.5e0) / (d.n + 0.5e0)) * post.tf * 2.2e0
                   / (post.tf + 1.2e0 * (0.25e0 + 0.75e0 * post.dl / s.avglen))) AS bm25,
-              sum(0.5e0 / (1e0 + post.first_pos / 16e0) + 0.5e0 * least(1e0, ln(1e0 + post.tf) / ln(9e0)))
+              osum(0.5e0 / (1e0 + post.first_pos / 16e0) + 0.5e0 * least(1e0, ln(1e0 + post.tf) / ln(9e0)))
                   / max(qt.nq) AS native
        FROM post JOIN qt ON qt.token = post.token JOIN dfreq d ON d.field = post.field AND d.token = post.token
        JOIN stats s ON s.field = post.field GROUP BY qt.query_id, post.doc_id, post.field),
@@ -50,6 +51,7 @@ wide AS (SELECT query_id, doc_id,
             coalesce(sum(CASE WHEN field = 'chunks' THEN native END), 0e0) AS native_chunks,
             coalesce(max(CASE WHEN field = 'chunks' THEN 1 END), 0) AS matches_chunks
          FROM sc GROUP BY query_id, doc_id)"""
+SQL_TEXT = _osum_fix(SQL_TEXT)
 SQL_VEC = f"""vall AS (SELECT q.query_id, cv.doc_id, cv.p, {sql_closeness('q.e', 'cv.v')} AS c
                  FROM queries_v q, chunk_vectors_v cv),
 vbest AS (SELECT query_id, doc_id, p, c AS closeness FROM (

@@ -93,64 +93,77 @@ def _recency(spec: DocSpec, p: Params) -> Column:
 
 
 def two_phase(cands: DataFrame, docs: DataFrame, spec: DocSpec, p: Params,
-              phase1: Column, phase2_fn, needs_attrs: bool) -> DataFrame:
-    """Phase 1 on all candidates, phase 2 on the top ``rerank_count``; the rest
-    follow by phase 1.  ``phase2_fn(df) -> Column`` may use attribute columns."""
-    if not needs_attrs:
-        ranked = rerank(cands, phase1, F.lit(None).cast("double"), p.rerank_count, spec.key)
-        top = ranked.filter("reranked")
-        rest = ranked.filter(~F.col("reranked")).withColumn("doc_recency", F.lit(None).cast("double"))
+              phase1: Column, phase2, recency: bool = True) -> DataFrame:
+    """Phase 1 on all candidates, phase 2 on the top ``rerank_count`` only;
+    the rest follow by phase 1.
+
+    The top-n side is bounded (n rows per query), so document attributes are
+    joined to it by broadcast and window features of phase 2 (e.g.
+    normalize_linear) see only the reranked rows.  ``phase2`` is a Column or
+    a callable ``df -> Column``.
+    """
+    from pyspark.sql import Window
+
+    w1 = Window.partitionBy("query_id").orderBy(F.col("phase1").desc(), F.col(spec.key).asc())
+    ranked = cands.withColumn("phase1", phase1).withColumn("phase1_rank", F.row_number().over(w1))
+    ranked = ranked.withColumn("reranked", F.col("phase1_rank") <= p.rerank_count)
+    top = ranked.filter("reranked")
+    rest = ranked.filter(~F.col("reranked")).withColumn("doc_recency", F.lit(None).cast("double"))
+    if recency and spec.age_col:
         top = attach_attrs(top, docs, spec, [spec.age_col], bounded=True)
-        top = top.withColumn("doc_recency", _recency(spec, p)).withColumn("phase2", phase2_fn(top))
-        both = top.drop(spec.age_col).unionByName(rest)
-        both = both.withColumn("score", F.when(F.col("reranked"), F.col("phase2")).otherwise(F.col("phase1")))
-        from pyspark.sql import Window
-        w = Window.partitionBy("query_id").orderBy(F.col("reranked").desc(), F.col("score").desc(),
-                                                   F.col(spec.key).asc())
-        out = both.withColumn("rank", F.row_number().over(w))
+        top = top.withColumn("doc_recency", _recency(spec, p)).drop(spec.age_col)
     else:
-        withattrs = attach_attrs(cands, docs, spec, [spec.age_col], bounded=False)
-        withattrs = withattrs.withColumn("doc_recency", _recency(spec, p))
-        out = rerank(withattrs, phase1, phase2_fn(withattrs), p.rerank_count, spec.key).drop(spec.age_col)
+        top = top.withColumn("doc_recency", F.lit(None).cast("double"))
+    p2 = phase2(top) if callable(phase2) else phase2
+    top = top.withColumn("phase2", p2)
+    rest = rest.withColumn("phase2", F.lit(None).cast("double"))
+    both = top.unionByName(rest, allowMissingColumns=True)
+    both = both.withColumn("score", F.when(F.col("reranked"), F.col("phase2")).otherwise(F.col("phase1")))
+    w2 = Window.partitionBy("query_id").orderBy(F.col("reranked").desc(), F.col("score").desc(),
+                                               F.col(spec.key).asc())
+    out = both.withColumn("rank", F.row_number().over(w2))
     if p.hits is not None:
         out = out.filter(F.col("rank") <= p.hits)
     return out
 
 
+def prepare(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, spec: DocSpec, p: Params,
+            part: str | None = "p") -> DataFrame:
+    """Candidates plus matched_field_count, combined_nativeRank, combined_bm25."""
+    names = list(spec.text_fields)
+    cands = features(queries, docs, vectors, spec, p, part)
+    return (cands.withColumn("matched_field_count", K.matched_field_count([F.col(f"matches_{f}") for f in names]))
+            .withColumn("combined_nativeRank", combined_native(names))
+            .withColumn("combined_bm25", combined_bm25(names)))
+
+
 def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, p: Params | None = None,
-                  spec: DocSpec | None = None, profile: str = "default_native") -> DataFrame:
-    """R1 and its siblings for the file type.
+                  spec: DocSpec | None = None, profile: str = "default_native", part: str | None = "p") -> DataFrame:
+    """R1 and its siblings for the file family (file, kb_items, datasource_file, mail, ...).
 
     profiles: default_native (R1), default_bm25 (R2), title_boosted_hybrid (R3),
-    default_ai (R4), default_random.
+    default_ai (R4), default_random (W5).
     """
     p = p or Params()
     spec = spec or file_spec()
     names = list(spec.text_fields)
-    cands = features(queries, docs, vectors, spec, p)
+    cands = prepare(queries, docs, vectors, spec, p, part)
     a = F.lit(float(p.alpha))
     vs = F.col("vector_score")
-    cn = combined_native(names)
-    cands = cands.withColumn("matched_field_count", K.matched_field_count([F.col(f"matches_{f}") for f in names]))
-    cands = cands.withColumn("combined_nativeRank", cn)
+    cnr, cbm = F.col("combined_nativeRank"), F.col("combined_bm25")
     if profile == "default_native":
-        return two_phase(cands, docs, spec, p, K.hybrid(a, vs, F.col("combined_nativeRank")),
-                         lambda d: K.hybrid(a, vs, F.col("combined_nativeRank")) * F.col("doc_recency"), False)
+        return two_phase(cands, docs, spec, p, K.hybrid(a, vs, cnr), K.hybrid(a, vs, cnr) * F.col("doc_recency"))
     if profile == "default_bm25":
-        cands = cands.withColumn("combined_bm25", combined_bm25(names))
-        return two_phase(cands, docs, spec, p, K.hybrid(a, vs, F.col("combined_bm25")),
-                         lambda d: K.hybrid(a, vs, K.scale(F.col("combined_bm25"))), False)
+        return two_phase(cands, docs, spec, p, K.hybrid(a, vs, cbm), K.hybrid(a, vs, K.scale(cbm)), recency=False)
     if profile == "default_ai":
-        return two_phase(cands, docs, spec, p, K.hybrid(a, vs, F.col("combined_nativeRank")),
-                         lambda d: K.hybrid(a, vs, F.col("combined_nativeRank")), False)
+        return two_phase(cands, docs, spec, p, K.hybrid(a, vs, cnr), K.hybrid(a, vs, cnr), recency=False)
     if profile == "title_boosted_hybrid":
         t, c = names[0], names[1]
         text = K.weighted([(5.0, F.col(f"native_{t}")), (0.2, F.col(f"native_{c}"))])
-        return two_phase(cands, docs, spec, p, K.hybrid(a, vs, text),
-                         lambda d: K.hybrid(a, vs, text) * F.col("doc_recency"), False)
+        return two_phase(cands, docs, spec, p, K.hybrid(a, vs, text), K.hybrid(a, vs, text) * F.col("doc_recency"))
     if profile == "default_random":
         cands = cands.withColumn("random_score", K.random_score(F.col(spec.key), p.seed))
-        return two_phase(cands, docs, spec, p, F.col("random_score"), lambda d: F.col("phase1"), False)
+        return two_phase(cands, docs, spec, p, F.col("random_score"), F.col("phase1"), recency=False)
     raise ValueError(f"unknown profile {profile}")
 
 
@@ -184,3 +197,154 @@ def sorted_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None
     if p.hits is not None:
         out = out.filter(F.col("rank") <= p.hits)
     return out.drop(spec.age_col)
+
+
+def one_phase(cands: DataFrame, spec: DocSpec, score: Column, p: Params) -> DataFrame:
+    """Profiles with a single phase: rank by ``score`` desc (NULLs last), key asc."""
+    from pyspark.sql import Window
+
+    out = cands.withColumn("score", score)
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), F.col(spec.key).asc())
+    out = out.withColumn("rank", F.row_number().over(w))
+    if p.hits is not None:
+        out = out.filter(F.col("rank") <= p.hits)
+    return out
+
+
+def with_query_columns(cands: DataFrame, queries: DataFrame, cols: list[str]) -> DataFrame:
+    """Per-query inputs (e.g. is_intent_search) on every candidate; the queries
+    side is a parameter table and is broadcast when its plan size is proven small."""
+    return cands.join(broadcast_if_small(queries.select("query_id", *cols)), "query_id")
+
+
+def people_search(queries: DataFrame, people: DataFrame, spec: DocSpec, p: Params,
+                  profile: str = "default_native") -> DataFrame:
+    """R8 (user/chat_user): no first phase given -> combined_nativeRank; then
+    2x (default_native) or 3x (title_boosted_hybrid) on the reranked rows."""
+    cands = prepare(queries, people, None, spec, p, None)
+    factor = {"default_native": 2.0, "title_boosted_hybrid": 3.0, "default_ai": 1.0}[profile]
+    cnr = F.col("combined_nativeRank")
+    return two_phase(cands, people, spec, p, cnr, K.boost(cnr, factor), recency=False)
+
+
+def name_lookup(queries: DataFrame, docs: DataFrame, spec: DocSpec, p: Params) -> DataFrame:
+    """R13 (datasource / chat_team): nativeRank of the single name field."""
+    cands = prepare(queries, docs, None, spec, p, None)
+    name = list(spec.text_fields)[0]
+    return one_phase(cands, spec, F.col(f"native_{name}"), p)
+
+
+def mail_search(queries: DataFrame, mails: DataFrame, vectors: DataFrame | None, spec: DocSpec,
+                p: Params, intent_col: str = "is_intent_search") -> DataFrame:
+    """R10 (mail.default_native): people-only text score for intent searches (K13), else
+    subject/chunks/weighted people fields over the matched count (K11, K12)."""
+    cands = prepare(queries, mails, vectors, spec, p, "p")
+    cands = with_query_columns(cands, queries, [intent_col])
+    n = F.col
+    people = K.weighted([(0.8, n("native_from")), (0.4, n("native_to")), (0.2, n("native_cc") + n("native_bcc"))])
+    simple = ((n("native_from") + n("native_to")) + n("native_cc")) + n("native_bcc")
+    general = (n("native_subject") + n("native_chunks") + people) / F.when(
+        n("matched_field_count") == 0, F.lit(1.0)).otherwise(n("matched_field_count").cast("double"))
+    cands = cands.withColumn("combined_nativeRank", K.intent_switch(n(intent_col), simple, general))
+    a = F.lit(float(p.alpha))
+    h = K.hybrid(a, n("vector_score"), n("combined_nativeRank"))
+    return two_phase(cands, mails, spec, p, h, h * n("doc_recency"))
+
+
+def attachment_default_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, spec: DocSpec,
+                              p: Params) -> DataFrame:
+    """R11 (chat_attachment.default): 0.5*vector + sum of scaled BM25; phase 2 uses
+    normalize_linear(vector_score) over the reranked rows of the query (W3)."""
+    from pyspark.sql import Window
+
+    cands = prepare(queries, docs, vectors, spec, p, None)
+    scaled = None
+    for f in spec.text_fields:
+        t = K.scale(F.col(f"bm25_{f}"))
+        scaled = t if scaled is None else scaled + t
+    cands = cands.withColumn("scaled_bm25", scaled)
+
+    def phase2(top: DataFrame) -> Column:
+        w = Window.partitionBy("query_id")
+        mn, mx = F.min("vector_score").over(w), F.max("vector_score").over(w)
+        norm = F.when(mx == mn, F.lit(0.0)).otherwise((F.col("vector_score") - mn) / (mx - mn))
+        return F.lit(0.5) * norm + F.col("scaled_bm25")
+
+    return two_phase(cands, docs, spec, p, F.lit(0.5) * F.col("vector_score") + F.col("scaled_bm25"),
+                     phase2, recency=False)
+
+
+def attachment_search(queries: DataFrame, docs: DataFrame, text_vecs: DataFrame, image_vecs: DataFrame,
+                      spec: DocSpec, p: Params) -> DataFrame:
+    """R6 (file.attachmentRank): text + image chunk closeness (A6) and nativeRank over
+    title, chunks and image_chunks; recency in phase 2."""
+    from sagebrush.operators.vectors import sum_over_vector_fields
+
+    names = list(spec.text_fields)
+    feats = text_features(queries, docs, spec.key, spec.text_fields)
+    lexical = wide_text_features(feats, spec.key, names)
+    a6 = sum_over_vector_fields(nn_exact(queries, text_vecs, p.target_hits, key=spec.key, part="p"),
+                                nn_exact(queries, image_vecs, p.target_hits, key=spec.key, part="p"), spec.key)
+    j = lexical.join(a6, ["query_id", spec.key], "full_outer")
+    fills = {"vector_score": 0.0}
+    for f in names:
+        fills.update({f"bm25_{f}": 0.0, f"native_{f}": 0.0, f"matches_{f}": 0})
+    cands = (j.fillna(fills)
+             .withColumn("matched_field_count", K.matched_field_count([F.col(f"matches_{f}") for f in names]))
+             .withColumn("combined_nativeRank", combined_native(names)))
+    a = F.lit(float(p.alpha))
+    h = K.hybrid(a, F.col("vector_score"), F.col("combined_nativeRank"))
+    return two_phase(cands, docs, spec, p, h, h * F.col("doc_recency"))
+
+
+def memory_search(queries: DataFrame, memories: DataFrame, vectors: DataFrame, spec: DocSpec, p: Params,
+                  importance_col: str | None = None) -> DataFrame:
+    """R9 (chat_memory / episodic_memory): one phase,
+    (alpha*vector + (1-alpha)*bm25(text)) * doc_recency [* importance] (K3, K10, K14).
+    The age has no default here: a missing timestamp gives a NULL score, ranked last."""
+    cands = prepare(queries, memories, vectors, spec, p, None)
+    extra = [spec.age_col] + ([importance_col] if importance_col else [])
+    cands = attach_attrs(cands, memories, spec, extra, bounded=False)
+    rec = K.doc_recency(K.document_age_nodefault(F.col(spec.age_col), p.now_s), p.recency_decay_rate)
+    cands = cands.withColumn("doc_recency", rec)
+    score = K.hybrid(F.lit(float(p.alpha)), F.col("vector_score"), F.col("combined_bm25")) * F.col("doc_recency")
+    if importance_col:
+        score = K.importance_factor(score, F.col(importance_col))
+    return one_phase(cands, spec, score, p)
+
+
+def autocomplete(queries: DataFrame, docs: DataFrame, key: str, fields: list[str], p: Params) -> DataFrame:
+    """BM25 over trigram copies of the fields (bm25(x_fuzzy) + ...), one phase."""
+    from sagebrush.functions.text import grams
+
+    spec = DocSpec(key=key, text_fields={f: grams(f) for f in fields})
+    feats = text_features(queries, docs, key, spec.text_fields, gram=True)
+    wide = wide_text_features(feats, key, fields)
+    return one_phase(wide.withColumn("combined_bm25", combined_bm25(fields)), spec, F.col("combined_bm25"), p)
+
+
+def query_log_autocomplete(queries: DataFrame, counts: DataFrame, p: Params) -> DataFrame:
+    """R7 (user_query.autocomplete): bm25(query_text grams) in phase 1; phase 2 =
+    normalize_linear(bm25) over the reranked rows + 5*freshness(timestamp) + count."""
+    from pyspark.sql import Window
+
+    from sagebrush.functions.text import grams
+
+    spec = DocSpec(key="qid", text_fields={"query_text": grams("query_text")}, age_col="timestamp")
+    feats = text_features(queries, counts, "qid", spec.text_fields, gram=True)
+    wide = wide_text_features(feats, "qid", ["query_text"])
+    cands = wide.withColumn("combined_bm25", F.col("bm25_query_text"))
+    cands = attach_attrs(cands, counts, spec, ["timestamp", "count"], bounded=False)
+
+    def phase2(top: DataFrame) -> Column:
+        w = Window.partitionBy("query_id")
+        mn, mx = F.min("combined_bm25").over(w), F.max("combined_bm25").over(w)
+        norm = F.when(mx == mn, F.lit(0.0)).otherwise((F.col("combined_bm25") - mn) / (mx - mn))
+        return norm + (F.lit(5.0) * K.freshness(F.col("timestamp"), p.now_s) + F.col("count").cast("double"))
+
+    return two_phase(cands, counts, spec, p, F.col("combined_bm25"), phase2, recency=False)
+
+
+def match_features(df: DataFrame, cols: list[str], out: str = "match_features") -> DataFrame:
+    """P10: the feature values a profile used, as one struct column."""
+    return df.withColumn(out, F.struct(*[F.col(c) for c in cols]))

@@ -66,6 +66,45 @@ SELECT CAST(floor(vec_id / 5) AS BIGINT) AS doc_id, CAST(vec_id % 5 AS INT) AS p
     "queries_v": """
 SELECT q.query_id, q.qtext, e.embedding AS e FROM (VALUES (1, 'the tion', 0), (2, 'of and', 1), (3, 'zqxjvw', 2))
 AS q(query_id, qtext, vec_id) JOIN embeddings e ON e.vec_id = q.vec_id""",
+    # mail seen from documents: people fields are the first four words
+    "mails_v": """
+SELECT doc_id, title AS subject, body, split_part(body, ' ', 1) AS from_addr, split_part(body, ' ', 2) AS to_addr,
+       split_part(body, ' ', 3) AS cc, split_part(body, ' ', 4) AS bcc, updatedAt AS timestamp FROM files_v""",
+    "mail_queries_v": """
+SELECT query_id, qtext, e, query_id = 2 AS is_intent_search FROM queries_v""",
+    "files_img_v": """
+SELECT doc_id, title, body, split_part(body, chr(10), 2) AS image_chunks, updatedAt FROM files_v""",
+    "attachments_v": """
+SELECT doc_id, title, concat(app, '_', CAST(doc_id AS STRING), '.txt') AS filename, body FROM files_v""",
+    "doc_vectors_v": """
+SELECT vec_id AS doc_id, embedding AS v FROM embeddings""",
+    "text_vectors_v": """
+SELECT CAST(floor(vec_id / 5) AS BIGINT) AS doc_id, CAST(vec_id % 5 AS INT) AS p, embedding AS v FROM embeddings
+WHERE vec_id % 2 = 0""",
+    "image_vectors_v": """
+SELECT CAST(floor(vec_id / 5) AS BIGINT) AS doc_id, CAST(vec_id % 5 AS INT) AS p, embedding AS v FROM embeddings
+WHERE vec_id % 2 = 1""",
+    "people_v": """
+SELECT c_custkey, c_name AS name, concat(lower(replace(c_name, '#', '.')), '@', lower(c_mktsegment), '.example.com') AS email
+FROM customer""",
+    "people_queries_v": """
+SELECT * FROM (VALUES (1, 'customer 000000007'), (2, 'machinery'), (3, 'zqxjvw')) AS t(query_id, qtext)""",
+    "supplier_queries_v": """
+SELECT * FROM (VALUES (1, 'supplier 000000003'), (2, 'supplier'), (3, 'zqxjvw')) AS t(query_id, qtext)""",
+    "prefix_queries_v": """
+SELECT * FROM (VALUES (1, 'wid'), (2, 'blu bol'), (3, 'zqxjvw')) AS t(query_id, qtext)""",
+    "log_prefix_v": """
+SELECT * FROM (VALUES (1, 'cli'), (2, 'report 3'), (3, 'zqxjvw')) AS t(query_id, qtext)""",
+    "mixed_queries_v": """
+SELECT * FROM (VALUES (1, 'red customer'), (2, 'the widget'), (3, 'zqxjvw')) AS t(query_id, qtext)""",
+    "memories_v": """
+SELECT conv_id * 1000 + turn AS mem_id, conv_id, turn, role, text,
+       CASE WHEN (conv_id * 1000 + turn) % 10 = 3 THEN CAST(NULL AS BIGINT)
+            ELSE CAST(1706745600 - conv_id * 3600 - turn * 60 AS BIGINT) * 1000 END AS createdAt
+FROM conversations""",
+    "episodes_v": """
+SELECT f.doc_id, f.body AS memoryText, f.updatedAt AS lastUsedAt, 1.0e0 + coalesce(l.quality, 0) AS importanceScore
+FROM files_v f LEFT JOIN labels l ON l.doc_id = f.doc_id""",
 }
 
 VIEW_DEPS: dict[str, list[str]] = {
@@ -74,6 +113,11 @@ VIEW_DEPS: dict[str, list[str]] = {
     "containers_v": [], "folders_v": ["region", "nation", "customer"],
     "requests_v": ["conversations"], "responses_v": ["conversations"],
     "files_v": ["documents"], "chunk_vectors_v": ["embeddings"], "queries_v": ["embeddings"],
+    "mails_v": ["files_v"], "mail_queries_v": ["queries_v"], "files_img_v": ["files_v"],
+    "attachments_v": ["files_v"], "doc_vectors_v": ["embeddings"], "text_vectors_v": ["embeddings"],
+    "image_vectors_v": ["embeddings"], "people_v": ["customer"], "people_queries_v": [],
+    "supplier_queries_v": [], "prefix_queries_v": [], "log_prefix_v": [], "mixed_queries_v": [],
+    "memories_v": ["conversations"], "episodes_v": ["files_v", "labels"],
 }
 
 
@@ -117,6 +161,8 @@ def with_views(sql: str, names: list[str]) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n].strip()})" for n in ordered)
     body = sql.strip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes},\n{body[14:].lstrip()}"
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"
