@@ -21,7 +21,14 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None, views: tuple[str, ...] | list[str] = ()):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark, sf_dir):
+            from sagebrush.session import ensure_checkpoint_dir
+
+            ensure_checkpoint_dir(spark)
+            return fn(spark, sf_dir)
+
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = with_views(sql, list(views))
         return fn

@@ -102,6 +102,7 @@ def main():
     import __spark_entry__ as E
 
     spark = get_session("local[8]", 8)
+    spark.sparkContext.setLogLevel("OFF")
     qs, oracle = E.queries(), E.oracle_sql()
     con = duck(args.sf)
     names = args.names or sorted(qs)
