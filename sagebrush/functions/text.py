@@ -18,9 +18,14 @@ def _c(col: Column | str) -> Column:
 
 
 def tokens(col: Column | str) -> Column:
-    """array<string> of tokens; NULL text gives an empty array."""
+    """array<string> of tokens; NULL text gives an empty array.
+
+    Leading separators are stripped, so only the last element of the split can
+    be empty; it is sliced off (no per-element lambda, which Spark would
+    interpret instead of compiling)."""
     s = F.regexp_replace(F.lower(F.coalesce(_c(col), F.lit(""))), LEADING_SEP, "")
-    return F.filter(F.split(s, TOKEN_SPLIT), lambda x: x != "")
+    arr = F.split(s, TOKEN_SPLIT)
+    return F.when(F.element_at(arr, -1) == "", F.slice(arr, 1, F.size(arr) - 1)).otherwise(arr)
 
 
 def array_tokens(col: Column | str) -> Column:

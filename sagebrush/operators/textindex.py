@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sagebrush import config as C
 from sagebrush.functions.text import grams, query_terms, tokens
-from sagebrush.session import broadcast_if_small
+from sagebrush.session import broadcast_if_small, spread
 
 
 def _fields(fields: dict[str, Column] | list[str], gram: bool = False) -> dict[str, Column]:
@@ -46,25 +46,46 @@ def token_table(docs: DataFrame, key: str, fields, terms: DataFrame | None = Non
     With ``terms`` (a one-column ``token`` DataFrame) only those tokens are
     kept, before the aggregation, so the shuffle carries query postings only.
     """
-    ft = field_tokens(docs, key, _fields(fields, gram))
-    ex = ft.select(key, "field", "len", F.posexplode("toks").alias("pos", "token"))
+    ft = field_tokens(spread(docs), key, _fields(fields, gram))
+    # posexplode_outer: no inferred size(toks) > 0 filter, so the tokeniser runs once per row
+    ex = (ft.select(key, "field", "len", F.posexplode_outer("toks").alias("pos", "token"))
+          .filter(F.col("token").isNotNull()))
     if terms is not None:
-        ex = ex.join(broadcast_if_small(terms.select("token").distinct()), "token", "left_semi")
+        ex = keep_terms(ex, terms)
     return (ex.groupBy(key, "field", "token", "len")
             .agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos")))
 
 
+# Query terms up to this count are applied as an IN-set filter (codegen, no join).
+MAX_INSET_TERMS = 100000
+
+
+def keep_terms(exploded: DataFrame, terms: DataFrame) -> DataFrame:
+    """Keep exploded token rows whose token is a query term.  The distinct query
+    terms are a parameter-sized set: when at most MAX_INSET_TERMS they become an
+    IN-set predicate inside the codegen stage; beyond that a left-semi join
+    (broadcast only when proven small) does the same."""
+    distinct = terms.select("token").distinct()
+    head = distinct.limit(MAX_INSET_TERMS + 1).collect()
+    if len(head) <= MAX_INSET_TERMS:
+        return exploded.filter(F.col("token").isin([r["token"] for r in head]))
+    return exploded.join(broadcast_if_small(distinct), "token", "left_semi")
+
+
 def corpus_stats(docs: DataFrame, key: str, fields, gram: bool = False) -> DataFrame:
     """A2 (global part): per field N (rows of the table) and avglen; no explode."""
-    ft = field_tokens(docs, key, _fields(fields, gram))
+    ft = field_tokens(spread(docs), key, _fields(fields, gram))
     return ft.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
                                    F.avg("len").cast("double").alias("avglen"))
 
 
 def doc_freq(postings: DataFrame, key: str) -> DataFrame:
     """A2 (per token part): documents containing each token, per field."""
-    # postings are already one row per (doc, field, token)
-    return postings.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
+    # postings are already one row per (doc, field, token).  Referencing tf and
+    # first_pos keeps the postings aggregate identical to the scoring branch, so
+    # Spark reuses its shuffle instead of tokenising the corpus a second time.
+    has = (F.col("tf") > 0) & (F.col("first_pos") >= 0)
+    return postings.groupBy("field", "token").agg(F.count(F.when(has, F.lit(1))).alias("df"))
 
 
 def query_tokens(queries: DataFrame, qid: str = "query_id", text: str = "qtext",
@@ -157,8 +178,8 @@ def chunk_scores(queries: DataFrame, docs: DataFrame, key: str, array_field: str
     # scalar statistics keyed by the field name: a one-row broadcast equi-join
     avg = elems.groupBy("field").agg(F.avg("len").cast("double").alias("avglen"))
     n_docs = docs.select(F.lit(array_field).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"))
-    ex = (elems.select(key, "p", "len", "field", F.explode("toks").alias("token"))
-          .join(broadcast_if_small(qt.select("token").distinct()), "token", "left_semi"))
+    ex = keep_terms(elems.select(key, "p", "len", "field", F.explode_outer("toks").alias("token"))
+                    .filter(F.col("token").isNotNull()), qt)
     post = ex.groupBy(key, "p", "field", "token", "len").agg(F.count(F.lit(1)).alias("tf"))
     dfreq = post.groupBy("token").agg(F.countDistinct(key).alias("df"))
     j = (post.join(broadcast_if_small(qt), "token").join(broadcast_if_small(dfreq), "token")

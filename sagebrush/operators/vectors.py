@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from sagebrush.functions.scoring import closeness_from_cos
 from sagebrush.functions.text import tokens
+from sagebrush.session import spread
 
 # Query matrix bytes shipped with each task; larger query sets run in blocks.
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024
@@ -89,7 +90,7 @@ def nn_exact(queries: DataFrame, vectors: DataFrame, k: int, key: str = "doc_id"
     # size check: the matrix shipped to every task stays under QUERY_BLOCK_BYTES
     n_blocks = max(1, math.ceil(n_q * max(dims, 1) * 8 / QUERY_BLOCK_BYTES))
     cols = [key, vec] + ([part] if part else [])
-    vsel = vectors.select(*cols)
+    vsel = spread(vectors.select(*cols))
     if part:
         vsel = vsel.withColumn(part, F.col(part).cast("long"))
     results = []
@@ -168,20 +169,28 @@ class HashingEmbedder:
     def __init__(self, dims: int = 64, model: str = "hashing-test"):
         self.dims = dims
         self.model = model
+        self._memo: dict[str, int] = {}
 
     def bucket(self, tok: str) -> int:
-        return int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dims
+        b = self._memo.get(tok)
+        if b is None:
+            b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dims
+            if len(self._memo) < 1_000_000:      # token frequencies are Zipf-like: memo hits dominate
+                self._memo[tok] = b
+        return b
 
     def embed(self, texts: list[str | None]) -> np.ndarray:
         import regex
 
+        split = regex.compile(r"[^\p{L}\p{N}]+").split
         out = np.zeros((len(texts), self.dims), dtype=np.float64)
         for i, t in enumerate(texts):
             if not t:
                 continue
-            for tok in regex.split(r"[^\p{L}\p{N}]+", t.lower()):
+            row = out[i]
+            for tok in split(t.lower()):
                 if tok:
-                    out[i, self.bucket(tok)] += 1.0
+                    row[self.bucket(tok)] += 1.0
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         norms[norms == 0] = 1.0
         return out / norms
@@ -191,6 +200,8 @@ def embed_text(df: DataFrame, col: str, embedder=None, out: str = "embedding") -
     """One vector per row via ``mapInPandas``; one Arrow batch = one embedder call."""
     embedder = embedder or HashingEmbedder()
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    if not df.isStreaming:
+        df = spread(df)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -105,13 +105,15 @@ k AS (SELECT *, 1000000000e0 - recency_bin_index * {mult} AS recency_bin_score F
 SELECT CAST(query_id AS BIGINT) AS query_id, doc_id,
        row_number() OVER (PARTITION BY query_id ORDER BY recency_bin_index, relevance_used DESC, doc_id) AS rank,
        round(document_age_days, 6) AS document_age_days, round(recency_bin_index, 6) AS recency_bin_index,
-       round(recency_bin_score + relevance_used, 6) AS score, round(rel, 6) AS hybrid_relevance
+       round(recency_bin_score, 6) AS recency_bin_score, round(relevance_used, 6) AS relevance_used,
+       round(rel, 6) AS hybrid_relevance
 FROM k"""
 
 
 def _sorted_out(df):
-    return tidy(df.select("query_id", "doc_id", "rank", "document_age_days", "recency_bin_index", "score",
-                          "hybrid_relevance"))
+    # the packed score (~1e9, one ulp ~1e-7) is compared through its two parts
+    return tidy(df.select("query_id", "doc_id", "rank", "document_age_days", "recency_bin_index",
+                          "recency_bin_score", "relevance_used", "hybrid_relevance"))
 
 
 @register("R5_sorted_search", sql=_sorted_sql("binned_clamped"), views=FILE_VIEWS)

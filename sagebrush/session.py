@@ -65,3 +65,16 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame, target_bytes_per_task: int = 64 * 1024 * 1024) -> DataFrame:
+    """Before CPU-heavy per-row work (tokenising, embedding, matmul): when the
+    input is small enough that its files give fewer tasks than there are cores
+    (one row group per file), redistribute it round-robin.  Large inputs
+    already arrive as many splits and are left alone (no extra shuffle)."""
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    est = estimated_bytes(df)
+    if est < target_bytes_per_task * par:
+        return df.repartition(par)
+    return df
