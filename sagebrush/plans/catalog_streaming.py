@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sagebrush.operators.reports import epoch_ms
+from sagebrush.plans import catalog_search  # noqa: F401  (S10 reuses the R1 oracle)
 from sagebrush.operators.vectors import HashingEmbedder
 from sagebrush.plans.catalog_logs import scratch_path, write_log_files
 from sagebrush.plans.registry import register, tidy
