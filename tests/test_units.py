@@ -272,3 +272,14 @@ def test_plans_scale_shape(spark):
     # filters reach the parquet scan
     f1 = qs["F1_exact"](spark, SF001)
     assert "PushedFilters: [IsNotNull(source), EqualTo(source,src3)]" in _plan(f1)
+
+
+def test_profile_registry_complete():
+    from sagebrush.plans.profiles import PROFILES, SCHEMAS
+
+    assert len(PROFILES) == 91
+    families = {"initial", "native", "bm25", "ai", "random", "global_sorted", "title_boosted", "autocomplete",
+                "sort_attr", "attachment_default", "attachment_rank", "memory", "name", "people", "weighted_bm25",
+                "query_log"}
+    assert {f for f, _ in PROFILES.values()} <= families
+    assert {s for s, _ in PROFILES} == set(SCHEMAS)
