@@ -59,5 +59,4 @@ RATE_LOGIN_PER_MIN = 5
 RATE_LOGIN_BURST = 5
 RATE_API_PER_MIN = 100
 RATE_API_BURST = 50
-CONTAINER_KEEP_REGEX = r"/(xyne-.*|.*xyne.*|loki|promtail|grafana|vespa|postgres).*;.*"
 STATIC_EXTENSIONS = ["css", "js", "png", "jpg", "jpeg", "gif", "ico", "svg", "woff", "woff2", "ttf", "eot"]
