@@ -84,7 +84,7 @@ def doc_freq(postings: DataFrame, key: str) -> DataFrame:
     # postings are already one row per (doc, field, token).  Referencing tf and
     # first_pos keeps the postings aggregate identical to the scoring branch, so
     # Spark reuses its shuffle instead of tokenising the corpus a second time.
-    has = (F.col("tf") > 0) & (F.col("first_pos") >= 0)
+    has = (F.col("tf") > 0) & (F.col("first_pos") >= 0) & (F.col("len") >= 0)
     return postings.groupBy("field", "token").agg(F.count(F.when(has, F.lit(1))).alias("df"))
 
 

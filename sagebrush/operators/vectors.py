@@ -26,6 +26,8 @@ from sagebrush.session import spread
 
 # Query matrix bytes shipped with each task; larger query sets run in blocks.
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024
+# queries per block: 4,096 x 1,024 dims x 8 bytes = 32 MB
+MAX_QUERIES_PER_BLOCK = 4096
 
 
 def _closeness(cos: np.ndarray) -> np.ndarray:
@@ -81,26 +83,29 @@ def nn_exact(queries: DataFrame, vectors: DataFrame, k: int, key: str = "doc_id"
     k closest documents per query by angular closeness; a document's closeness
     is its closest chunk's."""
     qv = queries.select(F.col(qid).alias("query_id"), F.col(qvec).alias("e")).filter(F.col("e").isNotNull())
-    n_q = qv.count()
-    dims = len(qv.first()["e"]) if n_q else 0
     key_type = vectors.schema[key].dataType
     q_type = qv.schema["query_id"].dataType
     schema = T.StructType([T.StructField("query_id", q_type), T.StructField(key, key_type),
                            T.StructField("p", T.LongType()), T.StructField("closeness", T.DoubleType())])
-    # size check: the matrix shipped to every task stays under QUERY_BLOCK_BYTES
-    n_blocks = max(1, math.ceil(n_q * max(dims, 1) * 8 / QUERY_BLOCK_BYTES))
     cols = [key, vec] + ([part] if part else [])
     vsel = spread(vectors.select(*cols))
     if part:
         vsel = vsel.withColumn(part, F.col(part).cast("long"))
+    # one capped collect of the query matrix; above the cap the queries run in hash blocks
+    head = qv.limit(MAX_QUERIES_PER_BLOCK + 1).collect()
+    if len(head) <= MAX_QUERIES_PER_BLOCK:
+        blocks = [head]
+    else:
+        n_blocks = math.ceil(qv.count() / MAX_QUERIES_PER_BLOCK)
+        blocks = (qv.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).collect() for b in range(n_blocks))
     results = []
-    for b in range(n_blocks):
-        block = qv if n_blocks == 1 else qv.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        rows = block.collect()
+    for rows in blocks:
         if not rows:
             continue
         qids = np.array([r["query_id"] for r in rows])
         qmat = np.array([np.asarray(r["e"], dtype=np.float64) for r in rows])
+        if qmat.nbytes > QUERY_BLOCK_BYTES:
+            raise ValueError("query block exceeds QUERY_BLOCK_BYTES; lower MAX_QUERIES_PER_BLOCK")
         results.append(vsel.mapInPandas(_topk_batches(qids, qmat, key, part, vec, k), schema))
     if not results:
         return queries.sparkSession.createDataFrame([], schema.add("nn_rank", T.IntegerType()))
