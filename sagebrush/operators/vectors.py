@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,6 +176,7 @@ class HashingEmbedder:
         self.dims = dims
         self.model = model
         self._memo: dict[str, int] = {}
+        self._sep: dict[str, bool] = {}
 
     def bucket(self, tok: str) -> int:
         b = self._memo.get(tok)
@@ -184,18 +186,32 @@ class HashingEmbedder:
                 self._memo[tok] = b
         return b
 
+    def tokens(self, text: str) -> list[str]:
+        """Same tokens as the Spark/SQL definition (lower case, split on runs of characters that are
+        not Unicode letters or numbers): separators become spaces via one C-level translate."""
+        t = text.lower()
+        table = {}
+        for ch in set(t):
+            sep = self._sep.get(ch)
+            if sep is None:
+                sep = unicodedata.category(ch)[0] not in "LN"
+                self._sep[ch] = sep
+            if sep:
+                table[ord(ch)] = " "
+        return t.translate(table).split(" ")
+
     def embed(self, texts: list[str | None]) -> np.ndarray:
-        import regex
+        from collections import Counter
 
-        split = regex.compile(r"[^\p{L}\p{N}]+").split
         out = np.zeros((len(texts), self.dims), dtype=np.float64)
         for i, t in enumerate(texts):
             if not t:
                 continue
             row = out[i]
-            for tok in split(t.lower()):
-                if tok:
-                    row[self.bucket(tok)] += 1.0
+            counts = Counter(self.tokens(t))
+            counts.pop("", None)
+            for tok, n in counts.items():       # once per distinct token of the text
+                row[self.bucket(tok)] += n
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         norms[norms == 0] = 1.0
         return out / norms

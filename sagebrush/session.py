@@ -54,9 +54,11 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer size estimate of ``df`` (an upper bound for scans/filters/projections)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     except Exception:  # noqa: BLE001 - estimate unavailable: treat as large
         return 1 << 62
+    # py4j returns small Scala BigInts as Python ints, large ones as JVM objects
+    return int(size) if isinstance(size, int) else int(size.toString())
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:

