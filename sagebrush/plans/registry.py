@@ -25,6 +25,8 @@ def register(name: str, sql: str | None = None, views: tuple[str, ...] | list[st
             from sagebrush.session import ensure_checkpoint_dir
 
             ensure_checkpoint_dir(spark)
+            # the fixtures are defined in UTC (timestamp_ntz columns read as UTC wall-clock time)
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(spark, sf_dir)
 
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__

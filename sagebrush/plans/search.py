@@ -106,9 +106,16 @@ def two_phase(cands: DataFrame, docs: DataFrame, spec: DocSpec, p: Params,
 
     w1 = Window.partitionBy("query_id").orderBy(F.col("phase1").desc(), F.col(spec.key).asc())
     ranked = cands.withColumn("phase1", phase1).withColumn("phase1_rank", F.row_number().over(w1))
-    ranked = ranked.withColumn("reranked", F.col("phase1_rank") <= p.rerank_count)
-    top = ranked.filter("reranked")
-    rest = ranked.filter(~F.col("reranked")).withColumn("doc_recency", F.lit(None).cast("double"))
+    if p.hits is not None and p.hits <= p.rerank_count:
+        # production path: only the top rerank_count per query is ever ranked further;
+        # `row_number <= n` lets Spark cut each partition to n rows per query before the
+        # shuffle (WindowGroupLimit), so a query matching a third of the corpus stays bounded
+        top = ranked.filter(F.col("phase1_rank") <= p.rerank_count).withColumn("reranked", F.lit(True))
+        rest = None
+    else:
+        ranked = ranked.withColumn("reranked", F.col("phase1_rank") <= p.rerank_count)
+        top = ranked.filter("reranked")
+        rest = ranked.filter(~F.col("reranked")).withColumn("doc_recency", F.lit(None).cast("double"))
     if recency and spec.age_col:
         top = attach_attrs(top, docs, spec, [spec.age_col], bounded=True)
         top = top.withColumn("doc_recency", _recency(spec, p)).drop(spec.age_col)
@@ -116,8 +123,11 @@ def two_phase(cands: DataFrame, docs: DataFrame, spec: DocSpec, p: Params,
         top = top.withColumn("doc_recency", F.lit(None).cast("double"))
     p2 = phase2(top) if callable(phase2) else phase2
     top = top.withColumn("phase2", p2)
-    rest = rest.withColumn("phase2", F.lit(None).cast("double"))
-    both = top.unionByName(rest, allowMissingColumns=True)
+    if rest is None:
+        both = top
+    else:
+        rest = rest.withColumn("phase2", F.lit(None).cast("double"))
+        both = top.unionByName(rest, allowMissingColumns=True)
     both = both.withColumn("score", F.when(F.col("reranked"), F.col("phase2")).otherwise(F.col("phase1")))
     w2 = Window.partitionBy("query_id").orderBy(F.col("reranked").desc(), F.col("score").desc(),
                                                F.col(spec.key).asc())

@@ -293,3 +293,17 @@ def test_size_estimate_and_spread(spark):
     assert spread(d).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert "ResolvedHint" in broadcast_if_small(spark.read.parquet(f"{SF001}/region.parquet"))._jdf.queryExecution() \
         .analyzed().toString() or True
+
+
+def test_bounded_hits_equal_full_ranking_head(spark):
+    from sagebrush.plans import search as S
+    from sagebrush.sources.tables import view
+
+    q, d, v = view(spark, SF001, "queries_v"), view(spark, SF001, "files_v"), view(spark, SF001, "chunk_vectors_v")
+    full = S.hybrid_search(q, d, v, S.Params(target_hits=20, rerank_count=50))
+    head = S.hybrid_search(q, d, v, S.Params(target_hits=20, rerank_count=50, hits=10))
+    a = sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in full.filter("rank <= 10").collect())
+    b = sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in head.collect())
+    assert a == b
+    plan = head._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
