@@ -212,3 +212,59 @@ def match_grams(queries: DataFrame, docs: DataFrame, key: str, field: str,
     """F6 + A3 on grams: (query_id, key, gram_bm25) for trigram (fuzzy) matching."""
     feats = text_features(queries, docs, key, [field], qid, text, gram=True)
     return feats.select("query_id", key, F.col("bm25").alias("gram_bm25"))
+
+
+# --- persisted text index (A1/A2 written once; queries read only their terms' postings) -------------
+
+def build_text_index(docs: DataFrame, key: str, fields, path: str, files_per_field: int | None = None,
+                     gram: bool = False) -> None:
+    """Tokenise the corpus ONCE and write three tables under ``path``:
+
+    * ``postings`` (field, token, key, tf, first_pos, len): partitioned by field, range-clustered
+      by (token, key) so one token's postings sit in few files, a hot token is spread over
+      several, and Parquet min/max statistics let a ``token IN (...)`` filter skip row groups;
+    * ``df`` (field, token, df): document frequency per token;
+    * ``stats`` (field, n_docs, avglen).
+    """
+    fdict = _fields(fields, gram)
+    spark = docs.sparkSession
+    postings = token_table(docs, key, fdict)
+    n = files_per_field or max(1, spark.sparkContext.defaultParallelism)
+    (postings.repartitionByRange(n, "field", "token", key).sortWithinPartitions("field", "token", key)
+     .write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings"))
+    p = spark.read.parquet(f"{path}/postings")
+    (p.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
+     .repartitionByRange(n, "field", "token").sortWithinPartitions("field", "token")
+     .write.mode("overwrite").parquet(f"{path}/df"))
+    corpus_stats(docs, key, fdict, gram).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def text_features_indexed(queries: DataFrame, path: str, key: str, qid: str = "query_id", text: str = "qtext",
+                          gram: bool = False) -> DataFrame:
+    """A3/K17 from a persisted index: same output as ``text_features`` but the corpus is not
+    read; only postings of the query terms (pushed-down IN filter) are scanned."""
+    spark = queries.sparkSession
+    qt = query_tokens(queries, qid, text, gram)
+    head = qt.select("token").distinct().limit(MAX_INSET_TERMS + 1).collect()
+    postings = spark.read.parquet(f"{path}/postings")
+    dfreq = spark.read.parquet(f"{path}/df")
+    if len(head) <= MAX_INSET_TERMS:
+        terms = [r["token"] for r in head]
+        postings = postings.filter(F.col("token").isin(terms))
+        dfreq = dfreq.filter(F.col("token").isin(terms))
+    else:
+        postings = postings.join(broadcast_if_small(qt.select("token").distinct()), "token", "left_semi")
+    stats = spark.read.parquet(f"{path}/stats")
+    joined = (postings.join(broadcast_if_small(qt), "token")
+              .join(broadcast_if_small(dfreq), ["field", "token"])
+              .join(F.broadcast(stats), "field"))
+    tf = F.col("tf").cast("double")
+    scored = joined.select(
+        "query_id", key, "field", "nq",
+        bm25_term(tf, F.col("df").cast("double"), F.col("n_docs").cast("double"),
+                  F.col("len").cast("double"), F.col("avglen")).alias("b"),
+        native_term(tf, F.col("first_pos").cast("double")).alias("m"))
+    return (scored.groupBy("query_id", key, "field")
+            .agg(ordered_sum("b").alias("bm25"),
+                 (ordered_sum("m") / F.first("nq").cast("double")).alias("native"),
+                 F.lit(1).alias("matched")))

@@ -163,3 +163,33 @@ def q_nn_exact(spark, sf):
 def q_hybrid_search(spark, sf):
     queries, files, vecs = _inputs(spark, sf)
     return _search_out(S.hybrid_search(queries, files, vecs, _params(), profile="default_native"))
+
+
+def _index(spark, sf):
+    """Build the persisted text index of files_v under the shared checkpoint folder."""
+    from sagebrush.plans.catalog_logs import scratch_path
+
+    path = scratch_path(spark, "text-index")
+    TI.build_text_index(view(spark, sf, "files_v"), "doc_id", S.file_spec().text_fields, path)
+    return path
+
+
+def _oracle(name):
+    from sagebrush.plans.registry import ORACLE
+
+    return ORACLE[name]
+
+
+@register("A1_A3_bm25_from_index", sql=_oracle("A3_bm25"))
+def q_bm25_indexed(spark, sf):
+    path = _index(spark, sf)
+    queries = view(spark, sf, "queries_v")
+    return tidy(TI.text_features_indexed(queries, path, "doc_id").select("query_id", "doc_id", "field", "bm25",
+                                                                        "native"))
+
+
+@register("R1_hybrid_search_indexed", sql=_oracle("R1_hybrid_search"))
+def q_hybrid_indexed(spark, sf):
+    path = _index(spark, sf)
+    queries, files, vecs = _inputs(spark, sf)
+    return _search_out(S.hybrid_search(queries, files, vecs, _params(text_index=path), profile="default_native"))

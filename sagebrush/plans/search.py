@@ -47,13 +47,19 @@ class Params:
     rerank_count: int = C.DEFAULT_RERANK
     hits: int | None = None                   # keep only the best `hits` per query
     seed: str = "0"
+    text_index: str | None = None             # path of a persisted text index (build_text_index)
 
 
 def features(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, spec: DocSpec,
              p: Params, part: str | None = "p") -> DataFrame:
     """U2 candidates with every base feature: bm25_/native_/matches_<field>, vector_score."""
     names = list(spec.text_fields)
-    feats = text_features(queries, docs, spec.key, spec.text_fields)
+    if p.text_index:
+        from sagebrush.operators.textindex import text_features_indexed
+
+        feats = text_features_indexed(queries, p.text_index, spec.key)
+    else:
+        feats = text_features(queries, docs, spec.key, spec.text_fields)
     lexical = wide_text_features(feats, spec.key, names)
     if vectors is None:
         return lexical.withColumn("vector_score", F.lit(0.0))
