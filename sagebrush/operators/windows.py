@@ -60,8 +60,7 @@ def global_sorted(df: DataFrame, bin_index, relevance, key: str = "doc_id", qid:
 
     Sorting on (bin asc, relevance desc) instead of the packed number keeps
     the order right past the point where the packed score turns negative."""
-    w = Window.partitionBy(qid).orderBy(_c(bin_index).asc(), _c(relevance).desc(), F.col(key).asc())
-    return df.withColumn("rank", F.row_number().over(w))
+    return distributed_rank(df, [_c(bin_index).asc(), _c(relevance).desc()], key, qid)
 
 
 def random_order(df: DataFrame, k: int, seed: str = "0", key: str = "doc_id", qid: str = "query_id") -> DataFrame:
@@ -86,3 +85,46 @@ def search_all_types(hits: dict[str, DataFrame], score: str = "score", k: int =
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     w = Window.partitionBy(qid).orderBy(F.col(score).desc(), F.col("doc_type").asc(), F.col(key).asc())
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def distributed_rank(df: DataFrame, order: list[Column], key: str = "doc_id", qid: str = "query_id",
+                     out: str = "rank", partitions: int | None = None, base: Column | None = None) -> DataFrame:
+    """``row_number`` over (qid ordered by ``order``, key) without putting a query's rows in one task.
+
+    Rows are range-partitioned on (qid, order, key) — a query with a third of all rows spans many
+    partitions — sorted inside partitions and checkpointed (partition ids and order are fixed from
+    there on).  Per-(partition, qid) counts (a table of at most partitions + queries rows) give each
+    partition its offset through a small window; one ordered pass assigns local positions.  ``base``
+    (a per-row column, e.g. the number of rows ranked before this group) is added to the rank."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from sagebrush.session import broadcast_if_small
+
+    spark = df.sparkSession
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    sort = [F.col(qid).asc()] + order + [F.col(key).asc()]
+    s = (df.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
+         .withColumn("_pid", F.spark_partition_id()).checkpoint())
+    counts = s.groupBy("_pid", qid).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(qid).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", qid, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    schema = T.StructType(s.schema.fields + [T.StructField("_local", T.LongType())])
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict = {}                                   # carried across the batches of one partition
+        for pdf in batches:
+            pos = pdf.groupby(qid, sort=False).cumcount().to_numpy()
+            first = pdf[qid].map(lambda q: seen.get(q, 0)).to_numpy()
+            pdf = pdf.assign(_local=pos + first)
+            for q, c in pdf.groupby(qid, sort=False).size().items():
+                seen[q] = seen.get(q, 0) + int(c)
+            yield pdf
+
+    ranked = s.mapInPandas(local, schema).join(broadcast_if_small(offsets), ["_pid", qid])
+    r = F.col("_off") + F.col("_local") + F.lit(1)
+    if base is not None:
+        r = r + base
+    return ranked.withColumn(out, r.cast("long")).drop("_pid", "_off", "_local")

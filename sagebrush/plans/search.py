@@ -110,34 +110,33 @@ def two_phase(cands: DataFrame, docs: DataFrame, spec: DocSpec, p: Params,
     """
     from pyspark.sql import Window
 
+    from sagebrush.operators.windows import distributed_rank
+
     w1 = Window.partitionBy("query_id").orderBy(F.col("phase1").desc(), F.col(spec.key).asc())
-    ranked = cands.withColumn("phase1", phase1).withColumn("phase1_rank", F.row_number().over(w1))
-    if p.hits is not None and p.hits <= p.rerank_count:
-        # production path: only the top rerank_count per query is ever ranked further;
-        # `row_number <= n` lets Spark cut each partition to n rows per query before the
-        # shuffle (WindowGroupLimit), so a query matching a third of the corpus stays bounded
-        top = ranked.filter(F.col("phase1_rank") <= p.rerank_count).withColumn("reranked", F.lit(True))
-        rest = None
-    else:
-        ranked = ranked.withColumn("reranked", F.col("phase1_rank") <= p.rerank_count)
-        top = ranked.filter("reranked")
-        rest = ranked.filter(~F.col("reranked")).withColumn("doc_recency", F.lit(None).cast("double"))
+    scored = cands.withColumn("phase1", phase1)
+    # top rerank_count per query: `row_number <= n` is cut to n rows per partition before the shuffle
+    top = (scored.withColumn("phase1_rank", F.row_number().over(w1)).filter(F.col("phase1_rank") <= p.rerank_count)
+           .withColumn("reranked", F.lit(True)))
     if recency and spec.age_col:
         top = attach_attrs(top, docs, spec, [spec.age_col], bounded=True)
         top = top.withColumn("doc_recency", _recency(spec, p)).drop(spec.age_col)
     else:
         top = top.withColumn("doc_recency", F.lit(None).cast("double"))
     p2 = phase2(top) if callable(phase2) else phase2
-    top = top.withColumn("phase2", p2)
-    if rest is None:
-        both = top
-    else:
-        rest = rest.withColumn("phase2", F.lit(None).cast("double"))
-        both = top.unionByName(rest, allowMissingColumns=True)
-    both = both.withColumn("score", F.when(F.col("reranked"), F.col("phase2")).otherwise(F.col("phase1")))
-    w2 = Window.partitionBy("query_id").orderBy(F.col("reranked").desc(), F.col("score").desc(),
-                                               F.col(spec.key).asc())
-    out = both.withColumn("rank", F.row_number().over(w2))
+    top = top.withColumn("phase2", p2).withColumn("score", F.col("phase2"))
+    w2 = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(spec.key).asc())
+    top = top.withColumn("rank", F.row_number().over(w2).cast("long")).drop("phase1_rank")
+    if p.hits is not None and p.hits <= p.rerank_count:
+        return top.filter(F.col("rank") <= p.hits)
+    # the rest (unbounded per query) follows by phase 1: ranked without a per-query task
+    rest = scored.join(broadcast_if_small(top.select("query_id", spec.key)), ["query_id", spec.key], "left_anti")
+    n_top = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n_top"))
+    rest = (rest.join(broadcast_if_small(n_top), "query_id", "left")
+            .withColumn("_n_top", F.coalesce("_n_top", F.lit(0)))
+            .withColumn("reranked", F.lit(False)).withColumn("doc_recency", F.lit(None).cast("double"))
+            .withColumn("phase2", F.lit(None).cast("double")).withColumn("score", F.col("phase1")))
+    rest = distributed_rank(rest, [F.col("phase1").desc()], spec.key, base=F.col("_n_top")).drop("_n_top")
+    out = top.unionByName(rest, allowMissingColumns=True)
     if p.hits is not None:
         out = out.filter(F.col("rank") <= p.hits)
     return out
@@ -220,11 +219,12 @@ def one_phase(cands: DataFrame, spec: DocSpec, score: Column, p: Params) -> Data
     from pyspark.sql import Window
 
     out = cands.withColumn("score", score)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), F.col(spec.key).asc())
-    out = out.withColumn("rank", F.row_number().over(w))
-    if p.hits is not None:
-        out = out.filter(F.col("rank") <= p.hits)
-    return out
+    if p.hits is not None:      # bounded: row_number <= hits is cut per partition before the shuffle
+        w = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), F.col(spec.key).asc())
+        return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= p.hits)
+    from sagebrush.operators.windows import distributed_rank
+
+    return distributed_rank(out, [F.col("score").desc_nulls_last()], spec.key)
 
 
 def with_query_columns(cands: DataFrame, queries: DataFrame, cols: list[str]) -> DataFrame:

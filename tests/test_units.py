@@ -307,3 +307,19 @@ def test_bounded_hits_equal_full_ranking_head(spark):
     assert a == b
     plan = head._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_distributed_rank_equals_row_number(spark):
+    from pyspark.sql import Window
+
+    from sagebrush.operators.windows import distributed_rank
+
+    rng = np.random.default_rng(3)
+    # query 1 is hot (most rows), scores with many ties, NULLs included
+    data = [(1 if i % 10 else int(rng.integers(2, 5)), i, float(rng.integers(0, 20)) if i % 17 else None)
+            for i in range(3000)]
+    df = spark.createDataFrame(data, "query_id int, doc_id int, s double")
+    got = distributed_rank(df, [F.col("s").desc_nulls_last()], "doc_id", partitions=7)
+    w = Window.partitionBy("query_id").orderBy(F.col("s").desc_nulls_last(), F.col("doc_id").asc())
+    exp = df.withColumn("rank", F.row_number().over(w))
+    assert sorted(rows(got, "query_id", "doc_id", "rank")) == sorted(rows(exp, "query_id", "doc_id", "rank"))
