@@ -114,6 +114,10 @@ def two_phase(cands: DataFrame, docs: DataFrame, spec: DocSpec, p: Params,
 
     w1 = Window.partitionBy("query_id").orderBy(F.col("phase1").desc(), F.col(spec.key).asc())
     scored = cands.withColumn("phase1", phase1)
+    if not (p.hits is not None and p.hits <= p.rerank_count):
+        # full ranking: the candidate set feeds the top-n, the anti-join and the rest; materialise it
+        # once in the shared checkpoint folder instead of recomputing the text/vector pipeline
+        scored = scored.checkpoint()
     # top rerank_count per query: `row_number <= n` is cut to n rows per partition before the shuffle
     top = (scored.withColumn("phase1_rank", F.row_number().over(w1)).filter(F.col("phase1_rank") <= p.rerank_count)
            .withColumn("reranked", F.lit(True)))
