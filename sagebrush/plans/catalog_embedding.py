@@ -177,7 +177,11 @@ def _every_third(key: str) -> bool:
     return int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % 3 == 0
 
 
-@register("R12_embed_requests")
+@register("R12_embed_requests", sql=f"""WITH {_BODIES_SQL}
+SELECT request_id, pos AS index, CAST(64 AS BIGINT) AS width,
+       CASE WHEN len(list_filter(regexp_split_to_array(lower(input), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) > 0
+            THEN 1e0 ELSE 0e0 END AS norm2
+FROM items""", views=["requests_v"])
 def q_embed_requests(spark, sf):
     up = EJ.EmbedderUpstream(HashingEmbedder(64), fail_first=_every_third)
     emb, summ, bad = EJ.embed_requests(request_bodies(spark, sf), up, batch_size=TEST_BATCH, expected_dims=64,

@@ -131,7 +131,13 @@ def q_rate_limit(spark, sf):
     return tidy(ST.rate_limit(_rl_input(spark, sf), "k", "ts_ms", "event_id", _RL_RATE, _RL_BURST))
 
 
-@register("T5_rate_limit_stream")
+def _t5_sql() -> str:
+    from sagebrush.plans.registry import ORACLE
+
+    return ORACLE["T5_rate_limit"]
+
+
+@register("T5_rate_limit_stream", sql=_t5_sql())
 def q_rate_limit_stream(spark, sf):
     stream = _stream_copy(spark, _rl_input(spark, sf), "requests", n_files=1)
     sink, ck = scratch_path(spark, "rl"), scratch_path(spark, "ck-rl")
