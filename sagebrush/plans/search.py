@@ -48,12 +48,19 @@ class Params:
     hits: int | None = None                   # keep only the best `hits` per query
     seed: str = "0"
     text_index: str | None = None             # path of a persisted text index (build_text_index)
+    n_queries: int | None = None              # filled from the queries table (bounds the top-n side)
+
+
+# The reranked side (rerank_count rows per query) is broadcast only up to this many rows.
+MAX_BROADCAST_TOP_ROWS = 2_000_000
 
 
 def features(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, spec: DocSpec,
              p: Params, part: str | None = "p") -> DataFrame:
     """U2 candidates with every base feature: bm25_/native_/matches_<field>, vector_score."""
     names = list(spec.text_fields)
+    if p.n_queries is None:
+        p.n_queries = queries.count()         # the queries table is a parameter table: cheap
     if p.text_index:
         from sagebrush.operators.textindex import text_features_indexed
 
@@ -84,13 +91,15 @@ def combined_bm25(names: list[str]) -> Column:
 
 
 def attach_attrs(ranked: DataFrame, docs: DataFrame, spec: DocSpec, cols: list[str],
-                 bounded: bool) -> DataFrame:
+                 bounded: bool | None) -> DataFrame:
     """Document attributes for ranked rows.  When the ranked side is bounded
     (top-n per query) it is broadcast and the document table streams through
     without a shuffle; otherwise a plain join (AQE re-plans on real sizes)."""
     d = docs.select(spec.key, *cols)
     if bounded:
         return d.join(F.broadcast(ranked), spec.key)
+    if bounded is None:                       # size unknown: only a proven-small side is broadcast
+        return d.join(broadcast_if_small(ranked), spec.key)
     return ranked.join(d, spec.key, "left")
 
 
@@ -122,7 +131,8 @@ def two_phase(cands: DataFrame, docs: DataFrame, spec: DocSpec, p: Params,
     top = (scored.withColumn("phase1_rank", F.row_number().over(w1)).filter(F.col("phase1_rank") <= p.rerank_count)
            .withColumn("reranked", F.lit(True)))
     if recency and spec.age_col:
-        top = attach_attrs(top, docs, spec, [spec.age_col], bounded=True)
+        small = (p.n_queries is not None and p.n_queries * p.rerank_count <= MAX_BROADCAST_TOP_ROWS) or None
+        top = attach_attrs(top, docs, spec, [spec.age_col], bounded=small)
         top = top.withColumn("doc_recency", _recency(spec, p)).drop(spec.age_col)
     else:
         top = top.withColumn("doc_recency", F.lit(None).cast("double"))
