@@ -94,13 +94,23 @@ def thread_root(messages: DataFrame, thread: str = "conv_id", pos: str = "turn")
 
 def chat_turns(messages: DataFrame, thread: str = "conv_id", pos: str = "turn", role: str = "role",
                text: str = "text") -> DataFrame:
-    """Pair each user message with the assistant message that follows it."""
-    w = Window.partitionBy(thread).orderBy(pos)
-    nxt = (messages.withColumn("next_role", F.lead(role).over(w)).withColumn("next_pos", F.lead(pos).over(w))
-           .withColumn("next_text", F.lead(text).over(w)))
-    pairs = nxt.filter((F.col(role) == "user") & (F.col("next_role") == "assistant"))
-    return pairs.select(thread, F.col(pos).alias("user_turn"), F.col("next_pos").alias("assistant_turn"),
-                        F.length(text).alias("user_chars"), F.length("next_text").alias("assistant_chars"))
+    """Pair each user message with the assistant message that directly follows it.
+
+    "Next message" without a per-conversation window: messages are numbered inside their
+    conversation by a distributed rank (a conversation with a third of all rows still spans
+    many tasks), then joined to their successor on (conversation, number + 1), a key with
+    no hot value."""
+    from sagebrush.operators.windows import distributed_rank
+
+    m = messages.select(thread, pos, role, text)
+    ranked = distributed_rank(m, [], key=pos, qid=thread, out="_n")
+    cur = ranked.filter(F.col(role) == "user").select(thread, F.col("_n").alias("_next"), F.col(pos).alias("user_turn"),
+                                                     F.length(text).alias("user_chars"))
+    nxt = ranked.filter(F.col(role) == "assistant").select(thread, (F.col("_n") - 1).alias("_next"),
+                                                          F.col(pos).alias("assistant_turn"),
+                                                          F.length(text).alias("assistant_chars"))
+    return (cur.join(nxt, [thread, "_next"])
+            .select(thread, "user_turn", "assistant_turn", "user_chars", "assistant_chars"))
 
 
 def recent_memory(memories: DataFrame, owner: str, key: str, ts_ms: str, k: int,
