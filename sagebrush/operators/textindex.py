@@ -79,6 +79,35 @@ def corpus_stats(docs: DataFrame, key: str, fields, gram: bool = False) -> DataF
                                    F.avg("len").cast("double").alias("avglen"))
 
 
+def postings_and_stats(docs: DataFrame, key: str, fields: dict[str, Column],
+                       terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Query-term postings AND per-field statistics from ONE tokenising pass.
+
+    Each (doc, field) token array gets an empty-string marker in front; the marker row carries
+    the field length.  Marker and query-term rows go through the same partially aggregated
+    group-by, and postings, document frequency and statistics all read that one aggregate
+    (Spark reuses its exchange), so the corpus is tokenised once per query batch."""
+    head = terms.select("token").distinct().limit(MAX_INSET_TERMS + 1).collect()
+    if len(head) > MAX_INSET_TERMS:           # very large term sets: two passes, semi join
+        return token_table(docs, key, fields, terms=terms), corpus_stats(docs, key, fields)
+    ft = field_tokens(spread(docs), key, fields)
+    # marker = the empty string (tokens are never empty); the explicit not-null predicate matches the
+    # one Spark infers from the join on `token`, so both branches keep the same aggregate input
+    marked = F.concat(F.array(F.lit("")), F.col("toks"))
+    ex = ft.select(key, "field", "len", F.posexplode_outer(marked).alias("pos", "token"))
+    ex = ex.filter(F.col("token").isNotNull() & F.col("token").isin([""] + [r["token"] for r in head]))
+    agg = (ex.groupBy(key, "field", "token", "len")
+           .agg(F.count(F.lit(1)).alias("tf"), (F.min("pos") - 1).alias("first_pos")))
+    # the marker is element 0, so its group has first_pos -1 and term groups first_pos >= 0.  Filtering
+    # on the aggregate's output (not on the grouping column `token`, which Catalyst would push below
+    # the aggregate) keeps every branch on the same aggregate, i.e. on one shared exchange
+    postings = agg.filter((F.col("first_pos") >= 0) & (F.col("tf") > 0))
+    markers = agg.filter((F.col("first_pos") == -1) & (F.col("tf") > 0))
+    stats = markers.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
+                                         F.avg("len").cast("double").alias("avglen"))
+    return postings, stats
+
+
 def doc_freq(postings: DataFrame, key: str) -> DataFrame:
     """A2 (per token part): documents containing each token, per field."""
     # postings are already one row per (doc, field, token).  Referencing tf and
@@ -121,8 +150,7 @@ def text_features(queries: DataFrame, docs: DataFrame, key: str, fields,
     """
     fdict = _fields(fields, gram)
     qt = query_tokens(queries, qid, text, gram)
-    postings = token_table(docs, key, fdict, terms=qt.select("token"))
-    stats = corpus_stats(docs, key, fdict)
+    postings, stats = postings_and_stats(docs, key, fdict, qt.select("token"))
     dfreq = doc_freq(postings, key)
     joined = (postings
               .join(broadcast_if_small(qt), "token")
