@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sagebrush.functions.text import query_terms
 from sagebrush.operators import derive as D
 from sagebrush.operators import relations as RL
 from sagebrush.operators import textindex as TI
@@ -281,6 +280,3 @@ FROM documents GROUP BY sha256(text)""")
 def q_dedup(spark, sf):
     return tidy(D.dedup_by_hash(view(spark, sf, "documents"), "doc_id", "text"))
 
-
-# keep query_terms imported for callers that build highlight patterns themselves
-__all__ = ["query_terms"]

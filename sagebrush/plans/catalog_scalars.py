@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from sagebrush.functions import scoring as K
 from sagebrush.operators.reports import epoch_ms
-from sagebrush.operators.windows import normalize_linear, top_k
+from sagebrush.operators.windows import top_k
 from sagebrush.plans import search as S
 from sagebrush.plans.catalog_profiles import N_RR, _file_ctes, _p, _two_out
 from sagebrush.plans.registry import register, sql_random_score, tidy
@@ -139,5 +139,3 @@ def q_read_docs(spark, sf):
     d = read_docs(spark, f"{sf}/documents.parquet", DOCUMENTS_SCHEMA)
     return tidy(d.select("doc_id", "lang", "source", "n_chars", F.length("text").cast("bigint").alias("text_chars")))
 
-
-__all__ = ["normalize_linear"]

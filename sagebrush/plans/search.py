@@ -18,7 +18,6 @@ from sagebrush.functions import scoring as K
 from sagebrush.functions.text import tokens
 from sagebrush.operators.textindex import text_features, wide_text_features
 from sagebrush.operators.vectors import nn_exact
-from sagebrush.operators.windows import rerank
 from sagebrush.session import broadcast_if_small
 
 
