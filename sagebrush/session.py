@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Plan-time broadcast bound (bytes). Spark's own runtime threshold (AQE) handles
 # everything the estimate cannot prove small.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+# spread() redistributes only inputs below this size
+SPREAD_MAX_BYTES = 1024 * 1024 * 1024
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -77,6 +79,8 @@ def spread(df: DataFrame, target_bytes_per_task: int = 64 * 1024 * 1024) -> Data
     spark = df.sparkSession
     par = spark.sparkContext.defaultParallelism
     est = estimated_bytes(df)
-    if est < target_bytes_per_task * par:
+    # only inputs that are small in absolute terms: on a large cluster `par` is in the thousands and a
+    # relative threshold alone would shuffle inputs that already arrive in many splits
+    if est < min(target_bytes_per_task * par, SPREAD_MAX_BYTES):
         return df.repartition(par)
     return df
