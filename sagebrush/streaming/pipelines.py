@@ -145,16 +145,27 @@ def rate_limit(df: DataFrame, key: str, ts_ms: str, event_id: str, rate_per_min:
 
 
 def rate_limit_stream(stream: DataFrame, key: str, ts_ms: str, event_id: str,
-                      rate_per_min: float = C.RATE_API_PER_MIN, burst: int = C.RATE_API_BURST) -> DataFrame:
+                      rate_per_min: float = C.RATE_API_PER_MIN, burst: int = C.RATE_API_BURST,
+                      watermark: str = "10 minutes") -> DataFrame:
     """T5 (stream): the same bucket with per-key state kept by the state store
     (``applyInPandasWithState``); rows of one key inside a micro-batch are
-    processed in time order."""
+    processed in time order.
+
+    State stays bounded: a key idle for (burst + 1 request) / rate has drained to
+    excess 0, which is exactly the state of a key never seen, so its state is
+    dropped by an event-time timeout once the watermark passes that point."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     rate, b = bucket_params(rate_per_min, burst)
+    drain_ms = ((b + 1000) * 1000) // max(rate, 1) + 1
     state_schema = T.StructType([T.StructField("excess", T.LongType()), T.StructField("last", T.LongType())])
 
     def fn(k, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=["key", "event_id", "ts_ms", "allowed", "excess", "delay_ms"]).astype(
+                {"event_id": "int64", "ts_ms": "int64", "allowed": "bool", "excess": "int64", "delay_ms": "Int64"})
+            return
         st = tuple(state.get) if state.exists else None
         parts = [p for p in pdfs]
         pdf = pd.concat(parts).sort_values(["ts_ms", "event_id"]) if parts else pd.DataFrame()
@@ -164,13 +175,15 @@ def rate_limit_stream(stream: DataFrame, key: str, ts_ms: str, event_id: str,
             out.append((k[0], eid, t, ok, e, d))
         if st is not None:
             state.update(st)
+            state.setTimeoutTimestamp(int(st[1]) + drain_ms)
         yield pd.DataFrame(out, columns=["key", "event_id", "ts_ms", "allowed", "excess", "delay_ms"]).astype(
             {"delay_ms": "Int64"})
 
-    src = stream.select(F.col(key).cast("string").alias("key"), F.col(event_id).cast("long").alias("event_id"),
-                        F.col(ts_ms).cast("long").alias("ts_ms"))
+    src = (stream.select(F.col(key).cast("string").alias("key"), F.col(event_id).cast("long").alias("event_id"),
+                         F.col(ts_ms).cast("long").alias("ts_ms"))
+           .withColumn("_t", F.timestamp_millis("ts_ms")).withWatermark("_t", watermark))
     return src.groupBy("key").applyInPandasWithState(fn, RATE_OUT, state_schema, "append",
-                                                     GroupStateTimeout.NoTimeout)
+                                                     GroupStateTimeout.EventTimeTimeout)
 
 
 # --- T6 / T7 ----------------------------------------------------------------------------------
