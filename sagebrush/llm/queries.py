@@ -24,3 +24,11 @@ def _op9(spark, sf_dir):
     from sagebrush.llm.decontaminate import op9_decontaminate
 
     return op9_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_exact_dedup")
+def _op7(spark, sf_dir):
+    """The group of equal texts of every document, and the row of it that stays."""
+    from sagebrush.llm.exact_dedup import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"))
