@@ -32,3 +32,16 @@ def _op7(spark, sf_dir):
     from sagebrush.llm.exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op2_language_id")
+def _op2(spark, sf_dir):
+    """The language of every document, learned from the documents outside the held-out fold."""
+    from pyspark.sql import functions as F
+
+    from sagebrush.llm.common import fold
+    from sagebrush.llm.language import learn_profiles, predict
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    return predict(docs, learn_profiles(docs.filter(~held_out)), held_out)
