@@ -45,3 +45,18 @@ def _op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 5) == 0
     return predict(docs, learn_profiles(docs.filter(~held_out)), held_out)
+
+
+@query("op5_toxicity")
+def _op5(spark, sf_dir):
+    """Toxicity of every document, learned from the labels outside the held-out fold."""
+    from pyspark.sql import functions as F
+
+    from sagebrush.llm.common import fold
+    from sagebrush.llm.toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").dropna(subset=["doc_id"])
+    labelled = docs.filter(~held_out).select("doc_id", "text").join(labels, "doc_id")
+    return score(docs, learn(labelled), held_out)
