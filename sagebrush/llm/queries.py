@@ -60,3 +60,11 @@ def _op5(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").dropna(subset=["doc_id"])
     labelled = docs.filter(~held_out).select("doc_id", "text").join(labels, "doc_id")
     return score(docs, learn(labelled), held_out)
+
+
+@query("op8_simhash")
+def _op8(spark, sf_dir):
+    """SimHash fingerprint and near-duplicate component of every document."""
+    from sagebrush.llm.simhash import op8_simhash
+
+    return op8_simhash(table(spark, sf_dir, "documents"))
