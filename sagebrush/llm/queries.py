@@ -68,3 +68,11 @@ def _op8(spark, sf_dir):
     from sagebrush.llm.simhash import op8_simhash
 
     return op8_simhash(table(spark, sf_dir, "documents"))
+
+
+@query("op4_token_output")
+def _op4(spark, sf_dir):
+    """Place, length and checksum of every document's token ids, read back from the written files."""
+    from sagebrush.llm.token_output import op4_token_output
+
+    return op4_token_output(table(spark, sf_dir, "documents"))
