@@ -76,3 +76,11 @@ def _op4(spark, sf_dir):
     from sagebrush.llm.token_output import op4_token_output
 
     return op4_token_output(table(spark, sf_dir, "documents"))
+
+
+@query("op6_mix_sources")
+def _op6(spark, sf_dir):
+    """Every draw of the mixture: document, source, its tokens, epoch and block."""
+    from sagebrush.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "epoch", "block")
