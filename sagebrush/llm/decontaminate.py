@@ -17,18 +17,18 @@ rows are judged one by one; empty tables give no rows or clean rows; other colum
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from sagebrush.llm.common import batch_of
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
-SCHEMA = ("doc_id {id}, text string, n_words bigint, word_spans array<struct<start:int,end:int>>, "
-          "item_ids array<string>")
+FOUND = ("n_words", "word_spans", "item_ids")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _KEPT = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
 _AUTOMATA: dict = {}
@@ -111,17 +111,17 @@ def _scanner(patterns, schema: pa.Schema):
     def scan(batches):
         for batch in batches:
             machine = _automaton(patterns)
-            cols = {f: batch.column(f).to_pylist() for f in ("doc_id", "text", "word_spans", "item_ids")}
             n_words, spans, items = [], [], []
-            for text, before, ids in zip(cols["text"], cols["word_spans"], cols["item_ids"], strict=True):
+            for text, before, ids in zip(*(batch.column(f).to_pylist() for f in ("_text", "word_spans", "item_ids")), strict=True):
                 words = words_of(text)
                 own, hit = find_windows(machine, words)
                 n_words.append(len(words))
                 earlier = [(x["start"], x["end"]) for x in before or ()]
                 spans.append([{"start": s, "end": e} for s, e in (_united(own + earlier) if earlier else own)])
                 items.append(sorted(hit | set(ids or ())))
-            yield batch_of(schema, doc_id=cols["doc_id"], text=cols["text"], n_words=n_words, word_spans=spans,
-                           item_ids=items)
+            found = {"n_words": n_words, "word_spans": spans, "item_ids": items}
+            yield pa.RecordBatch.from_arrays([pa.array(found[f.name], type=f.type) if f.name in FOUND else batch.column(f.name)
+                                              for f in schema], schema=schema)
     return scan
 
 
@@ -133,46 +133,40 @@ def char_spans(text: str | None, word_spans) -> list[tuple[int, int]]:
     return [(at[s][0], at[e - 1][1]) for s, e in word_spans]
 
 
-def _offsets(schema: pa.Schema):
-    def add(batches):
-        for batch in batches:
-            texts, spans = batch.column("text").to_pylist(), batch.column("word_spans").to_pylist()
-            out = [[{"start": a, "end": b} for a, b in char_spans(t, [(x["start"], x["end"]) for x in s])]
-                   for t, s in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=schema.field("spans").type)],
-                                             schema=schema)
-    return add
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, text, n_words, word_spans (runs of hit words) and item_ids (sorted strings)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+                       keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of the documents (default: all; those named as in ``FOUND`` are replaced) with n_words,
+    word_spans (runs of hit words) and item_ids (sorted strings)."""
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = SCHEMA.format(id=kind)
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.lit(0).cast("bigint").alias("n_words"),
-                      empty.alias("word_spans"), F.array().cast("array<string>").alias("item_ids"))
-    arrow = to_arrow_schema(out.schema)
-    for n, block in enumerate(_blocks(benchmark, window, block_bytes)):
-        if n and not block:
-            continue
-        import uuid
-
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in FOUND]
+    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("bigint").alias("n_words"),
+                      F.array().cast("array<struct<start:int,end:int>>").alias("word_spans"),
+                      F.array().cast("array<string>").alias("item_ids"), F.col("text").cast("string").alias("_text"))
+    full, last = out.schema, StructType(out.schema.fields[:-1])
+    blocks = _blocks(benchmark, window, block_bytes)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        following = following or None
+        schema = last if following is None else full  # texts go on only where another block reads them
         patterns = spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "block": block})
-        out = out.mapInArrow(_scanner(patterns, arrow), schema)
+        out = out.mapInArrow(_scanner(patterns, to_arrow_schema(schema)), schema)
+        block = following
     return out
 
 
 def with_char_spans(found: DataFrame) -> DataFrame:
-    """Adds ``spans``: the hit runs as offsets in the original text (code points, end exclusive)."""
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
+    """Adds ``spans`` to a result that kept text: the hit runs as offsets in the original (code points, end exclusive)."""
+    out = StructType([*[f for f in found.schema.fields if f.name != "spans"], StructField("spans", found.schema["word_spans"].dataType)])
+    schema = to_arrow_schema(out)
 
-    out = T.StructType([*found.schema.fields, T.StructField("spans", found.schema["word_spans"].dataType)])
-    return found.mapInArrow(_offsets(to_arrow_schema(out)), out)
+    def add(batches):
+        for batch in batches:
+            spans = [[{"start": a, "end": b} for a, b in char_spans(t, [(x["start"], x["end"]) for x in s])] for t, s in zip(
+                batch.column("text").to_pylist(), batch.column("word_spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in schema.names[:-1]],
+                                              pa.array(spans, type=schema.field("spans").type)], schema=schema)
+    return found.mapInArrow(add, out)
 
 
 def n_hit():
@@ -182,7 +176,13 @@ def n_hit():
 
 def op9_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest columns of the contract."""
-    found = find_contamination(docs, benchmark).drop("text")
+    found = find_contamination(docs, benchmark, keep=["doc_id"])
     return found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256).alias("items_sha256"),
                         (F.size("word_spans") > 0).alias("contaminated"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without a hit, with all their columns."""
+    found = find_contamination(docs, benchmark)
+    return found.filter(F.size("word_spans") == 0).drop(*[c for c in FOUND if c not in docs.columns])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sagebrush.llm.common import batch_of
 
@@ -152,21 +152,20 @@ class Profiles:
         return self.langs[best], float(1 - distance[best] / (len(own) * self.size))
 
 
-def _predictor(profiles, schema: pa.Schema):
+def _predictor(profiles, size: int, schema: pa.Schema):
     def run(batches):
-        model = Profiles(profiles.value, PROFILE)
+        model = Profiles(profiles.value, size)
         for batch in batches:
             found = [model.predict(t) for t in batch.column("text").to_pylist()]
-            yield batch_of(schema, doc_id=batch.column("doc_id").to_pylist(), held_out=batch.column("held_out").to_pylist(),
-                           lang_pred=[x for x, _ in found], score=[s for _, s in found])
+            new = {"lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
+            yield pa.RecordBatch.from_arrays([pa.array(new[f.name], type=f.type) if f.name in new else batch.column(f.name)
+                                              for f in schema], schema=schema)
     return run
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], held_out=None) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score."""
-    rows = docs.select("doc_id", (F.lit(False) if held_out is None else held_out).alias("held_out"),
-                       F.col("text").cast("string").alias("text"))
-    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
-    schema = to_arrow_schema(StructType.fromDDL(out))
+def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
+    """All columns of ``docs`` with lang_pred and score (columns of these names are replaced); text is read as a string."""
+    rows = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
+    out = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    return rows.mapInArrow(_predictor(shared, schema), out)
+    return rows.mapInArrow(_predictor(shared, size, to_arrow_schema(out)), out)

@@ -44,7 +44,8 @@ def _op2(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 5) == 0
-    return predict(docs, learn_profiles(docs.filter(~held_out)), held_out)
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return predict(rows, learn_profiles(docs.filter(~held_out))).drop("text")
 
 
 @query("op5_toxicity")
@@ -57,9 +58,8 @@ def _op5(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 3) == 1
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").dropna(subset=["doc_id"])
-    labelled = docs.filter(~held_out).select("doc_id", "text").join(labels, "doc_id")
-    return score(docs, learn(labelled), held_out)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return score(docs, learn(docs, labels.filter(fold(F.col("doc_id"), 3) != 1)), held_out)
 
 
 @query("op8_simhash")
