@@ -84,3 +84,14 @@ def _op6(spark, sf_dir):
     from sagebrush.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "epoch", "block")
+
+
+@query("op1_line_dedup")
+def _op1(spark, sf_dir):
+    """Lines and removed lines of every document, and the digest of what is left of its text."""
+    from pyspark.sql import functions as F
+
+    from sagebrush.llm.line_dedup import dedup_lines
+
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
