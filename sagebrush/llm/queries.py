@@ -95,3 +95,14 @@ def _op1(spark, sf_dir):
 
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op3_lm_score")
+def _op3(spark, sf_dir):
+    """Kneser-Ney and unigram log10 probability of every document, learned outside the held-out fold."""
+    from pyspark.sql import functions as F
+
+    from sagebrush.llm.common import fold
+    from sagebrush.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 1)
