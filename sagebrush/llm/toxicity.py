@@ -183,21 +183,26 @@ class Model:
         return 0.999 * np.interp(g, *self.points) + 0.001 * _sigmoid(g)
 
 
-def learn(labelled: DataFrame) -> Model:
-    """The model from the rows (doc_id, text, toxic) that may be learned from."""
-    counts = labelled.agg(F.sum((F.col("toxic") == 1).cast("long")).alias("p"), F.count("toxic").alias("n")).first()
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model from ``docs`` (doc_id, text) and the ``labels`` (doc_id, toxic) that may be learned from."""
+    # one row an id: repeated labels confirm when one of them does
+    known = labels.dropna(subset=["doc_id"]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = known.agg(F.sum((F.col("toxic") == 1).cast("long")).alias("p"), F.count("toxic").alias("n")).first()
     prior = (counts.p or 0) / counts.n if counts.n else 0.0
-    rows = labelled.select(F.col("text").cast("string").alias("text"), (F.col("toxic") == 1).alias("toxic"),
-                           F.xxhash64(F.col("doc_id").cast("string"), F.lit("draw")).alias("draw"))
+    # the sample is drawn among ids; its bound lets it travel to the texts, which are not shuffled
+    draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
+    p = known.filter("toxic = 1").select("doc_id", F.lit(True).alias("toxic"), draw.alias("draw")).orderBy(
+        "draw", "doc_id").limit(MAX_POSITIVE)
+    u = known.select("doc_id", F.lit(False).alias("toxic"), F.xxhash64(draw).alias("draw")).orderBy(
+        "draw", "doc_id").limit(MAX_UNLABELLED)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(p.unionAll(u)), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text"))
     schema = pa.schema([("toxic", pa.bool_()), ("draw", pa.int64()), ("words", pa.list_(pa.int32()))])
-    p = rows.filter("toxic").orderBy("draw", "text").limit(MAX_POSITIVE)
-    u = rows.withColumn("toxic", F.lit(False)).withColumn("draw", F.xxhash64("draw", F.lit("unlabelled"))).orderBy(
-        "draw", "text").limit(MAX_UNLABELLED)
-    found = p.unionAll(u).mapInArrow(_featuriser(schema), "toxic boolean, draw long, words array<int>").toArrow()
-    toxic = found.column("toxic").to_pylist()
-    words = [np.asarray(x.values if hasattr(x, "values") else x, np.int32) for x in found.column("words")]
-    order = sorted(range(len(words)), key=lambda i: (found.column("draw")[i].as_py(), len(words[i])))
-    return Model([words[i] for i in order if toxic[i]], [words[i] for i in order if not toxic[i]], prior)
+    found = rows.mapInArrow(_featuriser(schema), "toxic boolean, draw long, words array<int>").toArrow()
+    found = found.sort_by([("toxic", "descending"), ("draw", "ascending")])
+    words = [np.array(x.values, np.int32) for x in found.column("words")]
+    n = sum(found.column("toxic").to_pylist())
+    return Model(words[:n], words[n:], prior)
 
 
 def _scorer(model, schema: pa.Schema):
