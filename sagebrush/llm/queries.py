@@ -106,3 +106,11 @@ def _op3(spark, sf_dir):
     from sagebrush.llm.lm import score
 
     return score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 1)
+
+
+@query("op10_suffix_dedup")
+def _op10(spark, sf_dir):
+    """Bytes of every document in 100-byte strings that start earlier, and the digest of the others."""
+    from sagebrush.llm.repeats import op10_repeats
+
+    return op10_repeats(table(spark, sf_dir, "documents"))
