@@ -47,7 +47,8 @@ def variants(line: str) -> tuple[np.ndarray, np.ndarray]:
     prefix = np.concatenate(([np.uint64(0)], np.cumsum(_mix(points + _BASE) * power, dtype=np.uint64)))
     # without character p everything behind it moves one place to the front
     lacking = prefix[:-1] + (prefix[-1] - prefix[1:]) * _INVERSE
-    keys = np.concatenate((prefix[-1:] + np.uint64(n) * _BASE, lacking + np.uint64(n - 1) * _BASE))
+    keys = np.concatenate((prefix[-1:], lacking))
+    keys += np.concatenate(([n], np.full(n, n - 1))).astype(np.uint64) * _BASE  # lengths tell equal sums apart
     return _mix(keys).view(np.int64), np.arange(-1, n, dtype=np.int32)
 
 
