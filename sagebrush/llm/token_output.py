@@ -34,13 +34,14 @@ from pyspark.sql.types import StringType, StructField, StructType
 from sagebrush.llm.common import batch_of, scratch_path, written
 
 MAGIC = b"IDS1"
-FILE_IDS = 8 << 20
+FILE_IDS = 4 << 20
 END_ID = 1
-MEMO = 400_000         # words whose ids a worker remembers
-MEMO_CHARS = 64        # longer ones are not remembered
+MEMO = 1_000_000         # words whose ids a worker remembers
+JOINED = 500           # words given to the library as one text
 _HEAD = struct.Struct("<4sQQQQ")
 # control byte -> which of the sixteen bytes of four 32-bit ranks are present
 _MASK = np.array([[b <= (c >> 2 * i & 3) for i in range(4) for b in range(4)] for c in range(256)], bool)
+_MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 _TOKENIZERS: dict = {}
 
 
@@ -65,15 +66,16 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 def encode_file(doc_ids: list, sizes: np.ndarray, ids: np.ndarray) -> bytes:
     """One file of documents."""
-    values, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((values, -counts))
-    rank = np.empty(len(values), np.uint32)
-    rank[order] = np.arange(len(values), dtype=np.uint32)
-    control, data = pack(rank[at])
+    counts = np.bincount(ids)
+    values = np.flatnonzero(counts)
+    ranked = values[np.lexsort((values, -counts[values]))]
+    rank = np.zeros(len(counts), np.uint32)
+    rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
+    control, data = pack(rank[ids])
     null = np.array([i is None for i in doc_ids], np.uint8)
     keys = np.array([i or 0 for i in doc_ids], "<i8")
     return b"".join((_HEAD.pack(MAGIC, len(doc_ids), len(ids), len(values), len(data)), keys.tobytes(), null.tobytes(),
-                     np.asarray(sizes, "<u4").tobytes(), values[order].astype("<u4").tobytes(), control, data))
+                     np.asarray(sizes, "<u4").tobytes(), ranked.astype("<u4").tobytes(), control, data))
 
 
 def decode_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
@@ -96,8 +98,13 @@ def decode_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Token ids of whole texts.  Words between blanks are encoded by the library once and remembered: none of the
-    tokenizer's steps reaches over a blank (its pieces hold none), which the tests check on whole texts."""
+    """Token ids of whole texts, as the library gives them.
+
+    Where the tokenizer lower-cases and drops white space (``by_word``), none of its steps reaches over a blank, nor from
+    a letter or digit to the punctuation behind it.  So each different word, lower-cased in ASCII and without
+    that, is given to the library once and remembered; words of letters alone go there joined by blanks and are
+    told apart by the tokens that end a word.  A text that may hold a special token goes whole.  The tests compare
+    this with the library on whole texts."""
 
     def __init__(self, path: str):
         import os
@@ -106,26 +113,57 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        steps = self.library.pre_tokenizer
-        self.by_word = steps is not None and "invert=True" in re.sub(r"\s", "", str(steps)) and "Removed" in str(steps)
-        self.memo: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        steps = re.sub(r"\s", "", str(self.library.pre_tokenizer)) + str(self.library.normalizer)
+        self.by_word = "invert=True" in steps and "Removed" in steps and "Lowercase" in steps
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        self.memo: dict[bytes, bytes] = {}
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: one token that ends a word for each."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._each(words)
+        raw, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        bare, pairs = set(), []
+        for word in words:
+            base = word.rstrip(_MARKS)
+            if base and len(base) < len(word) and (base[-1:].isalnum() or base[-1] >= 0x80 and base.decode()[-1].isalpha()):
+                pairs.append((word, base, word[len(base):]))
+                bare.update(pairs[-1][1:])
+            else:
+                bare.add(word)
+        wanted = [w for w in bare if w not in self.memo]
+        texts = [w.decode() for w in wanted]
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        others = [i for i, t in enumerate(texts) if not t.isalpha()]
+        for i in range(0, len(letters), JOINED):
+            own = letters[i:i + JOINED]
+            self.memo.update(zip([wanted[k] for k in own], self._joined([texts[k] for k in own]), strict=True))
+        self.memo.update(zip([wanted[k] for k in others], self._each([texts[k] for k in others]), strict=True))
+        for word, base, tail in pairs:
+            self.memo[word] = self.memo[base] + self.memo[tail]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
-            return [np.frombuffer(x, "<u4") for x in self._raw(texts)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*split)
+            return [np.frombuffer(x, "<u4") for x in self._each(texts)]
+        split = [None if "<|" in t else t.encode("utf-8", "replace").lower().replace(b"\n", b" ").split(b" ") for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        missing = [w for w in wanted if w not in self.memo]
-        fresh = dict(zip(missing, self._raw(missing), strict=True))
-        self.memo.update((w, x) for w, x in fresh.items() if len(w) <= MEMO_CHARS)
-        known = {**{w: self.memo[w] for w in wanted if w in self.memo}, **fresh} if len(fresh) else self.memo
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
+        self._learn(set().union(*(w for w in split if w is not None)).difference(self.memo))
+        find = self.memo.__getitem__
+        return [np.frombuffer(b"".join(map(find, words)) if words is not None else self._each([text])[0], "<u4")
+                for words, text in zip(split, texts, strict=True)]
 
 
 def _encoder(path: str) -> Encoder:
