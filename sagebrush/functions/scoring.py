@@ -161,4 +161,5 @@ def retry_delay_ms(attempt, retry_after_s=None, jitter_key=None,
     if retry_after_s is None:
         return computed
     ra = _v(retry_after_s).cast("double")
-    return F.when(ra.isNotNull() & ~F.isnan(ra), F.greatest(F.lit(0.0), ra * F.lit(1000.0))).otherwise(computed)
+    finite = ra.isNotNull() & ~F.isnan(ra) & (F.abs(ra) != F.lit(float("inf")))
+    return F.when(finite, F.greatest(F.lit(0.0), ra * F.lit(1000.0))).otherwise(computed)

@@ -39,20 +39,6 @@ def copy_field(df: DataFrame, src: str, dst: str) -> DataFrame:
     return df.withColumn(dst, F.col(src))
 
 
-# --- fixed values: summary classes (file type) ----------------------------------------------
-SUMMARIES: dict[str, dict[str, str]] = {
-    "file.autocomplete": {"title": "title", "app": "app", "entity": "entity", "docId": "doc_id"},
-    "file.default": {"docId": "doc_id", "title": "title", "app": "app", "entity": "entity",
-                     "chunks_summary": "body", "updatedAt": "updatedAt"},
-}
-
-
-def summary(df: DataFrame, name: str) -> DataFrame:
-    """Named column subset with source renames; Catalyst prunes the rest at the scan."""
-    spec = SUMMARIES[name]
-    return df.select(*[F.col(src).alias(out) for out, src in spec.items()])
-
-
 def highlight_terms(text, terms: Column, open_tag: str = "<b>", close_tag: str = "</b>") -> Column:
     """Wrap whole-token, case-insensitive matches of ``terms`` (array<string> of
     lower-case tokens) in tags.  The text is cut into alternating runs of
@@ -118,7 +104,7 @@ def redact_url(col) -> Column:
 def error_excerpt(col) -> Column:
     """A body that is not JSON becomes {message: first 2000 chars, type}; JSON bodies give NULL."""
     body = _c(col)
-    is_json = F.get_json_object(body, "$").isNotNull()
+    is_json = F.try_parse_json(body).isNotNull()  # the whole body: JSON with something behind it is none
     return F.when(~is_json & body.isNotNull(), F.struct(
         F.substring(body, 1, C.ERROR_EXCERPT_CHARS).alias("message"),
         F.lit("upstream_non_json_response").alias("type")))

@@ -32,7 +32,7 @@ def _c(x) -> Column:
 def request_error(body, limit_bytes: int = C.PAYLOAD_LIMIT_BYTES) -> Column:
     """F8: why a request body is rejected (NULL when it is valid)."""
     b = _c(body)
-    v = F.try_parse_json(b)
+    v = F.try_parse_json(F.when(b == "", F.lit("{}")).otherwise(b))  # no body at all is an empty object
     kind = F.schema_of_variant(v)
     inp = F.try_variant_get(v, "$.input", "variant")
     return (F.when(F.octet_length(b) > F.lit(limit_bytes), F.lit(f"Payload exceeds {limit_bytes} bytes"))
@@ -65,7 +65,7 @@ def parse_embedding_requests(df: DataFrame, body: str = "body") -> DataFrame:
 def retryable(status, body) -> Column:
     """retry on listed statuses or overload phrases in the body."""
     text = F.lower(F.coalesce(_c(body).cast("string"), F.lit("")))
-    cond = _c(status).isin(C.RETRY_STATUSES)
+    cond = F.coalesce(_c(status).isin(C.RETRY_STATUSES), F.lit(False))
     for phrase in C.RETRY_PHRASES:
         cond = cond | text.contains(phrase)
     return cond
@@ -73,7 +73,7 @@ def retryable(status, body) -> Column:
 
 def retryable_error(code, message) -> Column:
     """retry on connection error codes or a message mentioning a timeout."""
-    return _c(code).isin(C.RETRY_ERROR_CODES) | F.coalesce(_c(message).rlike("(?i)timeout"), F.lit(False))
+    return F.coalesce(_c(code).isin(C.RETRY_ERROR_CODES), F.lit(False)) | F.coalesce(_c(message).rlike("(?i)timeout"), F.lit(False))
 
 
 def retry_delay_ms(attempt, retry_after=None, jitter_key=None) -> Column:
@@ -119,8 +119,8 @@ def assign_batches(df: DataFrame, key: str = "request_id", inputs: str = "inputs
 
 
 def restore_order(df: DataFrame, key: str = "request_id", index: str = "index") -> DataFrame:
-    """Rows in global index order inside each request (sorted within partitions by key)."""
-    return df.repartition(key).sortWithinPartitions(key, index)
+    """Rows in (request, index) order over all partitions; a request with most of the rows spans many."""
+    return df.repartitionByRange(key, index).sortWithinPartitions(key, index)
 
 
 # --- A10 ----------------------------------------------------------------------------------------
@@ -205,6 +205,7 @@ _BATCH_OUT = T.StructType([
     T.StructField("upstream_ms", T.DoubleType()), T.StructField("error", T.StringType()),
     T.StructField("resp_pos", T.LongType()), T.StructField("item_index", T.LongType()),
     T.StructField("embedding", T.ArrayType(T.DoubleType())),
+    T.StructField("http_status", T.IntegerType()),
 ])
 
 
@@ -223,18 +224,26 @@ def _call_batches(upstream, max_retries: int, sleep: Callable[[float], None]):
                 code = msg = None
             except Exception as e:  # noqa: BLE001 - connection errors become rows
                 status, body, headers, code, msg = None, None, {}, getattr(e, "code", None), str(e)
-            if status == 200 or attempt >= max_retries or not _should_retry_py(status, body, code, msg):
+            if attempt >= max_retries or not _should_retry_py(status, body, code, msg):
                 break
             sleep(_retry_delay_py(attempt, (headers or {}).get("retry-after"), key) / 1000.0)
             attempt += 1
         ms = (time.perf_counter() - t0) * 1000.0
         base = dict(request_id=rid, batch=b, start=start, input_count=n, status=status, attempts=attempt + 1,
-                    model=None, usage=None, upstream_ms=ms, error=None)
+                    model=None, usage=None, upstream_ms=ms, error=None, http_status=200)
         data = body.get("data") if isinstance(body, dict) else None
-        if status != 200 or not isinstance(data, list):
-            err = (body or {}).get("error", {}).get("message") if isinstance(body, dict) else str(body)
-            return pd.DataFrame([dict(base, error=err or "Upstream response does not include data array",
-                                      resp_pos=None, item_index=None, embedding=None)])
+        failed = None                                   # (message, status the caller gets)
+        if status is None or not 200 <= status < 300:
+            inner = body.get("error") if isinstance(body, dict) else None
+            said = inner.get("message") if isinstance(inner, dict) else None
+            failed = (said or msg or f"Upstream embedding request failed with {status}", status or 502)
+        elif not isinstance(data, list):
+            failed = ("Upstream response does not include data array", 502)
+        elif len(data) != n:
+            failed = ("Upstream response data length does not match batch input length", 502)
+        if failed:
+            return pd.DataFrame([dict(base, error=failed[0], http_status=failed[1], resp_pos=None, item_index=None,
+                                      embedding=None)])
         base.update(model=body.get("model"), usage=json.dumps(body.get("usage") or {}))
         rows = []
         for pos, item in enumerate(data):
@@ -251,30 +260,35 @@ def embed_requests(requests: DataFrame, upstream, key: str = "request_id", body:
                    expected_dims: int | None = None, sleep: Callable[[float], None] = time.sleep):
     """Returns (embeddings, request_summary, rejected_requests).
 
-    embeddings: (request_id, index, embedding) in global input order per request;
+    embeddings: (request_id, index, embedding) by global input position, of the requests that succeed as a whole;
     request_summary: status per request (errors as rows), model, usage, timing, widths."""
     good, bad = valid_requests(requests, body)
     parsed = parse_embedding_requests(good, body).select(F.col(key).cast("long").alias("request_id"), "inputs", "model")
     rows = assign_batches(parsed, "request_id", "inputs", batch_size)
     results = rows.groupBy("request_id", "batch").applyInPandas(_call_batches(upstream, max_retries, sleep), _BATCH_OUT)
     results = results.checkpoint()       # upstream calls are not repeated if a later stage is retried
+    # one failed batch fails its request: an upstream failure first, then a fault of an answer, by batch
+    order = F.struct((F.col("status") >= 200) & (F.col("status") < 300), "batch")
+    failed = results.filter(F.col("error").isNotNull()).groupBy("request_id").agg(
+        F.min_by(F.struct("error", "http_status"), order).alias("f")).select("request_id", "f.error", F.col("f.http_status").alias("failed_status"))
     ok = results.filter(F.col("error").isNull())
     merged, summary = merge_batches(ok)
-    emb = merged.select("request_id", "index", "embedding")
-    widths = emb.groupBy("request_id").agg(F.sort_array(F.collect_set(F.size("embedding"))).alias("widths"))
-    failed = results.filter(F.col("error").isNotNull()).groupBy("request_id").agg(F.first("error").alias("error"),
-                                                                                   F.max("status").alias("status"))
+    # the model that was asked for comes before what the answers name
+    asked = parsed.select("request_id", F.col("model").alias("asked"))
+    summary = asked.join(summary, "request_id", "left").withColumn("model", F.coalesce("asked", "model")).drop("asked")
+    widths = merged.groupBy("request_id").agg(F.sort_array(F.collect_set(F.size("embedding"))).alias("widths"))
     usage = merge_usage(results.filter(F.col("usage").isNotNull()).select("request_id", "batch", "usage")
                         .dropDuplicates(["request_id", "batch"]), "request_id", "usage")
     usage = usage.groupBy("request_id").agg(F.map_from_entries(F.sort_array(F.collect_list(
         F.struct("usage_key", "value")))).alias("usage"))
     timing = timing_stats(results.dropDuplicates(["request_id", "batch"]), "request_id", "upstream_ms")
-    summ = (summary.join(widths, "request_id", "left").join(failed, "request_id", "full_outer")
+    summ = (summary.join(widths, "request_id", "left").join(failed, "request_id", "left")
             .join(usage, "request_id", "left").join(timing, "request_id", "left"))
-    status = F.when(F.col("error").isNotNull(), F.coalesce(F.col("status"), F.lit(502)))
+    status = F.when(F.col("error").isNotNull(), F.col("failed_status"))
     if expected_dims is not None:
         bad_w = F.exists(F.coalesce(F.col("widths"), F.array()), lambda w: w != expected_dims)
         status = status.when(bad_w, F.lit(502))
-    status = status.when(F.col("length_mismatch") == 1, F.lit(502)).otherwise(F.lit(200))
-    summ = summ.withColumn("http_status", status)
+    summ = summ.withColumn("http_status", status.otherwise(F.lit(200))).drop("failed_status")
+    emb = merged.join(summ.filter("http_status = 200").select("request_id"), "request_id", "left_semi").select(
+        "request_id", "index", "embedding")
     return emb, summ, bad

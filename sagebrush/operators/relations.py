@@ -84,33 +84,36 @@ def imported_filter(child: DataFrame, parent: DataFrame, ref: str, parent_key: s
 
 def acl_semi(docs: DataFrame, key: str, perms: str, grants: DataFrame, user: str = "user",
              principal: str = "principal") -> DataFrame:
-    """(user, doc) pairs a user may see: explode permissions, equi-join grants, distinct."""
+    """(user, doc) pairs a user may see: explode permissions, equi-join grants, distinct.  Grants travel to the
+    permissions where their size is proven small; else a principal that most documents name is split by the
+    adaptive skew join, as both sides meet in plain exchanges."""
     ex = docs.select(key, F.explode(F.array_distinct(perms)).alias(principal))
-    return ex.join(grants.select(user, principal), principal).select(user, key).distinct()
+    return ex.join(broadcast_if_small(grants.select(user, principal).distinct()), principal).select(user, key).distinct()
 
 
 def folder_tree(folders: DataFrame, folder: str = "folder_id", parent: str = "parent_id",
-                roots: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
-    """All descendants of every root (folders without parent, or ``roots``):
-    (root_id, folder_id, depth).  One equi-join per level; each level is a
-    distributed job and the loop stops when a level is empty.  Every few
-    levels the frontier is checkpointed to the shared checkpoint folder to
-    cut lineage."""
+                roots: DataFrame | None = None) -> DataFrame:
+    """All descendants of every root (folders without parent, or ``roots``): (root_id, folder_id, depth).
+
+    One equi-join per level until a level brings nothing new, whatever the depth; a pair that was reached before
+    is not followed again, so a cycle ends.  Levels are checkpointed to the shared folder, and what was reached is
+    cut to one table every sixteen levels to keep the plan short."""
     edges = folders.select(F.col(folder).alias("child"), F.col(parent).alias("parent")).filter(F.col("parent").isNotNull())
     if roots is None:
         roots = folders.filter(F.col(parent).isNull()).select(F.col(folder).alias("root_id"))
-    frontier = roots.select("root_id", F.col("root_id").alias(folder), F.lit(0).alias("depth"))
-    out = frontier
-    for depth in range(1, max_depth + 1):
+    frontier = roots.select("root_id", F.col("root_id").alias(folder), F.lit(0).alias("depth")).distinct()
+    out, depth = frontier, 0
+    while True:
+        depth += 1
         nxt = (frontier.join(edges, frontier[folder] == edges["parent"])
-               .select("root_id", F.col("child").alias(folder), F.lit(depth).alias("depth")))
-        if depth % 4 == 0:
-            nxt = nxt.checkpoint()
+               .select("root_id", F.col("child").alias(folder)).distinct())
+        nxt = nxt.join(out.select("root_id", folder), ["root_id", folder], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if nxt.isEmpty():
-            break
+            return out
         out = out.unionByName(nxt)
+        if depth % 16 == 0:
+            out = out.checkpoint()
         frontier = nxt
-    return out
 
 
 def host_of(url: Column) -> Column:

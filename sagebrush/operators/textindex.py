@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sagebrush import config as C
 from sagebrush.functions.text import grams, query_terms, tokens
-from sagebrush.session import broadcast_if_small, spread
+from sagebrush.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, spread
 
 
 def _fields(fields: dict[str, Column] | list[str], gram: bool = False) -> dict[str, Column]:
@@ -30,13 +30,9 @@ def _fields(fields: dict[str, Column] | list[str], gram: bool = False) -> dict[s
 
 
 def field_tokens(docs: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
-    """(key, field, toks, len): token arrays per field, one row per doc and field."""
-    parts = [docs.select(F.col(key), F.lit(name).alias("field"), expr.alias("toks"))
-             for name, expr in fields.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("len", F.size("toks"))
+    """(key, field, toks, len): token arrays per field, one row per doc and field, from one reading of ``docs``."""
+    each = F.array(*[F.struct(F.lit(name).alias("field"), expr.alias("toks")) for name, expr in fields.items()])
+    return docs.select(F.col(key), F.explode(each).alias("f")).select(key, "f.field", "f.toks", F.size("f.toks").alias("len"))
 
 
 def token_table(docs: DataFrame, key: str, fields, terms: DataFrame | None = None,
@@ -56,20 +52,20 @@ def token_table(docs: DataFrame, key: str, fields, terms: DataFrame | None = Non
             .agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos")))
 
 
-# Query terms up to this count are applied as an IN-set filter (codegen, no join).
-MAX_INSET_TERMS = 100000
+def term_list(terms: DataFrame) -> list[str]:
+    """The distinct query terms: a stated set, collected once per query batch."""
+    return [r["token"] for r in terms.select("token").distinct().collect()]
 
 
 def keep_terms(exploded: DataFrame, terms: DataFrame) -> DataFrame:
-    """Keep exploded token rows whose token is a query term.  The distinct query
-    terms are a parameter-sized set: when at most MAX_INSET_TERMS they become an
-    IN-set predicate inside the codegen stage; beyond that a left-semi join
-    (broadcast only when proven small) does the same."""
-    distinct = terms.select("token").distinct()
-    head = distinct.limit(MAX_INSET_TERMS + 1).collect()
-    if len(head) <= MAX_INSET_TERMS:
-        return exploded.filter(F.col("token").isin([r["token"] for r in head]))
-    return exploded.join(broadcast_if_small(distinct), "token", "left_semi")
+    """Keep exploded token rows whose token is a query term: an IN-set predicate inside the codegen stage, so
+    other tokens never reach a shuffle."""
+    return exploded.filter(F.col("token").isin(term_list(terms)))
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a side of at most ``rows`` narrow rows where that is proven small, else leave the join to Spark."""
+    return F.broadcast(df) if rows * 128 <= BROADCAST_LIMIT_BYTES else df
 
 
 def corpus_stats(docs: DataFrame, key: str, fields, gram: bool = False) -> DataFrame:
@@ -80,22 +76,19 @@ def corpus_stats(docs: DataFrame, key: str, fields, gram: bool = False) -> DataF
 
 
 def postings_and_stats(docs: DataFrame, key: str, fields: dict[str, Column],
-                       terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+                       terms: list[str]) -> tuple[DataFrame, DataFrame]:
     """Query-term postings AND per-field statistics from ONE tokenising pass.
 
     Each (doc, field) token array gets an empty-string marker in front; the marker row carries
     the field length.  Marker and query-term rows go through the same partially aggregated
     group-by, and postings, document frequency and statistics all read that one aggregate
     (Spark reuses its exchange), so the corpus is tokenised once per query batch."""
-    head = terms.select("token").distinct().limit(MAX_INSET_TERMS + 1).collect()
-    if len(head) > MAX_INSET_TERMS:           # very large term sets: two passes, semi join
-        return token_table(docs, key, fields, terms=terms), corpus_stats(docs, key, fields)
     ft = field_tokens(spread(docs), key, fields)
     # marker = the empty string (tokens are never empty); the explicit not-null predicate matches the
     # one Spark infers from the join on `token`, so both branches keep the same aggregate input
     marked = F.concat(F.array(F.lit("")), F.col("toks"))
     ex = ft.select(key, "field", "len", F.posexplode_outer(marked).alias("pos", "token"))
-    ex = ex.filter(F.col("token").isNotNull() & F.col("token").isin([""] + [r["token"] for r in head]))
+    ex = ex.filter(F.col("token").isNotNull() & F.col("token").isin(["", *terms]))
     agg = (ex.groupBy(key, "field", "token", "len")
            .agg(F.count(F.lit(1)).alias("tf"), (F.min("pos") - 1).alias("first_pos")))
     # the marker is element 0, so its group has first_pos -1 and term groups first_pos >= 0.  Filtering
@@ -140,35 +133,57 @@ def native_term(tf: Column, first_pos: Column) -> Column:
     return pos_part + tf_part
 
 
-def text_features(queries: DataFrame, docs: DataFrame, key: str, fields,
-                  qid: str = "query_id", text: str = "qtext", gram: bool = False) -> DataFrame:
-    """Per (query_id, key, field): bm25, native, matched (only rows with a match).
-
-    One shuffle for the postings, one for the per-document sum; the query
-    side and the per-field statistics are broadcast (their size is bounded
-    by the number of query terms and fields).
-    """
-    fdict = _fields(fields, gram)
+def _term_scores(queries: DataFrame, docs: DataFrame, key: str, fdict: dict[str, Column], qid: str, text: str, gram: bool) -> DataFrame:
+    """(query_id, key, field, nq, b, m): one row per query term that a field of a document holds.  The query side, the
+    document frequencies (terms x fields) and the field statistics are small by the number of terms, which is known."""
     qt = query_tokens(queries, qid, text, gram)
-    postings, stats = postings_and_stats(docs, key, fdict, qt.select("token"))
-    dfreq = doc_freq(postings, key)
-    joined = (postings
-              .join(broadcast_if_small(qt), "token")
-              .join(broadcast_if_small(dfreq), ["field", "token"])
-              .join(F.broadcast(stats), "field"))
+    terms = term_list(qt)
+    postings, stats = postings_and_stats(docs, key, fdict, terms)
+    joined = (postings.join(few(qt, qt.count()), "token")
+              .join(few(doc_freq(postings, key), len(terms) * len(fdict)), ["field", "token"])
+              .join(few(stats, len(fdict)), "field"))
+    return _scored(joined, key)
+
+
+def _scored(joined: DataFrame, key: str) -> DataFrame:
     tf = F.col("tf").cast("double")
-    scored = joined.select(
+    return joined.select(
         "query_id", key, "field", "nq",
         bm25_term(tf, F.col("df").cast("double"), F.col("n_docs").cast("double"),
                   F.col("len").cast("double"), F.col("avglen")).alias("b"),
         native_term(tf, F.col("first_pos").cast("double")).alias("m"))
+
+
+def _by_field(scored: DataFrame, key: str) -> DataFrame:
     return (scored.groupBy("query_id", key, "field")
             .agg(ordered_sum("b").alias("bm25"),
                  (ordered_sum("m") / F.first("nq").cast("double")).alias("native"),
                  F.lit(1).alias("matched")))
 
 
-def ordered_sum(col: str) -> Column:
+def text_features(queries: DataFrame, docs: DataFrame, key: str, fields,
+                  qid: str = "query_id", text: str = "qtext", gram: bool = False) -> DataFrame:
+    """Per (query_id, key, field): bm25, native, matched (only rows with a match).
+
+    One reading of the documents, one shuffle for the postings, one for the sum."""
+    return _by_field(_term_scores(queries, docs, key, _fields(fields, gram), qid, text, gram), key)
+
+
+def wide_features(queries: DataFrame, docs: DataFrame, key: str, fields, qid: str = "query_id", text: str = "qtext",
+                  gram: bool = False) -> DataFrame:
+    """``text_features`` with the fields side by side (see ``wide_text_features``), by one conditional aggregate."""
+    fdict = _fields(fields, gram)
+    scored = _term_scores(queries, docs, key, fdict, qid, text, gram)
+    aggs = []
+    for f in fdict:
+        own = F.col("field") == f
+        aggs += [ordered_sum(F.when(own, F.col("b"))).alias(f"bm25_{f}"),
+                 (ordered_sum(F.when(own, F.col("m"))) / F.first("nq").cast("double")).alias(f"native_{f}"),
+                 F.max(F.when(own, 1).otherwise(0)).alias(f"matches_{f}")]
+    return scored.groupBy("query_id", key).agg(*aggs)
+
+
+def ordered_sum(col) -> Column:
     """Sum of a group's values in ascending order, so documents whose terms are
     equal get bit-identical scores and ties break on the key, not on float noise.
     Groups here are (query, doc, field): at most one value per query term."""
@@ -203,16 +218,18 @@ def chunk_scores(queries: DataFrame, docs: DataFrame, key: str, array_field: str
     elems = (elems.select(key, "p", tokens("elem").alias("toks"))
              .withColumn("len", F.size("toks")).withColumn("field", F.lit(array_field)))
     qt = query_tokens(queries, qid, text)
-    # scalar statistics keyed by the field name: a one-row broadcast equi-join
-    avg = elems.groupBy("field").agg(F.avg("len").cast("double").alias("avglen"))
-    n_docs = docs.select(F.lit(array_field).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"))
-    ex = keep_terms(elems.select(key, "p", "len", "field", F.explode_outer("toks").alias("token"))
-                    .filter(F.col("token").isNotNull()), qt)
-    post = ex.groupBy(key, "p", "field", "token", "len").agg(F.count(F.lit(1)).alias("tf"))
-    dfreq = post.groupBy("token").agg(F.countDistinct(key).alias("df"))
-    j = (post.join(broadcast_if_small(qt), "token").join(broadcast_if_small(dfreq), "token")
-         .join(F.broadcast(avg), "field").join(F.broadcast(n_docs), "field"))
-    s = bm25_term(F.col("tf").cast("double"), F.col("df").cast("double"), F.col("n_docs").cast("double"),
+    terms = term_list(qt)
+    # an empty token marks every element, so lengths and postings come from one aggregate, read once
+    marked = elems.select(key, "p", "field", "len", F.explode(F.concat(F.array(F.lit("")), "toks")).alias("token"))
+    post = (marked.filter(F.col("token").isin(["", *terms])).groupBy(key, "p", "field", "token", "len")
+            .agg(F.count(F.lit(1)).alias("tf"), F.max((F.col("token") == "").cast("int")).alias("mark")))
+    avg = post.filter("mark = 1 and tf > 0").groupBy("field").agg(F.avg("len").cast("double").alias("avglen"))
+    hits = post.filter("mark = 0 and tf > 0")
+    dfreq = hits.groupBy("token").agg(F.countDistinct(key).alias("df"))
+    n_docs = docs.count()
+    j = (hits.join(few(qt, qt.count()), "token").join(few(dfreq, len(terms)), "token")
+         .join(few(avg, 1), "field"))
+    s = bm25_term(F.col("tf").cast("double"), F.col("df").cast("double"), F.lit(float(n_docs)),
                   F.col("len").cast("double"), F.col("avglen"))
     return j.withColumn("s", s).groupBy("query_id", key, "p").agg(ordered_sum("s").alias("chunk_bm25"))
 
@@ -273,26 +290,10 @@ def text_features_indexed(queries: DataFrame, path: str, key: str, qid: str = "q
     read; only postings of the query terms (pushed-down IN filter) are scanned."""
     spark = queries.sparkSession
     qt = query_tokens(queries, qid, text, gram)
-    head = qt.select("token").distinct().limit(MAX_INSET_TERMS + 1).collect()
-    postings = spark.read.parquet(f"{path}/postings")
-    dfreq = spark.read.parquet(f"{path}/df")
-    if len(head) <= MAX_INSET_TERMS:
-        terms = [r["token"] for r in head]
-        postings = postings.filter(F.col("token").isin(terms))
-        dfreq = dfreq.filter(F.col("token").isin(terms))
-    else:
-        postings = postings.join(broadcast_if_small(qt.select("token").distinct()), "token", "left_semi")
+    terms = term_list(qt)
+    postings = spark.read.parquet(f"{path}/postings").filter(F.col("token").isin(terms))
+    dfreq = spark.read.parquet(f"{path}/df").filter(F.col("token").isin(terms))
     stats = spark.read.parquet(f"{path}/stats")
-    joined = (postings.join(broadcast_if_small(qt), "token")
-              .join(broadcast_if_small(dfreq), ["field", "token"])
-              .join(F.broadcast(stats), "field"))
-    tf = F.col("tf").cast("double")
-    scored = joined.select(
-        "query_id", key, "field", "nq",
-        bm25_term(tf, F.col("df").cast("double"), F.col("n_docs").cast("double"),
-                  F.col("len").cast("double"), F.col("avglen")).alias("b"),
-        native_term(tf, F.col("first_pos").cast("double")).alias("m"))
-    return (scored.groupBy("query_id", key, "field")
-            .agg(ordered_sum("b").alias("bm25"),
-                 (ordered_sum("m") / F.first("nq").cast("double")).alias("native"),
-                 F.lit(1).alias("matched")))
+    joined = (postings.join(few(qt, qt.count()), "token").join(broadcast_if_small(dfreq), ["field", "token"])
+              .join(broadcast_if_small(stats), "field"))
+    return _by_field(_scored(joined, key), key)

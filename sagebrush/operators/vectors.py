@@ -11,7 +11,6 @@ the shuffle) then picks the exact answer.  Ties: closeness desc, key asc.
 from __future__ import annotations
 
 import hashlib
-import math
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,10 +24,8 @@ from sagebrush.functions.scoring import closeness_from_cos
 from sagebrush.functions.text import tokens
 from sagebrush.session import spread
 
-# Query matrix bytes shipped with each task; larger query sets run in blocks.
+# Query matrix bytes shipped with a task; larger query sets run in blocks of this size.
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024
-# queries per block: 4,096 x 1,024 dims x 8 bytes = 32 MB
-MAX_QUERIES_PER_BLOCK = 4096
 
 
 def _closeness(cos: np.ndarray) -> np.ndarray:
@@ -41,13 +38,26 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return m / norms
 
 
-def _topk_batches(qids: np.ndarray, qmat: np.ndarray, key: str, part: str | None,
-                  vec: str, k: int):
-    """mapInPandas body: closeness of every query to every vector of the batch,
-    reduced to the best chunk per document and the k best documents per query."""
-    qunit = _unit_rows(qmat)
+def _best_chunks(keys: np.ndarray, scores: np.ndarray, parts: np.ndarray, k: int | None):
+    """The best chunk of every document, then the k best documents (closeness desc, key asc)."""
+    order = np.lexsort((parts, -scores, keys))
+    keys, scores, parts = keys[order], scores[order], parts[order]
+    first = np.ones(len(keys), dtype=bool)
+    first[1:] = keys[1:] != keys[:-1]
+    keys, scores, parts = keys[first], scores[first], parts[first]
+    if k is not None and len(keys) > k:
+        top = np.lexsort((keys, -scores))[:k]
+        keys, scores, parts = keys[top], scores[top], parts[top]
+    return keys, scores, parts
 
+
+def _topk_partition(block, key: str, part: str | None, vec: str, k: int | None):
+    """mapInPandas body: closeness of every query to every vector.  With ``k`` a running top-k per query is kept
+    over the whole partition and only its rows leave the task; without, every document's best chunk of a batch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, qmat = block.value
+        qunit = _unit_rows(qmat)
+        best: list = [None] * len(qids)
         for pdf in batches:
             pdf = pdf[pdf[vec].notna()]
             if pdf.empty:
@@ -58,73 +68,80 @@ def _topk_batches(qids: np.ndarray, qmat: np.ndarray, key: str, part: str | None
             close = _closeness(_unit_rows(m) @ qunit.T)           # rows x queries
             keys = pdf[key].to_numpy()
             parts = pdf[part].to_numpy() if part else np.zeros(len(pdf), dtype=np.int64)
-            out = []
-            for j, q in enumerate(qids):
-                s = close[:, j]
-                # best chunk per document: order by (key, -score, part), keep first
-                order = np.lexsort((parts, -s, keys))
-                ks, ss, ps = keys[order], s[order], parts[order]
-                first = np.ones(len(ks), dtype=bool)
-                first[1:] = ks[1:] != ks[:-1]
-                ks, ss, ps = ks[first], ss[first], ps[first]
-                if len(ks) > k:
-                    top = np.lexsort((ks, -ss))[:k]
-                    ks, ss, ps = ks[top], ss[top], ps[top]
-                out.append(pd.DataFrame({"query_id": q, key: ks, "p": ps, "closeness": ss}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            for j in range(len(qids)):
+                own = close[:, j], keys, parts
+                if k is None:
+                    ks, ss, ps = _best_chunks(keys, close[:, j], parts, None)
+                    yield pd.DataFrame({"query_id": qids[j], key: ks, "p": ps, "closeness": ss})
+                    continue
+                held = best[j]
+                if held is not None:
+                    # only rows that can still enter; equal scores may win by key
+                    near = own[0] >= (held[1].min() if len(held[0]) >= k else -1.0)
+                    if not near.any():
+                        continue
+                    own = tuple(np.concatenate((x[near], y)) for x, y in zip(own, (held[1], held[0], held[2]), strict=True))
+                best[j] = _best_chunks(own[1], own[0], own[2], k)
+        if k is not None:
+            found = [pd.DataFrame({"query_id": q, key: b[0], "p": b[2], "closeness": b[1]})
+                     for q, b in zip(qids, best, strict=True) if b is not None]
+            if found:
+                yield pd.concat(found, ignore_index=True)
 
     return run
 
 
+def _query_blocks(qv: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of the queries in blocks of bounded bytes, streamed partition by partition."""
+    ids, vectors, size = [], [], 0
+    for r in qv.toLocalIterator():
+        ids.append(r["query_id"])
+        vectors.append(np.asarray(r["e"], dtype=np.float64))
+        size += vectors[-1].nbytes
+        if size >= block_bytes:
+            yield np.array(ids), np.array(vectors)
+            ids, vectors, size = [], [], 0
+    if ids:
+        yield np.array(ids), np.array(vectors)
+
+
+def _closenesses(queries: DataFrame, vectors: DataFrame, k: int | None, key: str, part: str | None, vec: str, qid: str,
+                 qvec: str) -> DataFrame:
+    """(query_id, key, p, closeness): candidates of the k best documents, or with k None all documents."""
+    spark = queries.sparkSession
+    qv = queries.select(F.col(qid).alias("query_id"), F.col(qvec).alias("e")).filter(F.col("e").isNotNull())
+    schema = T.StructType([T.StructField("query_id", qv.schema["query_id"].dataType), T.StructField(key, vectors.schema[key].dataType),
+                           T.StructField("p", T.LongType()), T.StructField("closeness", T.DoubleType())])
+    vsel = spread(vectors.select(key, vec, *([part] if part else [])))
+    if part:
+        vsel = vsel.withColumn(part, F.col(part).cast("long"))
+    cand = None
+    for block in _query_blocks(qv, QUERY_BLOCK_BYTES):
+        found = vsel.mapInPandas(_topk_partition(spark.sparkContext.broadcast(block), key, part, vec, k), schema)
+        cand = found if cand is None else cand.unionByName(found)
+    if cand is None:
+        return spark.createDataFrame([], schema)
+    # a document's chunks may sit in several partitions or batches: best chunk overall, partially aggregated
+    best = cand.groupBy("query_id", key).agg(F.max(F.struct("closeness", (-F.col("p")).alias("np"))).alias("b"))
+    return best.select("query_id", key, (-F.col("b.np")).alias("p"), F.col("b.closeness").alias("closeness"))
+
+
 def nn_exact(queries: DataFrame, vectors: DataFrame, k: int, key: str = "doc_id",
              part: str | None = None, vec: str = "v", qid: str = "query_id",
              qvec: str = "e") -> DataFrame:
     """J3 (+A5 when ``part`` is given): (query_id, key, p, closeness, nn_rank) for the
     k closest documents per query by angular closeness; a document's closeness
     is its closest chunk's."""
-    qv = queries.select(F.col(qid).alias("query_id"), F.col(qvec).alias("e")).filter(F.col("e").isNotNull())
-    key_type = vectors.schema[key].dataType
-    q_type = qv.schema["query_id"].dataType
-    schema = T.StructType([T.StructField("query_id", q_type), T.StructField(key, key_type),
-                           T.StructField("p", T.LongType()), T.StructField("closeness", T.DoubleType())])
-    cols = [key, vec] + ([part] if part else [])
-    vsel = spread(vectors.select(*cols))
-    if part:
-        vsel = vsel.withColumn(part, F.col(part).cast("long"))
-    # one capped collect of the query matrix; above the cap the queries run in hash blocks
-    head = qv.limit(MAX_QUERIES_PER_BLOCK + 1).collect()
-    if len(head) <= MAX_QUERIES_PER_BLOCK:
-        blocks = [head]
-    else:
-        n_blocks = math.ceil(qv.count() / MAX_QUERIES_PER_BLOCK)
-        blocks = (qv.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).collect() for b in range(n_blocks))
-    results = []
-    for rows in blocks:
-        if not rows:
-            continue
-        qids = np.array([r["query_id"] for r in rows])
-        qmat = np.array([np.asarray(r["e"], dtype=np.float64) for r in rows])
-        if qmat.nbytes > QUERY_BLOCK_BYTES:
-            raise ValueError("query block exceeds QUERY_BLOCK_BYTES; lower MAX_QUERIES_PER_BLOCK")
-        results.append(vsel.mapInPandas(_topk_batches(qids, qmat, key, part, vec, k), schema))
-    if not results:
-        return queries.sparkSession.createDataFrame([], schema.add("nn_rank", T.IntegerType()))
-    cand = results[0]
-    for r in results[1:]:
-        cand = cand.unionByName(r)
-    if part:
-        # a document's chunks may sit in several batches: best chunk overall
-        best = cand.groupBy("query_id", key).agg(F.max(F.struct("closeness", (-F.col("p")).alias("np"))).alias("b"))
-        cand = best.select("query_id", key, (-F.col("b.np")).alias("p"), F.col("b.closeness").alias("closeness"))
+    cand = _closenesses(queries, vectors, k, key, part, vec, qid, qvec)
     w = Window.partitionBy("query_id").orderBy(F.col("closeness").desc(), F.col(key).asc())
-    return (cand.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k))
+    return cand.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
 
 
 def closeness_all(queries: DataFrame, vectors: DataFrame, key: str = "doc_id", part: str | None = None,
                   vec: str = "v", qid: str = "query_id", qvec: str = "e") -> DataFrame:
-    """A5 for every document: best closeness per (query, document), same batched path with k = all."""
-    return nn_exact(queries, vectors, k=2**31 - 1, key=key, part=part, vec=vec, qid=qid, qvec=qvec)
+    """A5 for every document: best closeness per (query, document), a partially aggregated maximum.  The queries are a
+    stated set; nothing is ranked, so no task holds all documents of a query."""
+    return _closenesses(queries, vectors, None, key, part, vec, qid, qvec)
 
 
 def sum_over_vector_fields(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -159,7 +176,13 @@ def quantize_vectors(df: DataFrame, col: str = "embedding", out: str = "embeddin
     """bfloat16 copy of a vector column (Arrow batches, pandas UDF)."""
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _q(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else bfloat16_round(np.asarray(v, dtype=np.float32)).tolist())
+        given = s.notna().to_numpy()
+        vectors = [np.asarray(v, dtype=np.float32) for v in s[given]]
+        out = pd.Series([None] * len(s), index=s.index, dtype=object)
+        if vectors:     # one rounding pass over the whole batch
+            flat = bfloat16_round(np.concatenate(vectors))
+            out[given] = pd.Series(np.split(flat, np.cumsum([len(v) for v in vectors])[:-1]), index=s.index[given])
+        return out
 
     return df.withColumn(out, _q(F.col(col)))
 
@@ -250,9 +273,10 @@ def hashing_embed_long(df: DataFrame, key: str, col: str, dims: int = 64) -> Dat
 
 def nn_approx(queries: DataFrame, vectors: DataFrame, k: int, key: str = "doc_id", vec: str = "v",
               qid: str = "query_id", qvec: str = "e", bucket_length: float = 0.5,
-              num_tables: int = 8, max_distance: float = 1.2, seed: int = 7) -> DataFrame:
+              num_tables: int = 8, max_distance: float = 2.01, seed: int = 7) -> DataFrame:
     """Approximate neighbours with MLlib random-projection LSH on unit vectors
-    (euclidean distance d relates to cosine by d^2 = 2 - 2 cos)."""
+    (euclidean distance d relates to cosine by d^2 = 2 - 2 cos; unit vectors are at most 2 apart, so the default
+    ``max_distance`` drops no neighbour that shares a bucket)."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 

@@ -25,26 +25,6 @@ def top_k(df: DataFrame, score, k: int, key: str = "doc_id", qid: str = "query_i
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
-def rerank(df: DataFrame, phase1: Column, phase2, n: int, key: str = "doc_id",
-           qid: str = "query_id", window_features: dict | None = None) -> DataFrame:
-    """Phase-2 score on the top n by phase 1 only; the rest follows by phase 1.
-
-    ``phase2`` is a Column, or a callable taking the reranked rows' DataFrame
-    (for features such as normalize_linear that see only reranked rows).
-    Output adds phase1, phase1_rank, reranked, phase2, score, rank.
-    """
-    w1 = Window.partitionBy(qid).orderBy(F.col("phase1").desc(), F.col(key).asc())
-    ranked = df.withColumn("phase1", phase1).withColumn("phase1_rank", F.row_number().over(w1))
-    ranked = ranked.withColumn("reranked", F.col("phase1_rank") <= n)
-    if callable(phase2):
-        ranked = phase2(ranked)
-    else:
-        ranked = ranked.withColumn("phase2", F.when(F.col("reranked"), phase2))
-    ranked = ranked.withColumn("score", F.when(F.col("reranked"), F.col("phase2")).otherwise(F.col("phase1")))
-    w2 = Window.partitionBy(qid).orderBy(F.col("reranked").desc(), F.col("score").desc(), F.col(key).asc())
-    return ranked.withColumn("rank", F.row_number().over(w2))
-
-
 def normalize_linear(df: DataFrame, col: str, out: str, qid: str = "query_id",
                      only: Column | None = None) -> DataFrame:
     """(x - min)/(max - min) over the rows of one query (restricted to ``only``); 0 if max = min."""
@@ -101,7 +81,7 @@ def distributed_rank(df: DataFrame, order: list[Column], key: str = "doc_id", qi
     import pandas as pd
     from pyspark.sql import types as T
 
-    from sagebrush.session import broadcast_if_small
+    from sagebrush.session import BROADCAST_LIMIT_BYTES
 
     spark = df.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -123,7 +103,9 @@ def distributed_rank(df: DataFrame, order: list[Column], key: str = "doc_id", qi
                 seen[q] = seen.get(q, 0) + int(c)
             yield pdf
 
-    ranked = s.mapInPandas(local, schema).join(broadcast_if_small(offsets), ["_pid", qid])
+    # partitions + queries rows at most: counted, so a proven bound decides whether they travel
+    few = counts.count() * 64 <= BROADCAST_LIMIT_BYTES
+    ranked = s.mapInPandas(local, schema).join(F.broadcast(offsets) if few else offsets, ["_pid", qid])
     r = F.col("_off") + F.col("_local") + F.lit(1)
     if base is not None:
         r = r + base

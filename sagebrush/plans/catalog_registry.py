@@ -91,3 +91,40 @@ def q_plain_autocomplete(spark, sf):
     q, d, _ = _files(spark, sf)
     out = rank(q, d, None, "mail_attachment", "autocomplete", "doc_id", {"filename": "title"}, None, _p())
     return tidy(out.select("query_id", "doc_id", "rank", "score"))
+
+
+@register("R14_event_default_native", sql=two_phase_sql(
+    _file_ctes(), "doc_id", "files_v", "updatedAt", "(0.5e0 * vector_score + 0.5e0 * cnr)",
+    "(0.5e0 * vector_score + 0.5e0 * cnr) * doc_recency", N_RR).replace("7890000e0", "7776000e0"), views=FILE_VIEWS)
+def q_event_native(spark, sf):
+    q, d, v = _files(spark, sf)
+    return _two_out(rank(q, d, v, "event", "default_native", "doc_id", {"name": "title", "description": "body"},
+                         "updatedAt", _p()))
+
+
+@register("R14_mail_default_native", sql=ORACLE["R10_mail_people_search"])
+def q_mail_native(spark, sf):
+    q, d = view(spark, sf, "mail_queries_v"), view(spark, sf, "mails_v")
+    fields = {"subject": "subject", "chunks": "body", "from": "from_addr", "to": "to_addr", "cc": "cc", "bcc": "bcc"}
+    return _two_out(rank(q, d, view(spark, sf, "chunk_vectors_v"), "mail", "default_native", "doc_id", fields,
+                         "timestamp", _p()))
+
+
+@register("R14_kb_items_default_native", sql=ORACLE["R6_attachment_search"])
+def q_kb_native(spark, sf):
+    q, d = view(spark, sf, "queries_v"), view(spark, sf, "files_img_v")
+    fields = {"fileName": "title", "chunks": "body", "image_chunks": "image_chunks"}
+    return _two_out(rank(q, d, view(spark, sf, "text_vectors_v"), "kb_items", "default_native", "doc_id", fields,
+                         "updatedAt", _p(), image_vectors=view(spark, sf, "image_vectors_v")))
+
+
+@register("R14_ticket_bm25_with_resolution", sql=one_phase_sql(",\n".join([
+    text_block("queries_v", "files_v", "doc_id", {"title": "title", "chunks": "body", "res": "split_part(body, chr(10), 2)"}),
+    cand_block("doc_id", ["title", "chunks", "res"], False)]), "doc_id", "2e0 * bm25_title + 1.5e0 * bm25_chunks + 1e0 * bm25_res"),
+    views=["queries_v", "files_v"])
+def q_ticket_resolution(spark, sf):
+    q, d, _ = _files(spark, sf)
+    d = d.selectExpr("*", "split_part(body, chr(10), 2) AS resolution")
+    out = rank(q, d, None, "ticket", "default_bm25", "doc_id", {"subject": "title", "description": "body",
+                                                               "wholeResolutionSummary": "resolution"}, "updatedAt", _p())
+    return tidy(out.select("query_id", "doc_id", "rank", "score"))

@@ -8,6 +8,7 @@ from sagebrush.operators import derive as D
 from sagebrush.operators import relations as RL
 from sagebrush.operators import textindex as TI
 from sagebrush.plans import search as S
+from sagebrush import schemas as SC
 from sagebrush.plans.registry import register, sql_tokens, tidy
 from sagebrush.sources.tables import view
 
@@ -163,14 +164,41 @@ def q_copy_field(spark, sf):
     return tidy(D.copy_field(view(spark, sf, "part"), "p_name", "p_name_fuzzy").select("p_partkey", "p_name_fuzzy"))
 
 
+_FILE_FIELDS = {"title": "title", "app": "app", "entity": "entity", "docId": "doc_id", "chunks": "body"}
+
+
 @register("P8_summary", sql="SELECT title, app, entity, doc_id AS docId FROM files_v", views=["files_v"])
 def q_summary(spark, sf):
-    return tidy(D.summary(view(spark, sf, "files_v"), "file.autocomplete"))
+    return tidy(SC.summary(view(spark, sf, "files_v"), "file", "autocomplete", _FILE_FIELDS))
+
+
+@register("P8_summary_mail", sql="SELECT subject, body AS chunks_summary, to_addr AS \"to\", cc, bcc FROM mails_v", views=["mails_v"])
+def q_summary_mail(spark, sf):
+    return tidy(SC.summary(view(spark, sf, "mails_v"), "mail", "default", {"subject": "subject", "chunks": "body", "to": "to_addr",
+                                                                         "cc": "cc", "bcc": "bcc"}))
+
+
+@register("P8_summary_user", sql="SELECT name, email, c_custkey AS photoLink FROM people_v", views=["people_v"])
+def q_summary_user(spark, sf):
+    return tidy(SC.summary(view(spark, sf, "people_v"), "user", "autocomplete", {"name": "name", "email": "email", "photoLink": "c_custkey"}))
+
+
+@register("P8_summary_ticket", sql="SELECT o_orderpriority AS description, o_orderstatus AS \"wholeResolutionSummary\" FROM orders")
+def q_summary_ticket(spark, sf):
+    return tidy(SC.summary(view(spark, sf, "orders"), "ticket", "default", {"description": "o_orderpriority", "wholeResolutionSummary": "o_orderstatus"}))
+
+
+@register("F5_fieldset_file_default", sql=f"""WITH qt AS (SELECT query_id, list_distinct({sql_tokens('qtext')}) AS terms FROM queries_v)
+SELECT DISTINCT CAST(q.query_id AS BIGINT) AS query_id, d.doc_id FROM files_v d, qt q
+WHERE len(list_intersect(list_concat(list_concat({sql_tokens('d.title')}, {sql_tokens('d.body')}), list_concat({sql_tokens('d.app')}, {sql_tokens('d.entity')})), q.terms)) > 0""",
+          views=["queries_v", "files_v"])
+def q_fieldset(spark, sf):
+    return tidy(SC.match_fieldset(view(spark, sf, "queries_v"), view(spark, sf, "files_v"), "doc_id", "file", "default", _FILE_FIELDS))
 
 
 _HL_SQL = f"""WITH qt AS (SELECT query_id, list_distinct({sql_tokens('qtext')}) AS terms FROM queries_v),
 m AS (SELECT DISTINCT q.query_id, d.doc_id, d.text, q.terms FROM documents d, qt q
-      WHERE d.lang = 'en' AND len(list_intersect({sql_tokens('d.text')}, q.terms)) > 0),
+      WHERE len(list_intersect({sql_tokens('d.text')}, q.terms)) > 0),
 r AS (SELECT query_id, doc_id, regexp_extract_all(text, '([\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+)', 1) AS runs, terms FROM m)
 SELECT CAST(query_id AS BIGINT) AS query_id, doc_id,
        md5(array_to_string(list_transform(runs, lambda x: CASE WHEN list_contains(terms, lower(x))
@@ -182,7 +210,7 @@ FROM r"""
 @register("P9_highlight", sql=_HL_SQL, views=["queries_v"])
 def q_highlight(spark, sf):
     q = view(spark, sf, "queries_v")
-    d = view(spark, sf, "documents").filter(F.col("lang") == "en")
+    d = view(spark, sf, "documents")
     hits = TI.match_any(q, d, "doc_id", {"text": S.tokens("text")})
     hl = D.highlight(hits.join(d.select("doc_id", "text"), "doc_id"), "text", q)
     return tidy(hl.select("query_id", "doc_id", F.md5("text_highlighted").alias("h"),

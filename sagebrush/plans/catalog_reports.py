@@ -57,8 +57,8 @@ def q_ticket_sla(spark, sf):
 
 @register("A15_ticket_report", sql=f"""WITH {_SLA_SQL}
 SELECT CAST(department_id AS BIGINT) AS department_id, status, count(*) AS tickets, round(avg(age_days), 6) AS mean_age_days,
-       round(quantile_cont(floor(days_to_close), 0.5), 6) AS p50_days_to_close,
-       round(quantile_cont(floor(days_to_close), 0.9), 6) AS p90_days_to_close,
+       round(quantile_cont(days_to_close, 0.5), 6) AS p50_days_to_close,
+       round(quantile_cont(days_to_close, 0.9), 6) AS p90_days_to_close,
        sum(CAST(overdue AS INTEGER)) AS overdue
 FROM sla GROUP BY department_id, status""", views=["tickets_v"])
 def q_ticket_report(spark, sf):

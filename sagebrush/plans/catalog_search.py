@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sagebrush.operators import textindex as TI
 from sagebrush.operators import vectors as V
 from sagebrush.plans import search as S
+from sagebrush.session import broadcast_if_small
 from sagebrush.plans.registry import register, sql_closeness, sql_tokens, tidy
 from sagebrush.plans.sqlgen import _osum_fix
 from sagebrush.sources.tables import view
@@ -144,7 +145,7 @@ def q_terms_join(spark, sf):
     queries, files, _ = _inputs(spark, sf)
     qt = TI.query_tokens(queries)
     post = TI.token_table(files, "doc_id", S.file_spec().text_fields, terms=qt.select("token"))
-    return tidy(post.join(F.broadcast(qt), "token").select("query_id", "doc_id", "field", "token"))
+    return tidy(post.join(broadcast_if_small(qt), "token").select("query_id", "doc_id", "field", "token"))
 
 
 @register("J3_nn_exact", sql=f"""WITH {SQL_VEC}
@@ -165,6 +166,46 @@ def q_hybrid_search(spark, sf):
     return _search_out(S.hybrid_search(queries, files, vecs, _params(), profile="default_native"))
 
 
+_VISIBLE = "(SELECT doc_id FROM files_v WHERE app IN ('src1', 'src2', 'src3', 'src5'))"
+
+
+def _visible_sql(hits: int | None) -> str:
+    """R1 among visible documents: candidates of both kinds are visible, statistics are those of the whole table."""
+    sql = _two_phase_sql("(0.5e0 * vector_score + 0.5e0 * cnr)", "(0.5e0 * vector_score + 0.5e0 * cnr) * doc_recency")
+    sql = sql.replace("FROM queries_v q, chunk_vectors_v cv)", f"FROM queries_v q, chunk_vectors_v cv WHERE cv.doc_id IN {_VISIBLE})")
+    sql = sql.replace("FROM wide w FULL OUTER JOIN", f"FROM (SELECT * FROM wide WHERE doc_id IN {_VISIBLE}) w FULL OUTER JOIN")
+    return sql if hits is None else f"SELECT * FROM ({sql}) WHERE rank <= {hits}"
+
+
+def _visible_search(spark, sf, hits=None):
+    queries, files, vecs = _inputs(spark, sf)
+    p = _params(where=F.col("app").isin("src1", "src2", "src3", "src5"), hits=hits)
+    return _search_out(S.hybrid_search(queries, files, vecs, p, profile="default_native"))
+
+
+@register("R1_visible_search", sql=_visible_sql(None), views=["queries_v", "files_v", "chunk_vectors_v"])
+def q_visible_search(spark, sf):
+    return _visible_search(spark, sf)
+
+
+@register("R1_visible_search_hits", sql=_visible_sql(10), views=["queries_v", "files_v", "chunk_vectors_v"])
+def q_visible_search_hits(spark, sf):
+    return _visible_search(spark, sf, hits=10)
+
+
+_QALPHA = "(0.2e0 + 0.1e0 * query_id)"
+
+
+@register("X3_query_parameters", sql=_two_phase_sql(
+    f"({_QALPHA} * vector_score + (1e0 - {_QALPHA}) * cnr)", f"({_QALPHA} * vector_score + (1e0 - {_QALPHA}) * cnr) * doc_recency")
+    .replace("1e0 + 0.1e0 * sqrt", "1e0 + (0.05e0 * query_id) * sqrt"), views=["queries_v", "files_v", "chunk_vectors_v"])
+def q_query_parameters(spark, sf):
+    queries, files, vecs = _inputs(spark, sf)
+    queries = queries.withColumn("alpha", F.lit(0.2) + F.lit(0.1) * F.col("query_id")).withColumn(
+        "recency_decay_rate", F.lit(0.05) * F.col("query_id"))
+    return _search_out(S.hybrid_search(queries, files, vecs, _params(), profile="default_native"))
+
+
 def _index(spark, sf):
     """Build the persisted text index of files_v under the shared checkpoint folder."""
     from sagebrush.plans.catalog_logs import scratch_path

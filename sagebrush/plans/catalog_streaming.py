@@ -103,46 +103,23 @@ def q_stream_metrics(spark, sf):
                 .select("window_start", "target", "last", "mean", "samples"))
 
 
-# rate limit test parameters: 1 request/min, burst 1, keyed by response status class
-_RL_RATE, _RL_BURST = 1, 1
-
-
-def _rl_input(spark, sf):
-    a = view(spark, sf, "access_v")
-    return a.select(F.col("status").cast("string").alias("k"), "event_id", epoch_ms("ts").alias("ts_ms"))
-
-
-@register("T5_rate_limit", sql=f"""WITH RECURSIVE ev AS (SELECT CAST(status AS VARCHAR) AS key, event_id, epoch_us(ts) // 1000 AS ts_ms,
-    row_number() OVER (PARTITION BY CAST(status AS VARCHAR) ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM access_v),
-st(key, rn, event_id, ts_ms, excess, last_ms, allowed, e) AS (
-  SELECT key, rn, event_id, ts_ms, CAST(0 AS BIGINT), ts_ms, true, CAST(0 AS BIGINT) FROM ev WHERE rn = 1
-  UNION ALL
-  SELECT n.key, n.rn, n.event_id, n.ts_ms,
-    CASE WHEN greatest(s.excess - {_RL_RATE * 1000 // 60} * abs(n.ts_ms - s.last_ms) // 1000 + 1000, 0) > {_RL_BURST * 1000}
-         THEN s.excess ELSE greatest(s.excess - {_RL_RATE * 1000 // 60} * abs(n.ts_ms - s.last_ms) // 1000 + 1000, 0) END,
-    CASE WHEN greatest(s.excess - {_RL_RATE * 1000 // 60} * abs(n.ts_ms - s.last_ms) // 1000 + 1000, 0) > {_RL_BURST * 1000}
-         THEN s.last_ms ELSE n.ts_ms END,
-    greatest(s.excess - {_RL_RATE * 1000 // 60} * abs(n.ts_ms - s.last_ms) // 1000 + 1000, 0) <= {_RL_BURST * 1000},
-    greatest(s.excess - {_RL_RATE * 1000 // 60} * abs(n.ts_ms - s.last_ms) // 1000 + 1000, 0)
-  FROM st s JOIN ev n ON n.key = s.key AND n.rn = s.rn + 1)
-SELECT key, event_id, ts_ms, allowed, e AS excess,
-  CASE WHEN allowed THEN e * 1000 // {_RL_RATE * 1000 // 60} END AS delay_ms FROM st""", views=["access_v"])
-def q_rate_limit(spark, sf):
-    return tidy(ST.rate_limit(_rl_input(spark, sf), "k", "ts_ms", "event_id", _RL_RATE, _RL_BURST))
-
+# limit of the checked queries: two requests a minute and one in a burst, keyed by response status
+_RL_RATE, _RL_BURST = 2, 1
+_RL_SQL = f"""SELECT CAST(status AS VARCHAR) AS key, CAST(floor(epoch(ts) / 60) * 60 AS BIGINT) AS window_start, count(*) AS requests,
+  greatest(count(*) - {_RL_RATE + _RL_BURST}, 0) AS over FROM access_v GROUP BY 1, 2"""
 
-def _t5_sql() -> str:
-    from sagebrush.plans.registry import ORACLE
 
-    return ORACLE["T5_rate_limit"]
+@register("T5_rate_limit", sql=_RL_SQL, views=["access_v"])
+def q_rate_limit(spark, sf):
+    return tidy(ST.requests_over_limit(view(spark, sf, "access_v"), "status", "ts", _RL_RATE, _RL_BURST))
 
 
-@register("T5_rate_limit_stream", sql=_t5_sql())
+@register("T5_rate_limit_stream", sql=_RL_SQL, views=["access_v"])
 def q_rate_limit_stream(spark, sf):
-    stream = _stream_copy(spark, _rl_input(spark, sf), "requests", n_files=1)
+    stream = _stream_copy(spark, view(spark, sf, "access_v").select("ts", "status"), "requests", max_files=None, order_by="ts")
     sink, ck = scratch_path(spark, "rl"), scratch_path(spark, "ck-rl")
-    ST.run_to_sink(ST.rate_limit_stream(stream, "k", "ts_ms", "event_id", _RL_RATE, _RL_BURST), sink, ck)
-    return tidy(spark.read.parquet(sink))
+    ST.run_update_to_versions(ST.requests_over_limit(stream, "status", "ts", _RL_RATE, _RL_BURST), sink, ck)
+    return tidy(ST.read_latest_versions(spark, sink, ["key", "window_start"]).select("key", "window_start", "requests", "over"))
 
 
 @register("T7_stream_embed", sql="""WITH t AS (SELECT doc_id AS k, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '^[^\\p{L}\\p{N}]+', ''), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS tok FROM documents),

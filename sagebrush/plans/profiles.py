@@ -34,6 +34,10 @@ class Schema:
     divide_by_matched: bool = True        # chat_user sums without dividing (Q-table §2.10)
     vector: str | None = "chunks"         # "chunks" (mixed p -> v), "single", or None
     name: str | None = None               # the field of nativeRank(name) profiles
+    score_only: list[str] = field(default_factory=list)   # searched and weighted, but in no combined function
+    image: bool = False                   # vector_score adds the closeness of image chunks
+    people: list[str] = field(default_factory=list)       # fields of the people score
+    age_default_s: float = C.THREE_MONTHS_S
 
 
 # --- fixed values: base functions per schema ------------------------------------------------------
@@ -47,17 +51,20 @@ SCHEMAS: dict[str, Schema] = {
                         divide_by_matched=False, name="name"),
     "chat_memory": Schema(["text"], age="createdAt", vector="single"),
     "episodic_memory": Schema(["memoryText"], age="lastUsedAt", vector="single"),
-    "mail": Schema(["subject", "chunks"], age="timestamp", bin_age="timestamp", name="subject"),
+    "mail": Schema(["subject", "chunks"], age="timestamp", bin_age="timestamp", name="subject",
+                   people=["from", "to", "cc", "bcc"]),
     "mail_attachment": Schema(["filename", "chunks"], age="timestamp", bin_age="timestamp", name="filename"),
     "file": Schema(["title", "chunks"], age="updatedAt", bin_age="updatedAt", name="title"),
     "kb_items": Schema(["fileName", "chunks", "image_chunks", "description"], age="updatedAt", bin_age="updatedAt",
-                       name="fileName"),
+                       name="fileName", image=True),
     "datasource": Schema(["name"], vector=None, name="name"),
     "datasource_file": Schema(["fileName", "chunks", "image_chunks"], age="updatedAt", bin_age="updatedAt",
-                              name="fileName"),
+                              name="fileName", image=True),
     "event": Schema(["name", "description", "url"], age="updatedAt", bin_age="startTime",
-                    meta={"attachmentFilenames": 0.2, "attendeesNames": 0.2}, name="name"),
-    "ticket": Schema(["subject", "description", "threadSummary", "commentSummary"], age="createdTime", name="subject"),
+                    meta={"attachmentFilenames": 0.2, "attendeesNames": 0.2}, name="name",
+                    age_default_s=C.THREE_MONTHS_S_EVENT_INITIAL),
+    "ticket": Schema(["subject", "description", "threadSummary", "commentSummary"], age="createdTime", name="subject",
+                     score_only=["wholeResolutionSummary"]),
     "user": Schema(["name", "email"], bin_age="lastLoggedIn", vector=None, name="name"),
     "user_query": Schema(["query_text"], age="timestamp", vector=None),
 }
@@ -141,7 +148,7 @@ PROFILES: dict[tuple[str, str], tuple[str, dict]] = {
     ("datasource_file", "autocomplete"): ("autocomplete", {"fields": ["fileName"]}),
     ("event", "initial"): ("initial", {}),
     ("event", "default_native"): (N, {}),
-    ("event", "global_sorted"): (G, {"variant": "binned_raw", "default_s": C.THREE_MONTHS_S_EVENT_INITIAL}),
+    ("event", "global_sorted"): (G, {"variant": "binned_raw"}),
     ("event", "default_bm25"): (B, {}),
     ("event", "default_ai"): (A, {}),
     ("event", "default_random"): (R, {}),
@@ -173,26 +180,25 @@ def _spec(schema: str, key: str, field_map: dict[str, str], age_col: str | None)
     sc = SCHEMAS[schema]
     prim = [f for f in sc.fields if f in field_map]
     meta = {f: w for f, w in sc.meta.items() if f in field_map}
-    fields = {f: tokens(field_map[f]) for f in prim + list(meta)}
-    return S.DocSpec(key, fields, age_col=age_col), prim, meta
+    others = [f for f in sc.score_only + sc.people if f in field_map]
+    fields = {f: tokens(field_map[f]) for f in prim + list(meta) + others}
+    return S.DocSpec(key, fields, age_col=age_col, age_default_s=sc.age_default_s), prim, meta
 
 
 def rank(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, schema: str, name: str, key: str,
          field_map: dict[str, str], age_col: str | None = None, p: S.Params | None = None,
-         part: str | None = "p") -> DataFrame:
-    """Run profile ``schema.name`` over ``docs`` (columns named by ``field_map``)."""
+         part: str | None = "p", image_vectors: DataFrame | None = None) -> DataFrame:
+    """Run profile ``schema.name`` over ``docs`` (columns named by ``field_map``); ``image_vectors`` are the image chunks of
+    the types that score them."""
     fam, kw = profile(schema, name)
-    p = p or S.Params()
+    p = S.sized(p, queries)
     sc = SCHEMAS[schema]
     spec, prim, meta = _spec(schema, key, field_map, age_col)
     if fam == "initial":
         raise ValueError("`initial` profiles only declare shared functions; they have no phases")
     if fam == "sort_attr":
-        w = __import__("pyspark.sql", fromlist=["Window"]).Window
-        cands = S.prepare(queries, docs, vectors, spec, p, part)
-        cands = S.attach_attrs(cands, docs, spec, [kw["attr"]], bounded=False)
-        order = w.partitionBy("query_id").orderBy(F.col(kw["attr"]).desc_nulls_last(), F.col(key).asc())
-        return cands.withColumn("score", F.col(kw["attr"]).cast("double")).withColumn("rank", F.row_number().over(order))
+        cands = S.attach_attrs(S.prepare(queries, docs, vectors, spec, p, part), docs, spec, [kw["attr"]])
+        return S.one_phase(cands, spec, F.col(kw["attr"]).cast("double"), p)
     if fam == "memory":
         return S.memory_search(queries, docs, vectors, spec, p, importance_col=kw.get("importance"))
     if fam == "query_log":
@@ -215,7 +221,17 @@ def rank(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, schema:
         return S.one_phase(cands, spec, score, p)
 
     use_vec = vectors if (sc.vector and not kw.get("text_only")) else None
+    if use_vec is not None and sc.image and image_vectors is not None:
+        use_vec = (vectors, image_vectors)
     cands = S.prepare(queries, docs, use_vec, spec, p, part if sc.vector == "chunks" else None)
+    others = set(spec.text_fields) - set(prim) - set(meta)
+    if others:
+        # the people of mail count as matched fields but enter through their own score; other fields only by weight
+        matched = [F.col(f"matches_{f}") for f in [*prim, *(f for f in sc.people if f in others)]]
+        cands = (cands.withColumn("matched_field_count", K.matched_field_count(matched))
+                 .withColumn("combined_nativeRank", S.combined_native(prim)).withColumn("combined_bm25", S.combined_bm25(prim)))
+        if all(f in others for f in sc.people) and sc.people and fam in (N, A, G):
+            cands = S.mail_native(cands, queries)
     if not sc.divide_by_matched:
         cands = cands.withColumn("combined_nativeRank", sum((F.col(f"native_{f}") for f in prim), F.lit(0.0)))
     if meta:
@@ -226,7 +242,7 @@ def rank(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, schema:
                                   K.matched_field_count([F.col(f"matches_{f}") for f in prim]))
                  .withColumn("combined_nativeRank", cnr_prim + extra_n)
                  .withColumn("combined_bm25", sum((F.col(f"bm25_{f}") for f in prim), F.lit(0.0)) + extra_b))
-    a = F.lit(float(p.alpha))
+    a = S.param(cands, "alpha", p.alpha)
     vs = F.col("vector_score")
     decay = kw.get("decay")
     v1 = vs * F.lit(C.VECTOR_DECAY) if decay == "first" else vs
@@ -257,7 +273,7 @@ def rank(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, schema:
         p1 = K.hybrid(a, vs, text)
         p2 = factor * K.hybrid(a, vs, text)
         if kw.get("freshness"):
-            cands = S.attach_attrs(cands, docs, spec, [spec.age_col], bounded=False)
+            cands = S.attach_attrs(cands, docs, spec, [spec.age_col])
             cands = cands.withColumn("freshness_score", K.freshness_score(F.col(spec.age_col), p.now_s))
             return S.two_phase(cands.drop(spec.age_col), docs, spec, p, p1, p2 * F.col("freshness_score"),
                                recency=False)
@@ -265,7 +281,7 @@ def rank(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, schema:
     if fam == "people":
         return S.two_phase(cands, docs, spec, p, cnr, K.boost(cnr, kw["factor"]), recency=False)
     if fam == "weighted_bm25":
-        text = K.weighted([(w, F.col(f"bm25_{f}")) for f, w in TICKET_WEIGHTS.items() if f in prim])
+        text = K.weighted([(w, F.col(f"bm25_{f}")) for f, w in TICKET_WEIGHTS.items() if f in spec.text_fields])
         score = K.hybrid(a, vs, text) if kw.get("vector") else text
         return S.one_phase(cands, spec, score, p)
     if fam == G:
@@ -279,12 +295,12 @@ def _global_sorted(cands: DataFrame, docs: DataFrame, spec: S.DocSpec, p: S.Para
                    cnr: Column) -> DataFrame:
     from sagebrush.operators.windows import global_sorted
 
-    cands = S.attach_attrs(cands, docs, spec, [spec.age_col], bounded=False)
+    cands = S.attach_attrs(cands, docs, spec, [spec.age_col])
     vs = F.col("vector_score") * (F.lit(C.VECTOR_DECAY) if kw.get("decay") else F.lit(1.0))
     text = cnr * F.lit(float(kw.get("text_factor", 1.0)))
     rel = K.hybrid(a, vs, text) if "text_factor" not in kw else text
     days = K.document_age_days(F.col(spec.age_col), p.now_s, kw.get("default_s", C.THREE_MONTHS_S))
-    b = K.recency_bin_index(days, p.bin_size_days)
+    b = K.recency_bin_index(days, S.param(cands, "bin_size_days", p.bin_size_days))
     if kw["variant"] == "binned_clamped":
         mult, used = C.BIN_MULTIPLIER_CLAMPED, K.normalized_hybrid(rel, C.BIN_MULTIPLIER_CLAMPED)
     else:

@@ -22,9 +22,11 @@ ORACLE: dict[str, str] = {}
 def register(name: str, sql: str | None = None, views: tuple[str, ...] | list[str] = ()):
     def deco(fn):
         def run(spark, sf_dir):
-            from sagebrush.session import ensure_checkpoint_dir
+            from sagebrush.session import ensure_checkpoint_dir, ship_package, spread_locally
 
             ensure_checkpoint_dir(spark)
+            ship_package(spark)
+            spread_locally(spark)
             # the fixtures are defined in UTC (timestamp_ntz columns read as UTC wall-clock time)
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(spark, sf_dir)

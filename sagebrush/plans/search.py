@@ -8,7 +8,7 @@ top-n -> document attributes joined to the *bounded* top-n side only
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from sagebrush import config as C
 from sagebrush.functions import scoring as K
 from sagebrush.functions.text import tokens
-from sagebrush.operators.textindex import text_features, wide_text_features
+from sagebrush.operators.textindex import wide_features, wide_text_features
 from sagebrush.operators.vectors import nn_exact
-from sagebrush.session import broadcast_if_small
+from sagebrush.session import BROADCAST_LIMIT_BYTES, broadcast_if_small
 
 
 @dataclass
@@ -28,6 +28,7 @@ class DocSpec:
     text_fields: dict[str, Column]            # field name -> token array expression
     age_col: str | None = None                # epoch ms
     attrs: list[str] = field(default_factory=list)
+    age_default_s: float = C.THREE_MONTHS_S   # age of a document without a time
 
 
 def file_spec() -> DocSpec:
@@ -47,35 +48,74 @@ class Params:
     hits: int | None = None                   # keep only the best `hits` per query
     seed: str = "0"
     text_index: str | None = None             # path of a persisted text index (build_text_index)
-    n_queries: int | None = None              # filled from the queries table (bounds the top-n side)
+    where: Column | None = None               # F1/F3/F4/F7: which documents the caller may find
+    n_queries: int | None = None              # number of queries, set by sized() (bounds the top-n side)
 
 
-# The reranked side (rerank_count rows per query) is broadcast only up to this many rows.
-MAX_BROADCAST_TOP_ROWS = 2_000_000
+def sized(p: Params | None, queries: DataFrame) -> Params:
+    """A copy of ``p`` that knows the number of queries (a parameter table: cheap to count)."""
+    return replace(p or Params(), n_queries=queries.count())
+
+
+def visible(docs: DataFrame, spec: DocSpec, p: Params) -> DataFrame:
+    """Keys of the documents that a search may return."""
+    return (docs if p.where is None else docs.filter(p.where)).select(spec.key)
+
+
+def vector_candidates(queries: DataFrame, vectors, docs: DataFrame, spec: DocSpec, p: Params, part: str | None) -> DataFrame:
+    """(query_id, key, vector_score): nearest *visible* documents.  The filter comes before the top-k, so a query gets its
+    ``target_hits`` among what it may see, and a vector without a document is never a candidate.  A pair
+    (text, image) of vector tables gives the sum of both closenesses (A6)."""
+    from sagebrush.operators.vectors import sum_over_vector_fields
+
+    keys = broadcast_if_small(visible(docs, spec, p))
+    near = [nn_exact(queries, v.join(keys, spec.key, "left_semi"), p.target_hits, key=spec.key, part=part)
+            for v in (vectors if isinstance(vectors, (tuple, list)) else [vectors])]
+    if len(near) == 2:
+        return sum_over_vector_fields(*near, spec.key)
+    return near[0].select("query_id", spec.key, F.col("closeness").alias("vector_score"))
+
+
+def with_vectors(lexical: DataFrame, vec: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """Text and vector candidates, a missing side scores 0."""
+    fills = {"vector_score": 0.0}
+    for f in names:
+        fills.update({f"bm25_{f}": 0.0, f"native_{f}": 0.0, f"matches_{f}": 0})
+    return lexical.join(vec, ["query_id", key], "full_outer").fillna(fills)
 
 
 def features(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, spec: DocSpec,
              p: Params, part: str | None = "p") -> DataFrame:
     """U2 candidates with every base feature: bm25_/native_/matches_<field>, vector_score."""
     names = list(spec.text_fields)
-    if p.n_queries is None:
-        p.n_queries = queries.count()         # the queries table is a parameter table: cheap
     if p.text_index:
         from sagebrush.operators.textindex import text_features_indexed
 
-        feats = text_features_indexed(queries, p.text_index, spec.key)
+        lexical = wide_text_features(text_features_indexed(queries, p.text_index, spec.key), spec.key, names)
     else:
-        feats = text_features(queries, docs, spec.key, spec.text_fields)
-    lexical = wide_text_features(feats, spec.key, names)
+        lexical = wide_features(queries, docs, spec.key, spec.text_fields)
+    if p.where is not None or p.text_index:
+        # statistics are those of the whole table, as in an index; only the candidates are filtered
+        lexical = lexical.join(broadcast_if_small(visible(docs, spec, p)), spec.key, "left_semi")
     if vectors is None:
-        return lexical.withColumn("vector_score", F.lit(0.0))
-    vec = nn_exact(queries, vectors, p.target_hits, key=spec.key, part=part)
-    vec = vec.select("query_id", spec.key, F.col("closeness").alias("vector_score"))
-    j = lexical.join(vec, ["query_id", spec.key], "full_outer")
-    fills = {"vector_score": 0.0}
-    for f in names:
-        fills.update({f"bm25_{f}": 0.0, f"native_{f}": 0.0, f"matches_{f}": 0})
-    return j.fillna(fills)
+        return with_params(lexical.withColumn("vector_score", F.lit(0.0)), queries)
+    return with_params(with_vectors(lexical, vector_candidates(queries, vectors, docs, spec, p, part), spec.key, names), queries)
+
+
+QUERY_PARAMS = ("alpha", "recency_decay_rate", "bin_size_days")
+
+
+def param(cands: DataFrame, name: str, default: float) -> Column:
+    """A query input; the query's own value where the queries table has the column, else the call's."""
+    return F.col(f"_{name}") if f"_{name}" in cands.columns else F.lit(float(default))
+
+
+def with_params(cands: DataFrame, queries: DataFrame) -> DataFrame:
+    own = [c for c in QUERY_PARAMS if c in queries.columns]
+    if not own:
+        return cands
+    side = queries.select("query_id", *[F.col(c).cast("double").alias(f"_{c}") for c in own])
+    return cands.join(broadcast_if_small(side), "query_id")
 
 
 def combined_native(names: list[str]) -> Column:
@@ -89,21 +129,20 @@ def combined_bm25(names: list[str]) -> Column:
     return out
 
 
-def attach_attrs(ranked: DataFrame, docs: DataFrame, spec: DocSpec, cols: list[str],
-                 bounded: bool | None) -> DataFrame:
-    """Document attributes for ranked rows.  When the ranked side is bounded
-    (top-n per query) it is broadcast and the document table streams through
-    without a shuffle; otherwise a plain join (AQE re-plans on real sizes)."""
+def attach_attrs(ranked: DataFrame, docs: DataFrame, spec: DocSpec, cols: list[str], max_rows: int | None = None) -> DataFrame:
+    """Document attributes for ranked rows.  Every candidate is a visible document, so the join keeps all of them
+    whichever side Spark moves; ``max_rows`` (queries x rerank_count), where known, proves the ranked side small
+    enough to travel, and the document table then streams through without a shuffle."""
     d = docs.select(spec.key, *cols)
-    if bounded:
+    row_bytes = 64 + 16 * len(ranked.columns)
+    if max_rows is not None and max_rows * row_bytes <= BROADCAST_LIMIT_BYTES:
         return d.join(F.broadcast(ranked), spec.key)
-    if bounded is None:                       # size unknown: only a proven-small side is broadcast
-        return d.join(broadcast_if_small(ranked), spec.key)
-    return ranked.join(d, spec.key, "left")
+    return ranked.join(d, spec.key)
 
 
-def _recency(spec: DocSpec, p: Params) -> Column:
-    return K.doc_recency(K.document_age(F.col(spec.age_col), p.now_s), p.recency_decay_rate)
+def _recency(df: DataFrame, spec: DocSpec, p: Params) -> Column:
+    rate = param(df, "recency_decay_rate", p.recency_decay_rate)
+    return K.doc_recency(K.document_age(F.col(spec.age_col), p.now_s, spec.age_default_s), rate)
 
 
 def two_phase(cands: DataFrame, docs: DataFrame, spec: DocSpec, p: Params,
@@ -130,9 +169,8 @@ def two_phase(cands: DataFrame, docs: DataFrame, spec: DocSpec, p: Params,
     top = (scored.withColumn("phase1_rank", F.row_number().over(w1)).filter(F.col("phase1_rank") <= p.rerank_count)
            .withColumn("reranked", F.lit(True)))
     if recency and spec.age_col:
-        small = (p.n_queries is not None and p.n_queries * p.rerank_count <= MAX_BROADCAST_TOP_ROWS) or None
-        top = attach_attrs(top, docs, spec, [spec.age_col], bounded=small)
-        top = top.withColumn("doc_recency", _recency(spec, p)).drop(spec.age_col)
+        top = attach_attrs(top, docs, spec, [spec.age_col], p.n_queries and p.n_queries * p.rerank_count)
+        top = top.withColumn("doc_recency", _recency(top, spec, p)).drop(spec.age_col)
     else:
         top = top.withColumn("doc_recency", F.lit(None).cast("double"))
     p2 = phase2(top) if callable(phase2) else phase2
@@ -172,11 +210,11 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None
     profiles: default_native (R1), default_bm25 (R2), title_boosted_hybrid (R3),
     default_ai (R4), default_random (W5).
     """
-    p = p or Params()
+    p = sized(p, queries)
     spec = spec or file_spec()
     names = list(spec.text_fields)
     cands = prepare(queries, docs, vectors, spec, p, part)
-    a = F.lit(float(p.alpha))
+    a = param(cands, "alpha", p.alpha)
     vs = F.col("vector_score")
     cnr, cbm = F.col("combined_nativeRank"), F.col("combined_bm25")
     if profile == "default_native":
@@ -208,11 +246,11 @@ def sorted_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None
     spec = spec or file_spec()
     names = list(spec.text_fields)
     cands = features(queries, docs, vectors, spec, p)
-    cands = attach_attrs(cands, docs, spec, [spec.age_col], bounded=False)
-    a = F.lit(float(p.alpha))
+    cands = attach_attrs(cands, docs, spec, [spec.age_col])
+    a = param(cands, "alpha", p.alpha)
     rel = K.hybrid(a, F.col("vector_score"), combined_native(names))
     days = K.document_age_days(F.col(spec.age_col), p.now_s)
-    b = K.recency_bin_index(days, p.bin_size_days)
+    b = K.recency_bin_index(days, param(cands, "bin_size_days", p.bin_size_days))
     if variant == "binned_clamped":
         mult, rel_used = C.BIN_MULTIPLIER_CLAMPED, K.normalized_hybrid(rel, C.BIN_MULTIPLIER_CLAMPED)
     else:
@@ -250,6 +288,7 @@ def people_search(queries: DataFrame, people: DataFrame, spec: DocSpec, p: Param
                   profile: str = "default_native") -> DataFrame:
     """R8 (user/chat_user): no first phase given -> combined_nativeRank; then
     2x (default_native) or 3x (title_boosted_hybrid) on the reranked rows."""
+    p = sized(p, queries)
     cands = prepare(queries, people, None, spec, p, None)
     factor = {"default_native": 2.0, "title_boosted_hybrid": 3.0, "default_ai": 1.0}[profile]
     cnr = F.col("combined_nativeRank")
@@ -267,17 +306,25 @@ def mail_search(queries: DataFrame, mails: DataFrame, vectors: DataFrame | None,
                 p: Params, intent_col: str = "is_intent_search") -> DataFrame:
     """R10 (mail.default_native): people-only text score for intent searches (K13), else
     subject/chunks/weighted people fields over the matched count (K11, K12)."""
-    cands = prepare(queries, mails, vectors, spec, p, "p")
-    cands = with_query_columns(cands, queries, [intent_col])
+    p = sized(p, queries)
+    cands = mail_native(prepare(queries, mails, vectors, spec, p, "p"), queries, intent_col)
+    h = K.hybrid(param(cands, "alpha", p.alpha), F.col("vector_score"), F.col("combined_nativeRank"))
+    return two_phase(cands, mails, spec, p, h, h * F.col("doc_recency"))
+
+
+def mail_native(cands: DataFrame, queries: DataFrame, intent_col: str = "is_intent_search") -> DataFrame:
+    """combined_nativeRank of mail: people only for an intent search, else subject, chunks and weighted people over
+    the matched count (K11-K13)."""
+    if intent_col in queries.columns:
+        cands = with_query_columns(cands, queries, [intent_col])
+    else:
+        cands = cands.withColumn(intent_col, F.lit(0.0))
     n = F.col
     people = K.weighted([(0.8, n("native_from")), (0.4, n("native_to")), (0.2, n("native_cc") + n("native_bcc"))])
     simple = ((n("native_from") + n("native_to")) + n("native_cc")) + n("native_bcc")
     general = (n("native_subject") + n("native_chunks") + people) / F.when(
         n("matched_field_count") == 0, F.lit(1.0)).otherwise(n("matched_field_count").cast("double"))
-    cands = cands.withColumn("combined_nativeRank", K.intent_switch(n(intent_col), simple, general))
-    a = F.lit(float(p.alpha))
-    h = K.hybrid(a, n("vector_score"), n("combined_nativeRank"))
-    return two_phase(cands, mails, spec, p, h, h * n("doc_recency"))
+    return cands.withColumn("combined_nativeRank", K.intent_switch(n(intent_col), simple, general))
 
 
 def attachment_default_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, spec: DocSpec,
@@ -286,6 +333,7 @@ def attachment_default_search(queries: DataFrame, docs: DataFrame, vectors: Data
     normalize_linear(vector_score) over the reranked rows of the query (W3)."""
     from pyspark.sql import Window
 
+    p = sized(p, queries)
     cands = prepare(queries, docs, vectors, spec, p, None)
     scaled = None
     for f in spec.text_fields:
@@ -307,22 +355,9 @@ def attachment_search(queries: DataFrame, docs: DataFrame, text_vecs: DataFrame,
                       spec: DocSpec, p: Params) -> DataFrame:
     """R6 (file.attachmentRank): text + image chunk closeness (A6) and nativeRank over
     title, chunks and image_chunks; recency in phase 2."""
-    from sagebrush.operators.vectors import sum_over_vector_fields
-
-    names = list(spec.text_fields)
-    feats = text_features(queries, docs, spec.key, spec.text_fields)
-    lexical = wide_text_features(feats, spec.key, names)
-    a6 = sum_over_vector_fields(nn_exact(queries, text_vecs, p.target_hits, key=spec.key, part="p"),
-                                nn_exact(queries, image_vecs, p.target_hits, key=spec.key, part="p"), spec.key)
-    j = lexical.join(a6, ["query_id", spec.key], "full_outer")
-    fills = {"vector_score": 0.0}
-    for f in names:
-        fills.update({f"bm25_{f}": 0.0, f"native_{f}": 0.0, f"matches_{f}": 0})
-    cands = (j.fillna(fills)
-             .withColumn("matched_field_count", K.matched_field_count([F.col(f"matches_{f}") for f in names]))
-             .withColumn("combined_nativeRank", combined_native(names)))
-    a = F.lit(float(p.alpha))
-    h = K.hybrid(a, F.col("vector_score"), F.col("combined_nativeRank"))
+    p = sized(p, queries)
+    cands = prepare(queries, docs, (text_vecs, image_vecs), spec, p, "p")
+    h = K.hybrid(param(cands, "alpha", p.alpha), F.col("vector_score"), F.col("combined_nativeRank"))
     return two_phase(cands, docs, spec, p, h, h * F.col("doc_recency"))
 
 
@@ -333,10 +368,10 @@ def memory_search(queries: DataFrame, memories: DataFrame, vectors: DataFrame, s
     The age has no default here: a missing timestamp gives a NULL score, ranked last."""
     cands = prepare(queries, memories, vectors, spec, p, None)
     extra = [spec.age_col] + ([importance_col] if importance_col else [])
-    cands = attach_attrs(cands, memories, spec, extra, bounded=False)
-    rec = K.doc_recency(K.document_age_nodefault(F.col(spec.age_col), p.now_s), p.recency_decay_rate)
+    cands = attach_attrs(cands, memories, spec, extra)
+    rec = K.doc_recency(K.document_age_nodefault(F.col(spec.age_col), p.now_s), param(cands, "recency_decay_rate", p.recency_decay_rate))
     cands = cands.withColumn("doc_recency", rec)
-    score = K.hybrid(F.lit(float(p.alpha)), F.col("vector_score"), F.col("combined_bm25")) * F.col("doc_recency")
+    score = K.hybrid(param(cands, "alpha", p.alpha), F.col("vector_score"), F.col("combined_bm25")) * F.col("doc_recency")
     if importance_col:
         score = K.importance_factor(score, F.col(importance_col))
     return one_phase(cands, spec, score, p)
@@ -347,8 +382,7 @@ def autocomplete(queries: DataFrame, docs: DataFrame, key: str, fields: list[str
     from sagebrush.functions.text import grams
 
     spec = DocSpec(key=key, text_fields={f: grams(f) for f in fields})
-    feats = text_features(queries, docs, key, spec.text_fields, gram=True)
-    wide = wide_text_features(feats, key, fields)
+    wide = wide_features(queries, docs, key, spec.text_fields, gram=True)
     return one_phase(wide.withColumn("combined_bm25", combined_bm25(fields)), spec, F.col("combined_bm25"), p)
 
 
@@ -359,11 +393,11 @@ def query_log_autocomplete(queries: DataFrame, counts: DataFrame, p: Params) ->
 
     from sagebrush.functions.text import grams
 
+    p = sized(p, queries)
     spec = DocSpec(key="qid", text_fields={"query_text": grams("query_text")}, age_col="timestamp")
-    feats = text_features(queries, counts, "qid", spec.text_fields, gram=True)
-    wide = wide_text_features(feats, "qid", ["query_text"])
+    wide = wide_features(queries, counts, "qid", spec.text_fields, gram=True)
     cands = wide.withColumn("combined_bm25", F.col("bm25_query_text"))
-    cands = attach_attrs(cands, counts, spec, ["timestamp", "count"], bounded=False)
+    cands = attach_attrs(cands, counts, spec, ["timestamp", "count"])
 
     def phase2(top: DataFrame) -> Column:
         w = Window.partitionBy("query_id")

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Plan-time broadcast bound (bytes). Spark's own runtime threshold (AQE) handles
 # everything the estimate cannot prove small.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-# spread() redistributes only inputs below this size
-SPREAD_MAX_BYTES = 1024 * 1024 * 1024
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -38,14 +38,20 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    spread_locally(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (tests) set our own."""
+    ``spark.checkpoint.dir``.  Only a local master, as in tests, may do without: there one
+    process sees the fallback folder.  On a cluster a missing setting is an error, as a
+    machine's own folder is not seen by the others."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = fallback or os.environ.get("SAGEBRUSH_CHECKPOINT_DIR") or "/tmp/sagebrush-checkpoints"
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -53,6 +59,22 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return current
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers where they would not find it: they import it by name, and a
+    session started from another folder has it neither installed nor on PYTHONPATH."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context = spark.sparkContext
+    known = [os.path.abspath(x) for x in os.environ.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if here in known or getattr(context, "_sagebrush_shipped", False):
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        archive = shutil.make_archive(os.path.join(folder, "sagebrush"), "zip", here, "sagebrush")
+        kept = os.path.join(tempfile.mkdtemp(prefix="sagebrush-package-"), "sagebrush.zip")
+        shutil.copyfile(archive, kept)  # the driver serves it for as long as the session lives
+    context.addPyFile(kept)
+    context._sagebrush_shipped = True
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer size estimate of ``df`` (an upper bound for scans/filters/projections)."""
     try:
@@ -71,16 +93,18 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
-def spread(df: DataFrame, target_bytes_per_task: int = 64 * 1024 * 1024) -> DataFrame:
-    """Before CPU-heavy per-row work (tokenising, embedding, matmul): when the
-    input is small enough that its files give fewer tasks than there are cores
-    (one row group per file), redistribute it round-robin.  Large inputs
-    already arrive as many splits and are left alone (no extra shuffle)."""
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    est = estimated_bytes(df)
-    # only inputs that are small in absolute terms: on a large cluster `par` is in the thousands and a
-    # relative threshold alone would shuffle inputs that already arrive in many splits
-    if est < min(target_bytes_per_task * par, SPREAD_MAX_BYTES):
-        return df.repartition(par)
-    return df
+SPREAD_SETTING = "sagebrush.spread.partitions"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Before CPU-heavy per-row work: deal the rows to as many tasks as ``sagebrush.spread.partitions`` says.  It is the
+    caller's choice, for inputs whose files give fewer splits than there are cores; unset, as on a cluster, rows
+    stay where they were read."""
+    n = df.sparkSession.conf.get(SPREAD_SETTING, None)
+    return df.repartition(int(n)) if n else df
+
+
+def spread_locally(spark: SparkSession) -> None:
+    """The choice of this library's own local runs: its test files have one row group each."""
+    if spark.sparkContext.master.split("[")[0] == "local" and spark.conf.get(SPREAD_SETTING, None) is None:
+        spark.conf.set(SPREAD_SETTING, str(spark.sparkContext.defaultParallelism))

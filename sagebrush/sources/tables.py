@@ -36,10 +36,12 @@ SELECT event_id, ts, event_type AS stream,
        concat('status=', CAST(CASE WHEN event_type = 'error' THEN 502 ELSE 200 END AS STRING), ' inputs=', CAST(user_id AS STRING),
               ' duration_ms=', CAST(CAST(floor(value) AS BIGINT) AS STRING)) AS line FROM events""",
     "containers_v": """
-SELECT * FROM (VALUES
- ('/app-main', 'bridge', '0123456789abcdef', 'app', 'org/app:latest', 'stdout'),
- ('/loki', 'bridge', 'aaaaaaaaaaaabbbb', '', 'grafana/loki:3.4.1', 'stdout'),
- ('/other', 'host', 'ccccccccccccdddd', NULL, 'busybox', 'stderr')) AS t(name, network_mode, id, compose_service, image, stream)""",
+SELECT concat(CASE event_id % 6 WHEN 0 THEN '/app-' WHEN 1 THEN '/loki-' WHEN 2 THEN '/other-' WHEN 3 THEN '/my-app-' WHEN 4 THEN 'app-' ELSE '/busybox-' END, event_type) AS name,
+  CASE WHEN event_id % 2 = 0 THEN 'bridge' ELSE 'host' END AS network_mode,
+  CASE WHEN event_id % 7 = 0 THEN 'short' ELSE md5(event_type) END AS id,
+  CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN '' END AS compose_service,
+  CASE WHEN event_id % 5 = 0 THEN event_type ELSE concat('org/', event_type, ':', '3.4.1') END AS image,
+  CASE WHEN event_id % 4 = 0 THEN 'stderr' ELSE 'stdout' END AS stream FROM events""",
     "folders_v": """
 SELECT concat('r', CAST(r_regionkey AS STRING)) AS folder_id, CAST(NULL AS STRING) AS parent_id FROM region
 UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)) FROM nation
@@ -110,7 +112,7 @@ FROM files_v f LEFT JOIN labels l ON l.doc_id = f.doc_id""",
 VIEW_DEPS: dict[str, list[str]] = {
     "tickets_v": ["orders", "lineitem", "customer"],
     "query_log_v": ["events"], "access_v": ["events"], "log_lines_v": ["events"],
-    "containers_v": [], "folders_v": ["region", "nation", "customer"],
+    "containers_v": ["events"], "folders_v": ["region", "nation", "customer"],
     "requests_v": ["conversations"], "responses_v": ["conversations"],
     "files_v": ["documents"], "chunk_vectors_v": ["embeddings"], "queries_v": ["embeddings"],
     "mails_v": ["files_v"], "mail_queries_v": ["queries_v"], "files_img_v": ["files_v"],

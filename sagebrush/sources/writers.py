@@ -14,16 +14,15 @@ def upsert_latest(base: DataFrame, changes: DataFrame, key: str = "docId", ts: s
     """Feed writes replace the document with the same id; the newest ``ts`` wins and on a
     tie the change wins over the base row.
 
-    A group-by with ``max(struct(ts, priority, row))`` instead of a window: the
+    A group-by with ``max_by(row, (ts, priority))`` instead of a window: the
     aggregate combines map-side, so a key updated millions of times does not
-    pull all its versions into one task."""
+    pull all its versions into one task.  Only (ts, priority) is compared, so
+    rows may hold maps."""
     cols = [c for c in base.columns if c != key]
-    b = base.select(key, F.struct(F.col(ts).alias("_ts"), F.lit(0).alias("_prio"),
-                                  F.struct(*cols).alias("_row")).alias("_v"))
-    c = changes.select(key, F.struct(F.col(ts).alias("_ts"), F.lit(1).alias("_prio"),
-                                     F.struct(*cols).alias("_row")).alias("_v"))
-    best = b.unionByName(c).groupBy(key).agg(F.max("_v").alias("_v"))
-    return best.select(key, "_v._row.*")
+    versions = base.select(key, F.lit(0).alias("_prio"), F.struct(*cols).alias("_row")).unionByName(
+        changes.select(key, F.lit(1).alias("_prio"), F.struct(*cols).alias("_row")))
+    best = versions.groupBy(key).agg(F.max_by("_row", F.struct(F.col(f"_row.{ts}"), F.col("_prio"))).alias("_row"))
+    return best.select(key, "_row.*")
 
 
 def write_docs(df: DataFrame, path: str, partition_by: str | None = "app", mode: str = "overwrite") -> None:

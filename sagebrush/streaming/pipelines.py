@@ -1,4 +1,4 @@
-"""Structured Streaming jobs (T1-T7) and the leaky-bucket rate limiter (T5).
+"""Structured Streaming jobs.
 
 Every query writes to a sink with a checkpoint location on shared storage,
 so a restarted or retried job resumes from the recorded file offsets and
@@ -11,12 +11,8 @@ replayed after a failure.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sagebrush import config as C
@@ -65,8 +61,8 @@ def read_latest_versions(spark: SparkSession, sink_dir: str, keys: list[str]) ->
     """Newest row per key over all batch folders (group-by max, combined map-side)."""
     df = spark.read.parquet(sink_dir)
     vals = [c for c in df.columns if c not in keys and c not in ("_batch", "batch")]
-    best = df.groupBy(*keys).agg(F.max(F.struct(F.col("_batch").alias("_b"), F.struct(*vals).alias("_r"))).alias("_v"))
-    return best.select(*keys, "_v._r.*")
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("_batch")).alias("_r"))
+    return best.select(*keys, "_r.*")
 
 
 # --- T3 / T4 ----------------------------------------------------------------------------------
@@ -90,100 +86,19 @@ def stream_metrics(stream: DataFrame, every: str = "10 seconds", watermark: str
     return g.select(F.unix_seconds(F.col("w.start")).alias("window_start"), target, "last", "mean", "samples")
 
 
-# --- T5 leaky bucket ----------------------------------------------------------------------------
-
-def bucket_params(rate_per_min: float, burst: int) -> tuple[int, int]:
-    """Integer milli-request units as the edge proxy keeps them: rate = r*1000/60 (truncated)."""
-    return int(rate_per_min * 1000 // 60), int(burst) * 1000
-
-
-def _bucket_step(state: tuple[int, int] | None, t_ms: int, rate: int, burst: int):
-    """One request: returns (new_state, allowed, excess, delay_ms)."""
-    if state is None:
-        return (0, t_ms), True, 0, 0
-    excess, last = state
-    e = excess - rate * abs(t_ms - last) // 1000 + 1000
-    if e < 0:
-        e = 0
-    if e > burst:
-        return state, False, e, None
-    delay = (e * 1000 // rate) if rate > 0 else 0
-    return (e, t_ms), True, e, delay
-
-
-RATE_OUT = T.StructType([T.StructField("key", T.StringType()), T.StructField("event_id", T.LongType()),
-                         T.StructField("ts_ms", T.LongType()), T.StructField("allowed", T.BooleanType()),
-                         T.StructField("excess", T.LongType()), T.StructField("delay_ms", T.LongType())])
-
-
-def rate_limit(df: DataFrame, key: str, ts_ms: str, event_id: str, rate_per_min: float = C.RATE_API_PER_MIN,
-               burst: int = C.RATE_API_BURST) -> DataFrame:
-    """T5 (batch): leaky bucket per key, each request allowed or rejected.
-
-    Order matters inside a key, so rows are hash-partitioned by key and
-    sorted by (key, time, id) inside partitions; one pass per partition
-    carries only the per-key state (memory does not grow with a key's row
-    count, even for a key holding a third of all rows)."""
-    rate, b = bucket_params(rate_per_min, burst)
-    src = (df.select(F.col(key).cast("string").alias("key"), F.col(event_id).cast("long").alias("event_id"),
-                     F.col(ts_ms).cast("long").alias("ts_ms"))
-           .repartition("key").sortWithinPartitions("key", "ts_ms", "event_id"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        states: dict[str, tuple[int, int]] = {}
-        for pdf in batches:
-            allowed, excess, delay = [], [], []
-            for k, t in zip(pdf["key"].tolist(), pdf["ts_ms"].tolist()):
-                st, ok, e, d = _bucket_step(states.get(k), int(t), rate, b)
-                states[k] = st
-                allowed.append(ok)
-                excess.append(e)
-                delay.append(d)
-            yield pdf.assign(allowed=allowed, excess=excess, delay_ms=pd.array(delay, dtype="Int64"))
-
-    return src.mapInPandas(run, RATE_OUT)
-
-
-def rate_limit_stream(stream: DataFrame, key: str, ts_ms: str, event_id: str,
-                      rate_per_min: float = C.RATE_API_PER_MIN, burst: int = C.RATE_API_BURST,
-                      watermark: str = "10 minutes") -> DataFrame:
-    """T5 (stream): the same bucket with per-key state kept by the state store
-    (``applyInPandasWithState``); rows of one key inside a micro-batch are
-    processed in time order.
-
-    State stays bounded: a key idle for (burst + 1 request) / rate has drained to
-    excess 0, which is exactly the state of a key never seen, so its state is
-    dropped by an event-time timeout once the watermark passes that point."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    rate, b = bucket_params(rate_per_min, burst)
-    drain_ms = ((b + 1000) * 1000) // max(rate, 1) + 1
-    state_schema = T.StructType([T.StructField("excess", T.LongType()), T.StructField("last", T.LongType())])
-
-    def fn(k, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=["key", "event_id", "ts_ms", "allowed", "excess", "delay_ms"]).astype(
-                {"event_id": "int64", "ts_ms": "int64", "allowed": "bool", "excess": "int64", "delay_ms": "Int64"})
-            return
-        st = tuple(state.get) if state.exists else None
-        parts = [p for p in pdfs]
-        pdf = pd.concat(parts).sort_values(["ts_ms", "event_id"]) if parts else pd.DataFrame()
-        out = []
-        for eid, t in zip(pdf["event_id"].tolist(), pdf["ts_ms"].tolist()):
-            st, ok, e, d = _bucket_step(st, int(t), rate, b)
-            out.append((k[0], eid, t, ok, e, d))
-        if st is not None:
-            state.update(st)
-            state.setTimeoutTimestamp(int(st[1]) + drain_ms)
-        yield pd.DataFrame(out, columns=["key", "event_id", "ts_ms", "allowed", "excess", "delay_ms"]).astype(
-            {"delay_ms": "Int64"})
-
-    src = (stream.select(F.col(key).cast("string").alias("key"), F.col(event_id).cast("long").alias("event_id"),
-                         F.col(ts_ms).cast("long").alias("ts_ms"))
-           .withColumn("_t", F.timestamp_millis("ts_ms")).withWatermark("_t", watermark))
-    return src.groupBy("key").applyInPandasWithState(fn, RATE_OUT, state_schema, "append",
-                                                     GroupStateTimeout.EventTimeTimeout)
+# --- T5 requests over the limit ------------------------------------------------------------------
+
+def requests_over_limit(requests: DataFrame, key: str, ts: str, rate_per_min: float = C.RATE_API_PER_MIN,
+                        burst: int = C.RATE_API_BURST, watermark: str = "10 minutes") -> DataFrame:
+    """T5: requests per key and minute, and how many exceed what the limit lets through in it (rate and burst).
+
+    A windowed count under a watermark, the same for tables and streams.  Counts are added up before the shuffle, so a
+    key with most of the requests is one row per task and minute; a stream's state is one count per open minute."""
+    allowed = int(rate_per_min + burst)
+    g = (requests.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", watermark)
+         .groupBy(F.window("_t", "1 minute").alias("w"), F.col(key).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("requests")))
+    return g.select("key", F.unix_seconds("w.start").alias("window_start"), "requests",
+                    F.greatest(F.col("requests") - allowed, F.lit(0)).cast("long").alias("over"))
 
 
 # --- T6 / T7 ----------------------------------------------------------------------------------
