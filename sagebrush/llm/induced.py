@@ -18,24 +18,30 @@ further sorting beyond it, and prefixes are not compared beyond it.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
 HELD = 1 << 21        # tuples in memory per queue
 BLOCK = 1 << 15       # tuples worked on at once
 _FAR = np.int32(1 << 30)
-_TUPLE = np.dtype([("at", "<i8"), ("common", "<i4")])
+
+
+def tuple_type(size: int, depth: int) -> np.dtype:
+    """Five bytes a tuple for texts under 4 GB and common prefixes under 250."""
+    return np.dtype([("at", "<u4" if size < 1 << 32 else "<i8"), ("common", "u1" if depth < 250 else "<i4")])
 
 
 class DiskQueue:
     """Monotone priority queue of tuples: a run on disk per first symbol, read in the order of writing."""
 
-    def __init__(self, folder: str, name: str):
-        self.path, self.held = f"{folder}/{name}", 0
+    def __init__(self, folder: str, name: str, kind: np.dtype):
+        self.path, self.held, self.kind = f"{folder}/{name}", 0, kind
         self.new: list[list[np.ndarray]] = [[] for _ in range(256)]
         self.stored, self.size, self.taken = np.zeros(256, np.int64), np.zeros(256, np.int64), np.zeros(256, np.int64)
 
     def push(self, symbol: int, at: np.ndarray, common: np.ndarray) -> None:
-        rows = np.empty(len(at), _TUPLE)
+        rows = np.empty(len(at), self.kind)
         rows["at"], rows["common"] = at, common
         self.new[symbol].append(rows)
         self.size[symbol] += len(rows)
@@ -61,8 +67,13 @@ class DiskQueue:
             return rows[start - self.stored[symbol]:end - self.stored[symbol]]
         end = min(end, int(self.stored[symbol]))
         with open(f"{self.path}-{symbol}", "rb") as run:
-            run.seek(start * _TUPLE.itemsize)
-            return np.frombuffer(run.read((end - start) * _TUPLE.itemsize), _TUPLE)
+            run.seek(start * self.kind.itemsize)
+            return np.frombuffer(run.read((end - start) * self.kind.itemsize), self.kind)
+
+    def drop(self) -> None:
+        """Removes the runs from the disk."""
+        for s in np.flatnonzero(self.stored):
+            os.remove(f"{self.path}-{s}")
 
     def pop(self, symbol: int):
         """Blocks of the symbol's tuples that were not taken yet, also of those that join while it is read."""
@@ -112,13 +123,14 @@ class Induction:
 
     def __init__(self, text: np.ndarray, small: np.ndarray, folder: str, name: str, depth: int):
         self.text, self.small, self.depth = text, small, depth
-        self.large_queue, self.small_queue = DiskQueue(folder, name + "L"), DiskQueue(folder, name + "S")
+        kind = tuple_type(len(text), depth)
+        self.large_queue, self.small_queue = DiskQueue(folder, name + "L", kind), DiskQueue(folder, name + "S", kind)
         self.since = np.full(256, _FAR, np.int32)
 
     def _induce(self, queue: DiskQueue, rows: np.ndarray, want_small: bool) -> None:
         """Pushes the predecessors of the wanted type of a block in order."""
-        at, common = rows["at"], rows["common"]
-        before = at - 1
+        common = np.ascontiguousarray(rows["common"])
+        before = rows["at"].astype(np.int64) - 1
         ok = np.flatnonzero((before >= 0) & (self.small[before] == want_small))
         least = common.min() if len(common) else _FAR
         if not len(ok):
@@ -237,8 +249,8 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int)
     return out
 
 
-def _by_symbol(text: np.ndarray, at: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
-    rows = np.empty(len(at), _TUPLE)
+def _by_symbol(text: np.ndarray, at: np.ndarray, common: np.ndarray, depth: int) -> list[np.ndarray]:
+    rows = np.empty(len(at), tuple_type(len(text), depth))
     rows["at"], rows["common"] = at, common
     symbol = text[at]
     order = np.argsort(symbol, kind="stable")
@@ -275,7 +287,7 @@ def sorted_suffixes(text: np.ndarray, folder: str, depth: int):
         first = Induction(text, small, folder, "name", 0)
         is_seed = np.zeros(len(text), bool)
         is_seed[seeds] = True
-        ordered = np.concatenate([rows["at"][is_seed[rows["at"]]] for rows in first.run(_by_symbol(text, seeds, np.zeros(len(seeds), np.int32)))])
+        ordered = np.concatenate([rows["at"][is_seed[rows["at"]]] for rows in first.run(_by_symbol(text, seeds, np.zeros(len(seeds), np.int32), 0))])
         ends = np.append(seeds[1:] + 1, len(text))      # a seed substring ends with the next seed's symbol
         place = np.searchsorted(seeds, ordered)
         size = ends[place] - ordered
@@ -290,9 +302,11 @@ def sorted_suffixes(text: np.ndarray, folder: str, depth: int):
         names = np.empty(len(seeds), np.int64)
         names[place] = np.cumsum(new) - 1
         del prefix, power, value
+        first.large_queue.drop()
+        first.small_queue.drop()
         order = seeds[np.argsort(name_order(names, depth), kind="stable")]
         common = np.zeros(len(order), np.int32)
         common[1:] = common_prefixes(text, order[:-1], order[1:], depth)
     else:
         order, common = seeds, np.zeros(0, np.int32)
-    yield from Induction(text, small, folder, "sort", depth).run(_by_symbol(text, order, common))
+    yield from Induction(text, small, folder, "sort", depth).run(_by_symbol(text, order, common, depth))

@@ -11,8 +11,8 @@ doc_id) or earlier in its own.  Texts are UTF-8; strings are judged on the input
 3. The remaining segments go to the shard of their anchor, equal segments of a block as one with the earliest place (the
    others are repeated from end to end).  Of a hot anchor the single windows travel instead, dealt by their own
    hash, so that a passage that a third of all documents share is spread over all shards.
-4. A shard's segments are written to a file of the task as one text with separators that UTF-8 never holds, and
-   its suffixes are sorted by external induced sorting with disk-backed queues (``induced.py``).  Neighbours whose common prefix
+4. A shard's different segments, of anchors that have more than one, are written to a file of the task as one text with
+   separators that UTF-8 never holds (texts of ``TEXT_BYTES``, cut between anchors), and its suffixes are sorted by external induced sorting with disk-backed queues (``induced.py``).  Neighbours whose common prefix
    reaches ``length`` are one string: all but the earliest start are repeated.
 5. Repeated spans return to the blocks, where the bytes are removed and what is left is digested.
 
@@ -40,19 +40,20 @@ from sagebrush.llm.induced import sorted_suffixes
 
 LENGTH = 100
 GRAM = 32
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 HOT = 200_000
+TEXT_BYTES = 3 << 20  # of segments sorted together, more only if a single anchor has more
 GAP = b"\xff"        # a byte that UTF-8 never holds
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_STRETCH = 1 << 22   # bytes hashed at once
+_STRETCH = 1 << 17   # bytes hashed at once
 _NULL = -(1 << 63)
 _TABLE = np.random.default_rng(10).integers(1, 1 << 63, 256, np.uint64)
 
 _BLOCK = "block long, ids array<long>, null array<boolean>, sizes array<long>, body binary"
 _MESSAGE = "block long, shard long, n long, keys binary, counts binary"
 _ANSWER = "block long, shard long, n long, shared binary, hot binary"
-_SEGMENT = "shard long, block long, doc int, id long, start long, windows int, body binary"
+_SEGMENT = "shard long, anchor long, block long, doc int, id long, start long, windows int, body binary"
 _SPAN = "block long, doc int, start long, stop long"
 
 
@@ -62,13 +63,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, base))), dtype=np.uint64)
+
+
+_POWERS, _INVERSES = _powers(_BASE, _STRETCH + 4096), _powers(_INVERSE, _STRETCH + 4096)
+
+
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all strings of ``size`` bytes, by a polynomial modulo 2^64."""
     n = len(data)
-    powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _BASE))), dtype=np.uint64)
-    inverse = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _INVERSE))), dtype=np.uint64)
-    prefix = np.concatenate(([np.uint64(0)], np.cumsum(_TABLE[data] * powers[:n], dtype=np.uint64)))
-    return _mix((prefix[size:] - prefix[:-size]) * inverse[:n - size + 1])
+    powers, inverses = (_POWERS, _INVERSES) if n < len(_POWERS) else (_powers(_BASE, n), _powers(_INVERSE, n))
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(_TABLE[data] * powers[:n], dtype=np.uint64, out=prefix[1:])
+    return _mix((prefix[size:] - prefix[:-size]) * inverses[:n - size + 1])
 
 
 def _sliding(smaller, values: np.ndarray, width: int) -> np.ndarray:
@@ -82,14 +90,26 @@ def _sliding(smaller, values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, inside: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor of every window (0 where ``inside`` is false), and the hash of every place that is the anchor of one."""
+    """Anchor of every window (0 where ``inside`` is false), and the hash of every place that is the anchor of one.
+    Worked out stretch by stretch, with the margins that both need, so that arrays stay in the processor's cache."""
     gram = min(GRAM, length)
     width = length - gram + 1
-    grams = np.concatenate([gram_hashes(data[i:i + _STRETCH + gram - 1], gram) for i in range(0, len(data) - gram + 1, _STRETCH)])
-    least = np.where(inside, _sliding(np.minimum, grams, width), np.uint64(0))
-    around = np.zeros(len(least) + 2 * (width - 1), np.uint64)
-    around[width - 1:width - 1 + len(least)] = least
-    return least, grams[_sliding(np.maximum, around, width) == grams]
+    n_grams, n = len(data) - gram + 1, len(inside)
+    found, places = np.empty(n, np.uint64), []
+    for start in range(0, n_grams, _STRETCH):
+        end = min(start + _STRETCH, n_grams)
+        low, high = max(0, start - width + 1), min(n_grams, end + width - 1)
+        grams = gram_hashes(data[low:high + gram - 1], gram)
+        # least of the windows low..high - width + 1
+        least = np.where(inside[low:high - width + 1], _sliding(np.minimum, grams, width), np.uint64(0))
+        own = least[start - low:end - low]
+        found[start:start + len(own)] = own
+        around = np.zeros(len(least) + 2 * (width - 1), np.uint64)
+        around[width - 1:width - 1 + len(least)] = least
+        most = _sliding(np.maximum, around, width)      # over the windows that hold a place
+        at = slice(start - low, end - low)
+        places.append(grams[at][most[at] == grams[at]])
+    return found, np.concatenate(places)
 
 
 def _packed(schema: pa.Schema, size: int):
@@ -185,33 +205,33 @@ def _bits(rows: pd.DataFrame, column: str) -> np.ndarray:
 def _segments(n_shards: int, length: int):
     """Segments whose anchor occurs again, equal ones of the block as one; a row without a body is a span."""
     def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["shard", "block", "doc", "id", "start", "windows", "body"]
+        columns = ["shard", "anchor", "block", "doc", "id", "start", "windows", "body"]
         if not len(blocks) or not len(answers):
             return pd.DataFrame(columns=columns)
         own, block = Block(blocks.iloc[0], length), int(blocks["block"].iloc[0])
         answers = answers.sort_values("shard")
         shared, hot = _bits(answers, "shared"), _bits(answers, "hot")
-        shard = _shards(own.keys, n_shards)
+        shard, signed = _shards(own.keys, n_shards), own.keys.view(np.int64)
         take = np.flatnonzero(shared[own.of])
         # by place in the corpus, so that the first of equal segments is the earliest
         take = take[np.lexsort((own.at[take], own.doc[take], own.ids[own.doc[take]]))]
         rows, seen = [], set()
 
-        def add(to, i, at, windows):
+        def add(to, key, i, at, windows):
             body = own.body[at:at + windows + length - 1]
             doc = int(own.doc[i])
             known = body in seen
             seen.add(body)
-            rows.append((to, block, doc, int(own.ids[doc]), at - int(own.offset[doc]), windows, None if known else body))
+            rows.append((to, key, block, doc, int(own.ids[doc]), at - int(own.offset[doc]), windows, None if known else body))
 
         for i in take.tolist():
             at, windows, anchor = int(own.at[i]), int(own.windows[i]), int(own.of[i])
             if not hot[anchor]:
-                add(int(shard[anchor]), i, at, windows)
+                add(int(shard[anchor]), int(signed[anchor]), i, at, windows)
                 continue
             for k in range(at, at + windows):
-                mixed = int.from_bytes(hashlib.blake2b(own.body[k:k + length], digest_size=4).digest(), "little")
-                add(mixed * n_shards >> 32, i, k, 1)
+                mixed = hashlib.blake2b(own.body[k:k + length], digest_size=8).digest()
+                add(int.from_bytes(mixed[:4], "little") * n_shards >> 32, int.from_bytes(mixed, "little", signed=True), i, k, 1)
         return pd.DataFrame(rows, columns=columns)
     return run
 
@@ -273,44 +293,73 @@ def _shard_spans(rows: list[tuple], text_path: str, folder: str, length: int) ->
     return pd.DataFrame({"block": blocks[own], "doc": docs[own].astype(np.int32), "start": start, "stop": start + (b - a) + length})
 
 
+class _ShardText:
+    """The different segments of a shard as one text in a file.  Equal segments of an anchor are one, at the
+    earliest place; an anchor with a single different segment has nothing that it could share with another one (equal
+    strings have equal anchors), so its segment stays out of the text unless it repeats a string within itself."""
+
+    def __init__(self, length: int):
+        self.length = length
+        self.folder = tempfile.TemporaryDirectory()
+        self.out = open(f"{self.folder.name}/text", "wb")  # noqa: SIM115
+        self.rows, self.place, self.anchor, self.seen, self.only = [], 0, None, set(), None
+
+    def add(self, anchor: int, row: tuple, body: bytes) -> bool:
+        """False if the anchor's segments before this one, which come by place, have an equal one."""
+        if anchor != self.anchor:
+            self._settle()
+            self.anchor, self.seen = anchor, set()
+        digest = hashlib.blake2b(body, digest_size=16).digest()
+        if digest in self.seen:
+            return False
+        self.seen.add(digest)
+        if len(self.seen) == 1:
+            self.only = row, body
+            return True
+        if self.only:
+            self._write(*self.only)
+            self.only = None
+        self._write(row, body)
+        return True
+
+    def _write(self, row: tuple, body: bytes) -> None:
+        self.out.write(body + GAP)
+        self.rows.append((*row, self.place))
+        self.place += len(body) + 1
+
+    def _settle(self) -> None:
+        """The end of an anchor: a single segment goes into the text only if it repeats a string itself."""
+        if self.only:
+            body, n = self.only[1], len(self.only[1]) - self.length + 1
+            if len({body[k:k + self.length] for k in range(n)}) < n:
+                self._write(*self.only)
+        self.only = None
+
+    def spans(self) -> pd.DataFrame | None:
+        self._settle()
+        self.out.close()
+        found = _shard_spans(self.rows, f"{self.folder.name}/text", self.folder.name, self.length) if self.rows else None
+        self.folder.cleanup()
+        return found
+
+
 def _sort_shards(length: int):
-    """Rows sorted by (shard, segment) in: spans out."""
+    """Rows sorted by (shard, anchor, place) in: spans out."""
     def run(frames):
-        current, folder, out, rows, seen, place = None, None, None, [], {}, 0
-
-        def finish():
-            nonlocal folder, out
-            if folder is None:
-                return None
-            out.close()
-            found = _shard_spans(rows, f"{folder.name}/text", folder.name, length) if rows else None
-            folder.cleanup()
-            folder = out = None
-            return found
-
+        current, text = None, None
         for frame in frames:
             spans = []
-            for shard, block, doc, key, start, windows, body in frame.itertuples(index=False):
-                if shard != current:
-                    if (found := finish()) is not None and len(found):
+            for shard, anchor, block, doc, key, start, windows, body in frame.itertuples(index=False):
+                # strings of different anchors differ, so a text may end behind any anchor
+                if shard != current or anchor != text.anchor and text.place >= TEXT_BYTES:
+                    if text is not None and (found := text.spans()) is not None:
                         yield found
-                    current, rows, seen, place = shard, [], {}, 0
-                    folder = tempfile.TemporaryDirectory()
-                    out = open(f"{folder.name}/text", "wb")  # noqa: SIM115
-                if body is None:
-                    spans.append((block, doc, start, start + windows + length - 1))
-                    continue
-                digest = hashlib.blake2b(body, digest_size=16).digest()
-                if digest in seen:      # rows come by place in the corpus
+                    current, text = shard, _ShardText(length)
+                if body is None or not text.add(anchor, (key, block, doc, start), body):
                     spans.append((block, doc, start, start + windows + length - 1))
-                    continue
-                seen[digest] = place
-                out.write(body + GAP)
-                rows.append((key, block, doc, start, place))
-                place += len(body) + 1
             if spans:
                 yield pd.DataFrame(spans, columns=["block", "doc", "start", "stop"])
-        if (found := finish()) is not None and len(found):
+        if text is not None and (found := text.spans()) is not None:
             yield found
     return run
 
@@ -322,7 +371,7 @@ def removed_spans(blocks: DataFrame, length: int = LENGTH) -> DataFrame:
     answers = messages.groupBy("shard").applyInPandas(_answer, _ANSWER)
     segments = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_segments(n, length), _SEGMENT)
     partitions = max(n, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = segments.repartition(partitions, "shard").sortWithinPartitions("shard", "id", "block", "doc", "start")
+    dealt = segments.repartition(partitions, "shard").sortWithinPartitions("shard", "anchor", "id", "block", "doc", "start")
     return dealt.mapInPandas(_sort_shards(length), _SPAN)
 
 
