@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sagebrush.llm.common import written
+from sagebrush.session import BROADCAST_LIMIT_BYTES
 
 MIN_CHARS = 20
+SUSPECT_BYTES = 64  # of a suspect's place in a task's memory
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -63,17 +65,25 @@ def _neighbourhood(frames):
                                     **{c: np.repeat(part[c].to_numpy(), times) for c in ("did", "rk", "line_no")}})
 
 
+def _row_key():
+    return F.xxhash64(F.col("doc_id").cast("string"), F.lit("|"), F.col("text").cast("string"))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn(
-        "_rk", F.xxhash64(F.col("doc_id").cast("string"), F.lit("|"), F.col("text")))
+    """did and rk, the place and key of a row, and its text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), _row_key().alias("rk"),
+                       F.col("text").cast("string").alias("text"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """One row per line that may be removed: did, rk (the row), line_no, norm."""
-    split = _rows(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select(
-        F.col("_did").alias("did"), F.col("_rk").alias("rk"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    norm = F.trim(F.regexp_replace(F.lower("line"), r"\s+", " "))
-    return split.select("did", "rk", "line_no", norm.alias("norm")).filter(F.length("norm") >= MIN_CHARS)
+def _lines(rows: DataFrame) -> DataFrame:
+    """One row per line of the given rows (did, rk, text): line_no, norm."""
+    split = rows.select("did", "rk", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # most lines have single blanks only, which a search for bytes tells faster than a pattern
+    line, odd = F.lower("line"), F.lit(False)
+    for blank in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | line.contains(blank)
+    norm = F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line))
+    return split.select("did", "rk", "line_no", norm.alias("norm"))
 
 
 def _half_keys():
@@ -86,14 +96,23 @@ def _half_keys():
     return F.array(*keys)
 
 
-def near_lines(firsts: DataFrame, lines: DataFrame) -> DataFrame:
+def near_lines(firsts: DataFrame, rows: DataFrame) -> DataFrame:
     """Of the earliest lines ``firsts`` (did, rk, line_no, keys): those with an earlier one within one edit."""
     at = ["did", "rk", "line_no"]
-    keys = firsts.select(F.explode("keys").alias("key"), *at).distinct()
+    keys = firsts.select(F.explode("keys").alias("key"), "h", "g", *at)
     place = F.struct(*at)
-    shared = keys.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("key")
-    suspects = keys.join(shared, "key", "left_semi").select(*at).distinct()
-    texts = written(lines.join(suspects, at, "left_semi").distinct(), "suspect-lines")
+    # two different lines of a key differ in one of their hashes; plain numbers let Spark aggregate by hashing
+    shared = keys.groupBy("key").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("h", "g")]).filter(
+        "min_h <> max_h or min_g <> max_g").select("key")
+    suspects = written(keys.join(shared, "key", "left_semi").select(*at).distinct(), "suspects")
+    # their texts: few suspects travel to the documents, many meet them in a shuffle
+    small = suspects.count() * SUSPECT_BYTES <= BROADCAST_LIMIT_BYTES
+
+    def side(df):
+        return F.broadcast(df) if small else df
+
+    holders = rows.join(side(suspects.select("did", "rk").distinct()), ["did", "rk"], "left_semi")
+    texts = written(_lines(holders).join(side(suspects), at, "left_semi").distinct(), "suspect-lines")
     made = texts.mapInPandas(_neighbourhood, "key long, place int, did long, rk long, line_no int")
     group, own = Window.partitionBy("key"), Window.partitionBy("key", "place")
     itself, lacking = F.when(F.col("place") < 0, place), F.when(F.col("place") >= 0, place)
@@ -107,24 +126,24 @@ def near_lines(firsts: DataFrame, lines: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with the removed lines gone from text, and n_lines and n_removed."""
-    lines = _lines(docs)
-    firsts = lines.groupBy(F.xxhash64("norm").alias("h"), F.xxhash64(F.lit("again"), "norm").alias("g")).agg(
-        F.min(F.struct("did", "rk", "line_no")).alias("at"), F.first(_half_keys()).alias("keys")).select("at.*", "keys")
+    at = ["did", "rk", "line_no"]
+    source = _rows(docs)
+    lines = _lines(source)
+    # a short line is one of its own, whatever its text
+    own = F.when(F.length("norm") < MIN_CHARS, F.xxhash64(*at))
+    firsts = lines.groupBy(F.coalesce(own, F.xxhash64("norm")).alias("h"), F.coalesce(own, F.xxhash64(F.lit("again"), "norm")).alias("g")).agg(
+        F.min(F.struct(*at)).alias("at"), F.first(F.when(own.isNull(), _half_keys())).alias("keys")).select("at.*", "h", "g", "keys")
     firsts = written(firsts, "first-lines")
-    near = near_lines(firsts, lines)
-    kept = firsts.select("did", "rk", "line_no").join(near, ["did", "rk", "line_no"], "left_anti").groupBy("rk").agg(
-        F.collect_set("line_no").alias("_kept"))
-    kept = written(kept, "kept-lines")
-    rows = _rows(docs).join(kept.withColumnRenamed("rk", "_k"), F.col("_rk") == F.col("_k"), "left")
-    split = F.split(F.col("text").cast("string"), "\n")
-
-    def stays(line, number):
-        short = F.length(F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))) < MIN_CHARS
-        return short | F.array_contains(F.coalesce(F.col("_kept"), F.array().cast("array<int>")), number)
-
-    left = F.filter(split, stays)
+    near = near_lines(firsts.filter("keys is not null"), source)
+    kept = firsts.select(*at).join(near, at, "left_anti").groupBy("rk").agg(F.array_sort(F.collect_set("line_no")).alias("_kept"))
+    rows = docs.withColumn("_rk", _row_key()).join(kept.withColumnRenamed("rk", "_k").hint("shuffle_hash"), F.col("_rk") == F.col("_k"), "left")
+    text = F.col("text").cast("string")
+    staying = F.coalesce("_kept", F.array().cast("array<int>"))
+    n = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    split = F.split(text, "\n")  # only of texts that lose a line
+    left = F.when(F.size(staying) == n, text).otherwise(
+        F.array_join(F.transform(staying, lambda i: F.element_at(split, i + 1)), "\n"))
     columns = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    n = F.coalesce(F.size(split), F.lit(0)).cast("long")
-    return rows.select(*[F.col(f"`{c}`") for c in columns], F.array_join(left, "\n").alias("text"),
-                       F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
-                       F.when(F.col("text").isNull(), 0).otherwise(n - F.size(left)).cast("long").alias("n_removed"))
+    return rows.select(*[F.col(f"`{c}`") for c in columns], F.when(text.isNotNull(), left).alias("text"),
+                       F.coalesce(n, F.lit(0)).cast("long").alias("n_lines"),
+                       F.coalesce(n - F.size(staying), F.lit(0)).cast("long").alias("n_removed"))
