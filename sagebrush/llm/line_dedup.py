@@ -1,8 +1,9 @@
 """Line deduplication within one edit, by a deletion-neighbourhood join.
 
-A line (normalised: lower case, blanks collapsed and trimmed) of at least ``MIN_CHARS`` characters is removed when an
-earlier line of the corpus, by (doc_id, line number), is equal to it or one insertion, deletion or substitution away;
-shorter lines stay.  "Earlier" looks at all lines of the input, removed or not.
+A line (normalised: lower case, blanks collapsed and trimmed) of at least ``min_chars`` characters is removed when an
+earlier such line of the corpus, by (doc_id, line number), is equal to it or one insertion, deletion or substitution
+away; shorter lines stay.  With ``min_chars`` 1, as op1_line_dedup calls it, every line takes part that is not empty.
+"Earlier" looks at all lines of the input, removed or not.
 
 1. Equal lines meet on 128 bits of hash; the earliest of each stays in the game with one row, however often it occurs.
 2. Lines that cannot have a partner are set aside exactly: lines one edit apart share the first or the last half
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from sagebrush.llm.common import written
 from sagebrush.session import BROADCAST_LIMIT_BYTES
 
-MIN_CHARS = 20
+MIN_CHARS = 20  # where the caller names no bound
 SUSPECT_BYTES = 64  # of a suspect's place in a task's memory
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -124,13 +125,14 @@ def near_lines(firsts: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(texts, at).join(other, "p").filter(F.levenshtein("norm", "earlier") <= 1).select(*at).distinct()
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with the removed lines gone from text, and n_lines and n_removed."""
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """All columns of ``docs`` with the removed lines gone from text, and n_lines and n_removed; lines of fewer than
+    ``min_chars`` characters stay, and empty ones always."""
     at = ["did", "rk", "line_no"]
     source = _rows(docs)
     lines = _lines(source)
-    # a short line is one of its own, whatever its text
-    own = F.when(F.length("norm") < MIN_CHARS, F.xxhash64(*at))
+    # a line that stays is one of its own, whatever its text
+    own = F.when(F.length("norm") < max(1, min_chars), F.xxhash64(*at))
     firsts = lines.groupBy(F.coalesce(own, F.xxhash64("norm")).alias("h"), F.coalesce(own, F.xxhash64(F.lit("again"), "norm")).alias("g")).agg(
         F.min(F.struct(*at)).alias("at"), F.first(F.when(own.isNull(), _half_keys())).alias("keys")).select("at.*", "h", "g", "keys")
     firsts = written(firsts, "first-lines")

@@ -93,7 +93,7 @@ def _op1(spark, sf_dir):
 
     from sagebrush.llm.line_dedup import dedup_lines
 
-    found = dedup_lines(table(spark, sf_dir, "documents"))
+    found = dedup_lines(table(spark, sf_dir, "documents"), min_chars=1)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

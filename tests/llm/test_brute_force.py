@@ -60,6 +60,27 @@ def test_line_dedup(spark):
     assert dedup_lines(docs.filter("false")).count() == 0
 
 
+def test_registered_line_dedup_has_no_length_bound(spark, tmp_path):
+    from sagebrush.llm.queries import QUERIES
+
+    texts = {1: "nt onor. the of it.\nab\n\nq", 2: "NT onor.  the of it. \nabc\nthe of\n", 3: "nt onor. the of it\nxy\n\nab\nq", 4: "the off\ntha of\nz\n9 lives",
+             5: "a line of more than twenty characters\nz\nab", 6: "xyz\nnine lives\na line of more than twenty character"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op1_line_dedup"](spark, str(tmp_path)).collect()}
+    seen = []
+    for i, text in texts.items():
+        left = []
+        for line in text.split("\n"):
+            n = " ".join(line.lower().split())
+            if not n or not any(levenshtein_at_most_one(n, s) for s in seen):
+                left.append(line)
+            if n:
+                seen.append(n)
+        assert got[i].n_removed == len(text.split("\n")) - len(left) and got[i].n_lines == len(text.split("\n"))
+        assert got[i].kept_sha256 == hashlib.sha256("\n".join(left).encode()).hexdigest()
+    assert sum(r.n_removed for r in got.values()) > 8
+
+
 def test_variants_meet_exactly_within_one_edit():
     from sagebrush.llm.line_dedup import variants
 
