@@ -1,20 +1,23 @@
-"""Scores of an interpolated modified Kneser-Ney bigram model over words, counted and served by hash shards.
+"""Scores of an interpolated modified Kneser-Ney model of bigrams or trigrams over words, counted and served by hash shards.
 
-The model: p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v.) + g(v) p(w), p(w) = max(a(w) - E(a(w)), 0) / a(.) + h / (V + 1),
-with c the counts in training texts, a(w) the number of different words before w, discounts D and E for counts 1, 2 and
-3 or more from the counts of counts, and g(v), h the mass that the discounts free.  Texts begin after a begin mark and
-end with an end token; the probabilities of the V known tokens and the unknown one add up to 1.
+The model: p(w | uv) = max(c(uvw) - T(c(uvw)), 0) / c(uv.) + g(uv) p(w | v), p(w | v) = max(b(vw) - D(b(vw)), 0) / b(v.) +
+g(v) p(w), p(w) = max(a(w) - E(a(w)), 0) / a(.) + h / (V + 1), with c the counts in training texts, b(vw) and a(w) the number
+of different words before vw and w, discounts T, D and E for counts 1, 2 and 3 or more from the counts of counts, and g(uv),
+g(v), h the mass that the discounts free.  Texts begin after a begin mark and end with an end token; as nothing stands before
+the mark, b of a text's first bigram is its count, and the first word is scored by its bigram.  A model of order two begins
+with the second formula, where b is c.  The probabilities of the V known tokens and the unknown one add up to 1.
 
 Scale: no task holds the model or the vocabulary.
 * Texts become blocks of about ``BLOCK_TOKENS`` tokens: sorted 64-bit word hashes and the texts as coded ranks in them.
-* A block sends its distinct bigrams, as sorted Golomb-coded hashes with their training counts, to the shards that own
-  the hash ranges.  A shard merges them into its part of the model, sorted hash arrays with count arrays, stores them
-  in files that its worker memory-maps, looks every message up in them and answers with the counts, in order.
-* A bigram is counted once for the statistics of its words: by the first block that sent it.  The blocks' word
-  statistics go through the same exchange.  Then a block has all that its texts need.
-Shards own hash ranges of bigrams and words, not of contexts, so a word or pair that makes up a third of the corpus is
-one entry a block.  Shards and blocks grow in number, not in size.  The order is two: the counts of three-word sequences and
-their contexts would take several times the disk (see README).
+* A block sends its distinct n-grams of the model's order, as sorted Golomb-coded hashes with their training counts, to
+  the shards that own the hash ranges.  A shard merges them into its part of the model, sorted hash arrays with count
+  arrays, looks every message up in them and answers with the counts, in order.  It holds the arrays in memory-mapped files
+  of its own folder for that call only: the map is transient, and another table cannot be scored from it.
+* An n-gram is counted once for the statistics of the shorter ones in it: by the first block that sent it.  The blocks'
+  statistics of bigrams, if the order is three, and of words go through the same exchange.  Then a block has all that its
+  texts need.
+Shards own hash ranges of n-grams and words, not of contexts, so a word or pair that makes up a third of the corpus is
+one entry a block.  Shards and blocks grow in number, not in size.
 
 Defined results: a null or empty text is the end token alone; rows are scored one by one, also repeated ones; with no
 training text every token has probability 1 / (V + 1) = 1; a null doc_id stays null.  doc_id is an integer.
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import tempfile
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -37,7 +41,7 @@ from sagebrush.llm.token_output import pack, unpack
 
 BLOCK_TOKENS = 2_000_000
 BEGIN, END = np.uint64(1), np.uint64(2)
-BIGRAM_COLUMNS = ("count",)
+BIGRAM_COLUMNS = {2: ("count",), 3: ("context", "n1", "n2", "n3", "before")}  # by the order of the model
 WORD_COLUMNS = ("count", "context", "n1", "n2", "n3", "before")
 _BLOCK = "block long, doc_ids array<long>, held array<boolean>, sizes array<long>, words binary, ranked binary, control binary, data binary"
 _MESSAGE = "block long, shard long, n long, keys binary, counts binary"
@@ -130,10 +134,24 @@ class Block:
         self.learned = np.repeat(~self.held, self.sizes)
         pairs, self.pair = np.unique(before * len(self.words) + self.token, return_inverse=True)
         self.left, self.right = np.divmod(pairs, len(self.words))
-        keys = _mix(self.words[self.left] * np.uint64(0x9E3779B97F4A7C15) + _mix(self.words[self.right]))
-        self.order = np.argsort(keys)           # bigrams are sent in the order of their hashes
-        self.keys = keys[self.order]
-        self.before = before
+        self.hashes = _mix(self.words[self.left] * np.uint64(0x9E3779B97F4A7C15) + _mix(self.words[self.right]))
+        self.order = np.argsort(self.hashes)    # bigrams are sent in the order of their hashes
+        self.keys = self.hashes[self.order]
+
+    def find_trigrams(self) -> None:
+        """The distinct trigrams, as places of their first and last two words among the bigrams; a text's first word ends none."""
+        inner = np.ones(len(self.token), bool)
+        inner[np.cumsum(self.sizes) - self.sizes] = False
+        self.inner = np.flatnonzero(inner)
+        codes, at, self.triple = np.unique(self.pair[self.inner - 1] * len(self.words) + self.token[self.inner], return_index=True, return_inverse=True)
+        self.opening, self.ending = codes // len(self.words), self.pair[self.inner[at]]
+        keys = _mix(self.hashes[self.opening] * np.uint64(0x9E3779B97F4A7C15) + _mix(self.words[self.right[self.ending]]))
+        self.trigram_order = np.argsort(keys)
+        self.trigram_keys = keys[self.trigram_order]
+
+    def trigram_counts(self) -> np.ndarray:
+        """Training count in this block of each trigram."""
+        return np.bincount(self.triple[self.learned[self.inner]], minlength=len(self.opening))
 
     def bigram_counts(self) -> np.ndarray:
         """Training count in this block of each bigram."""
@@ -201,8 +219,9 @@ def _counts_of_counts(x: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(x, 5), minlength=6)[1:5].tolist()
 
 
-def _bigram_statistics(count):
-    return _counts_of_counts(count)
+def _gram_statistics(*columns):
+    """Of bigrams or trigrams: counts of counts of the last column, which the discounts come from."""
+    return _counts_of_counts(columns[-1])
 
 
 def _word_statistics(count, context, n1, n2, n3, before):
@@ -212,6 +231,8 @@ def _word_statistics(count, context, n1, n2, n3, before):
 
 def _reply(rows: pd.DataFrame, n_columns: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The answers to a block's messages, in the order of its keys: columns, and whether it was the first sender."""
+    if not len(rows):  # a block of empty texts has no trigram
+        return [np.zeros(0, np.int64)] * n_columns, np.zeros(0, bool)
     rows = rows.sort_values("shard")
     parts = [_loosen(c, n, n_columns) for c, n in zip(rows["counts"], rows["n"], strict=True)]
     first = [np.unpackbits(np.frombuffer(f, np.uint8))[:n].astype(bool) for f, n in zip(rows["first"], rows["n"], strict=True)]
@@ -235,12 +256,34 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 # ---- the passes over blocks
 
-def _word_messages(bits: int):
+def _bigram_messages(bits: int):
+    """Of the bigrams, from the trigrams: sum and number by count of those that they open, number of those that they end."""
     def run(blocks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        if not len(blocks):  # the statistics rows
+        if not len(blocks):
             return pd.DataFrame(columns=["block", "shard", "n", "keys", "counts"])
         own = Block(blocks.iloc[0])
+        own.find_trigrams()
         (count,), first = _reply(replies, 1)
+        n = len(own.left)
+        take = first & (count > 0)
+        opening, ending, count = own.opening[own.trigram_order][take], own.ending[own.trigram_order][take], count[take]
+
+        def by(pair, weight=None):
+            return np.bincount(pair, weight, minlength=n).astype(np.int64)
+
+        # nothing stands before a begin mark: its bigrams count as often as they occur
+        before = by(ending) + np.where(own.left == len(own.words) - 1, own.bigram_counts(), 0)
+        columns = [by(opening, count), by(opening[count == 1]), by(opening[count == 2]), by(opening[count > 2]), before]
+        return _messages(int(blocks["block"].iloc[0]), own.keys, [c[own.order] for c in columns], bits)
+    return run
+
+
+def _word_messages(bits: int, n_columns: int):
+    def run(blocks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        if not len(blocks):  # the statistics rows
+            return pd.DataFrame(columns=["block", "shard", "n", "keys", "counts"])
+        own = Block(blocks.iloc[0])
+        (*_, count), first = _reply(replies, n_columns)
         n = len(own.words)
         take = first & (count > 0)
         left, right, count = own.left[own.order][take], own.right[own.order][take], count[take]
@@ -254,61 +297,101 @@ def _word_messages(bits: int):
     return run
 
 
-def _scores(d: list[float], e: list[float], word_totals: list[int]):
+def _interpolated(count, discount, context, n1, n2, n3, lower):
+    """Probabilities of n-grams from their counts, the sums and numbers by count of their contexts, and the next lower order."""
+    total = np.maximum(context, 1)
+    mass = (discount[1] * n1 + discount[2] * n2 + discount[3] * n3) / total
+    p = np.maximum(count - discount[np.minimum(count, 3)], 0) / total + mass * lower
+    return np.where(context > 0, p, lower)
+
+
+def _scores(order: int, d: list[float], e: list[float], t: list[float], word_totals: list[int]):
     t1, t2, _, _, t3, every, v, n = word_totals
     free = (e[1] * t1 + e[2] * t2 + e[3] * t3) / every if every else 1.0
-    d, e = np.array(d), np.array(e)
+    d, e, t = np.array(d), np.array(e), np.array(t)
 
     def run(blocks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(blocks):
             return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
         own = Block(blocks.iloc[0])
-        (count_sorted,), _ = _reply(replies[replies["kind"] == 0], 1)
-        count = np.empty(len(own.order), np.int64)
-        count[own.order] = count_sorted
+        columns = BIGRAM_COLUMNS[order]
+        pairs = np.empty((len(columns), len(own.order)), np.int64)
+        pairs[:, own.order], _ = _reply(replies[replies["kind"] == 0], len(columns))
         sorted_columns, _ = _reply(replies[replies["kind"] == 1], len(WORD_COLUMNS))
-        order = np.argsort(own.words)
-        words = np.empty((len(WORD_COLUMNS), len(order)), np.int64)
-        words[:, order] = sorted_columns
-        c, context, n1, n2, n3, before = words
+        by_hash = np.argsort(own.words)
+        words = np.empty((len(WORD_COLUMNS), len(by_hash)), np.int64)
+        words[:, by_hash] = sorted_columns
+        c, *contexts, before = words
         low = (before - e[np.minimum(before, 3)]) / every if every else np.zeros(len(c))
         low = np.maximum(low, 0) + free / (v + 1)
-        # per bigram
-        total = np.maximum(context[own.left], 1)
-        mass = (d[1] * n1 + d[2] * n2 + d[3] * n3)[own.left] / total
-        p = np.maximum(count - d[np.minimum(count, 3)], 0) / total + mass * low[own.right]
-        p = np.where(context[own.left] > 0, p, low[own.right])
+        p = _interpolated(pairs[-1], d, *(x[own.left] for x in contexts), low[own.right])  # per bigram
+        logs = np.log10(p)[own.pair]
+        if order == 3:
+            own.find_trigrams()
+            count = np.empty(len(own.opening), np.int64)
+            (count[own.trigram_order],), _ = _reply(replies[replies["kind"] == 2], 1)
+            logs[own.inner] = np.log10(_interpolated(count, t, *(x[own.opening] for x in pairs[:4]), p[own.ending]))[own.triple]
         starts = np.cumsum(own.sizes) - own.sizes
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         return pd.DataFrame({
             "doc_id": pd.array([None if x is None or x != x else int(x) for x in own.doc_ids], "Int64"), "held_out": own.held, "n_tokens": own.sizes,
             "n_known": np.add.reduceat((c[own.token] > 0).astype(np.int64), starts),
-            "base_score": np.add.reduceat(base[own.token], starts), "score": np.add.reduceat(np.log10(p)[own.pair], starts)})
+            "base_score": np.add.reduceat(base[own.token], starts), "score": np.add.reduceat(logs, starts)})
     return run
 
 
-def score(docs: DataFrame, held_out, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity; the model learns from the rows
-    for which the column ``held_out`` is false."""
+@contextmanager
+def _freed_shuffles(spark):
+    """What is written inside frees the files of its exchanges at its end, as the table has all that they had."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
+def score(docs: DataFrame, held_out, block_tokens: int = BLOCK_TOKENS, order: int = 2) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity; the model, of bigrams or with
+    ``order`` 3 of trigrams, learns from the rows for which the column ``held_out`` is false."""
+    if order not in BIGRAM_COLUMNS:
+        raise ValueError(f"order {order}: 2 or 3")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held"), F.col("text").cast("string").alias("text"))
     blocks = written(rows.mapInArrow(_blocks(block_tokens), _BLOCK), "lm-blocks")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(blocks.count() // 4, partitions - 1).bit_length()
+    width = len(BIGRAM_COLUMNS[order])
 
     def send(frames):
         for frame in frames:
             for _, row in frame.iterrows():
                 own = Block(row)
-                yield _messages(int(row["block"]), own.keys, [own.bigram_counts()[own.order]], bits)
-
-    bigrams = written(blocks.mapInPandas(send, _MESSAGE).groupBy("shard").applyInPandas(_serve(1, _bigram_statistics), _REPLY), "lm-bigrams")
-    words = blocks.groupBy("block").cogroup(bigrams.filter("block >= 0").groupBy("block")).applyInPandas(_word_messages(bits), _MESSAGE)
-    words = written(words.groupBy("shard").applyInPandas(_serve(len(WORD_COLUMNS), _word_statistics), _REPLY), "lm-words")
+                if order == 2:
+                    yield _messages(int(row["block"]), own.keys, [own.bigram_counts()[own.order]], bits)
+                else:  # about twice as many keys, so twice as many shards
+                    own.find_trigrams()
+                    yield _messages(int(row["block"]), own.trigram_keys, [own.trigram_counts()[own.trigram_order]], bits + 1)
+
+    def answered(messages, n_columns, statistics, what):
+        with _freed_shuffles(spark):
+            return written(messages.groupBy("shard").applyInPandas(_serve(n_columns, statistics), _REPLY), what)
+
+    def with_replies(replies):
+        return blocks.groupBy("block").cogroup(replies.filter("block >= 0").groupBy("block"))
+
+    top = answered(blocks.mapInPandas(send, _MESSAGE), 1, _gram_statistics, "lm-grams")
+    bigrams = top
+    if order == 3:
+        bigrams = answered(with_replies(top).applyInPandas(_bigram_messages(bits), _MESSAGE), width, _gram_statistics, "lm-bigrams")
+    words = answered(with_replies(bigrams).applyInPandas(_word_messages(bits, width), _MESSAGE), len(WORD_COLUMNS), _word_statistics, "lm-words")
     totals = _totals(words, 8)
-    both = bigrams.withColumn("kind", F.lit(0)).unionAll(words.withColumn("kind", F.lit(1))).filter("block >= 0")
-    scores = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(
-        _scores(discounts(*_totals(bigrams, 4)), discounts(*totals[:4]), totals),
+    every = bigrams.withColumn("kind", F.lit(0)).unionAll(words.withColumn("kind", F.lit(1)))
+    if order == 3:
+        every = every.unionAll(top.withColumn("kind", F.lit(2)))
+    scores = with_replies(every).applyInPandas(
+        _scores(order, discounts(*_totals(bigrams, 4)), discounts(*totals[:4]), discounts(*_totals(top, 4)), totals),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals[7]).cast("long").alias("train_tokens"),
                          "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

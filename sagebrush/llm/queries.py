@@ -99,13 +99,13 @@ def _op1(spark, sf_dir):
 
 @query("op3_lm_score")
 def _op3(spark, sf_dir):
-    """Kneser-Ney and unigram log10 probability of every document, learned outside the held-out fold."""
+    """Kneser-Ney trigram and unigram log10 probability of every document, learned outside the held-out fold."""
     from pyspark.sql import functions as F
 
     from sagebrush.llm.common import fold
     from sagebrush.llm.lm import score
 
-    return score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 1)
+    return score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 1, order=3)
 
 
 @query("op10_suffix_dedup")

@@ -179,6 +179,56 @@ def test_lm(docs, nothing, rows, lower):
     assert all(r.train_tokens == 0 and r.score == 0.0 for r in alone)
 
 
+def test_lm_of_trigrams(spark, docs, nothing, rows, lower, tmp_path):
+    from sagebrush.llm.common import fold
+    from sagebrush.llm.lm import discounts, score
+    from sagebrush.llm.queries import QUERIES
+
+    held = {r[0]: zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 == 1 for r in rows}
+    tokens = [(r[0], ["^"] + re.findall(WORD, lower(r[1] or "")) + ["\0"]) for r in rows]
+    words, pairs, triples = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, w in tokens:
+        if not held[i]:
+            words.update(w[1:])
+            pairs.update(zip(w, w[1:], strict=False))
+            triples.update(zip(w, w[1:], w[2:], strict=False))
+    after = collections.Counter((b, c) for _, b, c in triples)
+    after.update({(a, b): n for (a, b), n in pairs.items() if a == "^"})
+    before, v = collections.Counter(w for _, w in pairs), len(words)
+
+    def contexts(counts):
+        out = collections.defaultdict(lambda: [0] * 4)
+        for gram, c in counts.items():
+            out[gram[:-1]][0] += c
+            out[gram[:-1]][min(c, 3)] += 1
+        return out
+
+    levels = [(counts, contexts(counts), discounts(*(sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)))) for counts in (after, triples)]
+    e, every = discounts(*(sum(c == k for c in before.values()) for k in (1, 2, 3, 4))), sum(before.values())
+    free = sum(e[min(c, 3)] for c in before.values()) / every
+
+    def p(gram):
+        if len(gram) == 1:
+            return max(before[gram[0]] - e[min(before[gram[0]], 3)], 0) / every + free / (v + 1)
+        counts, context, d = levels[len(gram) - 2]
+        if gram[:-1] not in context:
+            return p(gram[1:])
+        total, *k = context[gram[:-1]]
+        return max(counts[gram] - d[min(counts[gram], 3)], 0) / total + sum(x * y for x, y in zip(d[1:], k, strict=True)) / total * p(gram[1:])
+
+    want = collections.Counter((i, len(w) - 1, round(sum(math.log10(p(tuple(w[max(0, k - 2):k + 1]))) for k in range(1, len(w))), 6)) for i, w in tokens)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (score(docs, fold(F.col("doc_id"), 5) == 1, 400, order=3), QUERIES["op3_lm_score"](spark, str(tmp_path))):
+        assert collections.Counter((r.doc_id, r.n_tokens, round(r.score, 6)) for r in got.collect()) == want
+    seen = next(g[:2] for g, c in triples.items() if c > 1)
+    for context in (seen, ("^", tokens[0][1][1]), ("never", "seen")):
+        assert abs(sum(p((*context, w)) for w in words) + p((*context, "never seen")) - 1) < 1e-9
+    assert score(nothing, F.lit(False), order=3).count() == 0
+    alone = score(docs, F.lit(True), order=3).collect()
+    assert all(r.train_tokens == 0 and r.score == 0.0 for r in alone)
+    assert score(docs.filter("doc_id in (500, 501)"), F.lit(False), order=3).count() == 2
+
+
 def test_token_output(docs, nothing, rows):
     import public_tokenizers
     import tokenizers
