@@ -10,7 +10,7 @@ leave it in monotone order and equal first symbols in the order they came, so it
 symbol, kept on disk beyond ``HELD`` tuples.  A tuple's common prefix follows from those of the suffixes that induce it: one more
 than the smallest value between its inducer and the previous inducer of the same symbol, a range minimum over the block
 and a running minimum per symbol across blocks.  Blocks of tuples are numpy arrays, so nothing loops over suffixes,
-and only a block, the queues' buffers and the seeds' names are in memory; text, types and queues are memory-mapped files.
+and a block, the queues' first ``HELD`` tuples, and the types, seeds, names and hashes of the text are arrays in memory.
 
 Order and common prefixes are exact up to ``depth`` bytes, which is all that windows of that length need: names need no
 further sorting beyond it, and prefixes are not compared beyond it.
