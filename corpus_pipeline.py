@@ -19,9 +19,9 @@ from sagebrush.llm.token_output import op4_token_output
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; a null lang is filled with it."""
+    """Documents with a letter; a null lang is filled with the recognised one, "und" where nothing could be learned."""
     prepare(spark)
-    found = predict(docs, learn_profiles(docs)).filter(F.col("lang_pred") != "und")
+    found = predict(docs, learn_profiles(docs), letters="_letters").filter("_letters")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 

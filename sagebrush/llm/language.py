@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from sagebrush.llm.common import batch_of
 
@@ -152,20 +152,24 @@ class Profiles:
         return self.langs[best], float(1 - distance[best] / (len(own) * self.size))
 
 
-def _predictor(profiles, size: int, schema: pa.Schema):
+def _predictor(profiles, size: int, schema: pa.Schema, letters: str | None):
     def run(batches):
         model = Profiles(profiles.value, size)
         for batch in batches:
             found = [model.predict(t) for t in batch.column("text").to_pylist()]
             new = {"lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
+            if letters:
+                new[letters] = [len(symbols(t)) > 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(new[f.name], type=f.type) if f.name in new else batch.column(f.name)
                                               for f in schema], schema=schema)
     return run
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score (columns of these names are replaced); text is read as a string."""
+def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE, letters: str | None = None) -> DataFrame:
+    """All columns of ``docs`` with lang_pred and score (columns of these names are replaced); text is read as a string.
+    A column named ``letters``, if given, tells whether the text has a letter."""
     rows = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
-    out = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    out = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()),
+                      *([StructField(letters, BooleanType())] if letters else [])])
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    return rows.mapInArrow(_predictor(shared, size, to_arrow_schema(out)), out)
+    return rows.mapInArrow(_predictor(shared, size, to_arrow_schema(out), letters), out)

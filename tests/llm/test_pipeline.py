@@ -34,6 +34,17 @@ def test_stages(spark):
     assert P.run(spark, SF).count() == ids.count()
 
 
+def test_language_stage_rejects_only_texts_without_letters(spark, docs, rows):
+    from pyspark.sql import functions as F
+
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    want = sorted(str(r[0]) for r in rows if r[1] and any(c.isalpha() for c in r[1]))
+    for lang in (F.col("lang"), F.lit(None).cast("string"), F.lit("und")):
+        kept = P.language_id(spark, odd.withColumn("lang", lang), SF)
+        assert kept.columns == odd.columns
+        assert sorted(str(r.doc_id) for r in kept.collect()) == want
+
+
 def test_stages_on_odd_rows(spark, docs, nothing):
     odd = docs.select("doc_id", "text", "lang", "source", "n_chars")
     for table in (odd, nothing.select(odd.columns)):
