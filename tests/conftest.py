@@ -1,13 +1,11 @@
 import os
 import sys
-sys.path.insert(0, __import__("os").path.dirname(__import__("os").path.abspath(__file__)))
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
-
-SF001 = "/root/testdata/sf0.01"
+HERE = os.path.dirname(os.path.abspath(__file__))
+for folder in (HERE, os.path.dirname(HERE)):
+    sys.path.insert(0, folder)
 
 
 @pytest.fixture(scope="session")

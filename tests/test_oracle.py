@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF001
+from testdata import SF001
 from oracle_check import compare, duck
 
 import __spark_entry__ as E

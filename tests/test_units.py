@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from testdata import SF001
 
 
 def rows(df, *cols):
