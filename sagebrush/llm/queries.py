@@ -114,3 +114,11 @@ def _op10(spark, sf_dir):
     from sagebrush.llm.repeats import op10_repeats
 
     return op10_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_whitening")
+def _op11(spark, sf_dir):
+    """Whitened coordinates of every embedding along the first 32 components."""
+    from sagebrush.llm.whitening import op11_whitening
+
+    return op11_whitening(table(spark, sf_dir, "embeddings"))
