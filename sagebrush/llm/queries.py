@@ -122,3 +122,11 @@ def _op11(spark, sf_dir):
     from sagebrush.llm.whitening import op11_whitening
 
     return op11_whitening(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_secrets")
+def _op12(spark, sf_dir):
+    """Secrets of every document: plain patterns, and keys and tokens confirmed by their structure."""
+    from sagebrush.llm.secrets import op12_secrets
+
+    return op12_secrets(table(spark, sf_dir, "documents"))
