@@ -130,3 +130,11 @@ def _op12(spark, sf_dir):
     from sagebrush.llm.secrets import op12_secrets
 
     return op12_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op13_collocations")
+def _op13(spark, sf_dir):
+    """The first 2000 phrases of every language by the cohesion of their loosest cut."""
+    from sagebrush.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))

@@ -44,4 +44,31 @@ r AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
 """
 
-ORACLE = {"op7_exact_dedup": OP7, "op9_decontaminate": OP9}
+OP13 = rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_ASCII_LOWER.format(t="coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+occurring AS (
+  SELECT lang, m, list_slice(w, i, i + m - 1) AS ws
+  FROM words, unnest([1, 2, 3, 4]) AS s(m), unnest(generate_series(1, len(w) - m + 1)) AS g(i) WHERE len(w) >= m),
+f AS (SELECT lang, m, ws, array_to_string(ws, ' ') AS phrase, count(*) AS f FROM occurring GROUP BY lang, m, ws HAVING count(*) >= 30),
+parts AS (
+  SELECT lang, m, phrase, f AS a, k, array_to_string(list_slice(ws, 1, k), ' ') AS first, array_to_string(list_slice(ws, k + 1, m), ' ') AS rest
+  FROM f, unnest([1, 2, 3]) AS s(k) WHERE k < m),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, 2000000::HUGEINT * c.a // (l.f + r.f) AS score
+  FROM parts c JOIN f l ON l.lang = c.lang AND l.phrase = c.first JOIN f r ON r.lang = c.lang AND r.phrase = c.rest),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS phrase, f
+  FROM f, unnest([2, 3]) AS s(n), unnest([1, 2, 3]) AS g(i) WHERE n < m AND i + n - 1 <= m),
+longer AS (SELECT lang, phrase, max(f) AS f FROM inner_parts GROUP BY lang, phrase),
+kept AS (
+  SELECT b.lang, b.phrase, a, l, r, score
+  FROM best b LEFT JOIN longer ON longer.lang = b.lang AND longer.phrase = b.phrase WHERE longer.f IS NULL OR 100 * longer.f < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLE = {"op7_exact_dedup": OP7, "op9_decontaminate": OP9, "op13_collocations": OP13}
