@@ -366,7 +366,9 @@ def _joined(spans: Column) -> Column:
 
 
 def op12_secrets(docs: DataFrame) -> DataFrame:
-    found = scan(docs.select("doc_id", "text")).select("doc_id", "secrets")
-    own = F.filter("secrets", lambda s: s["kind"].isin(*BASE_KINDS))
-    count = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return found.select("doc_id", *count, F.sha2(_joined(own), 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"))
+    def of(*kinds: str) -> Column:
+        return F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+
+    found = scan(docs.select("doc_id", "text"))
+    count = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select("doc_id", *count, F.sha2(_joined(of(*BASE_KINDS)), 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"))
