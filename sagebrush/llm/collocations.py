@@ -39,8 +39,9 @@ LEAST = 30
 LONGEST = 4
 TOP = 2000
 SCALE = 2_000_000
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 _CHUNK = 2 << 20        # bytes of text that are split at once
+_ROWS = 1 << 17         # rows of a batch of counts
 _GAP = -1
 # lower case for A-Z, a blank for a tab, and one mark for everything that ends a piece
 _BYTES = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 10))
@@ -96,8 +97,10 @@ def _occurrences(size: int):
         def close():
             places = np.concatenate([np.zeros(0, np.int32), *words.parts])
             n = np.bincount(places[places >= 0], minlength=len(words.known))
-            groups = [{"lang": lang, "word": w.decode("utf-8", "replace"), "n": k} for (lang, w), k in zip(words.known, n.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_packed(places)], pa.binary()), pa.array([groups], schema.field("groups").type)], schema=schema)
+            groups = pa.StructArray.from_arrays([pa.array([lang for lang, _ in words.known], pa.string()),
+                                                 pa.array([w for _, w in words.known], pa.binary()).cast(pa.string()), pa.array(n)], ["lang", "word", "n"])
+            whole = pa.ListArray.from_arrays(np.array([0, len(groups)], np.int32), groups)
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_packed(places)], pa.binary()), whole], schema=schema)
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -122,53 +125,72 @@ def occurrences(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def frequent(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Of the blocks' counts (block, group, keys, n) the rows of groups that reach ``least``, with their ``total``.  One row
-    per block and group is shuffled, once: the sums and the rows they are joined to share the exchange."""
+    """Of the blocks' counts (keys, own = [block, group, n]) the rows (keys, block, group, total) of groups that reach ``least``.  One
+    row per block and group is shuffled, once: ``own`` is one column so that the sums and the rows they are joined to read the same
+    columns and share the exchange."""
     dealt = counts.repartition(*keys)
-    total = dealt.groupBy(*keys).agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
-    return written(dealt.drop("n").join(total.hint("shuffle_hash"), keys), "frequent-groups")
+    total = dealt.groupBy(*keys).agg(F.sum(F.col("own")[2]).alias("total")).filter(F.col("total") >= least)
+    kept = dealt.join(total.hint("shuffle_hash"), keys)
+    return written(kept.select(*keys, F.col("own")[0].alias("block"), F.col("own")[1].alias("group"), "total"), "frequent-groups")
 
 
-def _place_keys(places: np.ndarray, length: int):
-    """Merge-join of the relation with itself at the next place: per place the joined pair, per pair its parts."""
-    left, right = places[:-1], places[1:]
-    both = np.flatnonzero((left >= 0) & (right >= 0))
-    size = int(places.max(initial=0)) + 1
-    pairs, of, n = np.unique(left[both].astype(np.int64) * size + right[both], return_inverse=True, return_counts=True)
-    joined = np.full(len(places), _GAP, np.int32)
-    joined[both] = of
-    return joined, pairs // size, pairs % size, n
+def _phrases(row, length: int) -> np.ndarray:
+    """The words of a relation's groups: those of the phrase at the beginning, and the last one of the phrase at the end."""
+    words = _unpacked(row["words"], "<i8").reshape(-1, length - 1)
+    left, right = _unpacked(row["left"]), _unpacked(row["right"])
+    return np.column_stack((words[left], words[right, -1]))
 
 
 def _extend(length: int):
-    """The next relation of a block, and the counts of its groups: rows with places are the relation, the others counts."""
-    columns = ["block", "places", "phrases", "group", *[f"w{i}" for i in range(length + 1)], "n"]
-
+    """Semi-join of a block's relation with its frequent groups, and merge-join with itself at the next place: the next relation."""
     def run(relation: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(relation) or not len(found):
-            return pd.DataFrame(columns=columns)
-        row, group = relation.iloc[0], found["group"].to_numpy(np.int64)
-        if length == 1:
-            words = found["w0"].to_numpy(np.int64)[:, None]
-        else:
-            words = _unpacked(row["phrases"], "<i8").reshape(-1, length)[group]
-        places = _unpacked(row["places"])
+            return pd.DataFrame(columns=["block", "places", "left", "right", "words"])
+        row, found = relation.iloc[0], found.sort_values("group")
+        group, places = found["group"].to_numpy(np.int64), _unpacked(row["places"])
+        words = found["w0"].to_numpy(np.int64)[:, None] if length == 1 else _phrases(row, length)[group]
         kept = np.full(max(int(places.max(initial=0)), int(group.max())) + 2, _GAP, np.int32)
         kept[group] = np.arange(len(group))     # the last entry serves the gaps
-        joined, left, right, n = _place_keys(kept[places], length)
-        phrases = np.column_stack((words[left], words[right, -1]))
-        out = pd.DataFrame({f"w{i}": phrases[:, i] for i in range(length + 1)}).assign(group=np.arange(len(n)), n=n).astype("Int64")
-        own = pd.DataFrame({"places": [_packed(joined)], "phrases": [_packed(np.ascontiguousarray(phrases))]})
-        return pd.concat([own, out], ignore_index=True).assign(block=int(row["block"]))[columns]
+        places = kept[places]
+        both = np.flatnonzero((places[:-1] >= 0) & (places[1:] >= 0))
+        pairs, of = np.unique(places[both].astype(np.int64) * len(group) + places[both + 1], return_inverse=True)
+        joined = np.full(len(places), _GAP, np.int32)
+        joined[both] = of
+        left, right = ((x.astype(np.int32)) for x in np.divmod(pairs, len(group)))
+        return pd.DataFrame({"block": [row["block"]], "places": [_packed(joined)], "left": [_packed(left)], "right": [_packed(right)],
+                             "words": [_packed(np.ascontiguousarray(words))]})
     return run
 
 
 def extend(relation: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    words = [f"w{i} long" for i in range(length + 1)]
-    schema = ", ".join(["block long, places binary, phrases binary, group int", *words, "n long"])
+    """The relation of phrases of ``length`` + 1 words: block, places, and of every group its beginning and its end among the frequent
+    phrases, whose words stand beside them."""
     answers = found.select("block", "group", *(["w0"] if length == 1 else []))
     sides = relation.groupBy("block").cogroup(answers.groupBy("block"))
-    return written(sides.applyInPandas(_extend(length), schema), "phrase-occurrences")
+    return written(sides.applyInPandas(_extend(length), "block long, places binary, left binary, right binary, words binary"), "phrase-occurrences")
+
+
+def _counts(length: int):
+    """A row per block and group of a relation."""
+    schema = pa.schema([*[(f"w{i}", pa.int64()) for i in range(length)], ("own", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                phrases, places = _phrases(row, length), _unpacked(row["places"])
+                own = np.empty((len(phrases), 3), np.int64)
+                own[:, 0], own[:, 1], own[:, 2] = row["block"], np.arange(len(phrases)), np.bincount(places[places >= 0], minlength=len(phrases))
+                for a in range(0, len(own), _ROWS):
+                    part = own[a:a + _ROWS]
+                    lists = pa.ListArray.from_arrays(np.arange(0, part.size + 1, 3, dtype=np.int32), part.ravel())
+                    words = [np.ascontiguousarray(phrases[a:a + _ROWS, i]) for i in range(length)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, words), lists], schema=schema)
+    return run
+
+
+def phrase_counts(relation: DataFrame, length: int) -> DataFrame:
+    schema = ", ".join([*[f"w{i} long" for i in range(length)], "own array<long>"])
+    return relation.mapInArrow(_counts(length), schema)
 
 
 def _hashed(found: DataFrame) -> DataFrame:
@@ -184,17 +206,17 @@ def _hashed(found: DataFrame) -> DataFrame:
 def group_tables(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n) of all words, and for every length the frequent groups: (lang, word, w0, f), then (w0, w1, ..., f)."""
     first = occurrences(docs, block_bytes)
-    groups = first.select("block", F.posexplode("groups").alias("group", "g")).select("block", "group", "g.lang", "g.word", "g.n")
-    totals = groups.groupBy("lang").agg(F.sum("n").alias("n"))
-    found = _hashed(frequent(groups, ["lang", "word"], least))
+    groups = first.select("block", F.posexplode("groups").alias("group", "g"))
+    totals = groups.groupBy("g.lang").agg(F.sum("g.n").alias("n"))
+    own = F.array(F.col("block"), F.col("group").cast("long"), F.col("g.n"))
+    found = _hashed(frequent(groups.select("g.lang", "g.word", own.alias("own")), ["lang", "word"], least))
     tables = [found.groupBy("lang", "word", "w0").agg(F.first("total").alias("f"))]
     relation = first.select("block", "places")
     for length in range(1, longest):
-        extended = extend(relation, found, length)
+        relation = extend(relation, found, length)
         keys = [f"w{i}" for i in range(length + 1)]
-        found = frequent(extended.filter(F.col("group").isNotNull()).select("block", "group", *keys, "n"), keys, least)
+        found = frequent(phrase_counts(relation, length + 1), keys, least)
         tables.append(found.groupBy(*keys).agg(F.first("total").alias("f")))
-        relation = extended.filter(F.col("group").isNull()).select("block", "places", "phrases")
     return totals, tables
 
 
