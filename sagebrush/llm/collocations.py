@@ -14,8 +14,8 @@ places: a row of the table is the part that one block of whole documents has, it
    k + 1 words meets the phrases of k words at its beginning and at its end.  A candidate is compared with those one word longer
    only: a longer one that takes its place implies such a one, as counts fall with length.
 
-Words travel as 64-bit hashes of language and word.  The hashes of frequent words are compared: if two share one, all are hashed anew with
-another seed, so a result never rests on chance.
+A phrase travels as the hashes of its words (with their language), five to eight bytes each.  The hashes of frequent words are compared: if
+two share one, all are hashed anew with another seed or a byte more, so a result never rests on chance.
 
 A group that a third of all places have is one row per block in the shuffle.  A task holds one block, ``BLOCK_BYTES`` of text or one
 longer document.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sagebrush.llm.common import written
+from sagebrush.llm.common import forget, freed_shuffles, written
 
 LEAST = 30
 LONGEST = 4
@@ -124,14 +124,22 @@ def occurrences(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return written(rows.mapInArrow(_occurrences(block_bytes), _OCCURRENCES), "word-occurrences")
 
 
+def _of_own(part: str) -> Column:
+    own = F.col("own")[1]
+    return {"block": F.col("own")[0], "group": F.shiftright(own, 32), "n": own.bitwiseAND(F.lit((1 << 32) - 1))}[part]
+
+
+def group_totals(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
+    return counts.groupBy(*keys).agg(F.sum(_of_own("n")).alias("total")).filter(F.col("total") >= least)
+
+
 def frequent(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Of the blocks' counts (keys, own = [block, group, n]) the rows (keys, block, group, total) of groups that reach ``least``.  One
+    """Of the blocks' counts (keys, own = [block, group and n]) the rows (keys, block, group, total) of groups that reach ``least``.  One
     row per block and group is shuffled, once: ``own`` is one column so that the sums and the rows they are joined to read the same
     columns and share the exchange."""
     dealt = counts.repartition(*keys)
-    total = dealt.groupBy(*keys).agg(F.sum(F.col("own")[2]).alias("total")).filter(F.col("total") >= least)
-    kept = dealt.join(total.hint("shuffle_hash"), keys)
-    return written(kept.select(*keys, F.col("own")[0].alias("block"), F.col("own")[1].alias("group"), "total"), "frequent-groups")
+    kept = dealt.join(group_totals(dealt, keys, least).hint("shuffle_hash"), keys)
+    return written(kept.select(*keys, _of_own("block").alias("block"), _of_own("group").alias("group"), "total"), "frequent-groups")
 
 
 def _phrases(row, length: int) -> np.ndarray:
@@ -170,54 +178,63 @@ def extend(relation: DataFrame, found: DataFrame, length: int) -> DataFrame:
     return written(sides.applyInPandas(_extend(length), "block long, places binary, left binary, right binary, words binary"), "phrase-occurrences")
 
 
-def _counts(length: int):
-    """A row per block and group of a relation."""
-    schema = pa.schema([*[(f"w{i}", pa.int64()) for i in range(length)], ("own", pa.list_(pa.int64()))])
+def _counts(length: int, width: int):
+    """A row per block and group of a relation; a phrase's key is its words' hashes, ``width`` bytes each."""
+    schema = pa.schema([("key", pa.binary()), ("own", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 phrases, places = _phrases(row, length), _unpacked(row["places"])
-                own = np.empty((len(phrases), 3), np.int64)
-                own[:, 0], own[:, 1], own[:, 2] = row["block"], np.arange(len(phrases)), np.bincount(places[places >= 0], minlength=len(phrases))
+                own = np.empty((len(phrases), 2), np.int64)
+                own[:, 0], own[:, 1] = row["block"], np.arange(len(phrases)) << 32 | np.bincount(places[places >= 0], minlength=len(phrases))
                 for a in range(0, len(own), _ROWS):
-                    part = own[a:a + _ROWS]
-                    lists = pa.ListArray.from_arrays(np.arange(0, part.size + 1, 3, dtype=np.int32), part.ravel())
-                    words = [np.ascontiguousarray(phrases[a:a + _ROWS, i]) for i in range(length)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, words), lists], schema=schema)
+                    part = phrases[a:a + _ROWS]
+                    n, size = len(part), length * width
+                    keys = np.ascontiguousarray(part.astype(">i8").view(np.uint8).reshape(n, length, 8)[:, :, 8 - width:])
+                    keys = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, n * size + 1, size, dtype=np.int32)), pa.py_buffer(keys)])
+                    lists = pa.ListArray.from_arrays(np.arange(0, 2 * n + 1, 2, dtype=np.int32), own[a:a + _ROWS].ravel())
+                    yield pa.RecordBatch.from_arrays([keys, lists], schema=schema)
     return run
 
 
-def phrase_counts(relation: DataFrame, length: int) -> DataFrame:
-    schema = ", ".join([*[f"w{i} long" for i in range(length)], "own array<long>"])
-    return relation.mapInArrow(_counts(length), schema)
+def phrase_counts(relation: DataFrame, length: int, width: int) -> DataFrame:
+    return relation.mapInArrow(_counts(length, width), "key binary, own array<long>")
 
 
-def _hashed(found: DataFrame) -> DataFrame:
-    """Adds w0, a hash of (lang, word) that no two frequent words share."""
+def _hashed(found: DataFrame) -> tuple[DataFrame, int]:
+    """Adds w0, a hash of (lang, word) that no two frequent words share, and its bytes: as few as will do."""
     groups = found.select("lang", "word").distinct()
-    for seed in range(64):
-        hashed = F.xxhash64(F.lit(seed), "lang", "word")
-        if not groups.groupBy(hashed.alias("h")).count().filter("count > 1").limit(1).collect():
-            return found.withColumn("w0", hashed)
+    for width in (5, 6, 7, 8):
+        for seed in range(4 if width < 8 else 64):
+            hashed = F.xxhash64(F.lit(seed), "lang", "word")
+            hashed = hashed if width == 8 else hashed.bitwiseAND(F.lit((1 << 8 * width) - 1))
+            if not groups.groupBy(hashed.alias("h")).count().filter("count > 1").limit(1).collect():
+                return found.withColumn("w0", hashed), width
     raise ValueError("no seed gives different hashes")
 
 
-def group_tables(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[DataFrame]]:
-    """(lang, n) of all words, and for every length the frequent groups: (lang, word, w0, f), then (w0, w1, ..., f)."""
+def group_tables(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[DataFrame], int]:
+    """(lang, n) of all words; for every length the frequent groups, (lang, word, key, f) of words and (key, f) of phrases; a word's bytes in a key."""
     first = occurrences(docs, block_bytes)
     groups = first.select("block", F.posexplode("groups").alias("group", "g"))
-    totals = groups.groupBy("g.lang").agg(F.sum("g.n").alias("n"))
-    own = F.array(F.col("block"), F.col("group").cast("long"), F.col("g.n"))
-    found = _hashed(frequent(groups.select("g.lang", "g.word", own.alias("own")), ["lang", "word"], least))
-    tables = [found.groupBy("lang", "word", "w0").agg(F.first("total").alias("f"))]
+    totals = written(groups.groupBy("g.lang").agg(F.sum("g.n").alias("n")), "word-totals")
+    own = F.array(F.col("block"), F.shiftleft(F.col("group").cast("long"), 32).bitwiseOR(F.col("g.n")))
+    found, width = _hashed(frequent(groups.select("g.lang", "g.word", own.alias("own")), ["lang", "word"], least))
+    key = F.substring(F.unhex(F.lpad(F.hex("w0"), 16, "0")), 9 - width, width)
+    tables = [written(found.groupBy("lang", "word", "w0").agg(F.first("total").alias("f")).select("lang", "word", key.alias("key"), "f"), "groups")]
     relation = first.select("block", "places")
-    for length in range(1, longest):
-        relation = extend(relation, found, length)
-        keys = [f"w{i}" for i in range(length + 1)]
-        found = frequent(phrase_counts(relation, length + 1), keys, least)
-        tables.append(found.groupBy(*keys).agg(F.first("total").alias("f")))
-    return totals, tables
+    for length in range(2, longest + 1):
+        before, relation = relation, extend(relation, found, length - 1)
+        forget(before, found)
+        counts = phrase_counts(relation, length, width)
+        if length < longest:
+            found = frequent(counts, ["key"], least)
+            tables.append(written(found.groupBy("key").agg(F.first("total").alias("f")), "groups"))
+        else:
+            tables.append(written(group_totals(counts, ["key"], least).withColumnRenamed("total", "f"), "groups"))
+            forget(relation)
+    return totals, tables, width
 
 
 def _quotient(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
@@ -227,31 +244,34 @@ def _quotient(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
     return ((whole - whole % below) / below).cast("decimal(38,0)").cast("long")
 
 
-def scored(tables: list[DataFrame]) -> DataFrame:
+def scored(tables: list[DataFrame], width: int) -> DataFrame:
     """(lang, phrase, a, l, r, score) of the candidates that no longer one replaces."""
-    before = tables[0].select("w0", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("firsts"),
-                              F.array("f").alias("lasts"), "f")
+    def begin_of(length):
+        return F.substring("key", 1, (length - 1) * width)
+
+    def end_of(length):
+        return F.substring("key", width + 1, (length - 1) * width)
+
+    before = tables[0].select("key", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("firsts"),
+                              F.array("f").alias("lasts"))
     out = None
     for length, table in enumerate(tables[1:], start=2):
-        keys = [f"w{i}" for i in range(length)]
-        begin = before.select(*[F.col(f"w{i}") for i in range(length - 1)], "lang", F.col("phrase").alias("begin"), "firsts")
-        end = before.select(*[F.col(f"w{i}").alias(f"w{i + 1}") for i in range(length - 1)], "last", "lasts")
-        own = (table.join(begin, keys[:-1]).join(end, keys[1:])
-               .select(*keys, "lang", F.concat_ws(" ", "begin", "last").alias("phrase"), "last",
+        begin = before.select(F.col("key").alias("begin"), "lang", F.col("phrase").alias("first_words"), "firsts")
+        end = before.select(F.col("key").alias("end"), "last", "lasts")
+        own = (table.select("key", begin_of(length).alias("begin"), end_of(length).alias("end"), "f").join(begin, "begin").join(end, "end")
+               .select("key", "lang", F.concat_ws(" ", "first_words", "last").alias("phrase"), "last",
                        F.concat("firsts", F.array("f")).alias("firsts"), F.concat("lasts", F.array("f")).alias("lasts"), "f"))
         before = own = written(own, "phrases")
         cuts = []
         for k in range(1, length):
             l, r = F.col("firsts")[k - 1], F.col("lasts")[length - k - 1]  # noqa: E741
             cuts.append(F.struct(_quotient(F.col("f"), l, r).alias("score"), F.lit(k).alias("k"), l.alias("l"), r.alias("r")))
-        best = F.array_min(F.array(*cuts))
-        rows = own.select(*keys, "lang", "phrase", F.col("f").alias("a"), best.alias("b"))
+        rows = own.select("key", "lang", "phrase", F.col("f").alias("a"), F.array_min(F.array(*cuts)).alias("b"))
         if length < len(tables):
             # the commonest phrase of one more word that begins or ends with this one
-            longer = tables[length].select(*[f"w{i}" for i in range(length)], "f").unionByName(
-                tables[length].select(*[F.col(f"w{i + 1}").alias(f"w{i}") for i in range(length)], "f"))
-            longer = longer.groupBy(*keys).agg(F.max("f").alias("longer"))
-            rows = rows.join(longer, keys, "left").filter(F.col("longer").isNull() | (F.col("longer").cast("decimal(19,0)") * 100 < F.col("a").cast("decimal(19,0)") * 80))
+            longer = tables[length].select(F.explode(F.array(begin_of(length + 1), end_of(length + 1))).alias("key"), "f")
+            longer = longer.groupBy("key").agg(F.max("f").alias("longer"))
+            rows = rows.join(longer, "key", "left").filter(F.col("longer").isNull() | (F.col("longer").cast("decimal(19,0)") * 100 < F.col("a").cast("decimal(19,0)") * 80))
         rows = rows.select("lang", "phrase", "a", "b.l", "b.r", "b.score")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -259,7 +279,9 @@ def scored(tables: list[DataFrame]) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases."""
-    totals, tables = group_tables(docs, least, longest, block_bytes)
+    with freed_shuffles(docs.sparkSession):
+        totals, tables, width = group_tables(docs, least, longest, block_bytes)
+        candidates = scored(tables, width)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = scored(tables).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    best = candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,26 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """What is written inside frees the files of its exchanges at its end, as the table has all that they had."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables whose readers have written what they made of them."""
+    for table_ in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table_.inputFiles()}:
+            there = table_.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(table_.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
