@@ -7,14 +7,16 @@ doc_id) or earlier in its own.  Texts are UTF-8; strings are judged on the input
    runs of windows with one anchor are segments.  Equal windows have equal anchors.
 2. Anchors that occur once in the corpus settle their windows: those are unique.  A block sends its different anchors as
    sorted Golomb-coded hashes to the shards that own the hash ranges and gets back two bitmaps: anchors that occur again,
-   and anchors that occur more than ``HOT`` times.
-3. The remaining segments go to the shard of their anchor, equal segments of a block as one with the earliest place (the
-   others are repeated from end to end).  Of a hot anchor the single windows travel instead, dealt by their own
-   hash, so that a passage that a third of all documents share is spread over all shards.
-4. A shard's different segments, of anchors that have more than one, are written to a file of the task as one text with
+   and anchors that occur more than ``HOT`` times.  (An anchor is the least of many hashes; it is mixed once more, so the ranges are even.)
+3. Where a passage that very many documents share begins and ends, each of them has a segment of its own around one hot anchor.  Of hot
+   anchors the hashes of the single windows are exchanged in the same way, dealt by themselves over all shards: windows that occur once
+   drop out, and what is left of such segments is the passage's own text, alike in all documents.
+4. The remaining segments go to the shard of their anchor, equal segments of a block as one with the earliest place: the others are
+   repeated from end to end and stay, as packed spans, with their block.  So a shard gets each different segment once per block.
+5. A shard's different segments, of anchors that have more than one, are written to a file of the task as one text with
    separators that UTF-8 never holds (texts of ``TEXT_BYTES``, cut between anchors), and its suffixes are sorted by external induced sorting with disk-backed queues (``induced.py``).  Neighbours whose common prefix
    reaches ``length`` are one string: all but the earliest start are repeated.
-5. Repeated spans return to the blocks, where the bytes are removed and what is left is digested.
+6. Repeated spans return to the blocks, packed by block, where the bytes are removed and what is left is digested.
 
 Shards are as many as blocks.  Memory holds Arrow batches, a block or a sorter's buffers; the shard's text and queues
 are files in the task's temporary folder that end with the shard.
@@ -41,7 +43,7 @@ from sagebrush.llm.induced import sorted_suffixes
 LENGTH = 100
 GRAM = 32
 BLOCK_BYTES = 6 << 20
-HOT = 200_000
+HOT = 50_000         # occurrences of an anchor beyond which its windows are exchanged one by one
 TEXT_BYTES = 3 << 20  # of segments sorted together, more only if a single anchor has more
 GAP = b"\xff"        # a byte that UTF-8 never holds
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -54,7 +56,7 @@ _BLOCK = "block long, ids array<long>, null array<boolean>, sizes array<long>, b
 _MESSAGE = "block long, shard long, n long, keys binary, counts binary"
 _ANSWER = "block long, shard long, n long, shared binary, hot binary"
 _SEGMENT = "shard long, anchor long, block long, doc int, id long, start long, windows int, body binary"
-_SPAN = "block long, doc int, start long, stop long"
+_SPAN = "block long, spans binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -158,6 +160,7 @@ class Block:
         n = max(0, len(data) - length + 1)
         inside = doc[:n] == doc[length - 1:]    # windows that end in another text are none
         every, places = anchors(data, inside, length) if n else (np.zeros(0, np.uint64),) * 2
+        every, places = _mix(every), _mix(places)
         new = np.ones(n, bool)
         new[1:] = (every[1:] != every[:-1]) | (doc[1:n] != doc[:max(0, n - 1)])
         edges = np.append(np.flatnonzero(new | ~inside), n)     # a segment ends where anchor or text changes
@@ -173,65 +176,120 @@ def _shards(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def _messages(block, keys: np.ndarray, counts: np.ndarray, n_shards: int) -> pd.DataFrame:
+    """Sorted hashes and their counts (in a block of bounded bytes or one text), cut by owner."""
+    shard = _shards(keys, n_shards)
+    cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+    rows = [(block, int(shard[a]), b - a, golomb.encode(keys[a:b]), counts[a:b].astype("<u4").tobytes())
+            for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+    return pd.DataFrame(rows, columns=["block", "shard", "n", "keys", "counts"])
+
+
 def _send(n_shards: int, length: int):
     def run(frames):
         for frame in frames:
             for _, row in frame.iterrows():
                 own = Block(row, length)
-                shard = _shards(own.keys, n_shards)
-                cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-                rows = [(row["block"], int(shard[a]), b - a, golomb.encode(own.keys[a:b]), np.minimum(own.counts[a:b], HOT + 1).astype("<u4").tobytes())
-                        for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-                yield pd.DataFrame(rows, columns=["block", "shard", "n", "keys", "counts"])
+                yield _messages(row["block"], own.keys, own.counts, n_shards)
     return run
 
 
-def _answer(messages: pd.DataFrame) -> pd.DataFrame:
-    """Per message two bitmaps: the anchor occurs more than once in the corpus, and more than HOT times."""
-    lists = [golomb.decode(k) for k in messages["keys"]]
-    counts = np.concatenate([np.frombuffer(c, "<u4") for c in messages["counts"]])
-    _, at = np.unique(np.concatenate(lists), return_inverse=True)
-    total = np.bincount(at, counts)[at]
-    ends = np.cumsum([len(x) for x in lists])[:-1]
-    bits = {"shared": total > 1, "hot": total > HOT}
-    return pd.DataFrame({"block": messages["block"].to_numpy(), "shard": messages["shard"].to_numpy(), "n": messages["n"].to_numpy(),
-                         **{c: [np.packbits(b).tobytes() for b in np.split(x, ends)] for c, x in bits.items()}})
+def _hot_windows(own: Block, hot: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the windows of hot anchors, by segment, and the hashes of their strings."""
+    segments = np.flatnonzero(hot[own.of])
+    sizes = own.windows[segments]
+    place = np.repeat(own.at[segments] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+    data, hashes = np.frombuffer(own.body, np.uint8), np.empty(len(place), np.uint64)
+    for start in range(0, len(place), _STRETCH):
+        part = place[start:start + _STRETCH]
+        low = int(part.min())
+        hashes[start:start + _STRETCH] = gram_hashes(data[low:int(part.max()) + length], length)[part - low]
+    return place, hashes
+
+
+def _send_windows(n_shards: int, length: int):
+    """Messages about the windows of a block's hot anchors."""
+    def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(blocks) or not len(answers):
+            return pd.DataFrame(columns=["block", "shard", "n", "keys", "counts"])
+        hot = _bits(answers.sort_values("shard"), "hot")
+        if not hot.any():
+            return pd.DataFrame(columns=["block", "shard", "n", "keys", "counts"])
+        own = Block(blocks.iloc[0], length)
+        keys, counts = np.unique(_hot_windows(own, hot, length)[1], return_counts=True)
+        return _messages(int(blocks["block"].iloc[0]), keys, counts, n_shards)
+    return run
+
+
+def _answer(hot: int):
+    """Per message two bitmaps: the hash occurs more than once in the corpus, and more than ``hot`` times."""
+    def run(messages: pd.DataFrame) -> pd.DataFrame:
+        lists = [golomb.decode(k) for k in messages["keys"]]
+        counts = np.concatenate([np.frombuffer(c, "<u4") for c in messages["counts"]])
+        _, at = np.unique(np.concatenate(lists), return_inverse=True)
+        total = np.bincount(at, counts)[at]
+        ends = np.cumsum([len(x) for x in lists])[:-1]
+        bits = {"shared": total > 1, "hot": total > hot}
+        return pd.DataFrame({"block": messages["block"].to_numpy(), "shard": messages["shard"].to_numpy(), "n": messages["n"].to_numpy(),
+                             **{c: [np.packbits(b).tobytes() for b in np.split(x, ends)] for c, x in bits.items()}})
+    return run
 
 
 def _bits(rows: pd.DataFrame, column: str) -> np.ndarray:
     return np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b, n in zip(rows[column], rows["n"], strict=True)]).astype(bool)
 
 
+def _packed_spans(doc, start, stop) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.array([doc, start, stop], "<i8").tobytes())
+
+
+def _unpacked_spans(bodies) -> np.ndarray:
+    import zstandard
+
+    parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), "<i8").reshape(3, -1) for b in bodies]
+    return np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), np.int64)
+
+
 def _segments(n_shards: int, length: int):
-    """Segments whose anchor occurs again, equal ones of the block as one; a row without a body is a span."""
+    """Segments whose anchor occurs again, of hot anchors only their windows that occur again, equal ones of the block as one; the spans
+    of the others are one packed row without windows."""
     def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         columns = ["shard", "anchor", "block", "doc", "id", "start", "windows", "body"]
         if not len(blocks) or not len(answers):
             return pd.DataFrame(columns=columns)
         own, block = Block(blocks.iloc[0], length), int(blocks["block"].iloc[0])
         answers = answers.sort_values("shard")
-        shared, hot = _bits(answers, "shared"), _bits(answers, "hot")
+        of_anchors, of_windows = (answers[answers["windows"] == kind] for kind in (False, True))
+        shared, hot = _bits(of_anchors, "shared"), _bits(of_anchors, "hot")
         shard, signed = _shards(own.keys, n_shards), own.keys.view(np.int64)
-        take = np.flatnonzero(shared[own.of])
+        at, windows, doc, anchor = own.at, own.windows, own.doc, own.of
+        if hot.any():
+            place, hashes = _hot_windows(own, hot, length)
+            keys = np.unique(hashes)
+            again = place[_bits(of_windows, "shared")[np.searchsorted(keys, hashes)]]
+            segment = np.searchsorted(at, again, side="right") - 1
+            new = np.ones(len(again), bool)
+            new[1:] = (np.diff(again) > 1) | (np.diff(segment) > 0)
+            begin = np.flatnonzero(new)
+            cool = np.flatnonzero(~hot[anchor])
+            at, windows, doc, anchor = (np.concatenate((x[cool], y)) for x, y in (
+                (at, again[begin]), (windows, np.diff(np.append(begin, len(again)))), (doc, doc[segment[begin]]), (anchor, anchor[segment[begin]])))
+        take = np.flatnonzero(shared[anchor])
         # by place in the corpus, so that the first of equal segments is the earliest
-        take = take[np.lexsort((own.at[take], own.doc[take], own.ids[own.doc[take]]))]
-        rows, seen = [], set()
-
-        def add(to, key, i, at, windows):
-            body = own.body[at:at + windows + length - 1]
-            doc = int(own.doc[i])
-            known = body in seen
-            seen.add(body)
-            rows.append((to, key, block, doc, int(own.ids[doc]), at - int(own.offset[doc]), windows, None if known else body))
-
+        take = take[np.lexsort((at[take], doc[take], own.ids[doc[take]]))]
+        rows, spans, seen = [], [], set()
         for i in take.tolist():
-            at, windows, anchor = int(own.at[i]), int(own.windows[i]), int(own.of[i])
-            if not hot[anchor]:
-                add(int(shard[anchor]), int(signed[anchor]), i, at, windows)
+            begin, n, text = int(at[i]), int(windows[i]), int(doc[i])
+            body, start = own.body[begin:begin + n + length - 1], begin - int(own.offset[text])
+            if body in seen:
+                spans.append((text, start, start + n + length - 1))
                 continue
-            for k in range(at, at + windows):
-                mixed = hashlib.blake2b(own.body[k:k + length], digest_size=8).digest()
-                add(int.from_bytes(mixed[:4], "little") * n_shards >> 32, int.from_bytes(mixed, "little", signed=True), i, k, 1)
+            seen.add(body)
+            rows.append((int(shard[anchor[i]]), int(signed[anchor[i]]), block, text, int(own.ids[text]), start, n, body))
+        if spans:
+            rows.append((block % n_shards, 0, block, 0, 0, 0, 0, _packed_spans(*zip(*spans, strict=True))))
         return pd.DataFrame(rows, columns=columns)
     return run
 
@@ -275,6 +333,15 @@ def repeated_windows(text: np.ndarray, folder: str, length: int, ids, blocks, do
     return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
+def _by_block(blocks, docs, start, stop) -> pd.DataFrame:
+    """One row of packed spans per block."""
+    order = np.argsort(blocks, kind="stable")
+    blocks, docs, start, stop = blocks[order], docs[order], start[order], stop[order]
+    cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+    rows = [(int(blocks[a]), _packed_spans(docs[a:b], start[a:b], stop[a:b])) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+    return pd.DataFrame(rows, columns=["block", "spans"])
+
+
 def _shard_spans(rows: list[tuple], text_path: str, folder: str, length: int) -> pd.DataFrame:
     """Spans of one shard; ``rows``: (id, block, doc, start, offset in the text) of its different segments."""
     ids, blocks, docs, starts, first = (np.array(c, np.int64) for c in zip(*rows, strict=True))
@@ -290,7 +357,7 @@ def _shard_spans(rows: list[tuple], text_path: str, folder: str, length: int) ->
     end = np.append(begin[1:], len(at)) - 1
     own, a, b = own[begin], at[begin], at[end] if len(at) else at
     start = starts[own] + a - first[own]
-    return pd.DataFrame({"block": blocks[own], "doc": docs[own].astype(np.int32), "start": start, "stop": start + (b - a) + length})
+    return _by_block(blocks[own], docs[own], start, start + (b - a) + length)
 
 
 class _ShardText:
@@ -346,30 +413,39 @@ class _ShardText:
 def _sort_shards(length: int):
     """Rows sorted by (shard, anchor, place) in: spans out."""
     def run(frames):
-        current, text = None, None
-        for frame in frames:
+        current, text, spans = None, None, []
+
+        def settled():
+            nonlocal spans
+            found = [x for x in (text.spans() if text is not None else None, _by_block(*map(np.array, zip(*spans, strict=True))) if spans else None) if x is not None]
             spans = []
+            return found
+
+        for frame in frames:
             for shard, anchor, block, doc, key, start, windows, body in frame.itertuples(index=False):
+                if not windows:
+                    yield pd.DataFrame({"block": [block], "spans": [body]})
+                    continue
                 # strings of different anchors differ, so a text may end behind any anchor
                 if shard != current or anchor != text.anchor and text.place >= TEXT_BYTES:
-                    if text is not None and (found := text.spans()) is not None:
-                        yield found
+                    yield from settled()
                     current, text = shard, _ShardText(length)
-                if body is None or not text.add(anchor, (key, block, doc, start), body):
+                if not text.add(anchor, (key, block, doc, start), body):
                     spans.append((block, doc, start, start + windows + length - 1))
-            if spans:
-                yield pd.DataFrame(spans, columns=["block", "doc", "start", "stop"])
-        if text is not None and (found := text.spans()) is not None:
-            yield found
+        yield from settled()
     return run
 
 
-def removed_spans(blocks: DataFrame, length: int = LENGTH) -> DataFrame:
+def removed_spans(blocks: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Spans (block, doc, start, stop) of repeated bytes; they may overlap."""
     n = max(1, blocks.count())
     messages = blocks.mapInPandas(_send(n, length), _MESSAGE)
-    answers = messages.groupBy("shard").applyInPandas(_answer, _ANSWER)
-    segments = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_segments(n, length), _SEGMENT)
+    answers = messages.groupBy("shard").applyInPandas(_answer(hot), _ANSWER)
+    answers = written(answers.withColumn("windows", F.lit(False)), "anchor-answers")
+    windows = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_send_windows(n, length), _MESSAGE)
+    of_windows = windows.groupBy("shard").applyInPandas(_answer(hot), _ANSWER).withColumn("windows", F.lit(True))
+    both = answers.unionByName(of_windows)
+    segments = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(_segments(n, length), _SEGMENT)
     partitions = max(n, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = segments.repartition(partitions, "shard").sortWithinPartitions("shard", "anchor", "id", "block", "doc", "start")
     return dealt.mapInPandas(_sort_shards(length), _SPAN)
@@ -380,9 +456,9 @@ def _clean(length: int):
         own = Block(blocks.iloc[0], length, segments=False)
         n = len(own.sizes)
         edge = np.zeros(int(own.sizes.sum()) + 1, np.int32)
-        begin = own.offset[spans["doc"].to_numpy(np.int64)]
-        np.add.at(edge, begin + spans["start"].to_numpy(np.int64), 1)
-        np.add.at(edge, begin + spans["stop"].to_numpy(np.int64), -1)
+        doc, start, stop = _unpacked_spans(spans["spans"])
+        np.add.at(edge, own.offset[doc] + start, 1)
+        np.add.at(edge, own.offset[doc] + stop, -1)
         gone = np.cumsum(edge[:-1]) > 0
         data = np.frombuffer(own.body, np.uint8)
         rows = []
@@ -396,13 +472,13 @@ def _clean(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """Per row: doc_id (long), n_bytes, n_removed, n_spans, kept (the bytes that are left)."""
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
     schema = pa.schema(list(zip([f.split()[0] for f in _BLOCK.split(", ")], kinds, strict=True)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = written(rows.mapInArrow(_packed(schema, block_bytes), _BLOCK), "text-blocks")
-    spans = written(removed_spans(blocks, length), "repeated-spans")
+    spans = written(removed_spans(blocks, length, hot), "repeated-spans")
     return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(
         _clean(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

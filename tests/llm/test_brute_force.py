@@ -473,11 +473,10 @@ def test_decontamination(spark, docs, nothing, rows, lower):
     assert not any(r.contaminated for r in op9_decontaminate(docs, bench.filter("false")).collect())
 
 
-@pytest.mark.parametrize("hot,block", [(200_000, 8 << 20), (2, 6_000)])
-def test_repeats(docs, nothing, rows, monkeypatch, hot, block):
+@pytest.mark.parametrize("hot,block", [(200_000, 8 << 20), (2, 40_000), (0, 1 << 20)])
+def test_repeats(docs, nothing, rows, hot, block):
     from sagebrush.llm import repeats as R
 
-    monkeypatch.setattr(R, "HOT", hot)
     unique = docs.dropDuplicates(["doc_id"])
     seen, want = set(), {}
     for i, t in sorted({r[0]: r[1] for r in rows}.items(), key=lambda x: key(x[0])):
@@ -489,7 +488,7 @@ def test_repeats(docs, nothing, rows, monkeypatch, hot, block):
             seen.add(data[k:k + 100])
         left = bytes(b for b, g in zip(data, gone, strict=True) if not g)
         want[i] = (len(data), sum(gone), len(re.findall(b"\x01+", bytes(gone))), left)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in R.remove_repeats(unique, block_bytes=block).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in R.remove_repeats(unique, block_bytes=block, hot=hot).collect()}
     assert got == want
     assert R.remove_repeats(docs).count() == len(rows)      # rows that repeat an id
     assert R.remove_repeats(nothing).count() == 0
