@@ -6,7 +6,7 @@ places: a row of the table is the part that one block of whole documents has, it
 1. ``occurrences``: texts are split into pieces and words; a block keeps the number of the word at every place, with a gap after each
    piece, and its words per language with their counts.
 2. Group-count: every block sends one row per different group with its count; Spark adds them up and keeps those of the whole
-   corpus that reach ``least``.  The same shuffled rows meet the kept groups again, so that each block learns which of its own are frequent.
+   corpus that reach ``least``.  The rows that are left tell each block which of its own groups are frequent.
 3. Semi-join: the block drops the places of the other groups.  Merge-join: a frequent phrase at one place and a frequent one at the next
    are joined into a phrase that is a word longer; a gap keeps pieces apart.  This is the next relation, persisted like the first, and its
    groups are counted as in 2, up to the longest length.
@@ -39,7 +39,7 @@ LEAST = 30
 LONGEST = 4
 TOP = 2000
 SCALE = 2_000_000
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 48 << 20
 _CHUNK = 2 << 20        # bytes of text that are split at once
 _ROWS = 1 << 17         # rows of a batch of counts
 _GAP = -1
@@ -134,11 +134,10 @@ def group_totals(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
 
 
 def frequent(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Of the blocks' counts (keys, own = [block, group and n]) the rows (keys, block, group, total) of groups that reach ``least``.  One
-    row per block and group is shuffled, once: ``own`` is one column so that the sums and the rows they are joined to read the same
-    columns and share the exchange."""
-    dealt = counts.repartition(*keys)
-    kept = dealt.join(group_totals(dealt, keys, least).hint("shuffle_hash"), keys)
+    """Of the blocks' counts (keys, own = [block, group and n]) the rows (keys, block, group, total) of groups that reach ``least``: one
+    row per block and group is shuffled, once, and a window adds up a group, which has one row per block at most."""
+    total = F.sum(_of_own("n")).over(Window.partitionBy(*keys))
+    kept = counts.withColumn("total", total).filter(F.col("total") >= least)
     return written(kept.select(*keys, _of_own("block").alias("block"), _of_own("group").alias("group"), "total"), "frequent-groups")
 
 
