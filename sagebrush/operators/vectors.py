@@ -1,11 +1,10 @@
 """Vector operators: exact and approximate nearest neighbours, embedders.
 
-Exact top-k never materialises queries x documents as rows: the query matrix
-(size-checked, shipped with the task) is multiplied with each Arrow batch of
-document vectors inside ``mapInPandas``; each batch emits at most k rows per
-query (per document when a document has several chunk vectors).  A global
-``row_number() <= k`` window (Spark plans a partial WindowGroupLimit before
-the shuffle) then picks the exact answer.  Ties: closeness desc, key asc.
+Exact top-k never materialises queries x documents as rows: blocks of queries and
+blocks of vectors meet by a block key, a task multiplies two matrices at a time
+and keeps a running top-k per query.  A global ``row_number() <= k`` window (Spark
+plans a partial WindowGroupLimit before the shuffle) then picks the exact answer.
+Ties: closeness desc, key asc.  The approximate search is in ``vector_index.py``.
 """
 
 from __future__ import annotations
@@ -20,13 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sagebrush.functions.scoring import closeness_from_cos
 from sagebrush.functions.text import tokens
-from sagebrush.session import spread
-
-# Query matrix bytes shipped with a task; larger query sets run in blocks of this size.
-QUERY_BLOCK_BYTES = 32 * 1024 * 1024
-
+from sagebrush.session import bound_arrow_batches, spread
 
 def _closeness(cos: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.arccos(np.clip(cos, -1.0, 1.0)))
@@ -38,90 +32,150 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return m / norms
 
 
-def _best_chunks(keys: np.ndarray, scores: np.ndarray, parts: np.ndarray, k: int | None):
-    """The best chunk of every document, then the k best documents (closeness desc, key asc)."""
-    order = np.lexsort((parts, -scores, keys))
-    keys, scores, parts = keys[order], scores[order], parts[order]
-    first = np.ones(len(keys), dtype=bool)
-    first[1:] = keys[1:] != keys[:-1]
-    keys, scores, parts = keys[first], scores[first], parts[first]
-    if k is not None and len(keys) > k:
-        top = np.lexsort((keys, -scores))[:k]
-        keys, scores, parts = keys[top], scores[top], parts[top]
-    return keys, scores, parts
+# Bytes of a packed block of vectors or queries: a task holds a few of them, whatever the number of either.
+BLOCK_BYTES = 4 * 1024 * 1024
+# Candidates whose product is this near the k-th best are scored again, value by value, so that equal vectors score alike.
+_MARGIN = 1e-9
 
 
-def _topk_partition(block, key: str, part: str | None, vec: str, k: int | None):
-    """mapInPandas body: closeness of every query to every vector.  With ``k`` a running top-k per query is kept
-    over the whole partition and only its rows leave the task; without, every document's best chunk of a batch."""
+def _pack(name: str, id_cols: list[str], vec: str, block_bytes: int):
+    """mapInPandas body: rows of (ids, vector) packed into matrices of bounded bytes, one row each."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qmat = block.value
-        qunit = _unit_rows(qmat)
-        best: list = [None] * len(qids)
+        from pyspark import TaskContext
+
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def close():
+            rows = pd.concat(held, ignore_index=True)
+            m = np.stack([np.asarray(v, dtype=np.float64) for v in rows[vec].to_numpy()])
+            return pd.DataFrame({name: [block], "width": [m.shape[1]], **{c: [rows[c].to_numpy()] for c in id_cols}, "m": [m.tobytes()]})
+
         for pdf in batches:
             pdf = pdf[pdf[vec].notna()]
-            if pdf.empty:
-                continue
-            m = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec].to_numpy()])
-            if m.shape[1] != qunit.shape[1]:
-                raise ValueError(f"vector width {m.shape[1]} != query width {qunit.shape[1]}")
-            close = _closeness(_unit_rows(m) @ qunit.T)           # rows x queries
-            keys = pdf[key].to_numpy()
-            parts = pdf[part].to_numpy() if part else np.zeros(len(pdf), dtype=np.int64)
-            for j in range(len(qids)):
-                own = close[:, j], keys, parts
-                if k is None:
-                    ks, ss, ps = _best_chunks(keys, close[:, j], parts, None)
-                    yield pd.DataFrame({"query_id": qids[j], key: ks, "p": ps, "closeness": ss})
-                    continue
-                held = best[j]
-                if held is not None:
-                    # only rows that can still enter; equal scores may win by key
-                    near = own[0] >= (held[1].min() if len(held[0]) >= k else -1.0)
-                    if not near.any():
-                        continue
-                    own = tuple(np.concatenate((x[near], y)) for x, y in zip(own, (held[1], held[0], held[2]), strict=True))
-                best[j] = _best_chunks(own[1], own[0], own[2], k)
-        if k is not None:
-            found = [pd.DataFrame({"query_id": q, key: b[0], "p": b[2], "closeness": b[1]})
-                     for q, b in zip(qids, best, strict=True) if b is not None]
-            if found:
-                yield pd.concat(found, ignore_index=True)
-
+            for _, own in pdf.groupby(pdf[vec].map(len)) if len(pdf) else []:
+                width = len(own[vec].iloc[0])
+                step = max(1, block_bytes // (8 * max(1, width)))
+                if held and len(held[0][vec].iloc[0]) != width:
+                    yield close()
+                    block, held, size = block + 1, [], 0
+                for i in range(0, len(own), step):
+                    held.append(own.iloc[i:i + step])
+                    size += len(held[-1]) * width * 8
+                    if size >= block_bytes:
+                        yield close()
+                        block, held, size = block + 1, [], 0
+        if held:
+            yield close()
     return run
 
 
-def _query_blocks(qv: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of the queries in blocks of bounded bytes, streamed partition by partition."""
-    ids, vectors, size = [], [], 0
-    for r in qv.toLocalIterator():
-        ids.append(r["query_id"])
-        vectors.append(np.asarray(r["e"], dtype=np.float64))
-        size += vectors[-1].nbytes
-        if size >= block_bytes:
-            yield np.array(ids), np.array(vectors)
-            ids, vectors, size = [], [], 0
-    if ids:
-        yield np.array(ids), np.array(vectors)
+def packed(df: DataFrame, name: str, id_cols: list[str], vec: str, block_bytes: int | None = None) -> DataFrame:
+    """Vectors as blocks: (name, width, an array per id column, m: the matrix as bytes of doubles).  NULL vectors drop out."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    schema = T.StructType([T.StructField(name, T.LongType()), T.StructField("width", T.IntegerType()),
+                           *[T.StructField(c, T.ArrayType(kinds[c])) for c in id_cols], T.StructField("m", T.BinaryType())])
+    return df.select(*id_cols, vec).mapInPandas(_pack(name, id_cols, vec, block_bytes or BLOCK_BYTES), schema)
+
+
+def _matrix(body: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(body, dtype=np.float64).reshape(-1, width)
+
+
+def _best_pairs(queries: np.ndarray, vectors: np.ndarray, keys: np.ndarray, parts: np.ndarray, k: int | None):
+    """(query index, row index, closeness) of the best chunk of each document, per query of the k best documents (closeness desc, key
+    asc) or with k None of all.  ``vectors`` are in the order of (key, part)."""
+    first = np.ones(len(keys), dtype=bool)
+    first[1:] = keys[1:] != keys[:-1]
+    starts = np.flatnonzero(first)
+    cos = vectors @ queries.T                                      # rows x queries
+    best = np.maximum.reduceat(cos, starts, axis=0)                # documents x queries
+    if k is not None and len(starts) > k:
+        kth = np.partition(best, len(starts) - k, axis=0)[len(starts) - k]
+        near = best >= kth - _MARGIN
+    else:
+        near = np.ones(best.shape, dtype=bool)
+    # every chunk of those documents that can be its best
+    sizes = np.diff(np.append(starts, len(keys)))
+    rows, qs = np.nonzero(np.repeat(near, sizes, axis=0) & (cos >= np.repeat(best, sizes, axis=0) - _MARGIN))
+    exact = _closeness(np.einsum("ij,ij->i", vectors[rows], queries[qs]))
+    order = np.lexsort((rows, -exact, np.searchsorted(starts, rows, side="right"), qs))     # best chunk of a document first
+    rows, qs, exact = rows[order], qs[order], exact[order]
+    doc = np.searchsorted(starts, rows, side="right")
+    own = np.ones(len(rows), dtype=bool)
+    own[1:] = (doc[1:] != doc[:-1]) | (qs[1:] != qs[:-1])
+    rows, qs, exact = rows[own], qs[own], exact[own]
+    if k is None:
+        return qs, rows, exact
+    order = np.lexsort((rows, -exact, qs))
+    rows, qs, exact = rows[order], qs[order], exact[order]
+    begin = np.searchsorted(qs, qs, side="left")
+    top = np.arange(len(qs)) - begin < k
+    return qs[top], rows[top], exact[top]
+
+
+def _merge(a: pd.DataFrame | None, b: pd.DataFrame, key: str, k: int) -> pd.DataFrame:
+    """The k best documents of both, per query."""
+    if a is None:
+        return b
+    both = pd.concat((a, b), ignore_index=True).sort_values(["q", "closeness", key, "p"], ascending=[True, False, True, True], kind="stable")
+    both = both.drop_duplicates(["q", key])
+    return both[both.groupby("q").cumcount() < k]
+
+
+def _meet(key: str, k: int | None, has_part: bool):
+    """mapInPandas body over pairs of blocks.  With ``k`` a running top-k per query is kept for the query blocks of a cell."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, block, ids = None, None, None
+
+        def out(found):
+            return pd.DataFrame({"query_id": ids[found["q"].to_numpy()], key: found[key].to_numpy(), "p": found["p"].to_numpy(np.int64),
+                                 "closeness": found["closeness"].to_numpy(np.float64)})
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                if held is not None and row.qb != block:
+                    yield out(held)
+                    held = None
+                if row.width != row.qwidth:
+                    raise ValueError(f"vector width {row.width} != query width {row.qwidth}")
+                block, ids = row.qb, np.asarray(row.query_id)
+                keys = np.asarray(row.keys)
+                parts = np.asarray(row.parts) if has_part else np.zeros(len(keys), dtype=np.int64)
+                order = np.lexsort((parts, keys))
+                keys, parts, m = keys[order], parts[order], _unit_rows(_matrix(row.m, row.width)[order])
+                qs, rows, close = _best_pairs(_unit_rows(_matrix(row.qm, row.qwidth)), m, keys, parts, k)
+                found = pd.DataFrame({"q": qs, key: keys[rows], "p": parts[rows], "closeness": close})
+                if k is None:
+                    yield out(found)
+                else:
+                    held = _merge(held, found, key, k)
+        if held is not None:
+            yield out(held)
+    return run
 
 
 def _closenesses(queries: DataFrame, vectors: DataFrame, k: int | None, key: str, part: str | None, vec: str, qid: str,
                  qvec: str) -> DataFrame:
-    """(query_id, key, p, closeness): candidates of the k best documents, or with k None all documents."""
+    """(query_id, key, p, closeness): candidates of the k best documents, or with k None all documents.
+
+    A grid: query blocks and vector blocks meet by an equi-join on the cell (vector group, query block), so that both sides are as large
+    as they like and a task holds two blocks and a running top-k.  Vectors are scanned once; a small query side travels to them by Spark's
+    own choice of a broadcast join, a large one is dealt over the groups."""
     spark = queries.sparkSession
-    qv = queries.select(F.col(qid).alias("query_id"), F.col(qvec).alias("e")).filter(F.col("e").isNotNull())
+    bound_arrow_batches(spark)
+    qv = queries.select(F.col(qid).alias("query_id"), F.col(qvec).cast("array<double>").alias("e")).filter(F.col("e").isNotNull())
     schema = T.StructType([T.StructField("query_id", qv.schema["query_id"].dataType), T.StructField(key, vectors.schema[key].dataType),
                            T.StructField("p", T.LongType()), T.StructField("closeness", T.DoubleType())])
-    vsel = spread(vectors.select(key, vec, *([part] if part else [])))
-    if part:
-        vsel = vsel.withColumn(part, F.col(part).cast("long"))
-    cand = None
-    for block in _query_blocks(qv, QUERY_BLOCK_BYTES):
-        found = vsel.mapInPandas(_topk_partition(spark.sparkContext.broadcast(block), key, part, vec, k), schema)
-        cand = found if cand is None else cand.unionByName(found)
-    if cand is None:
-        return spark.createDataFrame([], schema)
-    # a document's chunks may sit in several partitions or batches: best chunk overall, partially aggregated
+    ids = ["keys", "parts"] if part else ["keys"]
+    v = vectors.select(F.col(key).alias("keys"), F.col(vec).cast("array<double>").alias("v"), *([F.col(part).cast("long").alias("parts")] if part else []))
+    blocks = packed(spread(v), "vb", ids, "v")
+    # queries are gathered into few partitions, which give full blocks
+    qblocks = packed(qv.hint("rebalance"), "qb", ["query_id"], "e").select("qb", F.col("width").alias("qwidth"), "query_id", F.col("m").alias("qm"))
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = qblocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    pairs = blocks.withColumn("g", F.pmod(F.xxhash64("vb"), F.lit(groups)).cast("int")).join(cells, "g")
+    cand = pairs.sortWithinPartitions("qb").mapInPandas(_meet(key, k, bool(part)), schema)
+    # a document's chunks may sit in several blocks: best chunk overall, partially aggregated
     best = cand.groupBy("query_id", key).agg(F.max(F.struct("closeness", (-F.col("p")).alias("np"))).alias("b"))
     return best.select("query_id", key, (-F.col("b.np")).alias("p"), F.col("b.closeness").alias("closeness"))
 
@@ -269,29 +323,3 @@ def hashing_embed_long(df: DataFrame, key: str, col: str, dims: int = 64) -> Dat
     counts = ex.groupBy(key, bucket.alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("c"))
     w = Window.partitionBy(key)
     return counts.select(key, "dim", (F.col("c") / F.sqrt(F.sum(F.col("c") * F.col("c")).over(w))).alias("value"))
-
-
-def nn_approx(queries: DataFrame, vectors: DataFrame, k: int, key: str = "doc_id", vec: str = "v",
-              qid: str = "query_id", qvec: str = "e", bucket_length: float = 0.5,
-              num_tables: int = 8, max_distance: float = 2.01, seed: int = 7) -> DataFrame:
-    """Approximate neighbours with MLlib random-projection LSH on unit vectors
-    (euclidean distance d relates to cosine by d^2 = 2 - 2 cos; unit vectors are at most 2 apart, so the default
-    ``max_distance`` drops no neighbour that shares a bucket)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(c):
-        norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x))
-        return array_to_vector(F.transform(c, lambda x: x / norm))
-
-    d = vectors.select(F.col(key), unit(F.col(vec)).alias("features")).filter(F.col("features").isNotNull())
-    q = queries.select(F.col(qid).alias("query_id"), unit(F.col(qvec)).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(d)
-    pairs = model.approxSimilarityJoin(q, d, max_distance, distCol="dist")
-    cos = F.lit(1.0) - F.col("dist") * F.col("dist") / F.lit(2.0)
-    res = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col(f"datasetB.{key}").alias(key),
-                       closeness_from_cos(cos).alias("closeness"))
-    res = res.groupBy("query_id", key).agg(F.max("closeness").alias("closeness"))
-    w = Window.partitionBy("query_id").orderBy(F.col("closeness").desc(), F.col(key).asc())
-    return res.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)

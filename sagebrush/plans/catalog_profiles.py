@@ -9,6 +9,7 @@ from sagebrush.functions.text import tokens
 from sagebrush.operators import textindex as TI
 from sagebrush.operators import vectors as V
 from sagebrush.operators import windows as W
+from sagebrush.operators.vector_index import nn_approx
 from sagebrush.plans import search as S
 from sagebrush.plans.registry import register, sql_random_score, sql_tokens, tidy
 from sagebrush.plans.sqlgen import cand_block, scale_sql, text_block, two_phase_sql, vec_block
@@ -497,9 +498,8 @@ def q_check_dims(spark, sf):
 
 @register("J4_nn_approx")
 def q_nn_approx(spark, sf):
-    q = view(spark, sf, "queries_v")
-    return tidy(V.nn_approx(q, view(spark, sf, "doc_vectors_v"), K_VEC).select("query_id", "doc_id", "closeness",
-                                                                                "nn_rank"))
+    found = nn_approx(view(spark, sf, "vector_queries_v"), view(spark, sf, "doc_vectors_v"), K_VEC)
+    return tidy(found.select("query_id", "doc_id", "closeness", "nn_rank"))
 
 
 @register("P6_quantize_vectors")

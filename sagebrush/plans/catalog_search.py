@@ -10,6 +10,7 @@ from sagebrush.plans import search as S
 from sagebrush.session import broadcast_if_small
 from sagebrush.plans.registry import register, sql_closeness, sql_tokens, tidy
 from sagebrush.plans.sqlgen import _osum_fix
+from sagebrush.plans.sqlgen import vec_block
 from sagebrush.sources.tables import view
 
 TEST_K = 20          # vector candidates per query (targetHits)
@@ -148,12 +149,11 @@ def q_terms_join(spark, sf):
     return tidy(post.join(broadcast_if_small(qt), "token").select("query_id", "doc_id", "field", "token"))
 
 
-@register("J3_nn_exact", sql=f"""WITH {SQL_VEC}
+@register("J3_nn_exact", sql=f"""WITH {vec_block('vector_queries_v', 'chunk_vectors_v', 'doc_id', 'p', 20)}
 SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, CAST(p AS BIGINT) AS p, round(closeness, 6) AS closeness,
-       CAST(nn_rank AS BIGINT) AS nn_rank FROM vec""", views=["queries_v", "chunk_vectors_v"])
+       CAST(nn_rank AS BIGINT) AS nn_rank FROM vec""", views=["vector_queries_v", "chunk_vectors_v"])
 def q_nn_exact(spark, sf):
-    queries, _, vecs = _inputs(spark, sf)
-    return tidy(V.nn_exact(queries, vecs, TEST_K, key="doc_id", part="p")
+    return tidy(V.nn_exact(view(spark, sf, "vector_queries_v"), view(spark, sf, "chunk_vectors_v"), 20, key="doc_id", part="p")
                 .select("query_id", "doc_id", "p", "closeness", "nn_rank"))
 
 

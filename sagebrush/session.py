@@ -59,6 +59,13 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return current
 
 
+def bound_arrow_batches(spark: SparkSession, limit: int = 64 * 1024 * 1024) -> None:
+    """Rows that hold blocks of megabytes go to Python a few at a time: batches end at so many bytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > limit:
+        spark.conf.set(key, str(limit))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers where they would not find it: they import it by name, and a
     session started from another folder has it neither installed nor on PYTHONPATH."""

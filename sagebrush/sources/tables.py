@@ -68,6 +68,9 @@ SELECT CAST(floor(vec_id / 5) AS BIGINT) AS doc_id, CAST(vec_id % 5 AS INT) AS p
     "queries_v": """
 SELECT q.query_id, q.qtext, e.embedding AS e FROM (VALUES (1, 'the tion', 0), (2, 'of and', 1), (3, 'zqxjvw', 2))
 AS q(query_id, qtext, vec_id) JOIN embeddings e ON e.vec_id = q.vec_id""",
+    # a query set that grows with the table: every hundredth embedding
+    "vector_queries_v": """
+SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0""",
     # mail seen from documents: people fields are the first four words
     "mails_v": """
 SELECT doc_id, title AS subject, body, split_part(body, ' ', 1) AS from_addr, split_part(body, ' ', 2) AS to_addr,
@@ -114,7 +117,7 @@ VIEW_DEPS: dict[str, list[str]] = {
     "query_log_v": ["events"], "access_v": ["events"], "log_lines_v": ["events"],
     "containers_v": ["events"], "folders_v": ["region", "nation", "customer"],
     "requests_v": ["conversations"], "responses_v": ["conversations"],
-    "files_v": ["documents"], "chunk_vectors_v": ["embeddings"], "queries_v": ["embeddings"],
+    "files_v": ["documents"], "chunk_vectors_v": ["embeddings"], "queries_v": ["embeddings"], "vector_queries_v": ["embeddings"],
     "mails_v": ["files_v"], "mail_queries_v": ["queries_v"], "files_img_v": ["files_v"],
     "attachments_v": ["files_v"], "doc_vectors_v": ["embeddings"], "text_vectors_v": ["embeddings"],
     "image_vectors_v": ["embeddings"], "people_v": ["customer"], "people_queries_v": [],

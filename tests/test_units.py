@@ -138,8 +138,24 @@ def test_nn_exact_in_query_blocks(spark, monkeypatch):
     for r in V.closeness_all(q, v, part="p").collect():
         every.setdefault(r["query_id"], []).append((-r["closeness"], r["doc_id"], r["p"]))
     assert whole == sorted((i, d, p, n) for i, x in every.items() for n, (_, d, p) in enumerate(sorted(x)[:5], 1))
-    monkeypatch.setattr(V, "QUERY_BLOCK_BYTES", 200)
-    assert sorted(rows(V.nn_exact(q, v, 5, part="p"), "query_id", "doc_id", "p", "nn_rank")) == whole
+    for size in (200, 700, 1 << 20):    # blocks of 3, 10 and all rows
+        monkeypatch.setattr(V, "BLOCK_BYTES", size)
+        assert sorted(rows(V.nn_exact(q, v, 5, part="p"), "query_id", "doc_id", "p", "nn_rank")) == whole
+    equal = spark.createDataFrame([(i, [1.0, 2.0, 3.0] if i % 2 else [3.0, 1.0, 0.5]) for i in range(60)] + [(99, None)], "doc_id int, v array<float>").repartition(5)
+    same = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, None)], "query_id int, e array<double>")
+    assert sorted(rows(V.nn_exact(same, equal, 7), "doc_id", "nn_rank")) == [(2 * i + 1, i + 1) for i in range(7)]     # ties by key
+    assert V.nn_exact(same.filter("false"), equal, 7).count() == 0 and V.nn_exact(same, equal.filter("false"), 7).count() == 0
+
+
+def test_nn_exact_of_many_wide_queries(spark):
+    from sagebrush.operators import vectors as V
+
+    # 8,192 queries of width 1,024 are 64 MB: sixteen blocks, none of which passes the driver
+    q = spark.range(8192).select(F.col("id").alias("query_id"), F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.hash(F.col("id"), i) / F.lit(2.0**31)).alias("e"))
+    v = q.filter("query_id % 97 = 0").select((F.col("query_id") * 10).alias("doc_id"), F.col("e").alias("v"))
+    got = V.nn_exact(q, v, 2)
+    own = got.filter("doc_id = query_id * 10 AND nn_rank = 1 AND closeness > 0.999999").count()
+    assert got.count() == 2 * 8192 and own == v.count()
 
 
 def test_embed_requests_fail_as_a_whole(spark):
@@ -326,14 +342,39 @@ def test_bfloat16():
 
 
 def test_nn_approx_recall(spark):
-    from sagebrush.operators.vectors import nn_approx, nn_exact
+    from sagebrush.operators import vector_index as X
+    from sagebrush.operators.vectors import nn_exact
     from sagebrush.sources.tables import view
 
-    q = view(spark, SF001, "queries_v")
-    v = view(spark, SF001, "doc_vectors_v")
-    exact = {(r["query_id"], r["doc_id"]) for r in nn_exact(q, v, 10).collect()}
-    approx = {(r["query_id"], r["doc_id"]) for r in nn_approx(q, v, 10).collect()}
-    assert len(approx) == len(exact) and len(exact & approx) / len(exact) >= 0.9    # the registered parameters
+    large = "/root/testdata/sf0.1"
+    q, v = view(spark, large, "vector_queries_v"), view(spark, large, "doc_vectors_v")
+    exact = {(r["query_id"], r["doc_id"]) for r in nn_exact(q, v, 20).collect()}
+    index = X.build_index(v)
+    assert index.blocks.agg(F.sum("n")).first()[0] == v.count()        # every row is in the index
+    found = X.search(index, q, v, 20)
+    got = {(r["query_id"], r["doc_id"]): r for r in found.collect()}
+    assert len(got) == len(exact) and len(exact & set(got)) / len(exact) >= 0.9    # the registered parameters
+    read = X.candidates(index, q, 20).groupBy("query_id").count().agg(F.max("count")).first()[0]
+    assert read <= 0.2 * v.count()
+    # all cells and all rows read is the exact search
+    whole = X.search(index, q, v, 20, probed_share=1.0, rerank=v.count())
+    assert {(r["query_id"], r["doc_id"]) for r in whole.collect()} == exact
+
+
+def test_vector_index_odd_rows(spark, tmp_path):
+    from sagebrush.operators import vector_index as X
+
+    rng = np.random.default_rng(2)
+    data = [(i // 2, i % 2, rng.normal(size=6).tolist()) for i in range(200)] + [(500 + i, 0, [1.0, 0, 0, 0, 0, 0]) for i in range(150)]
+    data += [(900, 0, None), (901, 0, []), (902, 0, [0.0] * 6)]
+    v = spark.createDataFrame(data, "doc_id long, p int, v array<double>").repartition(3)
+    q = spark.createDataFrame([("a", [1.0, 0, 0, 0, 0, 0]), ("b", None)], "query_id string, e array<double>")
+    index = X.build_index(v, part="p", cells=8, path=f"{tmp_path}/index")
+    assert index.blocks.agg(F.sum("n")).first()[0] == 351
+    got = X.search(index, q, v, 5, probed_share=0.5).orderBy("nn_rank").collect()
+    assert [(r["query_id"], r["doc_id"], r["nn_rank"]) for r in got] == [("a", 500 + i, i + 1) for i in range(5)]
+    assert X.build_index(v.filter("false")) is None and X.nn_approx(q, v.filter("false"), 3).count() == 0
+    assert X.search(index, q.filter("false"), v, 5).count() == 0
 
 
 def test_folder_tree_depths(spark):
