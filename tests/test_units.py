@@ -365,10 +365,10 @@ def test_vector_index_odd_rows(spark, tmp_path):
     from sagebrush.operators import vector_index as X
 
     rng = np.random.default_rng(2)
-    data = [(i // 2, i % 2, rng.normal(size=6).tolist()) for i in range(200)] + [(500 + i, 0, [1.0, 0, 0, 0, 0, 0]) for i in range(150)]
+    data = [(i // 2, i % 2, rng.normal(size=6).tolist()) for i in range(200)] + [(500 + i, 0, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(150)]
     data += [(900, 0, None), (901, 0, []), (902, 0, [0.0] * 6)]
     v = spark.createDataFrame(data, "doc_id long, p int, v array<double>").repartition(3)
-    q = spark.createDataFrame([("a", [1.0, 0, 0, 0, 0, 0]), ("b", None)], "query_id string, e array<double>")
+    q = spark.createDataFrame([("a", [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]), ("b", None)], "query_id string, e array<double>")
     index = X.build_index(v, part="p", cells=8, path=f"{tmp_path}/index")
     assert index.blocks.agg(F.sum("n")).first()[0] == 351
     got = X.search(index, q, v, 5, probed_share=0.5).orderBy("nn_rank").collect()
