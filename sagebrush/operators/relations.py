@@ -93,27 +93,29 @@ def acl_semi(docs: DataFrame, key: str, perms: str, grants: DataFrame, user: str
 
 def folder_tree(folders: DataFrame, folder: str = "folder_id", parent: str = "parent_id",
                 roots: DataFrame | None = None) -> DataFrame:
-    """All descendants of every root (folders without parent, or ``roots``): (root_id, folder_id, depth).
+    """All descendants of every root (folders without parent, or ``roots``): (root_id, folder_id, depth), the least depth.
 
-    One equi-join per level until a level brings nothing new, whatever the depth; a pair that was reached before
-    is not followed again, so a cycle ends.  Levels are checkpointed to the shared folder, and what was reached is
-    cut to one table every sixteen levels to keep the plan short."""
-    edges = folders.select(F.col(folder).alias("child"), F.col(parent).alias("parent")).filter(F.col("parent").isNotNull())
+    Pointer doubling: after i rounds a jump leads from a folder to its ancestor 2^i levels up, and the closure holds all pairs
+    of less than 2^i levels.  A round joins the jumps with the closure (pairs of 2^i levels more) and with themselves, so a tree of any
+    depth takes about log2(depth) rounds.  Pairs that are known are not kept again, and a round that brings none is the last,
+    so cycles end.  Rounds are checkpointed to the shared folder."""
+    edges = folders.select(F.col(folder).alias("node"), F.col(parent).alias("up")).filter(F.col("up").isNotNull()).distinct()
     if roots is None:
         roots = folders.filter(F.col(parent).isNull()).select(F.col(folder).alias("root_id"))
-    frontier = roots.select("root_id", F.col("root_id").alias(folder), F.lit(0).alias("depth")).distinct()
-    out, depth = frontier, 0
+    out = roots.select("root_id", F.col("root_id").alias(folder), F.lit(0).alias("depth")).distinct()
+    jumps, levels = edges, 1
     while True:
-        depth += 1
-        nxt = (frontier.join(edges, frontier[folder] == edges["parent"])
-               .select("root_id", F.col("child").alias(folder)).distinct())
-        nxt = nxt.join(out.select("root_id", folder), ["root_id", folder], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        if nxt.isEmpty():
+        reached = (jumps.join(out, jumps["up"] == out[folder])
+                   .select("root_id", F.col("node").alias(folder), (F.col("depth") + levels).alias("depth")))
+        # one table a round: the closure, where a pair's least depth stays, and how many pairs are new
+        both = (out.withColumn("_new", F.lit(0)).unionByName(reached.withColumn("_new", F.lit(1)))
+                .groupBy("root_id", folder).agg(F.min("depth").alias("depth"), F.min("_new").alias("_new")).checkpoint())
+        out = both.drop("_new")
+        if both.filter("_new = 1").isEmpty():
             return out
-        out = out.unionByName(nxt)
-        if depth % 16 == 0:
-            out = out.checkpoint()
-        frontier = nxt
+        far = jumps.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        jumps = jumps.join(far, "up").select("node", F.col("top").alias("up")).distinct().checkpoint()
+        levels *= 2
 
 
 def host_of(url: Column) -> Column:

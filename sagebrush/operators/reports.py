@@ -29,13 +29,20 @@ def query_counts(log: DataFrame, owner: str = "owner", text: str = "query_text",
     return log.groupBy(owner, text).agg(F.count(F.lit(1)).alias("count"), F.max(epoch_ms(ts)).alias("timestamp"))
 
 
-def thread_stats(messages: DataFrame, thread: str = "conv_id", pos: str = "turn", author: str = "role") -> DataFrame:
-    """Replies (messages after the root), distinct repliers and last reply position per thread."""
+def thread_stats(messages: DataFrame, thread: str = "conv_id", pos: str = "turn", author: str = "role",
+                 reactions: str | None = None) -> DataFrame:
+    """Replies (messages after the root), distinct repliers, last reply position and, with the column of an array of
+    reactions per message, the reactions of the thread and the different ones."""
     reply = F.col(pos) > 0
-    return messages.groupBy(thread).agg(
-        F.count(F.when(reply, F.lit(1))).alias("reply_count"),
-        F.countDistinct(F.when(reply, F.col(author))).alias("replier_count"),
-        F.max(F.when(reply, F.col(pos))).alias("last_reply_pos"))
+    out = [F.count(F.when(reply, F.lit(1))).alias("reply_count"),
+           F.countDistinct(F.when(reply, F.col(author))).alias("replier_count"),
+           F.max(F.when(reply, F.col(pos))).alias("last_reply_pos")]
+    if reactions is None:
+        return messages.groupBy(thread).agg(*out)
+    # counted beside the messages, before anything is exploded: a message with many reactions stays one row
+    stats = messages.groupBy(thread).agg(*out, F.sum(F.greatest(F.size(F.coalesce(reactions, F.array())), F.lit(0))).alias("reaction_count"))
+    kinds = messages.select(thread, F.explode(reactions).alias("_r")).groupBy(thread).agg(F.countDistinct("_r").alias("reaction_kinds"))
+    return stats.join(kinds, thread, "left").fillna(0, ["reaction_kinds"])
 
 
 def member_counts(members: DataFrame, member: str, channel: str, team: str | None = None) -> DataFrame:
@@ -50,16 +57,25 @@ def member_counts(members: DataFrame, member: str, channel: str, team: str | Non
 
 
 def ticket_sla(tickets: DataFrame, now_s: float = C.NOW_S) -> DataFrame:
-    """Days to close, first response hours, overdue flags (timestamp arithmetic + when)."""
+    """Days to close, first response hours, overdue flags of closing and of the first response, paused and escalated
+    time (timestamp arithmetic + when).  What has not happened yet is measured against ``now_s``."""
+    now = F.lit(float(now_s))
     created, closed = epoch_s("created_ts"), epoch_s("closed_ts")
-    first, due = epoch_s("first_response_ts"), epoch_s("due_ts")
+    first, due, response_due = epoch_s("first_response_ts"), epoch_s("due_ts"), epoch_s("response_due_ts")
+
+    def span(start: str, end: str) -> Column:
+        return F.when(F.col(start).isNotNull(), F.greatest(F.lit(0.0), F.coalesce(epoch_s(end), now) - epoch_s(start))).otherwise(F.lit(0.0))
+
     return tickets.select(
-        "id", "department_id", "status",
+        "id", "department_id", "status", "account_id", "product_id", "team_id",
         ((closed - created) / F.lit(C.ONE_DAY_S)).alias("days_to_close"),
         ((first - created) / F.lit(3600.0)).alias("first_response_hours"),
-        F.when(F.col("closed_ts").isNotNull(), closed > due)
-         .otherwise(F.lit(float(now_s)) > due).alias("overdue"),
-        ((F.coalesce(closed, F.lit(float(now_s))) - created) / F.lit(C.ONE_DAY_S)).alias("age_days"))
+        F.when(F.col("closed_ts").isNotNull(), closed > due).otherwise(now > due).alias("overdue"),
+        (F.coalesce(first, now) > response_due).alias("response_overdue"),
+        span("hold_start_ts", "hold_end_ts").alias("hold_seconds"),
+        F.col("escalated_ts").isNotNull().alias("escalated"),
+        (span("escalated_ts", "escalated_end_ts") / F.lit(3600.0)).alias("escalation_hours"),
+        ((F.coalesce(closed, now) - created) / F.lit(C.ONE_DAY_S)).alias("age_days"))
 
 
 def hold_time(tickets: DataFrame, start: str, end: str) -> DataFrame:
@@ -68,17 +84,25 @@ def hold_time(tickets: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def ticket_report(sla: DataFrame, dims: list[str]) -> DataFrame:
-    """Count, mean age, p50/p90 of days to close per dimension values.
-
-    Percentiles are of the days as they are.  Equal days are counted first, on (dimensions, days), and ``percentile``
-    then weighs them, so the rows of a large department are not gathered."""
-    value = sla.groupBy(*dims, "days_to_close").agg(F.count(F.lit(1)).alias("_n"), F.sum("age_days").alias("_age"), F.count("age_days").alias("_aged"),
-                                                    F.sum(F.col("overdue").cast("int")).alias("_overdue"))
-    return value.groupBy(*dims).agg(
-        F.sum("_n").alias("tickets"), (F.sum("_age") / F.sum("_aged")).alias("mean_age_days"),
-        F.percentile("days_to_close", F.lit(0.5), F.col("_n")).alias("p50_days_to_close"),
-        F.percentile("days_to_close", F.lit(0.9), F.col("_n")).alias("p90_days_to_close"),
-        F.sum("_overdue").alias("overdue"))
+    """Count, mean age, exact p50/p90 of days to close and overdue tickets per dimension values.  Sums are partially aggregated;
+    the quantiles come from ``grouped_quantiles``, which gathers no group."""
+    from sagebrush.operators.windows import grouped_quantiles, join_same
+
+    sums = sla.groupBy(*dims).agg(F.count(F.lit(1)).alias("tickets"), F.avg("age_days").alias("mean_age_days"),
+                                  F.sum(F.col("overdue").cast("int")).alias("overdue"))
+    days = grouped_quantiles(sla, dims, "days_to_close", {"p50_days_to_close": 0.5, "p90_days_to_close": 0.9})
+    return join_same(sums, days, dims).select(*dims, "tickets", "mean_age_days", "p50_days_to_close", "p90_days_to_close", "overdue")
+
+
+TICKET_DIMS = ("department_id", "account_id", "product_id", "team_id", "status")
+
+
+def ticket_reports(sla: DataFrame) -> DataFrame:
+    """A15 by each of the five dimensions: (dimension, value, the columns of ``ticket_report``).  One pass expands every ticket to its five
+    (dimension, value) pairs, of which only the measures travel."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(d.removesuffix("_id")).alias("dimension"), F.col(d).cast("string").alias("value")) for d in TICKET_DIMS]))
+    return ticket_report(sla.select(pairs.alias("d"), "days_to_close", "age_days", "overdue")
+                         .select("d.dimension", "d.value", "days_to_close", "age_days", "overdue"), ["dimension", "value"])
 
 
 def attach(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str, cols: list[str]) -> DataFrame:

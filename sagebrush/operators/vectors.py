@@ -241,6 +241,47 @@ def quantize_vectors(df: DataFrame, col: str = "embedding", out: str = "embeddin
     return df.withColumn(out, _q(F.col(col)))
 
 
+def to_bfloat16(df: DataFrame, col: str = "embedding", out: str = "embedding_b2") -> DataFrame:
+    """The stored form, two bytes per entry (the upper half of the rounded float, little-endian)."""
+    @F.pandas_udf(T.BinaryType())
+    def _b(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else (bfloat16_round(np.asarray(v, dtype=np.float32)).view(np.uint32) >> 16).astype("<u2").tobytes())
+
+    return df.withColumn(out, _b(F.col(col)))
+
+
+def from_bfloat16(df: DataFrame, col: str = "embedding_b2", out: str = "embedding") -> DataFrame:
+    """Floats of the stored form."""
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def _f(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: None if b is None else (np.frombuffer(b, "<u2").astype(np.uint32) << 16).view(np.float32))
+
+    return df.withColumn(out, _f(F.col(col)))
+
+
+def rank_change(before: DataFrame, after: DataFrame, k: int, key: str = "doc_id", qid: str = "query_id", rank: str = "nn_rank") -> DataFrame:
+    """Per query of two top-k lists: (query_id, kept, left, displaced, largest_shift, inversions).
+
+    ``left`` neighbours are in the first list only; ``displaced`` ones have another rank or none in the second; a missing one counts as
+    rank k + 1 for the largest shift; an inversion is a pair of kept neighbours in the other order.  A list has k rows at most, so its ranks
+    are one array and inversions are counted in the row."""
+    a = before.select(qid, key, F.col(rank).cast("int").alias("_a"))
+    b = after.select(qid, key, F.col(rank).cast("int").alias("_b"))
+    both = a.join(b, [qid, key], "full_outer").withColumn("_shift", F.abs(F.coalesce("_a", F.lit(k + 1)) - F.coalesce("_b", F.lit(k + 1))))
+    lists = both.groupBy(qid).agg(
+        F.count(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1)).alias("kept"),
+        F.count(F.when(F.col("_b").isNull(), 1)).alias("left"),
+        F.count(F.when(F.col("_a").isNotNull() & (F.col("_b").isNull() | (F.col("_a") != F.col("_b"))), 1)).alias("displaced"),
+        F.max("_shift").alias("largest_shift"),
+        F.array_sort(F.collect_list(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.struct("_a", "_b")))).alias("_pairs"))
+
+    def later_and_before(pair, i):
+        return F.size(F.filter(F.slice("_pairs", i + 2, F.lit(k)), lambda other: other["_b"] < pair["_b"]))
+
+    inversions = F.aggregate(F.transform("_pairs", later_and_before), F.lit(0), lambda acc, x: acc + x)
+    return lists.withColumn("inversions", inversions.cast("long")).drop("_pairs")
+
+
 # --- embedders (X2) -------------------------------------------------------------------
 
 

@@ -72,41 +72,63 @@ def distributed_rank(df: DataFrame, order: list[Column], key: str = "doc_id", qi
     """``row_number`` over (qid ordered by ``order``, key) without putting a query's rows in one task.
 
     Rows are range-partitioned on (qid, order, key) — a query with a third of all rows spans many
-    partitions — sorted inside partitions and checkpointed (partition ids and order are fixed from
-    there on).  Per-(partition, qid) counts (a table of at most partitions + queries rows) give each
-    partition its offset through a small window; one ordered pass assigns local positions.  ``base``
-    (a per-row column, e.g. the number of rows ranked before this group) is added to the rank."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-    from pyspark.sql import types as T
-
+    partitions — sorted inside partitions, numbered by their place there and checkpointed.  Per-(partition, qid)
+    counts and first numbers (a table of at most partitions + queries rows) give each partition its offset
+    through a small window, so a rank is an addition per row.  ``base`` (a per-row column, e.g. the number of
+    rows ranked before this group) is added to the rank."""
     from sagebrush.session import BROADCAST_LIMIT_BYTES
 
     spark = df.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     sort = [F.col(qid).asc()] + order + [F.col(key).asc()]
     s = (df.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
-         .withColumn("_pid", F.spark_partition_id()).checkpoint())
-    counts = s.groupBy("_pid", qid).agg(F.count(F.lit(1)).alias("_n"))
+         .withColumn("_pid", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()).checkpoint())
+    counts = s.groupBy("_pid", qid).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
     before = Window.partitionBy(qid).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", qid, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    schema = T.StructType(s.schema.fields + [T.StructField("_local", T.LongType())])
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = {}                                   # carried across the batches of one partition
-        for pdf in batches:
-            pos = pdf.groupby(qid, sort=False).cumcount().to_numpy()
-            first = pdf[qid].map(lambda q: seen.get(q, 0)).to_numpy()
-            pdf = pdf.assign(_local=pos + first)
-            for q, c in pdf.groupby(qid, sort=False).size().items():
-                seen[q] = seen.get(q, 0) + int(c)
-            yield pdf
-
+    offsets = counts.select("_pid", qid, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     # partitions + queries rows at most: counted, so a proven bound decides whether they travel
     few = counts.count() * 64 <= BROADCAST_LIMIT_BYTES
-    ranked = s.mapInPandas(local, schema).join(F.broadcast(offsets) if few else offsets, ["_pid", qid])
-    r = F.col("_off") + F.col("_local") + F.lit(1)
+    ranked = s.join(F.broadcast(offsets) if few else offsets, ["_pid", qid])
+    r = F.col("_off") + F.col("_place") - F.col("_first") + F.lit(1)
     if base is not None:
         r = r + base
-    return ranked.withColumn(out, r.cast("long")).drop("_pid", "_off", "_local")
+    return ranked.withColumn(out, r.cast("long")).drop("_pid", "_off", "_place", "_first")
+
+
+def join_same(a: DataFrame, b: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of both sides where NULL equals NULL; the columns are those of ``a``."""
+    right = b.select(*[F.col(c).alias(f"_right_{c}") for c in columns], *[c for c in b.columns if c not in columns])
+    cond = F.lit(True)
+    for c in columns:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    return a.join(right, cond, how).drop(*[f"_right_{c}" for c in columns])
+
+
+def grouped_quantiles(df: DataFrame, dims: list[str], value: str, probs: dict[str, float], partitions: int | None = None) -> DataFrame:
+    """Exact quantiles per group, interpolated between the two neighbouring ranks: (dims, a column per name of ``probs``).
+
+    Equal values are counted first, with partial sums.  The counts are range-partitioned on (dims, value) and checkpointed; the totals
+    of each (partition, group), a small table, say at which rank of its group a partition begins.  A running sum inside
+    (partition, group) then tells each value the ranks that it covers, and the values at the wanted ranks are picked by a
+    conditional maximum.  A group of any size spans as many partitions as it fills: nothing of it is gathered.  NULL values have no rank;
+    a group that has only those has NULL quantiles; NULL is a group like others."""
+    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    counts = (df.filter(F.col(value).isNotNull()).groupBy(*dims, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    dealt = counts.repartitionByRange(n, *dims, "_v").withColumn("_pid", F.spark_partition_id()).checkpoint()
+    parts = dealt.groupBy("_pid", *dims).agg(F.sum("_n").alias("_sum"))
+    group = Window.partitionBy(*dims)
+    offsets = parts.select("_pid", *dims, F.sum("_sum").over(group).alias("_all"),
+                           F.coalesce(F.sum("_sum").over(group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    rows = join_same(dealt, offsets, ["_pid", *dims])
+    until = F.col("_off") + F.sum("_n").over(Window.partitionBy("_pid", *dims).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_until", until).withColumn("_from", F.col("_until") - F.col("_n"))
+    picks, out = [], []
+    for name, q in probs.items():
+        at = F.lit(float(q)) * (F.col("_all") - 1)
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            picks.append(F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_until")), F.col("_v"))).alias(f"_{name}_{side}"))
+        picks.append(F.max(at - F.floor(at)).alias(f"_{name}_part"))
+        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        out.append((lo + (hi - lo) * F.col(f"_{name}_part")).alias(name))
+    found = rows.groupBy(*dims).agg(*picks).select(*dims, *out)
+    return join_same(df.select(*dims).distinct(), found, dims, "left").select(*dims, *probs)

@@ -511,6 +511,27 @@ def q_quantize(spark, sf):
                                       lambda acc, x: F.greatest(acc, x)).alias("max_abs_change")))
 
 
+# bfloat16 in SQL: seven bits behind the leading one, rounded half to even
+_BF16 = """list_transform({v}, lambda x: CASE WHEN x = 0 THEN 0e0 ELSE
+    round_even(CAST(x AS DOUBLE) / pow(2e0, floor(log2(abs(CAST(x AS DOUBLE)))) - 7), 0) * pow(2e0, floor(log2(abs(CAST(x AS DOUBLE)))) - 7) END)"""
+
+
+@register("P6_rank_change", sql=f"""WITH stored AS (SELECT doc_id, {_BF16.format(v="v")} AS v FROM doc_vectors_v),
+{vec_block('vector_queries_v', 'doc_vectors_v', 'doc_id', None, K_VEC, p='a')},
+{vec_block('vector_queries_v', 'stored', 'doc_id', None, K_VEC, p='b')},
+j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.nn_rank AS ra, b.nn_rank AS rb
+      FROM avec a FULL OUTER JOIN bvec b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
+inv AS (SELECT x.query_id, count(*) AS inversions FROM j x JOIN j y ON x.query_id = y.query_id AND x.ra < y.ra AND x.rb > y.rb GROUP BY x.query_id)
+SELECT j.query_id, count(CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN 1 END) AS kept, count(CASE WHEN rb IS NULL THEN 1 END) AS "left",
+       count(CASE WHEN ra IS NOT NULL AND (rb IS NULL OR ra <> rb) THEN 1 END) AS displaced,
+       max(abs(coalesce(ra, {K_VEC + 1}) - coalesce(rb, {K_VEC + 1}))) AS largest_shift, coalesce(any_value(inversions), 0) AS inversions
+FROM j LEFT JOIN inv ON inv.query_id = j.query_id GROUP BY j.query_id""", views=["vector_queries_v", "doc_vectors_v"])
+def q_rank_change(spark, sf):
+    q, v = view(spark, sf, "vector_queries_v"), view(spark, sf, "doc_vectors_v")
+    stored = V.from_bfloat16(V.to_bfloat16(v, "v", "b2"), "b2", "v")
+    return tidy(V.rank_change(V.nn_exact(q, v, K_VEC), V.nn_exact(q, stored, K_VEC), K_VEC))
+
+
 @register("P10_match_features", sql=two_phase_sql(_file_ctes(), "doc_id", "files_v", "updatedAt",
                                                   "(0.5e0 * vector_score + 0.5e0 * cnr)",
                                                   "(0.5e0 * vector_score + 0.5e0 * cnr) * doc_recency", N_RR),

@@ -8,10 +8,14 @@ from sagebrush.operators import reports as RP
 from sagebrush.plans.registry import register, tidy
 from sagebrush.sources.tables import view
 
-_SLA_SQL = """sla AS (SELECT id, department_id, status,
+_SLA_SQL = """sla AS (SELECT id, department_id, status, account_id, product_id, team_id,
        (epoch(closed_ts) - epoch(created_ts)) / 86400e0 AS days_to_close,
        (epoch(first_response_ts) - epoch(created_ts)) / 3600e0 AS first_response_hours,
        CASE WHEN closed_ts IS NOT NULL THEN epoch(closed_ts) > epoch(due_ts) ELSE 1706745600e0 > epoch(due_ts) END AS overdue,
+       coalesce(epoch(first_response_ts), 1706745600e0) > epoch(response_due_ts) AS response_overdue,
+       coalesce(greatest(0e0, coalesce(epoch(hold_end_ts), 1706745600e0) - epoch(hold_start_ts)), 0e0) AS hold_seconds,
+       escalated_ts IS NOT NULL AS escalated,
+       coalesce(greatest(0e0, coalesce(epoch(escalated_end_ts), 1706745600e0) - epoch(escalated_ts)), 0e0) / 3600e0 AS escalation_hours,
        (coalesce(epoch(closed_ts), 1706745600e0) - epoch(created_ts)) / 86400e0 AS age_days
 FROM tickets_v)"""
 
@@ -35,6 +39,15 @@ def q_thread_stats(spark, sf):
     return tidy(RP.thread_stats(view(spark, sf, "conversations")))
 
 
+@register("A12_thread_reactions", sql="""SELECT conv_id, count(CASE WHEN turn > 0 THEN 1 END) AS reply_count,
+       count(DISTINCT CASE WHEN turn > 0 THEN role END) AS replier_count, max(CASE WHEN turn > 0 THEN turn END) AS last_reply_pos,
+       CAST(sum(coalesce(len(reactions), 0)) AS BIGINT) AS reaction_count,
+       CAST(len(list_distinct(flatten(list(coalesce(reactions, []))))) AS BIGINT) AS reaction_kinds
+FROM messages_v GROUP BY conv_id""", views=["messages_v"])
+def q_thread_reactions(spark, sf):
+    return tidy(RP.thread_stats(view(spark, sf, "messages_v"), reactions="reactions"))
+
+
 @register("A13_member_counts", sql="""SELECT 'channel' AS level, CAST(c_nationkey AS BIGINT) AS id,
        count(DISTINCT c_custkey) AS members FROM customer GROUP BY c_nationkey
 UNION ALL SELECT 'team', CAST(n.n_regionkey AS BIGINT), count(DISTINCT c.c_custkey)
@@ -49,22 +62,35 @@ def q_member_counts(spark, sf):
 
 @register("A14_ticket_sla", sql=f"""WITH {_SLA_SQL}
 SELECT id, CAST(department_id AS BIGINT) AS department_id, status, round(days_to_close, 6) AS days_to_close,
-       round(first_response_hours, 6) AS first_response_hours, overdue, round(age_days, 6) AS age_days FROM sla""",
+       round(first_response_hours, 6) AS first_response_hours, overdue, response_overdue, round(hold_seconds, 6) AS hold_seconds, escalated,
+       round(escalation_hours, 6) AS escalation_hours, round(age_days, 6) AS age_days FROM sla""",
           views=["tickets_v"])
 def q_ticket_sla(spark, sf):
-    return tidy(RP.ticket_sla(view(spark, sf, "tickets_v")))
+    return tidy(RP.ticket_sla(view(spark, sf, "tickets_v")).drop("account_id", "product_id", "team_id"))
 
 
-@register("A15_ticket_report", sql=f"""WITH {_SLA_SQL}
-SELECT CAST(department_id AS BIGINT) AS department_id, status, count(*) AS tickets, round(avg(age_days), 6) AS mean_age_days,
+_REPORT_SQL = """count(*) AS tickets, round(avg(age_days), 6) AS mean_age_days,
        round(quantile_cont(days_to_close, 0.5), 6) AS p50_days_to_close,
        round(quantile_cont(days_to_close, 0.9), 6) AS p90_days_to_close,
-       sum(CAST(overdue AS INTEGER)) AS overdue
+       sum(CAST(overdue AS INTEGER)) AS overdue"""
+
+
+@register("A15_ticket_report", sql=f"""WITH {_SLA_SQL}
+SELECT CAST(department_id AS BIGINT) AS department_id, status, {_REPORT_SQL}
 FROM sla GROUP BY department_id, status""", views=["tickets_v"])
 def q_ticket_report(spark, sf):
     return tidy(RP.ticket_report(RP.ticket_sla(view(spark, sf, "tickets_v")), ["department_id", "status"]))
 
 
+@register("A15_ticket_reports", sql=f"""WITH {_SLA_SQL},
+pairs AS (SELECT 'department' AS dimension, CAST(department_id AS VARCHAR) AS value, * FROM sla
+          UNION ALL SELECT 'account', CAST(account_id AS VARCHAR), * FROM sla UNION ALL SELECT 'product', CAST(product_id AS VARCHAR), * FROM sla
+          UNION ALL SELECT 'team', CAST(team_id AS VARCHAR), * FROM sla UNION ALL SELECT 'status', status, * FROM sla)
+SELECT dimension, value, {_REPORT_SQL} FROM pairs GROUP BY dimension, value""", views=["tickets_v"])
+def q_ticket_reports(spark, sf):
+    return tidy(RP.ticket_reports(RP.ticket_sla(view(spark, sf, "tickets_v"))))
+
+
 @register("W9_hold_time", sql="""SELECT id, round(greatest(0e0, epoch(coalesce(closed_ts, due_ts)) - epoch(first_response_ts)), 6)
 AS hold_seconds FROM tickets_v""", views=["tickets_v"])
 def q_hold_time(spark, sf):

@@ -62,6 +62,11 @@ def visible(docs: DataFrame, spec: DocSpec, p: Params) -> DataFrame:
     return (docs if p.where is None else docs.filter(p.where)).select(spec.key)
 
 
+def only_visible(cands: DataFrame, docs: DataFrame, spec: DocSpec, p: Params) -> DataFrame:
+    """Text candidates that a search may return; statistics are those of the whole table, as in an index."""
+    return cands if p.where is None else cands.join(broadcast_if_small(visible(docs, spec, p)), spec.key, "left_semi")
+
+
 def vector_candidates(queries: DataFrame, vectors, docs: DataFrame, spec: DocSpec, p: Params, part: str | None) -> DataFrame:
     """(query_id, key, vector_score): nearest *visible* documents.  The filter comes before the top-k, so a query gets its
     ``target_hits`` among what it may see, and a vector without a document is never a candidate.  A pair
@@ -382,7 +387,7 @@ def autocomplete(queries: DataFrame, docs: DataFrame, key: str, fields: list[str
     from sagebrush.functions.text import grams
 
     spec = DocSpec(key=key, text_fields={f: grams(f) for f in fields})
-    wide = wide_features(queries, docs, key, spec.text_fields, gram=True)
+    wide = only_visible(wide_features(queries, docs, key, spec.text_fields, gram=True), docs, spec, p)
     return one_phase(wide.withColumn("combined_bm25", combined_bm25(fields)), spec, F.col("combined_bm25"), p)
 
 
@@ -395,7 +400,7 @@ def query_log_autocomplete(queries: DataFrame, counts: DataFrame, p: Params) ->
 
     p = sized(p, queries)
     spec = DocSpec(key="qid", text_fields={"query_text": grams("query_text")}, age_col="timestamp")
-    wide = wide_features(queries, counts, "qid", spec.text_fields, gram=True)
+    wide = only_visible(wide_features(queries, counts, "qid", spec.text_fields, gram=True), counts, spec, p)
     cands = wide.withColumn("combined_bm25", F.col("bm25_query_text"))
     cands = attach_attrs(cands, counts, spec, ["timestamp", "count"])
 

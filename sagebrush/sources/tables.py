@@ -21,9 +21,15 @@ SELECT o.o_orderkey AS id, o.o_custkey AS account_id, c.c_nationkey AS departmen
        o.o_orderpriority AS priority, o.o_orderdate AS created_ts,
        MIN(l.l_shipdate) AS first_response_ts,
        CASE WHEN o.o_orderstatus = 'F' THEN MAX(l.l_shipdate) END AS closed_ts,
-       o.o_orderdate + INTERVAL 60 DAY AS due_ts
+       o.o_orderdate + INTERVAL 60 DAY AS due_ts, MIN(l.l_partkey) % 40 AS product_id, n.n_regionkey AS team_id,
+       o.o_orderdate + INTERVAL 30 DAY AS response_due_ts,
+       CASE WHEN o.o_orderkey % 3 = 0 THEN MIN(l.l_shipdate) END AS hold_start_ts,
+       CASE WHEN o.o_orderkey % 3 = 0 AND o.o_orderkey % 2 = 0 THEN MIN(l.l_shipdate) + INTERVAL 5 DAY END AS hold_end_ts,
+       CASE WHEN o.o_orderkey % 5 = 0 THEN o.o_orderdate + INTERVAL 10 DAY END AS escalated_ts,
+       CASE WHEN o.o_orderkey % 5 = 0 AND o.o_orderstatus = 'F' THEN MAX(l.l_shipdate) END AS escalated_end_ts
 FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN customer c ON c.c_custkey = o.o_custkey
-GROUP BY o.o_orderkey, o.o_custkey, c.c_nationkey, o.o_orderstatus, o.o_orderpriority, o.o_orderdate""",
+JOIN nation n ON n.n_nationkey = c.c_nationkey
+GROUP BY o.o_orderkey, o.o_custkey, c.c_nationkey, n.n_regionkey, o.o_orderstatus, o.o_orderpriority, o.o_orderdate""",
     "query_log_v": """
 SELECT user_id AS owner, concat(event_type, ' report ', CAST(user_id % 7 AS STRING)) AS query_text, ts, event_id AS id FROM events""",
     "access_v": """
@@ -42,6 +48,10 @@ SELECT concat(CASE event_id % 6 WHEN 0 THEN '/app-' WHEN 1 THEN '/loki-' WHEN 2
   CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN '' END AS compose_service,
   CASE WHEN event_id % 5 = 0 THEN event_type ELSE concat('org/', event_type, ':', '3.4.1') END AS image,
   CASE WHEN event_id % 4 = 0 THEN 'stderr' ELSE 'stdout' END AS stream FROM events""",
+    # chat messages with their reactions: a third of them has none
+    "messages_v": """
+SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN NULL ELSE split(concat(role, ',up,', CAST(conv_id % 3 AS STRING)), ',') END AS reactions
+FROM conversations""",
     "folders_v": """
 SELECT concat('r', CAST(r_regionkey AS STRING)) AS folder_id, CAST(NULL AS STRING) AS parent_id FROM region
 UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)) FROM nation
@@ -113,10 +123,10 @@ FROM files_v f LEFT JOIN labels l ON l.doc_id = f.doc_id""",
 }
 
 VIEW_DEPS: dict[str, list[str]] = {
-    "tickets_v": ["orders", "lineitem", "customer"],
+    "tickets_v": ["orders", "lineitem", "customer", "nation"],
     "query_log_v": ["events"], "access_v": ["events"], "log_lines_v": ["events"],
     "containers_v": ["events"], "folders_v": ["region", "nation", "customer"],
-    "requests_v": ["conversations"], "responses_v": ["conversations"],
+    "requests_v": ["conversations"], "messages_v": ["conversations"], "responses_v": ["conversations"],
     "files_v": ["documents"], "chunk_vectors_v": ["embeddings"], "queries_v": ["embeddings"], "vector_queries_v": ["embeddings"],
     "mails_v": ["files_v"], "mail_queries_v": ["queries_v"], "files_img_v": ["files_v"],
     "attachments_v": ["files_v"], "doc_vectors_v": ["embeddings"], "text_vectors_v": ["embeddings"],

@@ -111,6 +111,50 @@ def test_search_returns_visible_documents_whatever_hits(spark, profile):
         assert found[1] == found[0][:1] and found[2] == found[0][:2] and found[3] == found[0]
 
 
+def test_autocomplete_returns_visible_rows_only(spark):
+    from sagebrush.plans import search as S
+
+    parts = spark.createDataFrame([(1, "green apple", "a"), (2, "green pear", "b"), (3, "greenish", "b")], "p_partkey int, p_name string, owner string")
+    q = spark.createDataFrame([(1, "green")], "query_id int, qtext string")
+    found = S.autocomplete(q, parts, "p_partkey", ["p_name"], S.Params())
+    own = S.autocomplete(q, parts, "p_partkey", ["p_name"], S.Params(where=F.col("owner") == "a"))
+    assert sorted(r["p_partkey"] for r in found.collect()) == [1, 2, 3] and [r["p_partkey"] for r in own.collect()] == [1]
+    kept = {r["p_partkey"]: r["combined_bm25"] for r in found.collect()}
+    assert own.first()["combined_bm25"] == kept[1]      # statistics are those of all rows
+    log = spark.createDataFrame([(1, "green tea", 1706000000000, 3, "a"), (2, "green bag", 1706000000000, 9, "b")], "qid int, query_text string, timestamp long, count long, owner string")
+    mine = S.query_log_autocomplete(q, log, S.Params(where=F.col("owner") == "a"))
+    assert [r["qid"] for r in mine.collect()] == [1] and S.query_log_autocomplete(q, log, S.Params()).count() == 2
+
+
+def test_grouped_quantiles_are_exact_and_gather_nothing(spark):
+    from sagebrush.operators.windows import grouped_quantiles
+
+    rng = np.random.default_rng(9)
+    data = [("hot", int(x)) for x in rng.integers(0, 50, 3000)] + [("cold", 5), (None, 7), (None, 8), ("none", None), ("two", 1), ("two", 2)]
+    df = spark.createDataFrame(data, "g string, v int").repartition(7)
+    got = {r["g"]: (r["p0"], r["p50"], r["p90"], r["p100"]) for r in grouped_quantiles(df, ["g"], "v", {"p0": 0.0, "p50": 0.5, "p90": 0.9, "p100": 1.0}).collect()}
+    values = {}
+    for g, v in data:
+        values.setdefault(g, []).append(v)
+    for g, own in values.items():
+        own = [x for x in own if x is not None]
+        want = tuple(float(np.percentile(own, p)) for p in (0, 50, 90, 100)) if own else (None,) * 4
+        assert got[g] == pytest.approx(want) if own else got[g] == want
+    assert set(got) == set(values)
+
+
+def test_rank_change_counts_inversions(spark):
+    from sagebrush.operators.vectors import from_bfloat16, rank_change, to_bfloat16
+
+    a = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3), (2, "a", 1)], "query_id int, doc_id string, nn_rank int")
+    b = spark.createDataFrame([(1, "c", 1), (1, "a", 2), (1, "d", 3), (2, "a", 1)], "query_id int, doc_id string, nn_rank int")
+    assert sorted(rows(rank_change(a, b, 3), "query_id", "kept", "left", "displaced", "largest_shift", "inversions")) == [(1, 2, 1, 3, 2, 1), (2, 1, 0, 0, 0, 0)]
+    v = spark.createDataFrame([(1, [1.0, -2.5, 1.00390625, 3e38, 1e-40]), (2, None)], "id int, embedding array<float>")
+    back = {r["id"]: r["back"] for r in from_bfloat16(to_bfloat16(v), out="back").collect()}
+    assert back[2] is None and back[1][:3] == [1.0, -2.5, 1.0]
+    assert to_bfloat16(v).filter("id = 1").select(F.length("embedding_b2")).first()[0] == 10
+
+
 def test_vector_candidates_are_filtered_before_the_cut(spark):
     S, q, d, v, spec, F = _tiny_search(spark)
     p = S.Params(target_hits=1, where=F.col("mine"))
@@ -122,6 +166,21 @@ def test_folder_tree_of_any_depth_and_with_cycles(spark):
 
     chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "folder_id int, parent_id int")
     assert sorted(rows(folder_tree(chain), "folder_id", "depth")) == [(i, i) for i in range(40)]
+    long_chain = spark.range(10_000).select(F.col("id").alias("folder_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    folders = []
+    original = type(long_chain).checkpoint
+    try:
+        type(long_chain).checkpoint = lambda self, *a, **b: folders.append(1) or original(self, *a, **b)
+        deep = folder_tree(long_chain)
+    finally:
+        type(long_chain).checkpoint = original
+    assert deep.filter("depth = folder_id").count() == 10_000 == deep.count()
+    assert len(folders) <= 30       # fourteen rounds of doubling and the last
+    # several parents, and roots inside another root's tree
+    net = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 2), (4, 3), (5, 4), (5, 1)], "folder_id int, parent_id int")
+    inner = spark.createDataFrame([(1,), (2,), (9,)], "root_id int")
+    assert sorted(tuple(r) for r in folder_tree(net, roots=inner).collect()) == [
+        (1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 2), (1, 5, 1), (2, 2, 0), (2, 4, 1), (2, 5, 2), (9, 9, 0)]
     ring = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "folder_id int, parent_id int")
     roots = spark.createDataFrame([(1,)], "root_id int")
     assert sorted(rows(folder_tree(ring, roots=roots), "folder_id", "depth")) == [(1, 0), (2, 1), (3, 2)]
