@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 import time
 from collections.abc import Callable
 
@@ -209,7 +210,34 @@ _BATCH_OUT = T.StructType([
 ])
 
 
-def _call_batches(upstream, max_retries: int, sleep: Callable[[float], None]):
+class CallTimeout(Exception):
+    """A call that did not answer in time; it is retried like a lost connection."""
+
+    code = "ETIMEDOUT"
+
+
+def call_within(upstream, timeout_ms: int, *args):
+    """The upstream's answer, or ``CallTimeout``.  The call runs in a thread of its own that nobody waits for afterwards."""
+    answer: list = []
+
+    def call():
+        try:
+            answer.append((upstream(*args), None))
+        except BaseException as e:  # noqa: BLE001 - handed to the caller
+            answer.append((None, e))
+
+    worker = threading.Thread(target=call, daemon=True)
+    worker.start()
+    worker.join(timeout_ms / 1000.0)
+    if not answer:
+        raise CallTimeout(f"upstream did not answer within {timeout_ms} ms")
+    result, error = answer[0]
+    if error is not None:
+        raise error
+    return result
+
+
+def _call_batches(upstream, max_retries: int, sleep: Callable[[float], None], timeout_ms: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("local_index")
         rid, b = int(pdf["request_id"].iloc[0]), int(pdf["batch"].iloc[0])
@@ -220,7 +248,7 @@ def _call_batches(upstream, max_retries: int, sleep: Callable[[float], None]):
         t0 = time.perf_counter()
         while True:
             try:
-                status, body, headers = upstream(key, pdf["input"].tolist(), model)
+                status, body, headers = call_within(upstream, timeout_ms, key, pdf["input"].tolist(), model)
                 code = msg = None
             except Exception as e:  # noqa: BLE001 - connection errors become rows
                 status, body, headers, code, msg = None, None, {}, getattr(e, "code", None), str(e)
@@ -257,15 +285,21 @@ def _call_batches(upstream, max_retries: int, sleep: Callable[[float], None]):
 
 def embed_requests(requests: DataFrame, upstream, key: str = "request_id", body: str = "body",
                    batch_size: int = C.EMBED_BATCH_SIZE, max_retries: int = C.MAX_RETRIES,
-                   expected_dims: int | None = None, sleep: Callable[[float], None] = time.sleep):
+                   expected_dims: int | None = None, sleep: Callable[[float], None] = time.sleep,
+                   in_flight: int = C.UPSTREAM_CONCURRENCY, timeout_ms: int = C.REQUEST_TIMEOUT_MS):
     """Returns (embeddings, request_summary, rejected_requests).
 
+    ``in_flight`` bounds the calls that run at once in the whole job: the batches are dealt over so many partitions, a task makes its
+    calls one after the other.  (Speculative copies of a task would add to that: leave speculation off.)  A call that takes longer
+    than ``timeout_ms`` counts as a lost connection.
+
     embeddings: (request_id, index, embedding) by global input position, of the requests that succeed as a whole;
     request_summary: status per request (errors as rows), model, usage, timing, widths."""
     good, bad = valid_requests(requests, body)
     parsed = parse_embedding_requests(good, body).select(F.col(key).cast("long").alias("request_id"), "inputs", "model")
     rows = assign_batches(parsed, "request_id", "inputs", batch_size)
-    results = rows.groupBy("request_id", "batch").applyInPandas(_call_batches(upstream, max_retries, sleep), _BATCH_OUT)
+    dealt = rows.repartition(in_flight, "request_id", "batch")      # the group-by keeps this partitioning
+    results = dealt.groupBy("request_id", "batch").applyInPandas(_call_batches(upstream, max_retries, sleep, timeout_ms), _BATCH_OUT)
     results = results.checkpoint()       # upstream calls are not repeated if a later stage is retried
     # one failed batch fails its request: an upstream failure first, then a fault of an answer, by batch
     order = F.struct((F.col("status") >= 200) & (F.col("status") < 300), "batch")

@@ -171,33 +171,24 @@ def q_timing(spark, sf):
     return tidy(EJ.timing_stats(view(spark, sf, "events"), "user_id", "value"))
 
 
-def _every_third(key: str) -> bool:
-    import hashlib
+def turn_bodies(spark, sf):
+    """One valid JSON body per conversation with all its turns."""
+    g = view(spark, sf, "requests_v").groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("pos", "input"))).alias("items"))
+    texts = F.transform("items", lambda x: x["input"])
+    return g.select("request_id", F.to_json(F.struct(texts.alias("input"), F.lit("m").alias("model"))).alias("body"))
+
 
-    return int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % 3 == 0
+IN_FLIGHT = 8       # calls of the registered job that may run at once
 
 
-@register("R12_embed_requests", sql=f"""WITH {_BODIES_SQL},
-ok AS (SELECT * FROM items WHERE request_id % 7 <> 5),
-tk AS (SELECT request_id, pos, unnest(list_filter(regexp_split_to_array(lower(input), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS t FROM ok),
+@register("R12_embed_requests", sql="""WITH items AS (
+  SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY pos) - 1 AS pos, input FROM requests_v),
+tk AS (SELECT request_id, pos, unnest(list_filter(regexp_split_to_array(lower(input), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS t FROM items),
 cn AS (SELECT request_id, pos, CAST(('0x' || substr(md5(t), 1, 8)) AS UBIGINT) % 64 AS dim, count(*) AS c FROM tk GROUP BY ALL)
 SELECT request_id, pos AS index, CAST(dim AS BIGINT) AS dim,
        round(c / sqrt(sum(c * c) OVER (PARTITION BY request_id, pos)), 6) AS value FROM cn""", views=["requests_v"])
 def q_embed_requests(spark, sf):
-    up = FailingUpstream(HashingEmbedder(64))
-    emb, _, _ = EJ.embed_requests(request_bodies(spark, sf), up, batch_size=TEST_BATCH, expected_dims=64,
-                                  sleep=lambda s: None)
+    emb, _, _ = EJ.embed_requests(turn_bodies(spark, sf), EJ.EmbedderUpstream(HashingEmbedder(64)), batch_size=TEST_BATCH, expected_dims=64,
+                                  in_flight=IN_FLIGHT)
     e = emb.select("request_id", "index", F.posexplode("embedding").alias("dim", "value")).filter("value <> 0")
     return tidy(e.select("request_id", "index", "dim", "value"))
-
-
-class FailingUpstream(EJ.EmbedderUpstream):
-    """The stand-in upstream, but the first batch of every request whose number leaves 5 when divided by 7 is answered with
-    one item too few: such a request must give no embedding at all, whatever its other batches give."""
-
-    def __call__(self, key, inputs, model):
-        status, body, headers = super().__call__(key, inputs, model)
-        request, batch = key.split(":")
-        if int(request) % 7 == 5 and batch == "0":
-            body = {**body, "data": body["data"][1:]}
-        return status, body, headers

@@ -47,12 +47,30 @@ def q_upsert(spark, sf):
     return _upsert_out(WR.upsert_latest(view(spark, sf, "orders"), _changes(spark, sf), "o_orderkey", "o_orderdate"))
 
 
+@register("S2_upsert_bucketed", sql=_UPSERT_SQL)
+def q_upsert_bucketed(spark, sf):
+    import uuid
+
+    table = f"orders_base_{uuid.uuid4().hex[:12]}"
+    WR.write_bucketed(view(spark, sf, "orders"), table, "o_orderkey", 16)
+    return _upsert_out(WR.merge_bucketed(spark, table, _changes(spark, sf), "o_orderkey", "o_orderdate", 16))
+
+
 @register("T6_stream_upsert", sql=_UPSERT_SQL)
 def q_stream_upsert(spark, sf):
-    changes_dir, ck = scratch_path(spark, "changes"), scratch_path(spark, "ck-upsert")
-    ST.stream_upsert(_stream_copy(spark, _changes(spark, sf), "feed"), changes_dir, ck)
-    log = spark.read.parquet(changes_dir).drop("_batch", "batch")
-    return _upsert_out(WR.upsert_latest(view(spark, sf, "orders"), log, "o_orderkey", "o_orderdate"))
+    """Four ordered deliveries with an older version before and between the newest ones; the log is compacted after the second and
+    after the last."""
+    changes_dir, ck, feed = scratch_path(spark, "changes"), scratch_path(spark, "ck-upsert"), scratch_path(spark, "feed")
+    changes = _changes(spark, sf)
+    stale = (changes.withColumn("o_orderdate", F.col("o_orderdate") - F.expr("INTERVAL 12 HOURS"))
+             .withColumn("o_totalprice", F.col("o_totalprice") * F.lit(0.5)))
+    odd = F.col("o_orderkey") % 2 == 1
+    for delivery, rows in enumerate((stale, changes.filter(odd), stale, changes.filter(~odd))):
+        rows.write.mode("append").parquet(feed)
+        ST.stream_upsert(spark.readStream.schema(changes.schema).parquet(feed), changes_dir, ck)
+        if delivery in (1, 3):
+            ST.compact_changes(spark, changes_dir, "o_orderkey", "o_orderdate")
+    return _upsert_out(WR.upsert_latest(view(spark, sf, "orders"), ST.read_changes(spark, changes_dir), "o_orderkey", "o_orderdate"))
 
 
 @register("S3_write_docs", sql="SELECT doc_id, app, title, updatedAt FROM files_v", views=["files_v"])

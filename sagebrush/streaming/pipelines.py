@@ -111,6 +111,38 @@ def stream_upsert(stream: DataFrame, changes_dir: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
+def compact_changes(spark: SparkSession, changes_dir: str, key: str, ts: str) -> None:
+    """Fold the change log to one version per key, so that what readers apply grows with the keys and not with time.
+
+    The newest version (by ``ts``, then batch) of every key is written as the folder of the highest batch that it holds, under a
+    new name; only then are the folded batches deleted.  A reader between both steps sees some versions twice, which S2 settles.  Batches
+    that arrive meanwhile have higher numbers and stay.  Run it between two runs of the stream."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(changes_dir).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = sorted(x.getPath().toString() for x in fs.listStatus(fs_path(changes_dir)) if x.isDirectory())
+    if len(folders) < 2:
+        return
+    log = spark.read.parquet(*folders)
+    values = [c for c in log.columns if c not in (key, "_batch")]
+    order = F.struct(F.col(ts), F.col("_batch"))
+    newest = log.groupBy(key).agg(F.max_by(F.struct(*values, "_batch"), order).alias("_r")).select(key, "_r.*")
+    last = max(int(f.rsplit("batch=", 1)[1]) for f in folders)
+    target = f"{changes_dir}/compacted-batch={last}"
+    if target.rsplit("/", 1)[1] in {f.rsplit("/", 1)[1] for f in folders}:
+        return      # nothing has come since
+    newest.write.mode("overwrite").parquet(target)
+    for f in folders:
+        fs.delete(fs_path(f), True)
+
+
+def read_changes(spark: SparkSession, changes_dir: str) -> DataFrame:
+    """The change log, compacted or not."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(changes_dir).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [x.getPath().toString() for x in fs.listStatus(fs_path(changes_dir)) if x.isDirectory()]
+    return spark.read.parquet(*folders).drop("_batch")
+
+
 def stream_embed(stream: DataFrame, col: str, embedder, out: str = "embedding") -> DataFrame:
     """Vectors computed as documents arrive (mapInPandas works on streaming frames)."""
     from sagebrush.operators.vectors import embed_text

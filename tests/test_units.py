@@ -512,3 +512,81 @@ def test_distributed_rank_equals_row_number(spark):
     w = Window.partitionBy("query_id").orderBy(F.col("s").desc_nulls_last(), F.col("doc_id").asc())
     exp = df.withColumn("rank", F.row_number().over(w))
     assert sorted(rows(got, "query_id", "doc_id", "rank")) == sorted(rows(exp, "query_id", "doc_id", "rank"))
+
+
+def test_merge_into_a_bucketed_base_does_not_shuffle_it(spark):
+    from sagebrush.sources.writers import merge_bucketed, upsert_latest, write_bucketed
+
+    base = spark.createDataFrame([(i, i * 10, f"b{i}") for i in range(50)] + [(99, None, "no time")], "docId long, updatedAt long, v string")
+    changes = spark.createDataFrame([(1, 5, "older"), (2, 20, "tie"), (3, 31, "new"), (3, 30, "less new"), (60, 1, "added"), (99, 1, "timed"), (4, None, "untimed")],
+                                    "docId long, updatedAt long, v string")
+    write_bucketed(base, "base_of_test", buckets=4)
+    merged = merge_bucketed(spark, "base_of_test", changes, buckets=4)
+    got = {r["docId"]: r["v"] for r in merged.collect()}
+    assert (got[1], got[2], got[3], got[60], got[99], got[5]) == ("b1", "tie", "new", "added", "timed", "b5") and len(got) == 52
+    timed = changes.filter("updatedAt IS NOT NULL AND docId <> 99")
+    want = {r["docId"]: r["v"] for r in upsert_latest(base, timed).collect()}
+    assert {k: v for k, v in got.items() if k not in (4, 99)} == {k: v for k, v in want.items() if k not in (4, 99)}
+    # above the scan of the base there is a join, and no exchange between
+    plan = _plan(merged).splitlines()
+    at = next(i for i, line in enumerate(plan) if "FileScan parquet" in line and "base_of_test" in line)
+    join = max(i for i in range(at) if "SortMergeJoin" in plan[i])
+    assert not any("Exchange" in line for line in plan[join:at]) and "Bucketed: true" in plan[at]
+    spark.sql("DROP TABLE base_of_test")
+
+
+def test_change_log_is_compacted(spark, tmp_path):
+    from sagebrush.streaming import pipelines as ST
+
+    feed, log, ck = (f"{tmp_path}/{x}" for x in ("feed", "log", "ck"))
+    schema = "k long, ts long, v string"
+    for n, rows_ in enumerate(([(1, 1, "a"), (2, 1, "b")], [(1, 3, "c")], [(1, 2, "late"), (3, 1, "d")], [(2, 1, "tie")])):
+        spark.createDataFrame(rows_, schema).write.mode("append").parquet(feed)
+        ST.stream_upsert(spark.readStream.schema(schema).parquet(feed), log, ck)
+        if n in (1, 3):
+            ST.compact_changes(spark, log, "k", "ts")
+            ST.compact_changes(spark, log, "k", "ts")        # again: nothing to do
+    got = sorted(rows(ST.read_changes(spark, log), "k", "ts", "v"))
+    assert got == [(1, 3, "c"), (2, 1, "tie"), (3, 1, "d")]
+    assert len([p for p in (tmp_path / "log").iterdir() if p.is_dir()]) == 1
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_calls_in_flight_are_bounded(spark, most):
+    import json
+
+    from sagebrush.operators.embedding_jobs import embed_requests
+
+    def upstream(key, inputs, model):       # tells when each call began and ended
+        import time
+
+        began = time.time()
+        time.sleep(0.3)
+        data = [{"index": i, "embedding": [1.0]} for i in range(len(inputs))]
+        return 200, {"data": data, "model": "m", "usage": {"began": began, "ended": time.time()}}, {}
+
+    bodies = spark.createDataFrame([(i, json.dumps({"input": ["a", "b"]})) for i in range(12)], "request_id long, body string").repartition(8)
+    _, summary, _ = embed_requests(bodies, upstream, in_flight=most)
+    spans = [(r["usage"]["began"], r["usage"]["ended"]) for r in summary.select("usage").collect()]
+    assert len(spans) == 12
+    assert max(sum(a <= t < b for a, b in spans) for t, _ in spans) <= most
+
+
+def test_a_call_without_an_answer_times_out(spark):
+    import json
+
+    from sagebrush.operators.embedding_jobs import CallTimeout, call_within, embed_requests
+
+    def slow(key, inputs, model):
+        import time
+
+        time.sleep(5)
+
+    with pytest.raises(CallTimeout):
+        call_within(slow, 50, "k", [], None)
+    with pytest.raises(ZeroDivisionError):
+        call_within(lambda: 1 / 0, 1000)
+    bodies = spark.createDataFrame([(1, json.dumps({"input": "a"}))], "request_id long, body string")
+    emb, summary, _ = embed_requests(bodies, slow, max_retries=1, sleep=lambda s: None, timeout_ms=100)
+    row = summary.first()
+    assert emb.count() == 0 and "did not answer" in row["error"] and row["http_status"] == 502
