@@ -124,27 +124,27 @@ def occurrences(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return written(rows.mapInArrow(_occurrences(block_bytes), _OCCURRENCES), "word-occurrences")
 
 
-def _of_own(part: str) -> Column:
-    own = F.col("own")[1]
-    return {"block": F.col("own")[0], "group": F.shiftright(own, 32), "n": own.bitwiseAND(F.lit((1 << 32) - 1))}[part]
+def _count() -> Column:
+    """The count of a block's row, whose group and count are one long, so that shuffled rows are short."""
+    return F.col("own").bitwiseAND(F.lit((1 << 32) - 1))
 
 
 def group_totals(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
-    return counts.groupBy(*keys).agg(F.sum(_of_own("n")).alias("total")).filter(F.col("total") >= least)
+    return counts.groupBy(*keys).agg(F.sum(_count()).alias("total")).filter(F.col("total") >= least)
 
 
 def frequent(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Of the blocks' counts (keys, own = [block, group and n]) the rows (keys, block, group, total) of groups that reach ``least``: one
+    """Of the blocks' counts (keys, block, own = group and n) the rows (keys, block, group, total) of groups that reach ``least``: one
     row per block and group is shuffled, once, and a window adds up a group, which has one row per block at most."""
-    total = F.sum(_of_own("n")).over(Window.partitionBy(*keys))
+    total = F.sum(_count()).over(Window.partitionBy(*keys))
     kept = counts.withColumn("total", total).filter(F.col("total") >= least)
-    return written(kept.select(*keys, _of_own("block").alias("block"), _of_own("group").alias("group"), "total"), "frequent-groups")
+    return written(kept.select(*keys, "block", F.shiftright("own", 32).alias("group"), "total"), "frequent-groups")
 
 
 def _phrases(row, length: int) -> np.ndarray:
     """The words of a relation's groups: those of the phrase at the beginning, and the last one of the phrase at the end."""
     words = _unpacked(row["words"], "<i8").reshape(-1, length - 1)
-    left, right = _unpacked(row["left"]), _unpacked(row["right"])
+    left, right = np.cumsum(_unpacked(row["left"])), _unpacked(row["right"])
     return np.column_stack((words[left], words[right, -1]))
 
 
@@ -164,7 +164,7 @@ def _extend(length: int):
         joined = np.full(len(places), _GAP, np.int32)
         joined[both] = of
         left, right = ((x.astype(np.int32)) for x in np.divmod(pairs, len(group)))
-        return pd.DataFrame({"block": [row["block"]], "places": [_packed(joined)], "left": [_packed(left)], "right": [_packed(right)],
+        return pd.DataFrame({"block": [row["block"]], "places": [_packed(joined)], "left": [_packed(np.diff(left, prepend=np.int32(0)))], "right": [_packed(right)],
                              "words": [_packed(np.ascontiguousarray(words))]})
     return run
 
@@ -179,26 +179,24 @@ def extend(relation: DataFrame, found: DataFrame, length: int) -> DataFrame:
 
 def _counts(length: int, width: int):
     """A row per block and group of a relation; a phrase's key is its words' hashes, ``width`` bytes each."""
-    schema = pa.schema([("key", pa.binary()), ("own", pa.list_(pa.int64()))])
+    schema = pa.schema([("key", pa.binary()), ("block", pa.int64()), ("own", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 phrases, places = _phrases(row, length), _unpacked(row["places"])
-                own = np.empty((len(phrases), 2), np.int64)
-                own[:, 0], own[:, 1] = row["block"], np.arange(len(phrases)) << 32 | np.bincount(places[places >= 0], minlength=len(phrases))
+                own = np.arange(len(phrases)) << 32 | np.bincount(places[places >= 0], minlength=len(phrases))
                 for a in range(0, len(own), _ROWS):
                     part = phrases[a:a + _ROWS]
                     n, size = len(part), length * width
                     keys = np.ascontiguousarray(part.astype(">i8").view(np.uint8).reshape(n, length, 8)[:, :, 8 - width:])
                     keys = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, n * size + 1, size, dtype=np.int32)), pa.py_buffer(keys)])
-                    lists = pa.ListArray.from_arrays(np.arange(0, 2 * n + 1, 2, dtype=np.int32), own[a:a + _ROWS].ravel())
-                    yield pa.RecordBatch.from_arrays([keys, lists], schema=schema)
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(n, row["block"])), pa.array(own[a:a + _ROWS])], schema=schema)
     return run
 
 
 def phrase_counts(relation: DataFrame, length: int, width: int) -> DataFrame:
-    return relation.mapInArrow(_counts(length, width), "key binary, own array<long>")
+    return relation.mapInArrow(_counts(length, width), "key binary, block long, own long")
 
 
 def _hashed(found: DataFrame) -> tuple[DataFrame, int]:
@@ -218,8 +216,8 @@ def group_tables(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bl
     first = occurrences(docs, block_bytes)
     groups = first.select("block", F.posexplode("groups").alias("group", "g"))
     totals = written(groups.groupBy("g.lang").agg(F.sum("g.n").alias("n")), "word-totals")
-    own = F.array(F.col("block"), F.shiftleft(F.col("group").cast("long"), 32).bitwiseOR(F.col("g.n")))
-    found, width = _hashed(frequent(groups.select("g.lang", "g.word", own.alias("own")), ["lang", "word"], least))
+    own = F.shiftleft(F.col("group").cast("long"), 32).bitwiseOR(F.col("g.n"))
+    found, width = _hashed(frequent(groups.select("block", "g.lang", "g.word", own.alias("own")), ["lang", "word"], least))
     key = F.substring(F.unhex(F.lpad(F.hex("w0"), 16, "0")), 9 - width, width)
     tables = [written(found.groupBy("lang", "word", "w0").agg(F.first("total").alias("f")).select("lang", "word", key.alias("key"), "f"), "groups")]
     relation = first.select("block", "places")
