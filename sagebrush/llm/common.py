@@ -61,6 +61,19 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, behind as many underscores as it takes until no column of the tables has it (Spark compares without case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def columns_without(df: DataFrame, *replaced: str) -> list[str]:
+    """The columns of ``df`` but those that a result replaces, compared without case as Spark does."""
+    return [c for c in df.columns if c.lower() not in replaced]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,8 @@ a larger one adds a further reading per block.  Documents are never shuffled, so
 
 Defined results: a null or empty text has no words and is clean; null or empty items have no windows; an
 item_id that occurs in several rows counts once; a null item_id counts as the id ``null``; repeated document
-rows are judged one by one; empty tables give no rows or clean rows; other columns are ignored.
+rows are judged one by one; empty tables give no rows or clean rows; a very long text is read whole; other columns pass
+under any name, but for those named as in ``FOUND``.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from sagebrush.llm.common import unused
+
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
 FOUND = ("n_words", "word_spans", "item_ids")
@@ -107,12 +110,12 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scanner(patterns, schema: pa.Schema):
+def _scanner(patterns, schema: pa.Schema, read: str):
     def scan(batches):
         for batch in batches:
             machine = _automaton(patterns)
             n_words, spans, items = [], [], []
-            for text, before, ids in zip(*(batch.column(f).to_pylist() for f in ("_text", "word_spans", "item_ids")), strict=True):
+            for text, before, ids in zip(*(batch.column(f).to_pylist() for f in (read, "word_spans", "item_ids")), strict=True):
                 words = words_of(text)
                 own, hit = find_windows(machine, words)
                 n_words.append(len(words))
@@ -138,10 +141,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """The columns ``keep`` of the documents (default: all; those named as in ``FOUND`` are replaced) with n_words,
     word_spans (runs of hit words) and item_ids (sorted strings)."""
     spark = docs.sparkSession
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in FOUND]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in FOUND]
+    read = unused("_text", docs)
     out = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("bigint").alias("n_words"),
                       F.array().cast("array<struct<start:int,end:int>>").alias("word_spans"),
-                      F.array().cast("array<string>").alias("item_ids"), F.col("text").cast("string").alias("_text"))
+                      F.array().cast("array<string>").alias("item_ids"), F.col("text").cast("string").alias(read))
     full, last = out.schema, StructType(out.schema.fields[:-1])
     blocks = _blocks(benchmark, window, block_bytes)
     block = next(blocks)
@@ -150,7 +154,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         following = following or None
         schema = last if following is None else full  # texts go on only where another block reads them
         patterns = spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "block": block})
-        out = out.mapInArrow(_scanner(patterns, to_arrow_schema(schema)), schema)
+        out = out.mapInArrow(_scanner(patterns, to_arrow_schema(schema), read), schema)
         block = following
     return out
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sagebrush.llm import golomb
-from sagebrush.llm.common import BLANKS, written
+from sagebrush.llm.common import BLANKS, unused, written
 
 FINGERPRINTS_PER_OWNER = 2_000_000
 
@@ -124,5 +124,6 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns (of rows that repeat an id, all stay)."""
-    dropped = exact_groups(docs).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
+    name = unused("_dropped", docs)
+    dropped = exact_groups(docs).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

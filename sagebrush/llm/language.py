@@ -142,14 +142,15 @@ class Profiles:
         out = np.where(rank < 0, self.size, np.abs(rank - np.arange(len(own))[:, None]))
         return np.minimum(out, self.size).sum(axis=0)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """The nearest language, its score, and whether the text has a letter."""
         seq = symbols(text)
         if not len(seq) or not self.langs:
-            return "und", 0.0
+            return "und", 0.0, len(seq) > 0
         own = ranked(grams(seq), self.size)
         distance = self.distances(own)
         best = int(np.argmin(distance))
-        return self.langs[best], float(1 - distance[best] / (len(own) * self.size))
+        return self.langs[best], float(1 - distance[best] / (len(own) * self.size)), True
 
 
 def _predictor(profiles, size: int, schema: pa.Schema, letters: str | None):
@@ -157,9 +158,9 @@ def _predictor(profiles, size: int, schema: pa.Schema, letters: str | None):
         model = Profiles(profiles.value, size)
         for batch in batches:
             found = [model.predict(t) for t in batch.column("text").to_pylist()]
-            new = {"lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
+            new = {"lang_pred": [x for x, _, _ in found], "score": [s for _, s, _ in found]}
             if letters:
-                new[letters] = [len(symbols(t)) > 0 for t in batch.column("text").to_pylist()]
+                new[letters] = [has for _, _, has in found]
             yield pa.RecordBatch.from_arrays([pa.array(new[f.name], type=f.type) if f.name in new else batch.column(f.name)
                                               for f in schema], schema=schema)
     return run

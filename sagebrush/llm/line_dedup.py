@@ -17,7 +17,8 @@ away; shorter lines stay.  With ``min_chars`` 1, as op1_line_dedup calls it, eve
 
 Defined results: a null or empty text has no removable line and comes back as it is; rows that repeat both id and text
 are one document and share its result; a null doc_id counts as the earliest id; an empty table gives no rows.  Lines
-are separated by line feeds; removing a line removes its line feed too.  Columns named n_lines or n_removed are replaced.
+are separated by line feeds; removing a line removes its line feed too.  A very long text is read whole, and each of its lines
+is a row of its own.  Columns named n_lines or n_removed are replaced; all others pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sagebrush.llm.common import written
+from sagebrush.llm.common import columns_without, unused, written
 from sagebrush.session import BROADCAST_LIMIT_BYTES
 
 MIN_CHARS = 20  # where the caller names no bound
@@ -70,10 +71,13 @@ def _row_key():
     return F.xxhash64(F.col("doc_id").cast("string"), F.lit("|"), F.col("text").cast("string"))
 
 
+def _place():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """did and rk, the place and key of a row, and its text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), _row_key().alias("rk"),
-                       F.col("text").cast("string").alias("text"))
+    return docs.select(_place().alias("did"), _row_key().alias("rk"), F.col("text").cast("string").alias("text"))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -137,15 +141,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         F.min(F.struct(*at)).alias("at"), F.first(F.when(own.isNull(), _half_keys())).alias("keys")).select("at.*", "h", "g", "keys")
     firsts = written(firsts, "first-lines")
     near = near_lines(firsts.filter("keys is not null"), source)
-    kept = firsts.select(*at).join(near, at, "left_anti").groupBy("rk").agg(F.array_sort(F.collect_set("line_no")).alias("_kept"))
-    rows = docs.withColumn("_rk", _row_key()).join(kept.withColumnRenamed("rk", "_k").hint("shuffle_hash"), F.col("_rk") == F.col("_k"), "left")
+    kept = firsts.select(*at).join(near, at, "left_anti").groupBy("did", "rk").agg(F.array_sort(F.collect_set("line_no")).alias("kept"))
+    # lines meet their document by id and key, as keys alone would collide in a large corpus
+    own_did, own_rk, did, rk, own_kept = (unused(c, docs) for c in ("_own_did", "_own_rk", "_did", "_rk", "_kept"))
+    rows = docs.withColumns({own_did: _place(), own_rk: _row_key()}).join(
+        kept.select(F.col("did").alias(did), F.col("rk").alias(rk), F.col("kept").alias(own_kept)).hint("shuffle_hash"),
+        (F.col(own_did) == F.col(did)) & (F.col(own_rk) == F.col(rk)), "left")
     text = F.col("text").cast("string")
-    staying = F.coalesce("_kept", F.array().cast("array<int>"))
+    staying = F.coalesce(own_kept, F.array().cast("array<int>"))
     n = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     split = F.split(text, "\n")  # only of texts that lose a line
     left = F.when(F.size(staying) == n, text).otherwise(
         F.array_join(F.transform(staying, lambda i: F.element_at(split, i + 1)), "\n"))
-    columns = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    columns = columns_without(docs, "text", "n_lines", "n_removed")
     return rows.select(*[F.col(f"`{c}`") for c in columns], F.when(text.isNotNull(), left).alias("text"),
                        F.coalesce(n, F.lit(0)).cast("long").alias("n_lines"),
                        F.coalesce(n - F.size(staying), F.lit(0)).cast("long").alias("n_removed"))

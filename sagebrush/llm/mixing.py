@@ -13,7 +13,8 @@ Only block sums are accumulated over a source, so a source with a third of all r
 of that is a threshold a source, and drawing is a map over the documents: texts are never shuffled.
 
 A document costs its words plus one end token, so an empty or null text costs one.  A null source is a source of its
-own.  Equal rows are drawn alike.  An empty table gives no rows.  Columns named epoch, block or n_tokens are replaced.
+own.  Equal rows are drawn alike.  An empty table gives no rows.  Columns named epoch, block or n_tokens are replaced;
+all others travel in one struct, so their names cannot clash with those used here.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sagebrush.llm.common import written
+from sagebrush.llm.common import columns_without, written
 
 ENTROPY = 0.95
 MAX_EPOCHS = 4.0
@@ -133,9 +134,9 @@ def _thresholds(sized: DataFrame, planned: list[tuple], kind: str) -> list[tuple
 def mix(docs: DataFrame, target: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget: float | None = None) -> DataFrame:
     """The drawn rows: all columns of ``docs``, n_tokens, epoch and block; a row stands once for every epoch it is in."""
     kind = docs.schema["source"].dataType.simpleString()
-    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "epoch", "block")]
+    columns = [F.col(f"`{c}`") for c in columns_without(docs, "n_tokens", "epoch", "block")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*columns, (F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long").alias("n_tokens"),
+    rows = docs.select(F.struct(*columns).alias("_row"), (F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long").alias("n_tokens"),
                        F.xxhash64(F.col("doc_id").cast("string"), text).alias("_key"), F.col("source").alias("_source"))
     sized = written(rows.select("_source", "n_tokens", "_key"), "sizes")
     counts = [(r[0], r[1]) for r in sized.groupBy("_source").agg(F.sum("n_tokens")).collect()]
@@ -148,4 +149,4 @@ def mix(docs: DataFrame, target: float = ENTROPY, max_epochs: float = MAX_EPOCHS
         "block", F.pmod("_draw", "_blocks"))
     kept = (F.col("epoch") < F.col("_whole")) | (F.col("block") < F.col("_cut")) | (
         (F.col("block") == F.col("_cut")) & (F.col("_draw") <= F.col("_last")))
-    return drawn.filter(kept).select(*columns, "n_tokens", "epoch", "block")
+    return drawn.filter(kept).select("_row.*", "n_tokens", "epoch", "block")

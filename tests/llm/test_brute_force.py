@@ -126,11 +126,27 @@ def test_language(docs, nothing, rows, spark):
         if r.text is None or not any(c.isalpha() for c in r.text):
             assert (r.lang_pred, r.score) == ("und", 0.0)
         else:
-            assert 0 <= r.score <= 1 and r.lang_pred == ("de" if (r.doc_id or 0) >= 900 else r.lang_pred)
+            own = ranked(grams(symbols(r.text)), 50).tolist()
+            away = {lang: sum(min(50, abs(p.index(g) - i)) if g in p else 50 for i, g in enumerate(own)) for lang, p in profiles.items()}
+            best = min(away, key=lambda x: (away[x], x))
+            assert r.lang_pred == best and r.score == pytest.approx(1 - away[best] / (len(own) * 50))
+            assert best == "de" or (r.doc_id or 0) < 900
     assert predict(nothing, learn_profiles(nothing)).count() == 0
     assert {r.lang_pred for r in predict(docs, {}).collect()} == {"und"}
 
 
+def test_registered_language_query_learns_outside_the_held_out_fold(spark):
+    from sagebrush.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = QUERIES["op2_language_id"](spark, sf).collect()
+    assert sorted(r.doc_id for r in found) == sorted(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in found)
+    judged = [r for r in found if r.held_out and docs[r.doc_id].lang and any(c.isalpha() for c in docs[r.doc_id].text or "")]
+    assert sum(r.lang_pred == docs[r.doc_id].lang for r in judged) >= 0.98 * len(judged) > 100
+
+
 def test_lm(docs, nothing, rows, lower):
     from sagebrush.llm.common import fold
     from sagebrush.llm.lm import score
@@ -348,6 +364,78 @@ def test_mixing(docs, nothing, rows):
     assert mixing.mix(nothing).count() == 0
 
 
+@pytest.mark.parametrize("block", [4_000_000, 150])
+def test_mixing_draws(docs, rows, monkeypatch, block):
+    """Which rows are drawn, and how often, by a plain walk through the permutation of every source's last epoch."""
+    import xxhash
+
+    from sagebrush.llm import mixing
+
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", block)
+
+    def chained(*values):
+        seed = 42
+        for v in values:
+            data = v.encode() if isinstance(v, str) else v
+            seed = xxhash.xxh64_intdigest(data, seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    sized = collections.defaultdict(list)
+    for i, t, _, source, *_ in rows:
+        k = chained(*([] if i is None else [str(i)]), t or "")
+        sized[source].append((i, k, len(re.findall(WORD, t or "")) + 1))
+    counts = sorted(((s, sum(n for *_, n in own)) for s, own in sized.items()), key=lambda x: (x[0] is not None, x[0]))
+    total = sum(n for _, n in counts)
+    for budget in (None, total / 2, total * 1.7):
+        want = collections.Counter()
+        for s, whole, rest, blocks, _ in mixing.plan(counts, budget=budget):
+            for epoch in range(whole + 1):
+                drawn = [(chained(k.to_bytes(8, "little", signed=True), epoch.to_bytes(4, "little"), (7).to_bytes(4, "little")), i, n)
+                         for i, k, n in sized[s]]
+                order = sorted(drawn, key=lambda x: (x[0] % blocks, x[0]))
+                room = rest if epoch == whole else total
+                # rows of one draw, which repeat each other, go together
+                groups = collections.defaultdict(list)
+                for d, i, n in order:
+                    groups[d % blocks, d].append((i, n))
+                for (b, _), own in groups.items():
+                    room -= sum(n for _, n in own)
+                    if room < 0:
+                        break
+                    want.update((i, s, n, epoch, b) for i, n in own)
+        got = mixing.mix(docs, budget=budget).select("doc_id", "source", "n_tokens", "epoch", "block").collect()
+        assert collections.Counter(tuple(r) for r in got) == want
+
+
+def test_columns_of_any_name_pass(spark, docs, nothing):
+    """Extra columns named as the operators' inner ones change no result and come back as they were."""
+    from sagebrush.llm import decontaminate, exact_dedup, language, lm, mixing, repeats, simhash, token_output
+    from sagebrush.llm.line_dedup import dedup_lines
+
+    names = ["_rk", "_k", "_kept", "_did", "_own_rk", "_own_did", "_key", "_source", "_draw", "_s", "_whole", "_rest", "_blocks", "_cut", "_last",
+             "_row", "_text", "_TEXT", "_dropped", "_gone", "_letters", "_id", "did", "rk", "norm", "key", "place", "part", "sha", "size", "suspect",
+             "best", "root", "h", "g", "at", "keys", "h 1"]
+    few = docs.filter("length(text) < 2000 or text is null").select("doc_id", "text", "lang", "source")
+    wide = few.withColumns({n: F.concat(F.lit(f"{n}:"), F.col("source")) for n in names if n != "_TEXT"})
+    bench = spark.createDataFrame([(1, few.filter("doc_id = 0").first().text)], "item_id long, text string")
+
+    def plain(df):
+        return collections.Counter(str(sorted(r.asDict(True).items(), key=str)) for r in df.collect())
+
+    for run in (lambda d: dedup_lines(d, 1), mixing.mix, exact_dedup.deduplicate, exact_dedup.exact_groups, simhash.keep_one, simhash.op8_simhash,
+                lambda d: decontaminate.decontaminate(d, bench), lambda d: decontaminate.op9_decontaminate(d, bench),
+                lambda d: language.predict(d, language.learn_profiles(d)), lambda d: lm.score(d, F.lit(False)), repeats.op10_repeats,
+                token_output.op4_token_output):
+        base, more = run(few), run(wide)
+        assert plain(more.select(base.columns)) == plain(base)
+        extra = [c for c in names if c in more.columns]
+        if extra and len(base.columns) < len(more.columns):
+            assert [c for c in names if c != "_TEXT"] == extra
+            for r in more.collect():
+                assert all(r[c] == (None if r.source is None else f"{c}:{r.source}") for c in extra)
+        assert run(wide.filter("false")).count() == 0
+
+
 def test_exact_dedup(docs, nothing, rows):
     from sagebrush.llm.exact_dedup import deduplicate, exact_groups
 
