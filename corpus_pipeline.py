@@ -1,6 +1,6 @@
 """A training-data pipeline over ``documents``: five stages, each a table that the next one reads.
 
-Language ID rejects texts without a letter, SimHash keeps one document of each near-duplicate group, decontamination
+Language ID rejects texts without a letter and labels the others with their recognised language, SimHash keeps one document of each near-duplicate group, decontamination
 removes documents that repeat ten words of a benchmark item, mixing repeats small sources to the target weights, and
 the last stage writes the token ids and returns what was read back.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagebrush.llm.common import prepare, table, written
+from sagebrush.llm.common import prepare, table, unused, written
 from sagebrush.llm.decontaminate import decontaminate
 from sagebrush.llm.language import learn_profiles, predict
 from sagebrush.llm.mixing import mix
@@ -19,10 +19,13 @@ from sagebrush.llm.token_output import op4_token_output
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter; a null lang is filled with the recognised one, "und" where nothing could be learned."""
+    """Documents with a letter, their lang replaced by the recognised one; where nothing could be learned the given lang
+    stays, "und" for a null one."""
     prepare(spark)
-    found = predict(docs, learn_profiles(docs), letters="_letters").filter("_letters")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    letters = unused("_letters", docs)
+    found = predict(docs, learn_profiles(docs), letters=letters).filter(F.col(letters))
+    recognised = F.when(F.col("lang_pred") != "und", F.col("lang_pred"))
+    return found.withColumn("lang", F.coalesce(recognised, "lang", "lang_pred")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
