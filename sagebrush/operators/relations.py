@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sagebrush.session import broadcast_if_small
+from sagebrush.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, estimated_bytes
+
+SALTS = 32  # copies of a permission class that is joined by a shuffle
 
 
 def exact(df: DataFrame, col: str, value) -> DataFrame:
@@ -84,11 +86,23 @@ def imported_filter(child: DataFrame, parent: DataFrame, ref: str, parent_key: s
 
 def acl_semi(docs: DataFrame, key: str, perms: str, grants: DataFrame, user: str = "user",
              principal: str = "principal") -> DataFrame:
-    """(user, doc) pairs a user may see: explode permissions, equi-join grants, distinct.  Grants travel to the
-    permissions where their size is proven small; else a principal that most documents name is split by the
-    adaptive skew join, as both sides meet in plain exchanges."""
-    ex = docs.select(key, F.explode(F.array_distinct(perms)).alias(principal))
-    return ex.join(broadcast_if_small(grants.select(user, principal).distinct()), principal).select(user, key).distinct()
+    """(user, doc) pairs a user may see; ``key`` is the documents' unique key.
+
+    Documents share few permission lists, so principals are resolved once per different list (found by a partially aggregated
+    distinct, in which a list that most documents have is one row a task): its users become one sorted array, the list's class.
+    Documents then meet the class of their own list, by broadcast where the classes are proven small, and otherwise salted: a class
+    stands ``SALTS`` times and documents are dealt over its copies, so a list or principal that all documents have is spread.
+    Each document meets one class, so no pair arises twice and nothing is made distinct afterwards."""
+    listed = docs.select(F.col(key).alias("_doc"), F.array_sort(F.array_distinct(perms)).alias("_list")).filter(F.size("_list") > 0)
+    held = listed.select("_list").distinct().select("_list", F.explode("_list").alias("_p"))
+    given = grants.select(F.col(user).alias("_user"), F.col(principal).alias("_p")).distinct()
+    classes = held.join(broadcast_if_small(given), "_p").groupBy("_list").agg(F.sort_array(F.collect_set("_user")).alias("_users"))
+    if estimated_bytes(classes) <= BROADCAST_LIMIT_BYTES:
+        met = listed.join(F.broadcast(classes), "_list")
+    else:
+        copies = classes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = listed.withColumn("_salt", F.pmod(F.xxhash64("_doc"), F.lit(SALTS)).cast("int")).join(copies, ["_list", "_salt"])
+    return met.select(F.explode("_users").alias(user), F.col("_doc").alias(key))
 
 
 def folder_tree(folders: DataFrame, folder: str = "folder_id", parent: str = "parent_id",

@@ -80,6 +80,48 @@ def q_write_docs(spark, sf):
     return tidy(WR.read_docs(spark, path).select("doc_id", "app", "title", "updatedAt"))
 
 
+@register("S3_typed_mail", sql="""SELECT concat('m', CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS "docId", role AS app,
+  concat('own-', CAST(turn AS VARCHAR)) AS own_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_chunks,
+  CAST(turn AS BIGINT) * 1000 AS "timestamp", concat(role, '@example.org') AS "from", CAST(1 AS BIGINT) AS n_to,
+  CAST(length(text) AS BIGINT) AS size, true AS no_vectors FROM conversations""")
+def q_typed_mail(spark, sf):
+    """Mails with a map, arrays and structs, held to their declared type on writing and read back by it."""
+    path = scratch_path(spark, "mail-docs")
+    chunks = F.split("text", "\n")
+    mails = view(spark, sf, "conversations").select(
+        F.concat(F.lit("m"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("docId"),
+        F.create_map(F.lit("me"), F.concat(F.lit("own-"), F.col("turn").cast("string"))).alias("userMap"), chunks.alias("chunks"),
+        (F.col("turn").cast("bigint") * 1000).alias("timestamp"), F.col("role").alias("app"),
+        F.concat("role", F.lit("@example.org")).alias("from"), F.array(F.lit("all@example.org")).alias("to"),
+        F.array(F.struct(F.lit("txt").alias("fileType"), F.length("text").cast("bigint").alias("fileSize"))).alias("attachments"))
+    WR.write_docs(mails, path, "app", doc_type="mail")
+    back = WR.read_docs(spark, path, doc_type="mail")
+    return tidy(back.select("docId", "app", F.col("userMap")["me"].alias("own_id"), F.size("chunks").alias("n_chunks"), "timestamp", "from",
+                            F.size("to").alias("n_to"), F.col("attachments")[0]["fileSize"].alias("size"),
+                            F.col("chunk_embeddings").isNull().alias("no_vectors")))
+
+
+@register("S1_feed_files", sql="""SELECT CASE WHEN doc_id % 10 = 6 THEN NULL ELSE concat('f', CAST(doc_id AS VARCHAR)) END AS "docId", app, title,
+  CASE doc_id % 10 WHEN 5 THEN NULL ELSE updatedAt END AS "updatedAt",
+  CASE doc_id % 10 WHEN 5 THEN 'malformed' WHEN 6 THEN 'no docId' WHEN 7 THEN 'malformed' END AS reason
+FROM (SELECT doc_id, CASE WHEN doc_id % 10 IN (5, 6, 7) THEN NULL ELSE app END AS app, CASE WHEN doc_id % 10 IN (5, 6, 7) THEN NULL ELSE title END AS title,
+  CASE WHEN doc_id % 10 IN (6, 7) THEN NULL ELSE updatedAt END AS updatedAt FROM files_v)""", views=["files_v"])
+def q_feed_files(spark, sf):
+    """A feed of JSON lines in which some rows have a wrong type (5), no id (6) or a broken end (7)."""
+    path, kind = scratch_path(spark, "file-feed"), F.col("doc_id") % 10
+    files = view(spark, sf, "files_v").select(
+        "doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("docId"), "app", "title", F.split("body", "\n").alias("chunks"), "updatedAt")
+    text = F.to_json(F.struct("docId", "app", "title", "chunks", "updatedAt"))
+    ill = F.to_json(F.struct("docId", "app", F.lit("soon").alias("updatedAt")))
+    files.select(F.when(kind == 5, ill).when(kind == 6, F.to_json(F.struct("app", "title"))).when(kind == 7, F.concat(
+        F.lit('{"docId":"'), "docId", F.lit('","chunks":['))).otherwise(text).alias("value")).write.text(path)
+    good, wrong = WR.read_feed(spark, path, "file")
+    named = F.regexp_extract("value", r'"docId":"(\w+)"', 1)
+    rows = good.select("docId", "app", "title", "updatedAt", F.lit(None).cast("string").alias("reason")).unionByName(
+        wrong.select(F.when(named != "", named).alias("docId"), "reason"), allowMissingColumns=True)
+    return tidy(rows)
+
+
 @register("T1_stream_logs", sql="SELECT line, 'app-logs' AS job, 'app' AS service FROM log_lines_v", views=["log_lines_v"])
 def q_stream_logs(spark, sf):
     src = write_log_files(spark, sf)
@@ -97,6 +139,62 @@ def q_throttled(spark, sf):
     return tidy(spark.read.parquet(sink).select("line", "job", "service"))
 
 
+# limits of the checked query, far below the fixed ones so that the table comes in several batches
+_T2_RATE, _T2_BURST = 20_000, 1_500
+
+
+@register("T2_throttled_lines", sql="""SELECT line, 'app-logs' AS job, 'app' AS service, true AS within FROM log_lines_v""", views=["log_lines_v"])
+def q_throttled_lines(spark, sf):
+    """Every line arrives once; ``within`` says whether its micro-batch kept to the burst."""
+    src = write_log_files(spark, sf)
+    sink, ck = scratch_path(spark, "log-batches"), scratch_path(spark, "ck-lines")
+    ST.run_batches_to_versions(ST.throttled_log_stream(spark, src, ck, rate=_T2_RATE, burst=_T2_BURST, glob="*.txt"), sink, ck)
+    rows = spark.read.parquet(sink)
+    sizes = rows.groupBy("_batch").agg((F.count(F.lit(1)) <= _T2_BURST).alias("within"))
+    return tidy(rows.join(F.broadcast(sizes), "_batch").select("line", "job", "service", "within"))
+
+
+_DELIVERY = "least(floor((day(ts) - 1) / 8), 3) + CASE WHEN event_id % 10 = 7 THEN 1 ELSE 0 END"
+
+
+def _deliver(spark, rows, run) -> None:
+    """Five ordered deliveries of about eight days each, every tenth row one delivery too late; ``run`` takes the stream of the feed
+    over what has come, so that state and watermark go from run to run."""
+    feed = scratch_path(spark, "feed")
+    for delivery in range(5):
+        rows.filter(F.expr(_DELIVERY) == delivery).drop("event_id").write.mode("append").parquet(feed)
+        run(spark.readStream.schema(rows.drop("event_id").schema).parquet(feed))
+
+
+def _late_sql(rows: str, seconds: int, key: str, kept: str) -> str:
+    """Rows count until the watermark, ten minutes behind the newest row of the deliveries before, has passed their window."""
+    return f"""SELECT window_start, {key}, {kept}, count(*) FILTER (NOT ok) AS late FROM (
+  SELECT x.*, top IS NULL OR window_start + {seconds} > epoch(top) - 600 AS ok FROM (
+    SELECT *, CAST(floor(epoch(ts) / {seconds}) * {seconds} AS BIGINT) AS window_start, {_DELIVERY} AS delivery FROM {rows}) x
+  JOIN (SELECT delivery, max(max(ts)) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top
+        FROM (SELECT ts, {_DELIVERY} AS delivery FROM {rows}) GROUP BY delivery) w ON w.delivery = x.delivery) GROUP BY 1, 2"""
+
+
+@register("T3_log_volume_late", sql=_late_sql("log_lines_v", 3600, "stream", """count(*) FILTER (ok) AS lines,
+  CAST(sum(strlen(line)) FILTER (ok) AS BIGINT) AS bytes"""), views=["log_lines_v"])
+def q_volume_late(spark, sf):
+    rows = view(spark, sf, "log_lines_v").select("event_id", "ts", "stream", "line")
+    sink, ck, keys = scratch_path(spark, "volume"), scratch_path(spark, "ck-volume"), ["window_start", "stream"]
+    _deliver(spark, rows, lambda stream: ST.run_update_to_versions(ST.stream_log_volume(stream), sink, ck))
+    found = ST.with_late(ST.read_latest_versions(spark, sink, keys), ST.stream_log_volume(rows), keys, "lines")
+    return tidy(found.select(*keys, "lines", "bytes", "late"))
+
+
+@register("T4_metrics_late", sql=_late_sql("""(SELECT event_id, ts, value, concat('10.0.0.', CAST(user_id % 4 AS VARCHAR)) AS target FROM events)""",
+  10, "target", """round(arg_max(value, ts) FILTER (ok), 6) AS last, round(avg(value) FILTER (ok), 6) AS mean, count(*) FILTER (ok) AS samples"""))
+def q_metrics_late(spark, sf):
+    rows = view(spark, sf, "events").select("event_id", "ts", "value", F.concat(F.lit("10.0.0."), (F.col("user_id") % 4).cast("string")).alias("target"))
+    sink, ck, keys = scratch_path(spark, "metrics"), scratch_path(spark, "ck-metrics"), ["window_start", "target"]
+    _deliver(spark, rows, lambda stream: ST.run_update_to_versions(ST.stream_metrics(stream), sink, ck))
+    found = ST.with_late(ST.read_latest_versions(spark, sink, keys), ST.stream_metrics(rows), keys, "samples")
+    return tidy(found.select(*keys, "last", "mean", "samples", "late"))
+
+
 @register("T3_stream_log_volume", sql="""SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS window_start, stream,
   count(*) AS lines, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM log_lines_v GROUP BY 1, 2""", views=["log_lines_v"])
 def q_stream_volume(spark, sf):

@@ -1,4 +1,4 @@
-"""Document types as data: summary classes (P8) and fieldsets.
+"""Document types as data: declared fields (S1, S3), summary classes (P8) and fieldsets.
 
 A table holds a type's fields under column names of its own; a field map (field -> column expression) says which.
 Fields that the table does not have are left out, as an absent field is in a document.
@@ -8,6 +8,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+_VECTOR, _VECTORS = "array<float>", "map<int, array<float>>"
+_CHUNK = "array<struct<chunk_index: int, page_numbers: array<int>, block_labels: array<string>>>"
+_PERSON = "struct<email: string, displayName: string>"
+
+# --- fixed values: declared fields, type -> DDL; other types are added with ``declare`` ------------------
+DECLARED: dict[str, str] = {
+    "file": f"""docId string, app string, entity string, title string, parentId string, url string, chunks array<string>,
+        image_chunks array<string>, chunks_pos array<bigint>, image_chunks_pos array<bigint>, chunks_map {_CHUNK}, image_chunks_map {_CHUNK},
+        owner string, ownerEmail string, photoLink string, permissions array<string>, mimeType string, createdAt bigint, updatedAt bigint,
+        metadata string, fileHash string, chunk_embeddings {_VECTORS}, image_chunk_embeddings {_VECTORS}""",
+    "mail": f"""docId string, threadId string, parentThreadId string, mailId string, userMap map<string, string>, subject string,
+        chunks array<string>, `timestamp` bigint, app string, entity string, permissions array<string>, `from` string, `to` array<string>,
+        cc array<string>, bcc array<string>, mimeType string, attachmentFilenames array<string>,
+        attachments array<struct<fileType: string, fileSize: bigint>>, labels array<string>, chunk_embeddings {_VECTORS}""",
+    "event": f"""docId string, name string, description string, url string, baseUrl string, status string, location string,
+        createdAt bigint, updatedAt bigint, app string, entity string, creator {_PERSON}, organizer {_PERSON}, attendeesNames array<string>,
+        attendees array<{_PERSON}>, startTime bigint, endTime bigint, attachmentFilenames array<string>,
+        attachments array<struct<fileId: string, title: string, fileUrl: string, mimeType: string>>, recurrence array<string>,
+        joiningLink string, permissions array<string>, cancelledInstances array<string>, defaultStartTime boolean, chunk_embeddings {_VECTOR}""",
+    "chat_memory": f"""docId string, chatId string, workspaceId string, email string, turnNumber int, userMessage string,
+        assistantMessage string, thinking string, text string, topics array<string>, toolsUsed array<string>, permissions array<string>,
+        app string, entity string, createdAt bigint, updatedAt bigint, text_embeddings {_VECTOR}""",
+    "user_query": "docId string, query_text string, `timestamp` bigint, count bigint, owner string",
+}
+
+
+def declare(doc_type: str, ddl: str) -> None:
+    """Declare a document type, or change one; it must have the id ``docId``."""
+    if "docId" not in StructType.fromDDL(ddl).fieldNames():
+        raise ValueError(f"{doc_type} has no docId")
+    DECLARED[doc_type] = ddl
+
+
+def declared(doc_type: str) -> StructType:
+    """The declared fields of a document type."""
+    if doc_type not in DECLARED:
+        raise ValueError(f"document type {doc_type} is not declared")
+    return StructType.fromDDL(DECLARED[doc_type])
+
 
 # --- fixed values: summary classes, (type, class) -> output name: source field ---------------------------
 SUMMARIES: dict[tuple[str, str], dict[str, str]] = {

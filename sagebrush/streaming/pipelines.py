@@ -24,7 +24,7 @@ def log_stream(spark: SparkSession, src_dir: str, labels: dict[str, str] | None
                max_files_per_trigger: int | None = None, glob: str = "*") -> DataFrame:
     """T1 source (+T2 throttle): follow new files of a folder; the file source records
     which files were read in the query checkpoint, so a restart never re-reads them.
-    Intake is capped in files per trigger (the file source has no line-rate cap)."""
+    Intake is capped in files per trigger; ``throttled_log_stream`` caps it in lines."""
     r = spark.readStream.format("text").option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
@@ -34,6 +34,29 @@ def log_stream(spark: SparkSession, src_dir: str, labels: dict[str, str] | None
     return df
 
 
+def throttled_log_stream(spark: SparkSession, src_dir: str, checkpoint: str, labels: dict[str, str] | None = None,
+                         rate: float = C.LOG_RATE_LINES_PER_S, burst: int = C.LOG_BURST_LINES, glob: str = "*") -> DataFrame:
+    """Lines of a folder's files, at most ``burst`` a micro-batch and ``rate`` a second over time.  The place reached is kept
+    beside the query's ``checkpoint``."""
+    from sagebrush.sources.throttled import ThrottledLines
+
+    spark.dataSource.register(ThrottledLines)
+    df = (spark.readStream.format("throttled_lines").option("position", f"{checkpoint.rstrip('/')}-position/offset.json")
+          .option("glob", glob).option("linesPerSecond", str(rate)).option("burst", str(burst)).load(src_dir))
+    for k, v in (labels or {"job": "app-logs", "service": "app"}).items():
+        df = df.withColumn(k, F.lit(v))
+    return df
+
+
+def run_batches_to_versions(df: DataFrame, sink_dir: str, checkpoint: str) -> None:
+    """Run a stream batch after batch until its source has no more, one folder a batch, then stop."""
+    q = (df.writeStream.foreachBatch(_versioned_writer(sink_dir)).option("checkpointLocation", checkpoint).start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+
+
 def run_to_sink(df: DataFrame, sink_dir: str, checkpoint: str, fmt: str = "parquet") -> None:
     """Run a stream over everything available now (availableNow trigger), then stop."""
     q = (df.writeStream.format(fmt).option("path", sink_dir).option("checkpointLocation", checkpoint)
@@ -86,6 +109,16 @@ def stream_metrics(stream: DataFrame, every: str = "10 seconds", watermark: str
     return g.select(F.unix_seconds(F.col("w.start")).alias("window_start"), target, "last", "mean", "samples")
 
 
+def with_late(kept: DataFrame, whole: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """What a stream kept beside the same aggregate over all that was delivered: ``late`` rows came after the watermark had
+    passed their window.  A window whose rows were all late stands with count 0; the other values of it are null.
+    Both sides are one row per key and window, so this is a join of aggregates."""
+    values = [c for c in kept.columns if c not in (*keys, count)]
+    both = whole.select(*keys, F.col(count).alias("_all")).join(kept, keys, "left")
+    seen = F.coalesce(F.col(count), F.lit(0))
+    return both.select(*keys, *values, seen.alias(count), (F.col("_all") - seen).alias("late"))
+
+
 # --- T5 requests over the limit ------------------------------------------------------------------
 
 def requests_over_limit(requests: DataFrame, key: str, ts: str, rate_per_min: float = C.RATE_API_PER_MIN,

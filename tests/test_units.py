@@ -1,5 +1,6 @@
 """Known-answer, formula-edge and property tests (hand-made inputs + small fixtures)."""
 
+import collections
 import math
 
 import numpy as np
@@ -590,3 +591,76 @@ def test_a_call_without_an_answer_times_out(spark):
     emb, summary, _ = embed_requests(bodies, slow, max_retries=1, sleep=lambda s: None, timeout_ms=100)
     row = summary.first()
     assert emb.count() == 0 and "did not answer" in row["error"] and row["http_status"] == 502
+
+
+def test_line_rate_throttle(spark, tmp_path):
+    """Batches keep to the burst, lines come once and in order, also over a restart, growing, truncated and unfinished files."""
+    import time
+
+    from sagebrush.streaming import pipelines as ST
+
+    src, sink, ck = tmp_path / "logs", str(tmp_path / "sink"), str(tmp_path / "ck")
+    src.mkdir()
+    (src / "a.log").write_text("".join(f"a{i}\n" for i in range(95)) + "unfinished")
+    (src / "b.log").write_bytes("".join(f"b{i} \u00e4\r\n" for i in range(30)).encode())
+    (src / "other.txt").write_text("no\n")
+
+    def run():
+        ST.run_batches_to_versions(ST.throttled_log_stream(spark, str(src), ck, rate=100, burst=20, glob="*.log"), sink, ck)
+        return sorted((r._batch, r.line) for r in spark.read.parquet(sink).collect())
+
+    began = time.monotonic()
+    first = run()
+    sizes = collections.Counter(b for b, _ in first)
+    assert max(sizes.values()) <= 20 and len(sizes) >= 7
+    assert time.monotonic() - began >= (125 - 20) / 100     # the rate holds over all batches
+    assert sorted(x for _, x in first) == sorted([f"a{i}" for i in range(95)] + [f"b{i} \u00e4" for i in range(30)])
+    with open(src / "a.log", "a") as f:
+        f.write(" now\nlast\n")
+    (src / "b.log").write_text("again\n")
+    both = run()        # a new reader: nothing is read twice
+    assert set(first) <= set(both)
+    assert sorted(x for _, x in both) == sorted([x for _, x in first] + ["unfinished now", "last", "again"])
+    assert run() == both
+
+
+def test_typed_documents(spark, tmp_path):
+    from sagebrush import schemas as SC
+    from sagebrush.sources import writers as WR
+
+    mails = spark.createDataFrame([("m1", {"a": "1"}, 5, "inbox")], "docId string, userMap map<string, string>, `timestamp` int, app string")
+    WR.write_docs(mails, str(tmp_path / "m"), doc_type="mail")
+    back = WR.read_docs(spark, str(tmp_path / "m"), doc_type="mail")
+    assert back.schema.simpleString() == SC.declared("mail").simpleString()
+    row = back.first()
+    assert (row.docId, row.userMap, row["timestamp"], row.app, row.subject, row.chunk_embeddings) == ("m1", {"a": "1"}, 5, "inbox", None, None)
+    for bad in (mails.withColumn("extra", F.lit(1)), mails.withColumn("subject", F.lit(1))):
+        with pytest.raises(ValueError, match="not a mail"):
+            WR.write_docs(bad, str(tmp_path / "bad"), doc_type="mail")
+    with pytest.raises(ValueError, match="not declared"):
+        WR.read_docs(spark, str(tmp_path / "m"), doc_type="unknown")
+    SC.declare("team", "docId string, boxes array<struct<x: int, y: int>>, v map<int, array<float>>")
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    (feed / "x.json").write_text('{"docId":"1","boxes":[{"x":1,"y":2}],"more":1}\n{"docId":"2","boxes":"none"}\n{"docId":"3","v":{"one":[1.0]}}\n{"docId":"4","v":{"7":[0.5]}}\n{"boxes":[]}\n\n{"docId":\n{}\n')
+    good, wrong = WR.read_feed(spark, str(feed), "team")
+    assert good.schema.simpleString() == SC.declared("team").simpleString()
+    assert sorted((r.docId, r.boxes and r.boxes[0].y, r.v) for r in good.collect()) == [("1", 2, None), ("4", None, {7: [0.5]})]
+    reasons = collections.Counter((r.value, r.reason) for r in wrong.collect())
+    assert reasons == {('{"docId":"2","boxes":"none"}', "malformed"): 1, ('{"docId":"3","v":{"one":[1.0]}}', "malformed"): 1,
+                       ('{"boxes":[]}', "no docId"): 1, ("", "malformed"): 1, ('{"docId":', "malformed"): 1, ("{}", "no docId"): 1}
+    assert good.select("docId").count() == 2        # whichever column is read
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 26])
+def test_permission_classes(spark, monkeypatch, limit):
+    """A principal that all documents hold, by both kinds of join, against plain sets."""
+    from sagebrush.operators import relations as RL
+
+    monkeypatch.setattr(RL, "BROADCAST_LIMIT_BYTES", limit)
+    lists = [["all"], ["all", "x"], ["x", "all", "x"], ["y"], [], None, ["nobody"], ["all", None]]
+    docs = spark.createDataFrame([(i, lists[i % 8 if i % 3 else 0]) for i in range(400)], "id long, perms array<string>")
+    grants = [("u1", "all"), ("u2", "x"), ("u2", "all"), ("u3", "y"), ("u3", "y"), ("u4", None)]
+    got = RL.acl_semi(docs, "id", "perms", spark.createDataFrame(grants, "user string, principal string")).collect()
+    want = {(u, r.id) for r in docs.collect() for u, p in grants if p is not None and p in (r.perms or [])}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
