@@ -14,8 +14,8 @@ places: a row of the table is the part that one block of whole documents has, it
    k + 1 words meets the phrases of k words at its beginning and at its end.  A candidate is compared with those one word longer
    only: a longer one that takes its place implies such a one, as counts fall with length.
 
-A phrase travels as the hashes of its words (with their language), five to eight bytes each.  The hashes of frequent words are compared: if
-two share one, all are hashed anew with another seed or a byte more, so a result never rests on chance.
+A phrase travels as the numbers of its words.  The frequent words (with their language) are numbered from 0 without gaps, by their
+place in a written table, so a number takes as few bytes as their count allows (three up to 16 million) and no two words share one.
 
 A group that a third of all places have is one row per block in the shuffle.  A task holds one block, ``BLOCK_BYTES`` of text or one
 longer document.
@@ -178,7 +178,7 @@ def extend(relation: DataFrame, found: DataFrame, length: int) -> DataFrame:
 
 
 def _counts(length: int, width: int):
-    """A row per block and group of a relation; a phrase's key is its words' hashes, ``width`` bytes each."""
+    """A row per block and group of a relation; a phrase's key is its words' numbers, ``width`` bytes each."""
     schema = pa.schema([("key", pa.binary()), ("block", pa.int64()), ("own", pa.int64())])
 
     def run(batches):
@@ -199,16 +199,19 @@ def phrase_counts(relation: DataFrame, length: int, width: int) -> DataFrame:
     return relation.mapInArrow(_counts(length, width), "key binary, block long, own long")
 
 
-def _hashed(found: DataFrame) -> tuple[DataFrame, int]:
-    """Adds w0, a hash of (lang, word) that no two frequent words share, and its bytes: as few as will do."""
-    groups = found.select("lang", "word").distinct()
-    for width in (5, 6, 7, 8):
-        for seed in range(4 if width < 8 else 64):
-            hashed = F.xxhash64(F.lit(seed), "lang", "word")
-            hashed = hashed if width == 8 else hashed.bitwiseAND(F.lit((1 << 8 * width) - 1))
-            if not groups.groupBy(hashed.alias("h")).count().filter("count > 1").limit(1).collect():
-                return found.withColumn("w0", hashed), width
-    raise ValueError("no seed gives different hashes")
+def _numbered(found: DataFrame) -> tuple[DataFrame, int]:
+    """(lang, word, f, w0) of the frequent words, numbered without gaps, and the bytes that a number takes.
+
+    A word's place in the written table is its partition and its place there; the partitions' sizes, a row each, say where their
+    numbers begin."""
+    words = found.groupBy("lang", "word").agg(F.first("total").alias("f")).withColumn("at", F.monotonically_increasing_id())
+    words = written(words, "words").withColumn("part", F.shiftright("at", 33))
+    sizes = words.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    own = F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = written(words.join(F.broadcast(starts), "part").select("lang", "word", "f", own.alias("w0")), "numbered-words")
+    return numbered, max(1, ((numbered.count() - 1).bit_length() + 7) // 8)
 
 
 def group_tables(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[DataFrame], int]:
@@ -217,16 +220,19 @@ def group_tables(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bl
     groups = first.select("block", F.posexplode("groups").alias("group", "g"))
     totals = written(groups.groupBy("g.lang").agg(F.sum("g.n").alias("n")), "word-totals")
     own = F.shiftleft(F.col("group").cast("long"), 32).bitwiseOR(F.col("g.n"))
-    found, width = _hashed(frequent(groups.select("block", "g.lang", "g.word", own.alias("own")), ["lang", "word"], least))
+    found = frequent(groups.select("block", "g.lang", "g.word", own.alias("own")), ["lang", "word"], least)
+    numbered, width = _numbered(found)
     key = F.substring(F.unhex(F.lpad(F.hex("w0"), 16, "0")), 9 - width, width)
-    tables = [written(found.groupBy("lang", "word", "w0").agg(F.first("total").alias("f")).select("lang", "word", key.alias("key"), "f"), "groups")]
+    tables = [numbered.select("lang", "word", key.alias("key"), "f")]
+    of_block = found
+    found = found.join(numbered.select("lang", "word", "w0"), ["lang", "word"])
     relation = first.select("block", "places")
     for length in range(2, longest + 1):
         before, relation = relation, extend(relation, found, length - 1)
-        forget(before, found)
+        forget(before, of_block)
         counts = phrase_counts(relation, length, width)
         if length < longest:
-            found = frequent(counts, ["key"], least)
+            found = of_block = frequent(counts, ["key"], least)
             tables.append(written(found.groupBy("key").agg(F.first("total").alias("f")), "groups"))
         else:
             tables.append(written(group_totals(counts, ["key"], least).withColumnRenamed("total", "f"), "groups"))
