@@ -67,15 +67,30 @@ def token_hashes(text: str | None) -> np.ndarray:
 
 
 def _squeeze(columns: list[np.ndarray]) -> bytes:
-    """Small counts, column after column."""
-    control, data = pack(np.concatenate(columns).astype(np.uint64).clip(0, 0xFFFFFFFF).astype("<u4"))
-    return zlib.compress(control + data, 1)
+    """Counts, column after column: a byte each, and eight bytes behind them for each that is 255 or more."""
+    every = np.concatenate(columns)
+    small = np.minimum(every, 255).astype(np.uint8)
+    return zlib.compress(small.tobytes() + every[small == 255].astype("<i8").tobytes(), 1)
 
 
 def _loosen(body: bytes, n: int, columns: int) -> list[np.ndarray]:
-    raw = np.frombuffer(zlib.decompress(body), np.uint8)
-    cut = -(-n * columns // 4)
-    return np.split(unpack(raw[:cut], raw[cut:], n * columns).astype(np.int64), columns)
+    raw = zlib.decompress(body)
+    small = np.frombuffer(raw, np.uint8, n * columns)
+    every = small.astype(np.int64)
+    every[small == 255] = np.frombuffer(raw, "<i8", offset=n * columns)
+    return np.split(every, columns)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, a place of each, and each key's place among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.empty(len(keys), bool)
+    new[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], at
 
 
 # ---- blocks
@@ -93,8 +108,8 @@ def _blocks(size: int):
 
         def close():
             nonlocal ids, held, texts, n, block
-            words, at, counts = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
-            order = np.argsort(-counts, kind="stable")
+            words, _, at = _distinct(np.concatenate(texts))
+            order = np.argsort(-np.bincount(at), kind="stable")
             rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words), dtype=np.uint32)
             control, data = pack(rank[at])
@@ -132,22 +147,20 @@ class Block:
         before[1:] = self.token[:-1]
         before[np.cumsum(self.sizes) - self.sizes] = len(words)
         self.learned = np.repeat(~self.held, self.sizes)
-        pairs, self.pair = np.unique(before * len(self.words) + self.token, return_inverse=True)
-        self.left, self.right = np.divmod(pairs, len(self.words))
-        self.hashes = _mix(self.words[self.left] * np.uint64(0x9E3779B97F4A7C15) + _mix(self.words[self.right]))
-        self.order = np.argsort(self.hashes)    # bigrams are sent in the order of their hashes
-        self.keys = self.hashes[self.order]
+        # bigrams are kept in the order of their hashes, in which they are sent
+        mixed = _mix(self.words)
+        self.keys, at, self.pair = _distinct(_mix(self.words[before] * np.uint64(0x9E3779B97F4A7C15) + mixed[self.token]))
+        self.left, self.right = before[at], self.token[at]
 
     def find_trigrams(self) -> None:
         """The distinct trigrams, as places of their first and last two words among the bigrams; a text's first word ends none."""
         inner = np.ones(len(self.token), bool)
         inner[np.cumsum(self.sizes) - self.sizes] = False
         self.inner = np.flatnonzero(inner)
-        codes, at, self.triple = np.unique(self.pair[self.inner - 1] * len(self.words) + self.token[self.inner], return_index=True, return_inverse=True)
-        self.opening, self.ending = codes // len(self.words), self.pair[self.inner[at]]
-        keys = _mix(self.hashes[self.opening] * np.uint64(0x9E3779B97F4A7C15) + _mix(self.words[self.right[self.ending]]))
-        self.trigram_order = np.argsort(keys)
-        self.trigram_keys = keys[self.trigram_order]
+        opening = self.pair[self.inner - 1]
+        keys = _mix(self.keys[opening] * np.uint64(0x9E3779B97F4A7C15) + _mix(self.words)[self.token[self.inner]])
+        self.trigram_keys, at, self.triple = _distinct(keys)
+        self.opening, self.ending = opening[at], self.pair[self.inner[at]]
 
     def trigram_counts(self) -> np.ndarray:
         """Training count in this block of each trigram."""
@@ -181,7 +194,9 @@ class Shard:
 
     def __init__(self, folder: str, keys: list[np.ndarray], columns: list[list[np.ndarray]]):
         every = np.concatenate(keys)
-        distinct, self.first, at = np.unique(every, return_index=True, return_inverse=True)
+        distinct, _, at = _distinct(every)
+        self.first = np.empty(len(distinct), np.int64)
+        self.first[at[::-1]] = np.arange(len(every) - 1, -1, -1)  # of equal keys the earliest is assigned last
         distinct.tofile(f"{folder}/keys")
         self.n = len(distinct)
         for i, parts in enumerate(columns):
@@ -266,7 +281,7 @@ def _bigram_messages(bits: int):
         (count,), first = _reply(replies, 1)
         n = len(own.left)
         take = first & (count > 0)
-        opening, ending, count = own.opening[own.trigram_order][take], own.ending[own.trigram_order][take], count[take]
+        opening, ending, count = own.opening[take], own.ending[take], count[take]
 
         def by(pair, weight=None):
             return np.bincount(pair, weight, minlength=n).astype(np.int64)
@@ -274,7 +289,7 @@ def _bigram_messages(bits: int):
         # nothing stands before a begin mark: its bigrams count as often as they occur
         before = by(ending) + np.where(own.left == len(own.words) - 1, own.bigram_counts(), 0)
         columns = [by(opening, count), by(opening[count == 1]), by(opening[count == 2]), by(opening[count > 2]), before]
-        return _messages(int(blocks["block"].iloc[0]), own.keys, [c[own.order] for c in columns], bits)
+        return _messages(int(blocks["block"].iloc[0]), own.keys, columns, bits)
     return run
 
 
@@ -286,7 +301,7 @@ def _word_messages(bits: int, n_columns: int):
         (*_, count), first = _reply(replies, n_columns)
         n = len(own.words)
         take = first & (count > 0)
-        left, right, count = own.left[own.order][take], own.right[own.order][take], count[take]
+        left, right, count = own.left[take], own.right[take], count[take]
 
         def by(word, weight=None):
             return np.bincount(word, weight, minlength=n).astype(np.int64)
@@ -315,8 +330,7 @@ def _scores(order: int, d: list[float], e: list[float], t: list[float], word_tot
             return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
         own = Block(blocks.iloc[0])
         columns = BIGRAM_COLUMNS[order]
-        pairs = np.empty((len(columns), len(own.order)), np.int64)
-        pairs[:, own.order], _ = _reply(replies[replies["kind"] == 0], len(columns))
+        pairs, _ = _reply(replies[replies["kind"] == 0], len(columns))
         sorted_columns, _ = _reply(replies[replies["kind"] == 1], len(WORD_COLUMNS))
         by_hash = np.argsort(own.words)
         words = np.empty((len(WORD_COLUMNS), len(by_hash)), np.int64)
@@ -328,8 +342,7 @@ def _scores(order: int, d: list[float], e: list[float], t: list[float], word_tot
         logs = np.log10(p)[own.pair]
         if order == 3:
             own.find_trigrams()
-            count = np.empty(len(own.opening), np.int64)
-            (count[own.trigram_order],), _ = _reply(replies[replies["kind"] == 2], 1)
+            (count,), _ = _reply(replies[replies["kind"] == 2], 1)
             logs[own.inner] = np.log10(_interpolated(count, t, *(x[own.opening] for x in pairs[:4]), p[own.ending]))[own.triple]
         starts = np.cumsum(own.sizes) - own.sizes
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
@@ -369,10 +382,10 @@ def score(docs: DataFrame, held_out, block_tokens: int = BLOCK_TOKENS, order: in
             for _, row in frame.iterrows():
                 own = Block(row)
                 if order == 2:
-                    yield _messages(int(row["block"]), own.keys, [own.bigram_counts()[own.order]], bits)
+                    yield _messages(int(row["block"]), own.keys, [own.bigram_counts()], bits)
                 else:  # about twice as many keys, so twice as many shards
                     own.find_trigrams()
-                    yield _messages(int(row["block"]), own.trigram_keys, [own.trigram_counts()[own.trigram_order]], bits + 1)
+                    yield _messages(int(row["block"]), own.trigram_keys, [own.trigram_counts()], bits + 1)
 
     def answered(messages, n_columns, statistics, what):
         with _freed_shuffles(spark):
