@@ -70,10 +70,17 @@ def epoch_ms_to_ts(col) -> Column:
 
 
 def chunk_provenance(df: DataFrame, key: str, chunks: str, meta: str) -> DataFrame:
-    """One row per chunk with its position and the metadata row of the same chunk_index."""
-    c = df.select(key, F.posexplode(chunks).alias("chunk_index", "chunk"))
-    m = df.select(key, F.explode(meta).alias("m")).select(key, "m.*")
-    return c.join(m, [key, "chunk_index"], "left")
+    """One row per chunk with its position and the metadata row of the same chunk_index (one row for each, if there
+    are several; nulls, if there is none).  Both arrays stand in one row, so they are zipped there and nothing is
+    shuffled; metadata in the order of the chunks is taken by place, other metadata is searched per chunk."""
+    m, c = F.col(meta), F.col(chunks)
+    aligned = (F.size(m) == F.size(c)) & F.forall(F.transform(m, lambda x, i: x["chunk_index"].eqNullSafe(i)), lambda same: same)
+    pairs = F.transform(c, lambda x, i: F.struct(
+        i.alias("chunk_index"), x.alias("chunk"),
+        F.when(aligned, F.array(F.get(m, i))).otherwise(F.filter(m, lambda y: y["chunk_index"] == i)).alias("m")))
+    rows = df.select(key, F.explode(pairs).alias("r")).select(key, "r.chunk_index", "r.chunk", F.explode_outer("r.m").alias("m"))
+    others = [f.name for f in df.schema[meta].dataType.elementType.fields if f.name != "chunk_index"]
+    return rows.select(key, "chunk_index", "chunk", *[F.col("m").getField(f).alias(f) for f in others])
 
 
 def user_doc_id(user_map: str, email) -> Column:

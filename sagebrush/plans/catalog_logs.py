@@ -139,3 +139,15 @@ def q_log_volume(spark, sf):
   AS pattern, count(*) AS lines FROM log_lines_v GROUP BY 1""", views=["log_lines_v"])
 def q_log_patterns(spark, sf):
     return tidy(LG.log_patterns(view(spark, sf, "log_lines_v")))
+
+
+# lines of a kind per event type, with identifiers, numbers and no figure at all
+_MIXED_LINES = """CASE event_type WHEN 'error' THEN concat('request ', md5(CAST(event_id AS STRING)), ' failed with ', CAST(user_id AS STRING))
+  WHEN 'click' THEN 'client went away' ELSE concat(event_type, ' by user=', CAST(user_id AS STRING), ' trace=', substr(md5(CAST(event_id AS STRING)), 1, 16)) END"""
+
+
+@register("A17_log_patterns_mixed", sql=f"""WITH l AS (SELECT {_MIXED_LINES.replace("STRING", "VARCHAR")} AS line FROM events)
+SELECT regexp_replace(regexp_replace(line, '[0-9a-fA-F]{{12,}}', '<id>', 'g'), '[0-9]+', '<n>', 'g') AS pattern, count(*) AS lines
+FROM l GROUP BY 1""")
+def q_log_patterns_mixed(spark, sf):
+    return tidy(LG.log_patterns(view(spark, sf, "events").selectExpr(f"{_MIXED_LINES} AS line")))

@@ -275,6 +275,14 @@ def q_flatten(spark, sf):
     return tidy(th.select("id", F.array_join(D.flatten_messages(th, "threads", "texts"), "|").alias("thread_text")))
 
 
+@register("P15_flatten_thread_texts", sql="SELECT doc_id, replace(replace(text, chr(10), '|'), ' ', '|') AS thread_text FROM documents")
+def q_flatten_texts(spark, sf):
+    """Threads that stand in the row: a line each, with its words as texts."""
+    d = view(spark, sf, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda line: F.struct(
+        F.split(line, " ").alias("texts"))).alias("threads"))
+    return tidy(d.select("doc_id", F.array_join(D.flatten_messages(d, "threads", "texts"), "|").alias("thread_text")))
+
+
 @register("P16_content_hash", sql="SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def q_hash(spark, sf):
     return tidy(view(spark, sf, "documents").select("doc_id", D.content_hash("text").alias("content_hash")))

@@ -291,6 +291,50 @@ def rank(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None, schema:
     raise ValueError(f"unknown family {fam}")
 
 
+def feature_columns(schema: str, name: str, field_map: dict[str, str]) -> list[str]:
+    """P10: the columns of ``rank`` that profile ``schema.name`` scores with, by its family: the parts of its formula and
+    the score of each of its fields (``chunk_scores`` comes from ``profile_features``)."""
+    fam, kw = profile(schema, name)
+    sc = SCHEMAS[schema]
+    fields = [f for f in [*sc.fields, *sc.meta, *sc.people, *sc.score_only] if f in field_map]
+    native, bm25 = [f"native_{f}" for f in fields], [f"bm25_{f}" for f in fields]
+    vector = ["vector_score"] if sc.vector and not kw.get("text_only") else []
+    if fam == "autocomplete":
+        return [f"bm25_{f}" for f in kw["fields"]]
+    if fam == "query_log":
+        return ["bm25_query_text"]
+    if fam in ("weighted_bm25", "memory", "attachment_default"):
+        return [*(["vector_score"] if fam != "weighted_bm25" or kw.get("vector") else []), *bm25]
+    if fam == T:
+        return [f"native_{f}" for f in kw["weights"] if f in field_map]
+    if fam in ("name", "people"):
+        return ["matched_field_count", *native]
+    if fam == B:
+        return [*vector, "combined_bm25", *bm25]
+    if fam == A:
+        return [*vector, "combined_nativeRank", *native]
+    parts = ["matched_field_count", *vector, "combined_nativeRank", *native]
+    if fam == G:
+        used = ["relevance_used"] if kw["variant"] == "binned_clamped" else []
+        return [*parts, "document_age_days", "recency_bin_index", "recency_bin_score", "hybrid_relevance", *used]
+    return [*parts, "doc_recency"] if fam == N and kw.get("recency", True) else parts
+
+
+def profile_features(ranked: DataFrame, queries: DataFrame, docs: DataFrame, schema: str, name: str, key: str,
+                     field_map: dict[str, str], chunks: str | None = None) -> DataFrame:
+    """P10: the rows of ``rank`` with a struct ``match_features`` of the profile's own features.  With ``chunks``, an array column of
+    ``docs``, it holds ``chunk_scores``, a map from the places of matching chunks to their BM25: one row of a document
+    gathers no more than its own chunks, and only ranked documents are scored."""
+    cols = feature_columns(schema, name, field_map)
+    if chunks is None:
+        return S.match_features(ranked, cols)
+    from sagebrush.operators.textindex import chunk_scores
+
+    scores = chunk_scores(queries, docs, key, chunks).groupBy("query_id", key).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("p", "chunk_bm25")))).alias("chunk_scores"))
+    return S.match_features(ranked.join(scores, ["query_id", key], "left"), [*cols, "chunk_scores"])
+
+
 def _global_sorted(cands: DataFrame, docs: DataFrame, spec: S.DocSpec, p: S.Params, kw: dict, a: Column,
                    cnr: Column) -> DataFrame:
     from sagebrush.operators.windows import global_sorted

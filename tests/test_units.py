@@ -664,3 +664,29 @@ def test_permission_classes(spark, monkeypatch, limit):
     got = RL.acl_semi(docs, "id", "perms", spark.createDataFrame(grants, "user string, principal string")).collect()
     want = {(u, r.id) for r in docs.collect() for u, p in grants if p is not None and p in (r.perms or [])}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_chunk_provenance_by_place_and_by_search(spark):
+    """Metadata in order, out of order, with gaps, repeats and none; a null array of chunks has no rows."""
+    from sagebrush.operators.derive import chunk_provenance
+
+    rows_ = [(1, ["a", "b"], [(0, "x"), (1, "y")]), (2, ["a", "b", "c"], [(2, "z"), (0, "x"), (0, "w")]), (3, ["a"], None),
+             (4, [], [(0, "x")]), (5, None, [(0, "x")]), (6, ["a"], [(None, "n")]), (7, ["a"], [None])]
+    df = spark.createDataFrame(rows_, "k int, chunks array<string>, meta array<struct<chunk_index: int, label: string>>")
+    out = chunk_provenance(df, "k", "chunks", "meta")
+    assert "Exchange" not in out._jdf.queryExecution().toString()
+    assert sorted(rows(out, "k", "chunk_index", "chunk", "label"), key=str) == sorted([
+        (1, 0, "a", "x"), (1, 1, "b", "y"), (2, 0, "a", "x"), (2, 0, "a", "w"), (2, 1, "b", None), (2, 2, "c", "z"),
+        (3, 0, "a", None), (6, 0, "a", None), (7, 0, "a", None)], key=str)
+
+
+def test_feature_columns_of_profiles():
+    from sagebrush.plans.profiles import PROFILES, feature_columns
+
+    assert feature_columns("file", "default_native", {"title": "t", "chunks": "b"}) == [
+        "matched_field_count", "vector_score", "combined_nativeRank", "native_title", "native_chunks", "doc_recency"]
+    assert feature_columns("user", "default_native", {"name": "n", "email": "e"}) == ["matched_field_count", "native_name", "native_email"]
+    assert feature_columns("event", "title_boosted_hybrid", {"name": "n", "description": "d"}) == ["native_name"]
+    assert feature_columns("file", "autocomplete", {"title": "t"}) == ["bm25_title"]
+    assert feature_columns("chat_message", "default_bm25", {"text": "b"}) == ["vector_score", "combined_bm25", "bm25_text"]
+    assert all(isinstance(feature_columns(s, n, {}), list) for s, n in PROFILES)
