@@ -604,3 +604,21 @@ def test_induced_sorting(tmp_path, monkeypatch, block, held):
                 x, y = text[a:a + depth], text[b:b + depth]
                 n = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
                 assert x <= y and (common == n if n < depth else common >= depth)
+
+
+def test_counts_of_any_size_survive_a_message():
+    from sagebrush.llm.lm import _loosen, _squeeze
+
+    columns = [np.array([0, 1, 254, 255, 256]), np.array([2**32 - 1, 2**32, 2**40 + 3, 7, 255])]
+    back = _loosen(_squeeze(columns), 5, 2)
+    assert [c.tolist() for c in back] == [c.tolist() for c in columns]
+    assert [c.tolist() for c in _loosen(_squeeze([np.zeros(0, np.int64)]), 0, 1)] == [[]]
+
+
+def test_distinct_keys_with_places():
+    from sagebrush.llm.lm import _distinct
+
+    keys = np.random.default_rng(3).integers(0, 50, 1000).astype(np.uint64)
+    values, place, at = _distinct(keys)
+    assert values.tolist() == sorted(set(keys.tolist())) and (keys[place] == values).all() and (values[at] == keys).all()
+    assert [len(x) for x in _distinct(keys[:0])] == [0, 0, 0]
