@@ -6,8 +6,9 @@ cell and one byte per group, packed into blocks of one cell and at most ``BLOCK_
 rows of the table.
 
 ``search`` sends every query to the cells nearest to it (multi-probe).  Query blocks and code blocks meet by an equi-join on the cell;
-codes are scored against a table of the query's distances to the codebooks, each block gives its best ``rerank`` rows per query, and the best
-``rerank`` of a query are joined to their vectors and ranked exactly.  Only those vectors are read: the rest of the table is seen as codes.
+codes are scored against a table of the queries' distances to the codebooks, a task keeps a running best ``rerank`` rows per query over
+all its blocks, and the best ``rerank`` of a query are joined to their vectors and ranked exactly.  Only those vectors are read: the rest of the
+table is seen as codes.  What a task gives out grows with the queries, not with the number of blocks that it has seen.
 
 Where vectors have no clusters, as in the given tables, cells alone cannot prune (a fifth of the rows by cell then holds 56 % of the neighbours,
 two fifths 82 %): three quarters of the cells are probed by default, and the codes do the pruning.  Clustered data need fewer.
@@ -32,6 +33,8 @@ PROBED_SHARE = 0.75
 CODE_DIMS = 4            # dimensions that share a byte
 CODEWORDS = 256
 BLOCK_ROWS = 1 << 15
+QUERY_ROWS = 512         # queries that meet a block together
+SCORED = 1 << 20         # distances held at a time
 RERANK = 10              # vectors read exactly per neighbour asked for
 
 
@@ -86,6 +89,25 @@ def encode(vectors: np.ndarray, centroids: np.ndarray, codebooks: list[np.ndarra
     return cell, np.stack(codes, axis=1).astype(np.uint8)
 
 
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInPandas body over blocks in the order of their cells: the small blocks of a cell become ones of ``BLOCK_ROWS`` rows or a little more."""
+    held, n = [], 0
+
+    def close():
+        return pd.DataFrame({"cell": [held[0].cell], "n": [n], "keys": [np.concatenate([np.asarray(r.keys) for r in held])],
+                             "parts": [np.concatenate([np.asarray(r.parts) for r in held])], "codes": [b"".join(r.codes for r in held)]})
+
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            if held and (held[0].cell != row.cell or n >= BLOCK_ROWS):
+                yield close()
+                held, n = [], 0
+            held.append(row)
+            n += row.n
+    if held:
+        yield close()
+
+
 def build_index(vectors: DataFrame, key: str = "doc_id", part: str | None = None, vec: str = "v", cells: int = CELLS,
                 path: str | None = None) -> VectorIndex | None:
     """Index every row with a vector (the most frequent width of the sample; other widths cannot be compared and are an error when
@@ -127,6 +149,9 @@ def build_index(vectors: DataFrame, key: str = "doc_id", part: str | None = None
 
     kind = v.schema["keys"].dataType.simpleString()
     blocks = packed(spread(v), "vb", ids, "v").mapInPandas(run, f"cell int, n int, keys array<{kind}>, parts array<long>, codes binary")
+    # every task above leaves a block a cell, however few its rows: they are put together, as a query meets every block of a cell
+    groups = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(groups, "cell").sortWithinPartitions("cell").mapInPandas(_merged, blocks.schema)
     if path:
         blocks.sortWithinPartitions("cell").write.mode("overwrite").parquet(path)
         blocks = vectors.sparkSession.read.schema(blocks.schema).parquet(path)
@@ -134,38 +159,80 @@ def build_index(vectors: DataFrame, key: str = "doc_id", part: str | None = None
 
 
 def _probes(centroids: np.ndarray, probed: int):
-    """mapInPandas body: each query block is cut into the cells that its queries probe."""
+    """mapInPandas body: each query block is cut into the cells that its queries probe, ``QUERY_ROWS`` at a time.  ``qb`` names the slice."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                q, ids = _unit_rows(_matrix(row.m, row.width)), np.asarray(row.query_id)
-                near = np.argsort(((centroids ** 2).sum(axis=1) - 2 * (q @ centroids.T)), axis=1, kind="stable")[:, :probed]
-                for c in np.unique(near).tolist():
-                    own = np.flatnonzero((near == c).any(axis=1))
-                    yield pd.DataFrame({"cell": [c], "query_id": [ids[own]], "qm": [np.ascontiguousarray(q[own]).tobytes()]})
+                whole, whole_ids = _unit_rows(_matrix(row.m, row.width)), np.asarray(row.query_id)
+                for a in range(0, len(whole), QUERY_ROWS):
+                    q, ids = whole[a:a + QUERY_ROWS], whole_ids[a:a + QUERY_ROWS]
+                    near = np.argsort(((centroids ** 2).sum(axis=1) - 2 * (q @ centroids.T)), axis=1, kind="stable")[:, :probed]
+                    for c in np.unique(near).tolist():
+                        own = np.flatnonzero((near == c).any(axis=1))
+                        yield pd.DataFrame({"cell": [c], "qb": [block], "places": [own], "query_id": [ids[own]],
+                                            "qm": [np.ascontiguousarray(q[own]).tobytes()]})
+                    block += 1
     return run
 
 
-def _scan(centroids: np.ndarray, codebooks: list[np.ndarray], rerank: int):
-    """mapInPandas body over (query block, code block) of a cell: the rows of least distance by code, per query."""
+class _Best:
+    """The running best ``n`` rows (least distance, then key and part) of every query of a slice."""
+
+    def __init__(self, n: int, key_kind):
+        self.n, self.ids = n, {}
+        self.far, self.place, self.parts = np.empty(0), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.keys = np.empty(0, dtype=key_kind)
+        self.bound = np.full(QUERY_ROWS, np.inf)     # the n-th best so far: what lies farther is not wanted
+
+    def add(self, places, far, keys, parts) -> None:
+        place, far = np.concatenate((self.place, places)), np.concatenate((self.far, far))
+        keys, parts = np.concatenate((self.keys, keys)), np.concatenate((self.parts, parts))
+        order = np.lexsort((parts, keys, far, place))
+        place = place[order]
+        rank = np.arange(len(place)) - np.searchsorted(place, place, side="left")
+        order, place, rank = order[rank < self.n], place[rank < self.n], rank[rank < self.n]
+        self.place, self.far, self.keys, self.parts = place, far[order], keys[order], parts[order]
+        self.bound[place[rank == self.n - 1]] = self.far[rank == self.n - 1]
+
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": np.asarray([self.ids[p] for p in self.place.tolist()]), "keys": self.keys, "parts": self.parts, "far": self.far})
+
+
+def _scan(centroids: np.ndarray, codebooks: list[np.ndarray], n: int):
+    """mapInPandas body over (query slice, code block) of a cell, in the order of slices: the rows of least distance by code, per query."""
     width = centroids.shape[1]
     groups = _groups(width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, at, books, table = None, None, None, None
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                keys, parts = np.asarray(row.keys), np.asarray(row.parts)
+                keys, parts, places = np.asarray(row.keys), np.asarray(row.parts), np.asarray(row.places)
                 codes = np.frombuffer(row.codes, dtype=np.uint8).reshape(len(keys), len(groups))
-                order = np.lexsort((parts, keys))
-                keys, parts, codes = keys[order], parts[order], codes[order]
-                out = []
-                for query, q in zip(np.asarray(row.query_id), _matrix(row.qm, width) - centroids[row.cell], strict=True):
-                    far = np.zeros(len(keys))
-                    for i, (g, book) in enumerate(zip(groups, codebooks, strict=True)):
-                        far += ((book - q[g]) ** 2).sum(axis=1)[codes[:, i]]
-                    best = np.argsort(far, kind="stable")[:rerank]
-                    out.append(pd.DataFrame({"query_id": query, "keys": keys[best], "parts": parts[best], "far": far[best]}))
-                yield pd.concat(out, ignore_index=True)
+                if row.qb != at:
+                    if best is not None and len(best.far):
+                        yield best.rows()
+                    best, at, books = _Best(n, keys.dtype), row.qb, None
+                if row.cell != books:
+                    q, books = _matrix(row.qm, width) - centroids[row.cell], row.cell
+                    # (codeword, query) distances of every group of dimensions
+                    table = [((book[:, None, :] - q[None, :, g]) ** 2).sum(axis=2) for g, book in zip(groups, codebooks, strict=True)]
+                best.ids.update(zip(places.tolist(), np.asarray(row.query_id).tolist(), strict=True))
+                step = max(n, SCORED // max(1, len(places)))
+                for a in range(0, len(keys), step):
+                    far = np.zeros((min(step, len(keys) - a), len(places)))
+                    for i, distances in enumerate(table):
+                        far += distances[codes[a:a + step, i]]
+                    bound = best.bound[places]
+                    if len(far) > n:
+                        bound = np.minimum(bound, np.partition(far, n - 1, axis=0)[n - 1])
+                    rows, qs = np.nonzero(far <= bound)
+                    best.add(places[qs], far[rows, qs], keys[a + rows], parts[a + rows])
+        if best is not None and len(best.far):
+            yield best.rows()
     return run
 
 
@@ -175,8 +242,10 @@ def candidates(index: VectorIndex, queries: DataFrame, k: int, qid: str = "query
     probed, n = max(1, round(probed_share * len(index.centroids))), rerank * k
     qv = queries.select(F.col(qid).alias("query_id"), F.col(qvec).cast("array<double>").alias("e")).filter(F.size("e") > 0)
     kind, key_kind = qv.schema["query_id"].dataType.simpleString(), index.blocks.schema["keys"].dataType.elementType.simpleString()
-    sent = packed(qv.hint("rebalance"), "qb", ["query_id"], "e").mapInPandas(_probes(index.centroids, probed), f"cell int, query_id array<{kind}>, qm binary")
-    scanned = index.blocks.join(sent, "cell").mapInPandas(_scan(index.centroids, index.codebooks, n), f"query_id {kind}, keys {key_kind}, parts long, far double")
+    sent = packed(qv.hint("rebalance"), "qb", ["query_id"], "e").mapInPandas(
+        _probes(index.centroids, probed), f"cell int, qb long, places array<long>, query_id array<{kind}>, qm binary")
+    pairs = index.blocks.join(sent, "cell").sortWithinPartitions("qb", "cell")
+    scanned = pairs.mapInPandas(_scan(index.centroids, index.codebooks, n), f"query_id {kind}, keys {key_kind}, parts long, far double")
     order = Window.partitionBy("query_id").orderBy("far", "keys", "parts")
     best = scanned.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n)
     return best.select("query_id", F.col("keys").alias(index.key), F.col("parts").alias("p"))

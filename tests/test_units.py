@@ -690,3 +690,27 @@ def test_feature_columns_of_profiles():
     assert feature_columns("file", "autocomplete", {"title": "t"}) == ["bm25_title"]
     assert feature_columns("chat_message", "default_bm25", {"text": "b"}) == ["vector_score", "combined_bm25", "bm25_text"]
     assert all(isinstance(feature_columns(s, n, {}), list) for s, n in PROFILES)
+
+
+def test_approximate_scan_keeps_one_running_best(spark, monkeypatch):
+    import pandas as pd
+
+    from sagebrush.operators import vector_index as VI
+
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(600)], "doc_id int, v array<double>").repartition(12)
+    index = VI.build_index(v, cells=4)
+    assert index.blocks.count() == 4        # the blocks of twelve tasks are one a cell
+    # a slice of three queries (two with one id) over five blocks of a cell, with equal codes
+    books = index.codebooks
+    codes = rng.integers(0, 6, size=(50, 2)).astype(np.uint8)
+    q, places, ids = rng.normal(size=(3, 8)), np.array([0, 4, 7]), np.array([5, 5, 9])
+    at = [slice(a, a + 10) for a in range(0, 50, 10)]
+    monkeypatch.setattr(VI, "SCORED", 12)
+    pairs = pd.DataFrame([{"cell": 1, "qb": 8, "places": places, "query_id": ids, "qm": q.tobytes(), "keys": np.arange(50)[s][::-1], "parts": np.zeros(10, dtype=int),
+                           "codes": codes[s][::-1].tobytes()} for s in at])
+    got = pd.concat(VI._scan(index.centroids, books, 4)(iter([pairs[:2], pairs[2:]])))
+    rest = q - index.centroids[1]
+    far = np.array([[sum(((books[g][c[g]] - rest[i, 4 * g:4 * g + 4]) ** 2).sum() for g in range(2)) for c in codes] for i in range(3)])
+    want = sorted((int(ids[i]), int(k)) for i in range(3) for k in np.lexsort((np.arange(50), far[i]))[:4])
+    assert sorted(zip(got["query_id"].tolist(), got["keys"].tolist(), strict=True)) == want
