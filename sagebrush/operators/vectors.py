@@ -36,6 +36,8 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 BLOCK_BYTES = 4 * 1024 * 1024
 # Candidates whose product is this near the k-th best are scored again, value by value, so that equal vectors score alike.
 _MARGIN = 1e-9
+# Entries of one product of vectors and queries (16 MB of doubles); a task holds about four arrays of that size.
+_PRODUCT = 1 << 21
 
 
 def _pack(name: str, id_cols: list[str], vec: str, block_bytes: int):
@@ -83,7 +85,15 @@ def _matrix(body: bytes, width: int) -> np.ndarray:
 
 def _best_pairs(queries: np.ndarray, vectors: np.ndarray, keys: np.ndarray, parts: np.ndarray, k: int | None):
     """(query index, row index, closeness) of the best chunk of each document, per query of the k best documents (closeness desc, key
-    asc) or with k None of all.  ``vectors`` are in the order of (key, part)."""
+    asc) or with k None of all.  ``vectors`` are in the order of (key, part).  Queries are taken a few at a time, so that two full
+    blocks never make a product of more than ``_PRODUCT`` entries."""
+    step = max(1, _PRODUCT // max(1, len(vectors)))
+    found = [_best_of_slice(queries[a:a + step], vectors, keys, parts, k) for a in range(0, len(queries), step)]
+    shifted = [(qs + i * step, rows, exact) for i, (qs, rows, exact) in enumerate(found)]
+    return tuple(np.concatenate(column) for column in zip(*shifted, strict=True))
+
+
+def _best_of_slice(queries: np.ndarray, vectors: np.ndarray, keys: np.ndarray, parts: np.ndarray, k: int | None):
     first = np.ones(len(keys), dtype=bool)
     first[1:] = keys[1:] != keys[:-1]
     starts = np.flatnonzero(first)

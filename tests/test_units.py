@@ -714,3 +714,20 @@ def test_approximate_scan_keeps_one_running_best(spark, monkeypatch):
     far = np.array([[sum(((books[g][c[g]] - rest[i, 4 * g:4 * g + 4]) ** 2).sum() for g in range(2)) for c in codes] for i in range(3)])
     want = sorted((int(ids[i]), int(k)) for i in range(3) for k in np.lexsort((np.arange(50), far[i]))[:4])
     assert sorted(zip(got["query_id"].tolist(), got["keys"].tolist(), strict=True)) == want
+
+
+def test_products_of_full_blocks_are_bounded(monkeypatch):
+    import tracemalloc
+
+    from sagebrush.operators import vectors as V
+
+    rng = np.random.default_rng(4)
+    q, v, keys, parts = rng.normal(size=(4000, 4)), rng.normal(size=(4000, 4)), np.arange(4000) // 2, np.arange(4000) % 2
+    tracemalloc.start()
+    found = V._best_pairs(q, v, keys, parts, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6         # the whole product alone is 128 MB
+    monkeypatch.setattr(V, "_PRODUCT", 1 << 30)
+    for a, b in zip(found, V._best_pairs(q, v, keys, parts, 3), strict=True):
+        assert (a == b).all()
