@@ -4,6 +4,8 @@ Shape of the plan at scale:
 
 * field lengths, N and avglen come straight from the document rows
   (no explode, one tiny global aggregate);
+* a table of all tokens is counted where its documents are: their rows meet by key
+  before they are tokenised, so a shuffle carries texts and not their tokens;
 * document tokens are exploded and *semi-joined to the query terms first*
   (broadcast when the term list is proven small), so only postings of query
   terms are counted and shuffled;
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sagebrush import config as C
 from sagebrush.functions.text import grams, query_terms, tokens
-from sagebrush.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, spread
+from sagebrush.session import BROADCAST_LIMIT_BYTES, SPREAD_SETTING, broadcast_if_small, spread
 
 
 def _fields(fields: dict[str, Column] | list[str], gram: bool = False) -> dict[str, Column]:
@@ -41,8 +43,10 @@ def token_table(docs: DataFrame, key: str, fields, terms: DataFrame | None = Non
 
     With ``terms`` (a one-column ``token`` DataFrame) only those tokens are
     kept, before the aggregation, so the shuffle carries query postings only.
+    Without them the documents are shuffled by key, which is all that the aggregation asks for.
     """
-    ft = field_tokens(spread(docs), key, _fields(fields, gram))
+    dealt = by_key(docs, key) if terms is None else spread(docs)
+    ft = field_tokens(dealt, key, _fields(fields, gram))
     # posexplode_outer: no inferred size(toks) > 0 filter, so the tokeniser runs once per row
     ex = (ft.select(key, "field", "len", F.posexplode_outer("toks").alias("pos", "token"))
           .filter(F.col("token").isNotNull()))
@@ -52,6 +56,12 @@ def token_table(docs: DataFrame, key: str, fields, terms: DataFrame | None = Non
             .agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos")))
 
 
+def by_key(docs: DataFrame, key: str) -> DataFrame:
+    """Documents with the rows of a key in one task: a group-by on the key and more needs no further exchange."""
+    n = docs.sparkSession.conf.get(SPREAD_SETTING, None) or docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return docs.repartition(int(n), key)
+
+
 def term_list(terms: DataFrame) -> list[str]:
     """The distinct query terms: a stated set, collected once per query batch."""
     return [r["token"] for r in terms.select("token").distinct().collect()]
@@ -274,7 +284,8 @@ def build_text_index(docs: DataFrame, key: str, fields, path: str, files_per_fie
     fdict = _fields(fields, gram)
     spark = docs.sparkSession
     postings = token_table(docs, key, fdict)
-    n = files_per_field or max(1, spark.sparkContext.defaultParallelism)
+    # a task sorts its range in memory, so there are as many ranges as a shuffle has partitions
+    n = files_per_field or max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     (postings.repartitionByRange(n, "field", "token", key).sortWithinPartitions("field", "token", key)
      .write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings"))
     p = spark.read.parquet(f"{path}/postings")

@@ -731,3 +731,16 @@ def test_products_of_full_blocks_are_bounded(monkeypatch):
     monkeypatch.setattr(V, "_PRODUCT", 1 << 30)
     for a, b in zip(found, V._best_pairs(q, v, keys, parts, 3), strict=True):
         assert (a == b).all()
+
+
+def test_token_table_shuffles_documents_not_tokens(spark, capsys):
+    from sagebrush.functions.text import tokens
+    from sagebrush.operators.textindex import token_table
+
+    d = spark.createDataFrame([(1, "a b a"), (1, "b a c"), (None, "a"), (None, "a"), (2, None), (3, "")], "doc_id int, t string")
+    table = token_table(d, "doc_id", {"t": tokens("t")})
+    table.explain()
+    exchanges = [x for x in capsys.readouterr().out.splitlines() if "Exchange" in x and "AQE" not in x]
+    assert len(exchanges) == 1 and "token" not in exchanges[0]
+    got = collections.Counter(rows(table, "doc_id", "token", "tf", "first_pos", "len"))
+    assert got == collections.Counter([(1, "a", 3, 0, 3), (1, "b", 2, 0, 3), (1, "c", 1, 2, 3), (None, "a", 2, 0, 1)])
