@@ -295,6 +295,11 @@ def rank_change(before: DataFrame, after: DataFrame, k: int, key: str = "doc_id"
 # --- embedders (X2) -------------------------------------------------------------------
 
 
+# Tokens whose bucket a worker remembers (about 15 MB), and the bytes of a batch of texts that it holds.
+MEMO_TOKENS = 100_000
+EMBED_BATCH_BYTES = 8 * 1024 * 1024
+
+
 class HashingEmbedder:
     """Deterministic test embedder: token counts hashed into ``dims`` buckets by
     the first 8 hex digits of md5(token), then L2-normalised.  The same vector
@@ -310,7 +315,7 @@ class HashingEmbedder:
         b = self._memo.get(tok)
         if b is None:
             b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dims
-            if len(self._memo) < 1_000_000:      # token frequencies are Zipf-like: memo hits dominate
+            if len(self._memo) < MEMO_TOKENS:      # token frequencies are Zipf-like: memo hits dominate
                 self._memo[tok] = b
         return b
 
@@ -346,8 +351,9 @@ class HashingEmbedder:
 
 
 def embed_text(df: DataFrame, col: str, embedder=None, out: str = "embedding") -> DataFrame:
-    """One vector per row via ``mapInPandas``; one Arrow batch = one embedder call."""
+    """One vector per row via ``mapInPandas``; one Arrow batch = one embedder call.  Batches end at ``EMBED_BATCH_BYTES``."""
     embedder = embedder or HashingEmbedder()
+    bound_arrow_batches(df.sparkSession, EMBED_BATCH_BYTES)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
     if not df.isStreaming:
         df = spread(df)

@@ -744,3 +744,23 @@ def test_token_table_shuffles_documents_not_tokens(spark, capsys):
     assert len(exchanges) == 1 and "token" not in exchanges[0]
     got = collections.Counter(rows(table, "doc_id", "token", "tf", "first_pos", "len"))
     assert got == collections.Counter([(1, "a", 3, 0, 3), (1, "b", 2, 0, 3), (1, "c", 1, 2, 3), (None, "a", 2, 0, 1)])
+
+
+def test_embedding_holds_little(spark, monkeypatch):
+    from sagebrush.operators import vectors as V
+
+    monkeypatch.setattr(V, "MEMO_TOKENS", 3)
+    small, whole = V.HashingEmbedder(16), ["a b c d e f a", "f g", None, ""]
+    got = small.embed(whole)
+    assert len(small._memo) == 3
+    monkeypatch.undo()
+    assert (got == V.HashingEmbedder(16).embed(whole)).all()
+
+    class Sizes:
+        def embed(self, texts):
+            return np.full((len(texts), 1), float(len(texts)))
+
+    d = spark.range(40, numPartitions=1).select("id", F.repeat(F.lit("x"), 1 << 20).alias("t"))
+    monkeypatch.setattr("sagebrush.operators.vectors.spread", lambda df: df)
+    most = V.embed_text(d, "t", Sizes()).agg(F.max(F.col("embedding")[0]), F.count("*")).first()
+    assert most[0] <= 10 and most[1] == 40      # 40 MB of text in one task come a few MB at a time
