@@ -15,14 +15,16 @@ from sagebrush.streaming import pipelines as ST
 
 
 def _stream_copy(spark, df, name: str, n_files: int = 4, max_files: int | None = 1, order_by: str | None = None):
-    """Write ``df`` as a few parquet files and open them as a file stream (schema given).
+    """Write ``df`` as parquet files and open them as a file stream (schema given).  Each of the ``n_files`` shares
+    stands in as many files as there are cores, so that all of them write and read; a micro-batch takes ``max_files`` shares.
     With ``order_by`` the files are time ranges and arrive in one micro-batch, so a
     watermark sees no late rows."""
     folder = scratch_path(spark, name)
-    (df.repartitionByRange(n_files, order_by) if order_by else df.repartition(n_files)).write.parquet(folder)
+    each = spark.sparkContext.defaultParallelism
+    (df.repartitionByRange(max(n_files, each), order_by) if order_by else df.repartition(n_files * each)).write.parquet(folder)
     r = spark.readStream.schema(df.schema)
     if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
+        r = r.option("maxFilesPerTrigger", max_files * each)
     return r.parquet(folder)
 
 

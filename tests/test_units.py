@@ -764,3 +764,17 @@ def test_embedding_holds_little(spark, monkeypatch):
     monkeypatch.setattr("sagebrush.operators.vectors.spread", lambda df: df)
     most = V.embed_text(d, "t", Sizes()).agg(F.max(F.col("embedding")[0]), F.count("*")).first()
     assert most[0] <= 10 and most[1] == 40      # 40 MB of text in one task come a few MB at a time
+
+
+def test_stream_copy_feeds_all_cores(spark, tmp_path):
+    from sagebrush.plans.catalog_streaming import _stream_copy
+    from sagebrush.streaming import pipelines as ST
+
+    stream = _stream_copy(spark, spark.range(5000), "spread-test")
+    sink = str(tmp_path / "sink")
+    ST.run_to_sink(stream.select("id", F.spark_partition_id().alias("task"), F.col("_metadata.file_path").alias("file")), sink, str(tmp_path / "ck"))
+    back = spark.read.parquet(sink)
+    assert sorted(rows(back, "id")) == [(i,) for i in range(5000)]
+    assert back.select("file").distinct().count() == 4 * spark.sparkContext.defaultParallelism
+    seen = [x for x in (tmp_path / "ck" / "offsets").iterdir() if x.name.isdigit()]
+    assert len(seen) == 4       # the number of micro-batches is the same
