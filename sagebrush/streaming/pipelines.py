@@ -49,8 +49,9 @@ def throttled_log_stream(spark: SparkSession, src_dir: str, checkpoint: str, lab
 
 
 def run_batches_to_versions(df: DataFrame, sink_dir: str, checkpoint: str) -> None:
-    """Run a stream batch after batch until its source has no more, one folder a batch, then stop."""
-    q = (df.writeStream.foreachBatch(_versioned_writer(sink_dir)).option("checkpointLocation", checkpoint).start())
+    """Run a stream batch after batch until its source has no more, one folder a batch, then stop.  Readers see the number of
+    its batch in every row, as ``_batch``."""
+    q = (df.writeStream.foreachBatch(_folder_writer(sink_dir)).option("checkpointLocation", checkpoint).start())
     try:
         q.processAllAvailable()
     finally:
@@ -74,6 +75,13 @@ def _versioned_writer(sink_dir: str):
     return write
 
 
+def _folder_writer(sink_dir: str):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # the number stands in the folder's name only: as a literal it would make new code to compile of every batch
+        batch.write.mode("overwrite").parquet(f"{sink_dir}/_batch={batch_id}")
+    return write
+
+
 def run_update_to_versions(df: DataFrame, sink_dir: str, checkpoint: str) -> None:
     q: StreamingQuery = (df.writeStream.outputMode("update").foreachBatch(_versioned_writer(sink_dir))
                          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -778,3 +778,17 @@ def test_stream_copy_feeds_all_cores(spark, tmp_path):
     assert back.select("file").distinct().count() == 4 * spark.sparkContext.defaultParallelism
     seen = [x for x in (tmp_path / "ck" / "offsets").iterdir() if x.name.isdigit()]
     assert len(seen) == 4       # the number of micro-batches is the same
+
+
+def test_batch_folders_carry_the_number(spark, tmp_path):
+    from sagebrush.streaming import pipelines as ST
+
+    folder, sink = str(tmp_path / "in"), str(tmp_path / "sink")
+    spark.range(30).repartition(3).write.parquet(folder)
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(folder)
+    ST.run_batches_to_versions(stream, sink, str(tmp_path / "ck"))
+    back = spark.read.parquet(sink)
+    assert sorted(rows(back, "id")) == [(i,) for i in range(30)]
+    assert sorted(rows(back.select("_batch").distinct(), "_batch")) == [(0,), (1,), (2,)]
+    one = next((tmp_path / "sink" / "_batch=1").glob("*.parquet"))
+    assert spark.read.parquet(str(one)).columns == ["id"]      # no column of its own for what the folder says
