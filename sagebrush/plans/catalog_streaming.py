@@ -143,6 +143,7 @@ def q_throttled(spark, sf):
 
 # limits of the checked query, far below the fixed ones so that the table comes in several batches
 _T2_RATE, _T2_BURST = 20_000, 1_500
+_T2_STREAMS = 4  # micro-batches at work at a time; the limits hold for all of them together
 
 
 @register("T2_throttled_lines", sql="""SELECT line, 'app-logs' AS job, 'app' AS service, true AS within FROM log_lines_v""", views=["log_lines_v"])
@@ -150,10 +151,10 @@ def q_throttled_lines(spark, sf):
     """Every line arrives once; ``within`` says whether its micro-batch kept to the burst."""
     src = write_log_files(spark, sf)
     sink, ck = scratch_path(spark, "log-batches"), scratch_path(spark, "ck-lines")
-    ST.run_batches_to_versions(ST.throttled_log_stream(spark, src, ck, rate=_T2_RATE, burst=_T2_BURST, glob="*.txt"), sink, ck)
+    ST.run_throttled_to_versions(spark, src, sink, ck, _T2_STREAMS, rate=_T2_RATE, burst=_T2_BURST, glob="*.txt")
     rows = spark.read.parquet(sink)
-    sizes = rows.groupBy("_batch").agg((F.count(F.lit(1)) <= _T2_BURST).alias("within"))
-    return tidy(rows.join(F.broadcast(sizes), "_batch").select("line", "job", "service", "within"))
+    sizes = rows.groupBy("_stream", "_batch").agg((F.count(F.lit(1)) <= _T2_BURST).alias("within"))
+    return tidy(rows.join(F.broadcast(sizes), ["_stream", "_batch"]).select("line", "job", "service", "within"))
 
 
 _DELIVERY = "least(floor((day(ts) - 1) / 8), 3) + CASE WHEN event_id % 10 = 7 THEN 1 ELSE 0 END"

@@ -11,6 +11,9 @@ replayed after a failure.
 
 from __future__ import annotations
 
+import tempfile
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,14 +38,15 @@ def log_stream(spark: SparkSession, src_dir: str, labels: dict[str, str] | None
 
 
 def throttled_log_stream(spark: SparkSession, src_dir: str, checkpoint: str, labels: dict[str, str] | None = None,
-                         rate: float = C.LOG_RATE_LINES_PER_S, burst: int = C.LOG_BURST_LINES, glob: str = "*") -> DataFrame:
+                         rate: float = C.LOG_RATE_LINES_PER_S, burst: int = C.LOG_BURST_LINES, glob: str = "*",
+                         share: dict[str, str] | None = None) -> DataFrame:
     """Lines of a folder's files, at most ``burst`` a micro-batch and ``rate`` a second over time.  The place reached is kept
-    beside the query's ``checkpoint``."""
+    beside the query's ``checkpoint``.  ``share`` has the options of one of several streams over the folder."""
     from sagebrush.sources.throttled import ThrottledLines
 
     spark.dataSource.register(ThrottledLines)
     df = (spark.readStream.format("throttled_lines").option("position", f"{checkpoint.rstrip('/')}-position/offset.json")
-          .option("glob", glob).option("linesPerSecond", str(rate)).option("burst", str(burst)).load(src_dir))
+          .option("glob", glob).option("linesPerSecond", str(rate)).option("burst", str(burst)).options(**(share or {})).load(src_dir))
     for k, v in (labels or {"job": "app-logs", "service": "app"}).items():
         df = df.withColumn(k, F.lit(v))
     return df
@@ -58,6 +62,46 @@ def run_batches_to_versions(df: DataFrame, sink_dir: str, checkpoint: str) -> No
         q.stop()
 
 
+_FILE_MANAGER = "spark.sql.streaming.checkpointFileManagerClass"
+
+
+def _session_of_streams(spark: SparkSession, checkpoint: str) -> SparkSession:
+    """A session with the settings of ``spark`` for streams of many small micro-batches.
+
+    Spark writes checkpoint files by the FileContext interface, which on a local disk without Hadoop's native library starts several
+    processes for every rename.  There the FileSystem interface, whose rename is the disk's own, writes them; on
+    other storage, and where a setting names a way, nothing changes."""
+    own = spark.newSession()
+    known = own.conf.getAll
+    for key, value in spark.conf.getAll.items():
+        if known.get(key) != value:     # set since the session began
+            own.conf.set(key, value)
+    system = spark._jvm.org.apache.hadoop.fs.Path(checkpoint).getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() == "file" and spark.conf.get(_FILE_MANAGER, None) is None:
+        own.conf.set(_FILE_MANAGER, "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager")
+    return own
+
+
+def run_throttled_to_versions(spark: SparkSession, src_dir: str, sink_dir: str, checkpoint: str, streams: int, **limits) -> None:
+    """``streams`` throttled streams over one folder at a time, until it has no more.  They divide the files and share one bucket, so
+    rate and burst (``limits``, as of ``throttled_log_stream``) hold for all of them together as for one; only what the engine
+    does around a micro-batch runs beside the others'.  Rows carry ``_stream`` and ``_batch``.  A checkpoint goes on with as many streams
+    or more."""
+    checkpoint = checkpoint.rstrip("/")
+    # each has a session: what a registered Python source takes to its tasks is one object a session, which streams at work at a
+    # time would change under each other's hands
+    sessions = [_session_of_streams(spark, checkpoint) for _ in range(streams)]
+
+    def run(stream: int) -> None:
+        share = {"stream": str(stream), "streams": str(streams), "owners": f"{checkpoint}/owners.json", "bucket": f"{folder}/bucket"}
+        lines = throttled_log_stream(sessions[stream], src_dir, f"{checkpoint}/{stream}", share=share, **limits)
+        run_batches_to_versions(lines, f"{sink_dir}/_stream={stream}", f"{checkpoint}/{stream}")
+
+    with tempfile.TemporaryDirectory(prefix="throttle-") as folder, ThreadPoolExecutor(streams) as pool:
+        for done in [pool.submit(run, stream) for stream in range(streams)]:
+            done.result()
+
+
 def run_to_sink(df: DataFrame, sink_dir: str, checkpoint: str, fmt: str = "parquet") -> None:
     """Run a stream over everything available now (availableNow trigger), then stop."""
     q = (df.writeStream.format(fmt).option("path", sink_dir).option("checkpointLocation", checkpoint)

@@ -792,3 +792,86 @@ def test_batch_folders_carry_the_number(spark, tmp_path):
     assert sorted(rows(back.select("_batch").distinct(), "_batch")) == [(0,), (1,), (2,)]
     one = next((tmp_path / "sink" / "_batch=1").glob("*.parquet"))
     assert spark.read.parquet(str(one)).columns == ["id"]      # no column of its own for what the folder says
+
+
+def test_streams_share_one_bucket(tmp_path):
+    """Readers of one folder divide its files and pass no more lines together than the bucket holds and gains."""
+    import time
+
+    from sagebrush.sources.throttled import _ThrottledReader
+
+    src = tmp_path / "logs"
+    src.mkdir()
+    for name, n in (("a", 300), ("b", 200), ("c", 200), ("d", 90)):
+        (src / f"{name}.log").write_text("".join(f"{name}{i:05}\n" for i in range(n)))
+    began = time.monotonic()
+    readers = [_ThrottledReader({"path": str(src), "position": str(tmp_path / f"at-{i}.json"), "glob": "*.log", "linesPerSecond": "1000",
+                                 "burst": "50", "stream": str(i), "streams": "2", "owners": str(tmp_path / "owners.json"),
+                                 "bucket": str(tmp_path / "bucket")}) for i in range(2)]
+    at, passed = [{}, {}], 0
+    while passed < 790:
+        for i, reader in enumerate(readers):
+            to = reader.latestOffset()
+            n = sum(end - at[i].get(name, 0) for name, end in to.items()) // 7
+            passed, at[i] = passed + n, to
+            assert n <= 50 and passed <= 50 + 1000 * (time.monotonic() - began)
+    assert not at[0].keys() & at[1].keys() and len(at[0]) == len(at[1]) == 2
+    with pytest.raises(ValueError, match="beyond the 1 of this run"):
+        _ThrottledReader({"path": str(src), "position": str(tmp_path / "at-0.json"), "owners": str(tmp_path / "owners.json"),
+                          "bucket": str(tmp_path / "bucket"), "glob": "*.log"}).latestOffset()
+
+
+def test_throttled_streams_of_one_folder(spark, tmp_path):
+    """Several micro-batches at a time: every line comes once, a file's lines by one stream and in order, also over a restart."""
+    import time
+
+    from sagebrush.streaming import pipelines as ST
+
+    src, sink, ck = tmp_path / "logs", str(tmp_path / "sink"), str(tmp_path / "ck")
+    src.mkdir()
+    for name, n in (("a", 70), ("b", 50), ("c", 40), ("d", 1)):
+        (src / f"{name}.log").write_text("".join(f"{name}{i:03}\n" for i in range(n)))
+
+    def run():
+        ST.run_throttled_to_versions(spark, str(src), sink, ck, 3, rate=200, burst=20, glob="*.log")
+        return sorted((r._stream, r._batch, r.line, r.job) for r in spark.read.parquet(sink).collect())
+
+    began = time.monotonic()
+    first = run()
+    assert time.monotonic() - began >= (161 - 20) / 200     # the rate holds over all streams
+    assert sorted(x for _, _, x, _ in first) == [f"{f}{i:03}" for f, n in (("a", 70), ("b", 50), ("c", 40), ("d", 1)) for i in range(n)]
+    assert max(collections.Counter((s, b) for s, b, _, _ in first).values()) <= 20
+    assert {j for _, _, _, j in first} == {"app-logs"} and {s for s, _, _, _ in first} == {0, 1, 2}
+    for f in "abcd":
+        lines = [(s, b, x) for s, b, x, _ in first if x.startswith(f)]
+        assert len({s for s, _, _ in lines}) == 1 and [x for _, _, x in lines] == sorted(x for _, _, x in lines)
+    with open(src / "b.log", "a") as f:
+        f.write("b050\n")
+    (src / "e.log").write_text("e000\n")
+    both = run()
+    assert set(first) <= set(both) and sorted(x for _, _, x, _ in set(both) - set(first)) == ["b050", "e000"]
+    assert len(both) == len(first) + 2 and run() == both
+
+
+def test_session_of_streams(spark, tmp_path):
+    from sagebrush.streaming import pipelines as ST
+
+    own = ST._session_of_streams(spark, str(tmp_path / "ck"))
+    assert own.conf.get(ST._FILE_MANAGER).endswith(".FileSystemBasedCheckpointFileManager") and spark.conf.get(ST._FILE_MANAGER, None) is None
+    assert own.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(ST._FILE_MANAGER, named := "org.apache.spark.sql.execution.streaming.checkpointing.FileContextBasedCheckpointFileManager")
+    try:
+        assert ST._session_of_streams(spark, str(tmp_path / "ck")).conf.get(ST._FILE_MANAGER) == named
+    finally:
+        spark.conf.unset(ST._FILE_MANAGER)
+
+
+def test_streams_at_a_time_have_a_session_each(spark, tmp_path, monkeypatch):
+    from sagebrush.streaming import pipelines as ST
+
+    seen, ran = [], []
+    monkeypatch.setattr(ST, "throttled_log_stream", lambda session, *a, **k: seen.append(session._jsparkSession.sessionUUID()))
+    monkeypatch.setattr(ST, "run_batches_to_versions", lambda lines, sink, ck: ran.append((sink, ck)))
+    ST.run_throttled_to_versions(spark, str(tmp_path), "sink", f"{tmp_path}/ck/", 3, rate=10, burst=10)
+    assert len(set(seen)) == 3 and spark._jsparkSession.sessionUUID() not in seen
+    assert sorted(ran) == [(f"sink/_stream={i}", f"{tmp_path}/ck/{i}") for i in range(3)]
